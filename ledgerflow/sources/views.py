@@ -60,12 +60,12 @@ class Views:
             o = o.filter(F.col("o_orderdate") >= F.to_timestamp(F.lit(start)))
         if end is not None:
             o = o.filter(F.col("o_orderdate") < F.to_timestamp(F.lit(end)))
-        li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                                          "l_extendedprice", "l_discount", "l_returnflag")
         sign = _sign(F.col("l_returnflag"))
         return li.join(o, li.l_orderkey == o.o_orderkey).select(
-            F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                        F.col("l_linenumber").cast("string")).alias("transaction_id"),
+            F.concat_ws("-", *[F.col(c).cast("string") for c in
+                               ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("transaction_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("l_partkey").alias("product_id"),
             F.to_date("o_orderdate").alias("transaction_date"),
@@ -140,7 +140,7 @@ class Views:
         li = self.raw("lineitem")
         first = li.groupBy("l_orderkey").agg(
             F.min_by(F.struct("l_partkey", "l_quantity", "l_extendedprice", "l_discount"),
-                     "l_linenumber").alias("fl"))
+                     F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("fl"))
         o = self.raw("orders")
         c = self.raw("customer").select("c_custkey", "c_name")
         k = F.col("o_orderkey")
@@ -223,7 +223,8 @@ class Views:
 # ------------------------------------------------------------------------------------------
 VIEW_SQL = {
     "order_tx": f"""order_tx AS (
-  SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS transaction_id,
+  SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-'
+         || CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) AS transaction_id,
          o.o_custkey AS customer_id, l.l_partkey AS product_id,
          CAST(o.o_orderdate AS DATE) AS transaction_date,
          CASE WHEN l.l_returnflag = 'R' THEN '{RETURN}' ELSE '{SALE}' END AS document_type,
@@ -262,8 +263,10 @@ VIEW_SQL = {
          CAST(DATE '2001-07-01' + CAST(p_partkey % 28 AS INTEGER) AS TIMESTAMP) AS updated_at
   FROM part)""",
     "incoming_orders": """first_line AS (
-  SELECT l_orderkey, arg_min(l_partkey, l_linenumber) AS l_partkey, arg_min(l_quantity, l_linenumber) AS l_quantity,
-         arg_min(l_extendedprice, l_linenumber) AS l_extendedprice, arg_min(l_discount, l_linenumber) AS l_discount
+  SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey)) AS l_partkey,
+         arg_min(l_quantity, (l_linenumber, l_partkey, l_suppkey)) AS l_quantity,
+         arg_min(l_extendedprice, (l_linenumber, l_partkey, l_suppkey)) AS l_extendedprice,
+         arg_min(l_discount, (l_linenumber, l_partkey, l_suppkey)) AS l_discount
   FROM lineitem GROUP BY l_orderkey),
 incoming_orders AS (
   SELECT o.o_orderkey AS id,
