@@ -28,13 +28,14 @@ RECENT_SHARE_MONTHS = 5
 EWMA_ALPHA = 0.3
 
 # --- FIXED VALUES: customer segments (M7) and order-rate thresholds (M10) ---------------
-SEGMENT_VIP = "VIP"
-SEGMENT_IMPORTANT = "important"
-SEGMENT_ACTIVE = "active"
-SEGMENT_PLANNED = "planned"
-SEGMENT_NEW = "new"
-ORDER_RATE_THRESHOLD = {SEGMENT_VIP: 0.15, SEGMENT_IMPORTANT: 0.25}
-ORDER_RATE_THRESHOLD_DEFAULT = 0.4
+SEGMENT_VIP = "核心VIP客戶"        # core VIP
+SEGMENT_IMPORTANT = "重要客戶"     # important
+SEGMENT_ACTIVE = "活躍客戶"        # active
+SEGMENT_PLANNED = "計劃型客戶"     # planned buyer
+SEGMENT_NEW = "新客戶"             # new
+ORDER_RATE_THRESHOLD_HIGH_VALUE = 0.15   # VIP and important customers
+ORDER_RATE_THRESHOLD_NEW = 0.4           # new customers
+ORDER_RATE_THRESHOLD_DEFAULT = 0.25      # everyone else
 
 # --- FIXED VALUES: incoming-order status codes -------------------------------------------
 STATUS_OPEN = "0"
