@@ -92,18 +92,23 @@ def trim_name(c) -> Column:
 
 
 def chat_file_key(file_name) -> tuple[Column, Column]:
-    """SRC4: key from a chat file name, returns (display name, customer id or null).
-
-    'seq_from_to_area_name(ID).csv' split on '_': with 5+ parts the name is parts 5 on
-    (joined by '_') and the id is inside the brackets unless 'Unknown'; with exactly 4
-    parts the name is the last part; with 2 or 3 parts it is the second part."""
-    stem = F.regexp_replace(_c(file_name), r"\.csv$", "")
+    """SRC4: (customer name, customer id or null) from a chat file name.
+
+    The stem (name without its last extension) is split on '_'.  With 5+ parts the name
+    is parts 5 on joined by '_'; if it holds '(' and ')' the id is the text between the
+    first '(' and the first ')', unless empty or 'Unknown', and the name is the part
+    before '('.  With exactly 4 parts the name is the last part; with 2 or 3 the second;
+    otherwise 'Unknown'.  An empty name is 'Unknown'."""
+    stem = F.regexp_replace(_c(file_name), r"\.[^.]*$", "")
     parts = F.split(stem, "_")
     n = F.size(parts)
     tail = F.array_join(F.slice(parts, 5, 1000000), "_")
-    ident = F.regexp_extract(tail, r"\(([^()]*)\)\s*$", 1)
-    name5 = F.trim(F.regexp_replace(tail, r"\([^()]*\)\s*$", ""))
-    name = (F.when(n >= 5, name5).when(n == 4, F.element_at(parts, 4))
-            .when(n >= 2, F.element_at(parts, 2)).otherwise(stem))
+    lp, rp = F.instr(tail, "("), F.instr(tail, ")")
+    has = (lp > 0) & (rp > 0)
+    ident = F.when(has, F.substr(tail, lp + 1, F.greatest(rp - lp - 1, F.lit(0))))
+    name5 = F.when(has, F.trim(F.substr(tail, F.lit(1), lp - 1))).otherwise(tail)
+    name = (F.when(n >= 5, name5).when(n == 4, F.element_at(parts, -1))
+            .when(n >= 2, F.element_at(parts, 2)).otherwise(F.lit("Unknown")))
+    name = F.when((name.isNull()) | (name == ""), F.lit("Unknown")).otherwise(name)
     cid = F.when((n >= 5) & (ident != "") & (ident != "Unknown"), ident)
     return name, cid

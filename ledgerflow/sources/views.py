@@ -172,10 +172,19 @@ class Views:
     @cached_property
     def chat_messages(self) -> DataFrame:
         cv = self.raw("conversations")
+        k = F.col("conv_id")
+        ks = k.cast("string")
+        fname = (F.when(k % 4 == 0, F.concat(ks, F.lit("_20240101_20240131_North_Shop "), ks, F.lit("("), ks, F.lit(").csv")))
+                 .when(k % 4 == 1, F.concat(ks, F.lit("_20240101_20240131_Shop"), ks, F.lit(".csv")))
+                 .when(k % 4 == 2, F.concat(ks, F.lit("_Shop"), ks, F.lit(".csv")))
+                 .otherwise(F.concat(ks, F.lit("_20240101_20240131_South_Shop_"), ks, F.lit("(Unknown).csv"))))
         return cv.select(
             F.col("conv_id"),
             F.col("turn").alias("row_no"),
-            F.concat(F.lit("chat_"), F.col("conv_id").cast("string"), F.lit(".csv")).alias("file_name"),
+            fname.alias("file_name"),
+            F.concat(F.lit("batch_"), (k % 3).cast("string")).alias("batch"),
+            (F.lit("2024-02-01 00:00:00").cast("timestamp") + F.make_interval(hours=(k % 3).cast("int"))).alias("batch_time"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("message_date"),
             F.when(F.col("role") == "user", F.lit("User")).otherwise(F.lit("Account")).alias("sender_type"),
             F.when(F.col("conv_id") % 3 != 0, F.col("conv_id")).alias("customer_id"),
             F.col("text").alias("content"),
@@ -285,7 +294,16 @@ incoming_orders AS (
   FROM orders o JOIN first_line f ON o.o_orderkey = f.l_orderkey
   LEFT JOIN customer c ON o.o_custkey = c.c_custkey)""",
     "chat_messages": """chat_messages AS (
-  SELECT conv_id, turn AS row_no, 'chat_' || CAST(conv_id AS VARCHAR) || '.csv' AS file_name,
+  SELECT conv_id, turn AS row_no,
+         CASE conv_id % 4
+           WHEN 0 THEN CAST(conv_id AS VARCHAR) || '_20240101_20240131_North_Shop ' || CAST(conv_id AS VARCHAR) || '(' || CAST(conv_id AS VARCHAR) || ').csv'
+           WHEN 1 THEN CAST(conv_id AS VARCHAR) || '_20240101_20240131_Shop' || CAST(conv_id AS VARCHAR) || '.csv'
+           WHEN 2 THEN CAST(conv_id AS VARCHAR) || '_Shop' || CAST(conv_id AS VARCHAR) || '.csv'
+           ELSE CAST(conv_id AS VARCHAR) || '_20240101_20240131_South_Shop_' || CAST(conv_id AS VARCHAR) || '(Unknown).csv' END
+           AS file_name,
+         'batch_' || CAST(conv_id % 3 AS VARCHAR) AS batch,
+         TIMESTAMP '2024-02-01 00:00:00' + to_hours(CAST(conv_id % 3 AS INTEGER)) AS batch_time,
+         DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER) AS message_date,
          CASE WHEN role = 'user' THEN 'User' ELSE 'Account' END AS sender_type,
          CASE WHEN conv_id % 3 <> 0 THEN conv_id END AS customer_id, text AS content
   FROM conversations)""",
