@@ -15,12 +15,12 @@ def _c(c) -> Column:
 
 def repair_text(c) -> Column:
     """Text that was decoded as Latin-1 by mistake is re-decoded as UTF-8.  Applied
-    only when every character is ≤ U+00FF and at least one is ≥ U+0080, and the result
-    has no replacement character; otherwise the text is unchanged."""
+    only when every character is ≤ U+00FF, at least one is ≥ U+0080, and the bytes form
+    valid UTF-8; otherwise the text is unchanged."""
     c = _c(c)
     latin_only = c.rlike(r"^[\x{0000}-\x{00FF}]*$") & c.rlike(r"[\x{0080}-\x{00FF}]")
-    fixed = F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
-    return F.when(latin_only & ~fixed.contains("�"), fixed).otherwise(c)
+    raw = F.encode(c, "ISO-8859-1").cast("string")
+    return F.when(latin_only, F.when(F.is_valid_utf8(raw), raw).otherwise(c)).otherwise(c)
 
 
 def schedule_sorted(c) -> Column:
