@@ -137,11 +137,14 @@ class Views:
     @cached_property
     def incoming_orders(self) -> DataFrame:
         """temp_customer_records: one row per order, product from its first line item."""
+        return self.incoming_from(self.raw("orders"))
+
+    def incoming_from(self, o: DataFrame) -> DataFrame:
+        """incoming_orders built from a given orders DataFrame (batch or stream)."""
         li = self.raw("lineitem")
         first = li.groupBy("l_orderkey").agg(
             F.min_by(F.struct("l_partkey", "l_quantity", "l_extendedprice", "l_discount"),
                      F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("fl"))
-        o = self.raw("orders")
         c = self.raw("customer").select("c_custkey", "c_name")
         k = F.col("o_orderkey")
         status = (F.when(F.col("o_orderstatus") == "P", F.lit("0"))
