@@ -303,14 +303,11 @@ def delivery_category(ds: DataFrame, pm: DataFrame, category: str | None = None)
 # ------------------------------------------------------------------------ top-k, order
 def page(df: DataFrame, order: Sequence, page_no: int, size: int) -> DataFrame:
     """Rows of one page (1-based) in ``order`` plus total_count, pages, has_next,
-    has_prev.  The page is a TakeOrderedAndProject; the totals are one aggregate row
-    attached by a broadcast join on a constant key."""
+    has_prev.  The page is a TakeOrderedAndProject; the total is a scalar subquery."""
     rows = df.orderBy(*order).offset((page_no - 1) * size).limit(size)
-    tot = df.agg(F.count("*").alias("total_count")).select(
-        "total_count", F.ceil(F.col("total_count") / size).alias("pages"),
-        (F.lit(page_no) * size < F.col("total_count")).alias("has_next"),
-        F.lit(page_no > 1).alias("has_prev"), F.lit(1).alias("_k"))
-    return rows.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").drop("_k")
+    total = df.agg(F.count("*")).scalar()
+    return rows.select("*", total.alias("total_count"), F.ceil(total / size).alias("pages"),
+                       (F.lit(page_no * size) < total).alias("has_next"), F.lit(page_no > 1).alias("has_prev"))
 
 
 def top_k_per(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:

@@ -59,8 +59,8 @@ def overall_health(log: DataFrame, stats: DataFrame, critical_tasks: DataFrame,
     recent = (log.filter((F.col("status") == fail_status) & (F.col("ts") >= _ts(now) - F.expr("INTERVAL 24 HOURS")))
               .join(F.broadcast(critical_tasks.select("task_id")), "task_id")
               .agg(F.count("*").alias("critical_alerts_24h")))
-    k = F.lit(1)
-    j = failing.withColumn("_k", k).join(low.withColumn("_k", k), "_k").join(recent.withColumn("_k", k), "_k").drop("_k")
+    j = failing.select("failing_now", low.scalar().alias("low_success_rate"),
+                       recent.scalar().alias("critical_alerts_24h"))
     st = (F.when(F.col("failing_now") > 0, F.lit("critical"))
           .when((F.col("low_success_rate") > 0) | (F.col("critical_alerts_24h") > 0), F.lit("warning"))
           .otherwise(F.lit("healthy")))

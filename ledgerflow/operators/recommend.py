@@ -56,22 +56,23 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: in
                                               .rowsBetween(Window.unboundedPreceding, 0)))
     cum = cum.join(F.broadcast(off), "pid").withColumn("hi", F.col("off") + F.col("cin")).withColumn(
         "lo", F.col("hi") - F.col("c"))                       # value v holds 0-based ranks [lo, hi)
-    n = df.filter(F.col(col).isNotNull()).agg(F.count("*").alias("n"))
-    cum = cum.withColumn("_k", F.lit(1))
-    out = None
-    for i, q in enumerate(qs):
-        h = (F.col("n") - 1) * F.lit(float(q))
+    n = df.filter(F.col(col).isNotNull()).agg(F.count("*")).scalar()
+    covers = []
+    for q in qs:
+        h = (n - 1) * F.lit(float(q))
         k1 = F.floor(h)
-        ks = n.select(h.alias("h"), k1.alias("k1"), (k1 + 1).alias("k2"), F.lit(1).alias("_k"))
-        picks = cum.join(F.broadcast(ks), "_k").filter((F.col("lo") <= F.col("k2")) & (F.col("hi") > F.col("k1")))
-        vals = picks.agg(
-            F.max(F.when((F.col("lo") <= F.col("k1")) & (F.col("hi") > F.col("k1")), F.col("v"))).alias("x1"),
-            F.max(F.when((F.col("lo") <= F.col("k2")) & (F.col("hi") > F.col("k2")), F.col("v"))).alias("x2"),
-            F.max("h").alias("h"), F.max("k1").alias("k1"))
-        x1, x2 = F.col("x1"), F.coalesce(F.col("x2"), F.col("x1"))
-        qv = vals.select((x1 + (x2 - x1) * (F.col("h") - F.col("k1"))).alias(f"q{i}"), F.lit(1).alias("_k"))
-        out = qv if out is None else out.join(F.broadcast(qv), "_k")
-    return out.drop("_k")
+        covers.append((h, k1, k1 + 1))
+    sel = []
+    for i, (h, k1, k2) in enumerate(covers):
+        sel.append(F.max(F.when((F.col("lo") <= k1) & (F.col("hi") > k1), F.col("v"))).alias(f"x1_{i}"))
+        sel.append(F.max(F.when((F.col("lo") <= k2) & (F.col("hi") > k2), F.col("v"))).alias(f"x2_{i}"))
+    vals = cum.agg(*sel)
+    outs = []
+    for i, (h, k1, _k2) in enumerate(covers):
+        x1, x2 = F.col(f"x1_{i}"), F.coalesce(F.col(f"x2_{i}"), F.col(f"x1_{i}"))
+        outs.append((x1 + (x2 - x1) * (h - k1)).alias(f"q{i}"))
+    out = vals.select(*outs)
+    return out
 
 
 # --------------------------------------------------------------------- price data
@@ -93,11 +94,10 @@ def active_products(pm: DataFrame) -> DataFrame:
 
 
 def trim_prices(sales: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """Keep rows with unit price inside the global [5 %, 95 %] quantiles (inclusive)."""
-    q = exact_quantiles(sales, "unit_price", [lo, hi]).select(F.col("q0").alias("_lo"), F.col("q1").alias("_hi"),
-                                                              F.lit(1).alias("_k"))
-    s = sales.withColumn("_k", F.lit(1)).join(F.broadcast(q), "_k")
-    return s.filter((F.col("unit_price") >= F.col("_lo")) & (F.col("unit_price") <= F.col("_hi"))).drop("_lo", "_hi", "_k")
+    """Keep rows with unit price inside the global [5 %, 95 %] quantiles (inclusive);
+    the two bounds are one scalar subquery."""
+    q = exact_quantiles(sales, "unit_price", [lo, hi]).select(F.struct("q0", "q1").alias("b")).scalar()
+    return sales.filter((F.col("unit_price") >= q["q0"]) & (F.col("unit_price") <= q["q1"]))
 
 
 def category_price_stats(sales: DataFrame) -> DataFrame:

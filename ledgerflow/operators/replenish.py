@@ -346,13 +346,11 @@ def hash_unit(cols: Sequence[str], seed: int) -> Column:
 
 def thin_negatives(samples: DataFrame, ratio: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Keep all positives and about ``ratio`` negatives per positive: a negative stays when
-    its key hash is below ratio·P / N (counts from one aggregate)."""
-    cnt = samples.agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_n"))
-    rate = cnt.select(F.least(F.lit(1.0), F.lit(ratio) * F.col("_p") / F.greatest(F.col("_n"), F.lit(1))).alias("_rate"),
-                      F.lit(1).alias("_k"))
-    s = samples.withColumn("_k", F.lit(1)).join(F.broadcast(rate), "_k")
-    keep = (F.col("label") == 1) | (hash_unit(keys, seed) < F.col("_rate"))
-    return s.filter(keep).drop("_k", "_rate")
+    its key hash is below ratio·P / N (both counts from one scalar aggregate)."""
+    cnt = samples.agg(F.struct(F.count_if(F.col("label") == 1).alias("p"),
+                               F.count_if(F.col("label") == 0).alias("n")).alias("c")).scalar()
+    rate = F.least(F.lit(1.0), F.lit(ratio) * cnt["p"] / F.greatest(cnt["n"], F.lit(1)))
+    return samples.filter((F.col("label") == 1) | (hash_unit(keys, seed) < rate))
 
 
 def rolling_samples(daily: DataFrame, end: str, window_days: int = 90, label_days: int = 7) -> DataFrame:
@@ -515,22 +513,21 @@ def _last_quantities(daily: DataFrame, k: int) -> DataFrame:
 
 def find_val_week(daily: DataFrame, as_of: str, min_sales: int = 50) -> DataFrame:
     """Newest full Monday–Sunday week 3 to 7 weeks back with ≥ ``min_sales`` sale
-    rows; else the 7 days ending 14 days back.  One grouped count over the 5 candidates."""
+    rows; else the 7 days ending 14 days back.  Rows are keyed by their week's Monday and
+    counted for the 5 candidate weeks in one grouped count (equi-join on the Monday)."""
     a = _d(as_of)
     this_monday = F.date_sub(a, F.weekday(a))
-    cands = F.explode(F.sequence(F.lit(3), F.lit(7))).alias("weeks_back")
-    sp = daily.sparkSession
-    c = sp.range(1).select(cands).select("weeks_back", F.date_sub(this_monday, F.col("weeks_back") * 7).alias("week_start"))
-    c = c.withColumn("week_end", F.date_add("week_start", 6))
-    cnt = daily.join(F.broadcast(c), (daily.transaction_date >= c.week_start) & (daily.transaction_date <= c.week_end)) \
-               .groupBy("weeks_back").agg(F.count("*").alias("sales"))
-    ok = c.join(cnt, "weeks_back", "left").filter(F.coalesce("sales", F.lit(0)) >= min_sales)
-    best = ok.agg(F.min("weeks_back").alias("weeks_back"))
-    chosen = best.join(c, "weeks_back", "left")
-    return chosen.select(
-        F.coalesce("week_start", F.date_sub(a, 20)).alias("val_start"),
-        F.coalesce("week_end", F.date_sub(a, 14)).alias("val_end"),
-        F.col("weeks_back").isNull().alias("fallback"))
+    d = F.col("transaction_date")
+    wk = daily.select(F.date_sub(d, F.weekday(d)).alias("week_start"))
+    cands = daily.sparkSession.range(3, 8).select(F.col("id").cast("int").alias("weeks_back")).select(
+        "weeks_back", F.date_sub(this_monday, F.col("weeks_back") * 7).alias("week_start"))
+    cnt = wk.join(F.broadcast(cands), "week_start").groupBy("weeks_back", "week_start").agg(F.count("*").alias("sales"))
+    best = cnt.filter(F.col("sales") >= min_sales).agg(F.min_by(F.col("week_start"), F.col("weeks_back")).alias("ws"))
+    ws = best.select("ws").scalar()
+    return daily.sparkSession.range(1).select(
+        F.coalesce(ws, F.date_sub(a, 20)).alias("val_start"),
+        F.coalesce(F.date_add(ws, 6), F.date_sub(a, 14)).alias("val_end"),
+        ws.isNull().alias("fallback"))
 
 
 # --------------------------------------------------------- predictions bookkeeping
@@ -553,11 +550,10 @@ def prediction_status(pred: DataFrame, daily: DataFrame, eval_date: str, toleran
 
 
 def status_shares(pred: DataFrame) -> DataFrame:
-    """Count and percent of all rows per status (total from a one-row aggregate)."""
+    """Count and percent of all rows per status (total as a scalar subquery)."""
+    total = pred.agg(F.count("*")).scalar()
     g = pred.groupBy("prediction_status").agg(F.count("*").alias("count"))
-    tot = pred.agg(F.count("*").alias("_t")).withColumn("_k", F.lit(1))
-    return (g.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k")
-            .select("prediction_status", "count", F.round(F.col("count") * 100.0 / F.col("_t"), 2).alias("percent")))
+    return g.select("prediction_status", "count", F.round(F.col("count") * 100.0 / total, 2).alias("percent"))
 
 
 def daily_accuracy(pred: DataFrame, date: str) -> DataFrame:

@@ -94,10 +94,10 @@ def a18_trim_prices(spark, sf_dir):
     v = Views(spark, sf_dir)
     s = _sales(v, trim=False)
     q = rc.exact_quantiles(s, "unit_price", [0.05, 0.95])
-    kept = rc.trim_prices(s).agg(F.count("*").alias("kept_rows"))
-    inp = s.agg(F.count("*").alias("input_rows"))
-    return (q.select(F.round("q0", 6).alias("q05"), F.round("q1", 6).alias("q95"), F.lit(1).alias("_k"))
-            .join(kept.withColumn("_k", F.lit(1)), "_k").join(inp.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    kept = rc.trim_prices(s).agg(F.count("*")).scalar()
+    inp = s.agg(F.count("*")).scalar()
+    return q.select(F.round("q0", 6).alias("q05"), F.round("q1", 6).alias("q95"), kept.alias("kept_rows"),
+                    inp.alias("input_rows"))
 
 
 @query("A17", osql("""
