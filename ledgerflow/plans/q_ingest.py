@@ -132,7 +132,20 @@ def src2_clean_stock(spark, sf_dir):
     return ig.clean_stock(stock_sheet(Views(spark, sf_dir)))
 
 
-@query("SRC6")
+def _src6_sql():
+    from ledgerflow.sources.ingest import CONTRACTS
+    parts = []
+    for src, kind in (("customers", "customer"), ("order_tx", "sales"), ("inventory", "inventory")):
+        req = "[" + ", ".join(f"'{c}'" for c in CONTRACTS[kind]) + "]"
+        parts.append(f"""SELECT '{src}' AS source, '{kind}' AS kind,
+       list_sort(list_filter({req}, lambda x: NOT list_contains(c.cols, x))) AS missing,
+       list_sort(list_filter(c.cols, lambda x: NOT list_contains({req}, x))) AS extra,
+       len(list_filter({req}, lambda x: NOT list_contains(c.cols, x))) = 0 AS ok
+FROM (SELECT list(column_name) AS cols FROM (DESCRIBE SELECT * FROM {src})) c""")
+    return osql("\nUNION ALL\n".join(parts))
+
+
+@query("SRC6", _src6_sql())
 def src6_check_columns(spark, sf_dir):
     """SRC6: the business views checked against the import column contracts."""
     v = Views(spark, sf_dir)
@@ -223,7 +236,26 @@ _PRED = """pr AS (SELECT customer_id, product_id, prediction_date, purchase_prob
            FROM preds{sfx} WHERE will_purchase_anything)"""
 
 
-@query("SNK5")
+def _snk5_sql():
+    from ledgerflow.plans.q_replenish import _m10_sql_sfx
+    ctes = _m10_sql_sfx("2024-01-20", "_o") + ",\n" + _m10_sql_sfx("2024-01-22", "_n") + """,
+old AS (SELECT customer_id, product_id, prediction_date, purchase_probability,
+               CASE WHEN prediction_date <= DATE '2024-01-22' THEN 'fulfilled' ELSE 'active' END AS prediction_status
+        FROM preds_o WHERE will_purchase_anything),
+new AS (SELECT customer_id, product_id, prediction_date, purchase_probability, 'active' AS prediction_status
+        FROM preds_n WHERE will_purchase_anything)"""
+    return osql("""
+SELECT COALESCE(o.customer_id, n.customer_id) AS customer_id, COALESCE(o.product_id, n.product_id) AS product_id,
+       CAST(COALESCE(o.prediction_date, n.prediction_date) AS VARCHAR) AS prediction_date,
+       CASE WHEN n.customer_id IS NOT NULL AND (o.customer_id IS NULL OR o.prediction_status = 'active')
+            THEN n.purchase_probability ELSE o.purchase_probability END AS purchase_probability,
+       CASE WHEN n.customer_id IS NOT NULL AND (o.customer_id IS NULL OR o.prediction_status = 'active')
+            THEN n.prediction_status ELSE o.prediction_status END AS prediction_status
+FROM old o FULL OUTER JOIN new n
+  ON o.customer_id = n.customer_id AND o.product_id = n.product_id AND o.prediction_date = n.prediction_date""", ctes=ctes)
+
+
+@query("SNK5", _snk5_sql())
 def snk5_upsert(spark, sf_dir):
     """SNK5: predictions of 2024-01-22 upserted into those of 2024-01-20 (only rows still
     active take new values)."""

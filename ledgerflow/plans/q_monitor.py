@@ -125,13 +125,13 @@ def c14_freshness(spark, sf_dir):
 _HIST = f"""hist AS (SELECT CASE user_id % 5 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TABLES))} END AS job_id,
                   CAST(ts AS TIMESTAMP) + INTERVAL 2 DAY AS ts,
                   CASE WHEN user_id % 2 = 0 THEN 'warning' ELSE 'critical' END AS status
-           FROM events WHERE event_type = 'error' AND event_id % 97 = 0)"""
+           FROM events WHERE event_type = 'error' AND value >= 470)"""
 
 
 def _history(v):
     ev = v.raw("events")
     job = F.element_at(F.array(*[F.lit(t) for t in _TABLES]), (F.col("user_id") % 5 + 1).cast("int"))
-    return ev.filter((F.col("event_type") == "error") & (F.col("event_id") % 97 == 0)).select(
+    return ev.filter((F.col("event_type") == "error") & (F.col("value") >= 470)).select(
         job.alias("job_id"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("ts"),
         F.when(F.col("user_id") % 2 == 0, F.lit("warning")).otherwise(F.lit("critical")).alias("status"))
 
@@ -153,7 +153,7 @@ def w12_alerts(spark, sf_dir):
     return mo.alerts(health, _history(v), FRESH_NOW)
 
 
-_API = r"""lines AS (SELECT CASE WHEN event_id % 17 = 0 THEN 'garbage line' ELSE
+_API = r"""lines AS (SELECT CASE WHEN value < 5 THEN 'garbage line' ELSE
    '[API] ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0')
    || ' - api_calls - INFO - 模型=model-' || CAST(user_id % 3 AS VARCHAR) || ' | 操作=' || event_type
    || ' | 輸入=' || CAST(user_id * 7 + 10 AS VARCHAR) || 'tokens | 輸出=' || CAST(CAST(round(value * 10) AS BIGINT) AS VARCHAR)

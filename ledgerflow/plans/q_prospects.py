@@ -114,12 +114,26 @@ def _recs_for_target(v):
     return r.filter(F.col("product_id") == TARGET)
 
 
-@query("C11")
+def _c11_sql():
+    from ledgerflow.plans.q_recommend import REC_CTES
+    return osql("""
+SELECT prospect_key, customer_id, customer_name, CAST(latest_date AS VARCHAR) AS latest_date, hit_count, texts, prospect_class
+FROM cons
+UNION ALL
+SELECT CAST(r.customer_id AS VARCHAR), r.customer_id, c.customer_name, NULL, 0, NULL, 'potential'
+FROM (SELECT DISTINCT customer_id FROM recc WHERE product_id = 7 AND rank BETWEEN 1 AND 7) r
+LEFT JOIN customers c ON r.customer_id = c.customer_id
+WHERE r.customer_id NOT IN (SELECT customer_id FROM cons WHERE customer_id IS NOT NULL)""",
+                ctes=_MATCH.strip().rstrip(",") + ",\n" + REC_CTES.strip())
+
+
+@query("C11", _c11_sql())
 def c11_add_recommended(spark, sf_dir):
     """C11: consolidated prospects plus recommended customers of product 7 as potential."""
     v = Views(spark, sf_dir)
     cons = pr.consolidate(_classified(v))
-    return pr.add_recommended(cons, _recs_for_target(v), v.customers)
+    return pr.add_recommended(cons, _recs_for_target(v), v.customers).select(
+        "prospect_key", "customer_id", "customer_name", "latest_date", "hit_count", "texts", "prospect_class")
 
 
 @query("C12", osql("""

@@ -208,7 +208,13 @@ def m28_enrich_stats(spark, sf_dir):
     return rc.enrich_recs(recs, v.product_master, v.order_tx())[1]
 
 
-@query("M28_rows")
+@query("M28_rows", osql("""
+SELECT r.customer_id, r.product_id AS recommended_product_id, r.rank, round(r.base_similarity, 4) AS similarity_score,
+       round(r.price_match, 4) AS price_match_score, round(r.final_score, 4) AS final_score, r.subcategory,
+       a.category, a.specification, a.process_type, round(p.product_price, 6) AS avg_price
+FROM recp r LEFT JOIN ap a ON r.product_id = a.product_id
+LEFT JOIN (SELECT product_id, AVG(unit_price) AS product_price FROM sales GROUP BY 1) p ON r.product_id = p.product_id""",
+    ctes=REC_CTES))
 def m28_enrich_rows(spark, sf_dir):
     """Recommendations with product attributes and average price."""
     v = Views(spark, sf_dir)
