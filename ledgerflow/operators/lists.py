@@ -25,8 +25,9 @@ def group_orders(orders: DataFrame, k: int = 5) -> DataFrame:
     key = F.coalesce(blank_to_null(F.col("customer_name")), blank_to_null(F.col("line_id")), F.lit("unknown"))
     o = orders.withColumn("group_key", key)
     cnt = o.groupBy("group_key").agg(F.count("*").alias("orders"), F.count_if(F.col("status") == "0").alias("open_orders"))
-    w = Window.partitionBy("group_key").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    top = o.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    from ledgerflow.operators.catalog import top_k_per
+    top = top_k_per(o.select("group_key", "created_at", "id"), ["group_key"],
+                    [F.col("created_at").desc(), F.col("id").desc()], k, "_r")
     ids = top.groupBy("group_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))),
                                                    lambda x: x["id"]).alias("newest_order_ids"))
     return cnt.join(ids, "group_key")
@@ -40,6 +41,6 @@ def hierarchy(pm: DataFrame) -> DataFrame:
 
 def dedup_best(pred: DataFrame, order_tie: str = "src") -> DataFrame:
     """One row per (customer, product, day): the highest probability wins."""
-    w = Window.partitionBy("customer_id", "product_id", "prediction_date").orderBy(
-        F.col("purchase_probability").desc(), F.col(order_tie).asc())
-    return pred.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    from ledgerflow.operators.catalog import distinct_on
+    return distinct_on(pred, ["customer_id", "product_id", "prediction_date"],
+                       [F.col("purchase_probability").desc(), F.col(order_tie).asc()])

@@ -108,9 +108,9 @@ def consolidate(classified: DataFrame, name_col: str = "file_customer_name") ->
         F.min_by(F.col(name_col), order).alias("customer_name"),
         F.max("message_date").alias("latest_date"),
         F.count("*").alias("hit_count"))
+    from ledgerflow.operators.catalog import top_k_per
     texts = c.groupBy("prospect_key", "content").agg(F.min(order).alias("_o"))
-    w = Window.partitionBy("prospect_key").orderBy("_o", "content")
-    first = texts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= TEXTS_KEPT)
+    first = top_k_per(texts, ["prospect_key"], [F.col("_o"), F.col("content")], TEXTS_KEPT, "_r")
     joined = first.groupBy("prospect_key").agg(
         F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "content"))),
                                              lambda x: x["content"]), " | "), 1, TEXT_LIMIT).alias("texts"))
@@ -167,9 +167,9 @@ def top_customers_per_class(classified: DataFrame, k_by_class: dict[str, int]) -
     """The top customers by hits within each class (k per class), ties by key."""
     g = classified.filter(F.col("customer_id").isNotNull()).groupBy("prospect_class", "customer_id").agg(
         F.count("*").alias("hits"))
-    w = Window.partitionBy("prospect_class").orderBy(F.col("hits").desc(), F.col("customer_id"))
+    from ledgerflow.operators.catalog import top_k_per
     kmap = F.create_map(*[F.lit(x) for kv in k_by_class.items() for x in kv])
-    r = g.withColumn("rank", F.row_number().over(w))
+    r = top_k_per(g, ["prospect_class"], [F.col("hits").desc(), F.col("customer_id")], max([10, *k_by_class.values()]))
     return r.filter(F.col("rank") <= F.coalesce(F.element_at(kmap, F.col("prospect_class")), F.lit(10)))
 
 

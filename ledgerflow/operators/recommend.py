@@ -211,30 +211,44 @@ def _scored_candidates(sales: DataFrame, pm: DataFrame) -> DataFrame:
     return out.withColumn("rank_score", F.round("final_score", 10))
 
 
-def recommend_products(tx: DataFrame, pm: DataFrame, k: int = 7, trim: bool = True) -> DataFrame:
-    """M26 (+ W9): per customer the best product of each unbought subcategory, then the top
-    k of those by final score (ties by product id), with rank and rounded scores."""
+def scoring_sales(tx: DataFrame, pm: DataFrame, trim: bool = True) -> DataFrame:
+    """The priced, trimmed sales every scoring branch reads, written once to the shared
+    checkpoint folder (``checkpoint()``): the ~10 branches of the scoring plan read it
+    instead of re-running the scan, join and quantile cut, and a lost executor re-reads
+    the checkpoint instead of the whole lineage."""
+    from ledgerflow.session import checkpoint_dir
+
+    checkpoint_dir(tx.sparkSession)
     sales = priced_sales(tx, pm)
     sales = trim_prices(sales) if trim else sales
+    cols = ["customer_id", "product_id", "category", "subcategory", "specification", "process_type", "unit_price"]
+    return sales.select(*cols).checkpoint(eager=True)
+
+
+def recommend_products(tx: DataFrame, pm: DataFrame, k: int = 7, trim: bool = True,
+                       sales: DataFrame | None = None) -> DataFrame:
+    """M26 (+ W9): per customer the best product of each unbought subcategory, then the top
+    k of those by final score (ties by product id), with rank and rounded scores."""
+    sales = scoring_sales(tx, pm, trim) if sales is None else sales
     s = _scored_candidates(sales, pm).filter(F.col("final_score") > 0)
-    w1 = Window.partitionBy("customer_id", "subcategory").orderBy(F.col("rank_score").desc(), F.col("product_id"))
-    best = s.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == 1).drop("_r")
-    w2 = Window.partitionBy("customer_id").orderBy(F.col("rank_score").desc(), F.col("product_id"))
-    top = best.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+    from ledgerflow.operators.catalog import top_k_per
+    order = [F.col("rank_score").desc(), F.col("product_id")]
+    best = top_k_per(s, ["customer_id", "subcategory"], order, 1, "_r").drop("_r")
+    top = top_k_per(best, ["customer_id"], order, k)
     return top.select("customer_id", F.col("product_id").alias("recommended_product_id"), "rank",
                       F.round("base_similarity", 4).alias("similarity_score"),
                       F.round("price_match", 4).alias("price_match_score"),
                       F.round("final_score", 4).alias("final_score"), "subcategory")
 
 
-def recommend_customers(tx: DataFrame, pm: DataFrame, k: int = 7, trim: bool = True) -> DataFrame:
+def recommend_customers(tx: DataFrame, pm: DataFrame, k: int = 7, trim: bool = True,
+                        sales: DataFrame | None = None) -> DataFrame:
     """Per product the top k customers who bought neither it nor its subcategory, by
     the same score (ties by customer id)."""
-    sales = priced_sales(tx, pm)
-    sales = trim_prices(sales) if trim else sales
+    sales = scoring_sales(tx, pm, trim) if sales is None else sales
     s = _scored_candidates(sales, pm).filter(F.col("final_score") > 0)
-    w = Window.partitionBy("product_id").orderBy(F.col("rank_score").desc(), F.col("customer_id"))
-    top = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    from ledgerflow.operators.catalog import top_k_per
+    top = top_k_per(s, ["product_id"], [F.col("rank_score").desc(), F.col("customer_id")], k)
     return top.select("product_id", F.col("customer_id").alias("recommended_customer_id"), "rank",
                       F.round("base_similarity", 4).alias("similarity_score"),
                       F.round("price_match", 4).alias("price_match_score"),

@@ -139,9 +139,9 @@ def order_rate_by_weekday(tx: DataFrame, customers: DataFrame) -> DataFrame:
 
 def top_products(tx: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent products per customer (ties by product id)."""
+    from ledgerflow.operators.catalog import top_k_per
     g = tx.groupBy("customer_id", "product_id").agg(F.count("*").alias("frequency"))
-    w = Window.partitionBy("customer_id").orderBy(F.col("frequency").desc(), F.col("product_id").asc())
-    return g.withColumn("product_rank", F.row_number().over(w)).filter(F.col("product_rank") <= k)
+    return top_k_per(g, ["customer_id"], [F.col("frequency").desc(), F.col("product_id").asc()], k, "product_rank")
 
 
 def predict_orders(tx: DataFrame, as_of: str, days: int = 7, history_days: int = 180) -> DataFrame:

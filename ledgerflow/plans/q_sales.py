@@ -145,11 +145,10 @@ def a7_purchase_history(spark, sf_dir):
 
 def _top_buyers(v):
     """Long (product_id, rank, customer_id): customers by bought quantity per product."""
-    from pyspark.sql import Window
+    from ledgerflow.operators.catalog import top_k_per
     t = v.order_tx().filter(F.col("document_type") == SALE)
     g = t.groupBy("product_id", "customer_id").agg(F.sum("quantity").alias("q"))
-    w = Window.partitionBy("product_id").orderBy(F.col("q").desc(), F.col("customer_id").asc())
-    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 3)
+    return top_k_per(g, ["product_id"], [F.col("q").desc(), F.col("customer_id").asc()], 3)
 
 
 _TOP_BUYERS_SQL = f"""
