@@ -25,8 +25,8 @@ def read_chats_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC3 (files): every chat CSV under ``path`` → one row per line with file name and
     1-based line number; fields parsed by ``from_csv`` (sender type, sender name, date,
     time, content).  Each file is one conversation, read whole (small, bounded)."""
-    raw = (spark.read.option("wholetext", True).text(path)
-           .select(F.col("value"), F.col("_metadata.file_name").alias("file_name"),
+    raw = (spark.read.text(path, wholetext=True)
+           .select(F.col("value"), F.url_decode(F.col("_metadata.file_name")).alias("file_name"),
                    F.col("_metadata.file_modification_time").alias("file_time")))
     lines = raw.select("file_name", "file_time",
                        F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("pos", "line"))
