@@ -45,34 +45,30 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: in
 
     Distinct values are counted (partial aggregation), range-partitioned, prefix-summed
     within each partition and offset by the totals of the earlier partitions (one row per
-    partition), so no task ever holds more than one range partition of distinct values."""
+    partition, which also carries the overall count), so no task ever holds more than one
+    range partition of distinct values and no scalar subquery is repeated in the plan."""
     g = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = g.repartitionByRange(n_parts, "v").withColumn("pid", F.spark_partition_id())
     tot = r.groupBy("pid").agg(F.sum("c").alias("pc"))
-    off = tot.withColumn("off", F.coalesce(F.sum("pc").over(
-        Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("pid", "off")
+    every = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    off = tot.select("pid", F.coalesce(F.sum("pc").over(Window.orderBy("pid").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), F.sum("pc").over(every).alias("n"))
     cum = r.withColumn("cin", F.sum("c").over(Window.partitionBy("pid").orderBy("v")
                                               .rowsBetween(Window.unboundedPreceding, 0)))
     cum = cum.join(F.broadcast(off), "pid").withColumn("hi", F.col("off") + F.col("cin")).withColumn(
         "lo", F.col("hi") - F.col("c"))                       # value v holds 0-based ranks [lo, hi)
-    n = df.filter(F.col(col).isNotNull()).agg(F.count("*")).scalar()
-    covers = []
-    for q in qs:
-        h = (n - 1) * F.lit(float(q))
+    sel, outs = [], []
+    for i, q in enumerate(qs):
+        h = (F.col("n") - 1) * F.lit(float(q))
         k1 = F.floor(h)
-        covers.append((h, k1, k1 + 1))
-    sel = []
-    for i, (h, k1, k2) in enumerate(covers):
-        sel.append(F.max(F.when((F.col("lo") <= k1) & (F.col("hi") > k1), F.col("v"))).alias(f"x1_{i}"))
-        sel.append(F.max(F.when((F.col("lo") <= k2) & (F.col("hi") > k2), F.col("v"))).alias(f"x2_{i}"))
-    vals = cum.agg(*sel)
-    outs = []
-    for i, (h, k1, _k2) in enumerate(covers):
+        k2 = k1 + 1
+        sel += [F.max(F.when((F.col("lo") <= k1) & (F.col("hi") > k1), F.col("v"))).alias(f"x1_{i}"),
+                F.max(F.when((F.col("lo") <= k2) & (F.col("hi") > k2), F.col("v"))).alias(f"x2_{i}"),
+                F.max(h).alias(f"h_{i}")]
         x1, x2 = F.col(f"x1_{i}"), F.coalesce(F.col(f"x2_{i}"), F.col(f"x1_{i}"))
-        outs.append((x1 + (x2 - x1) * (h - k1)).alias(f"q{i}"))
-    out = vals.select(*outs)
-    return out
+        outs.append((x1 + (x2 - x1) * (F.col(f"h_{i}") - F.floor(F.col(f"h_{i}")))).alias(f"q{i}"))
+    return cum.agg(*sel).select(*outs)
 
 
 # --------------------------------------------------------------------- price data
@@ -94,10 +90,11 @@ def active_products(pm: DataFrame) -> DataFrame:
 
 
 def trim_prices(sales: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """Keep rows with unit price inside the global [5 %, 95 %] quantiles (inclusive);
-    the two bounds are one scalar subquery."""
-    q = exact_quantiles(sales, "unit_price", [lo, hi]).select(F.struct("q0", "q1").alias("b")).scalar()
-    return sales.filter((F.col("unit_price") >= q["q0"]) & (F.col("unit_price") <= q["q1"]))
+    """Keep rows with unit price inside the global [5 %, 95 %] quantiles (inclusive).
+    The bounds are one row, broadcast; the sales stay where they are."""
+    q = exact_quantiles(sales, "unit_price", [lo, hi]).select(F.col("q0").alias("_lo"), F.col("q1").alias("_hi"))
+    j = sales.join(F.broadcast(q), (F.col("unit_price") >= F.col("_lo")) & (F.col("unit_price") <= F.col("_hi")))
+    return j.drop("_lo", "_hi")
 
 
 def category_price_stats(sales: DataFrame) -> DataFrame:
@@ -216,8 +213,11 @@ def scoring_sales(tx: DataFrame, pm: DataFrame, trim: bool = True) -> DataFrame:
     checkpoint folder (``checkpoint()``): the ~10 branches of the scoring plan read it
     instead of re-running the scan, join and quantile cut, and a lost executor re-reads
     the checkpoint instead of the whole lineage."""
+    import gc
+
     from ledgerflow.session import checkpoint_dir
 
+    gc.collect()   # drop cyclic driver-side garbage that still pins plans of earlier jobs before a heavy one
     checkpoint_dir(tx.sparkSession)
     sales = priced_sales(tx, pm)
     sales = trim_prices(sales) if trim else sales

@@ -83,8 +83,9 @@ recc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORD
 
 
 def _sales(v, trim=True):
-    s = rc.priced_sales(v.order_tx(), v.product_master)
-    return rc.trim_prices(s) if trim else s
+    if trim:
+        return rc.scoring_sales(v.order_tx(), v.product_master)
+    return rc.priced_sales(v.order_tx(), v.product_master)
 
 
 @query("A18", osql("SELECT round(lo, 6) AS q05, round(hi, 6) AS q95, (SELECT COUNT(*) FROM ts) AS kept_rows, "
