@@ -168,41 +168,54 @@ def _scored_candidates(sales: DataFrame, pm: DataFrame) -> DataFrame:
     """Every (customer, candidate product) with its mean similarity to the customer's
     bought products, price match and final score.  Candidates: unbought active products
     sharing category, specification or process type with the bought set, whose
-    subcategory the customer has not bought ('unknown' never blocks)."""
+    subcategory the customer has not bought ('unknown' never blocks).
+
+    Plan shape: the per-(customer, category) counts and price profile generate the
+    in-category candidates with everything they need in one join; spec / process matches
+    add candidates of other categories; the two count joins, the bought-price join and
+    one (customer, product) aggregate finish the score."""
+    c, p = "customer_id", "product_id"
     products = active_products(pm)
     prices = product_prices(sales)
-    cat = category_price_stats(sales)
-    profiles = price_profiles(sales, cat)
-    bought = sales.select("customer_id", "product_id").distinct().join(products, "product_id")
-    nb = bought.groupBy("customer_id").agg(F.count("*").alias("n_bought"))
-    counts = {c: bought.groupBy("customer_id", c).agg(F.count("*").alias(f"n_{c}"))
-              for c in ("category", "subcategory", "specification", "process_type")}
-    cand = None
-    for c in ("category", "specification", "process_type"):
-        x = counts[c].select("customer_id", c).join(products.select("product_id", c), c).select("customer_id",
-                                                                                                 "product_id")
-        cand = x if cand is None else cand.unionByName(x)
-    cand = cand.distinct()
-    cand = cand.join(bought.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
-    bsub = bought.filter(F.col("subcategory") != UNKNOWN).select("customer_id", "subcategory").distinct()
-    cand = cand.join(products, "product_id")
-    cand = cand.join(bsub, ["customer_id", "subcategory"], "left_anti")
-    for c in ("category", "subcategory", "specification", "process_type"):
-        cand = cand.join(counts[c], ["customer_id", c], "left")
-    # price term: candidate × bought products of the same category, equal prices merged
-    bp = (bought.join(prices, "product_id", "left").groupBy("customer_id", "category", "product_price")
-          .agg(F.count("*").alias("m")).withColumnRenamed("product_price", "bought_price"))
-    cp = cand.select("customer_id", "product_id", "category").join(prices, "product_id", "left")
-    ps = (cp.join(bp, ["customer_id", "category"]).join(cat.select("category", "cat_std"), "category", "left")
-          .groupBy("customer_id", "product_id").agg(
-              F.sum(F.col("m") * _gauss(F.col("product_price"), F.col("bought_price"), F.col("cat_std"))).alias("ps")))
-    cand = cand.join(ps, ["customer_id", "product_id"], "left").join(nb, "customer_id")
+    cat = category_price_stats(sales).select("category", "cat_std")
+    pinfo = products.join(prices, p, "left")
+    bought = sales.select(c, p).distinct().join(products, p)
+    nb = bought.groupBy(c).agg(F.count("*").alias("n_bought"),
+                               F.count_if(F.col("subcategory") == UNKNOWN).alias("n_unknown"))
+    ncat = bought.groupBy(c, "category").agg(F.count("*").alias("n_category"))
+    prof = (sales.groupBy(c, "category").agg(F.avg("unit_price").alias("avg_price"), F.count("*").alias("_pc"))
+            .filter(F.col("_pc") >= 2).drop("_pc"))
+    cc = ncat.join(prof, [c, "category"], "left")
+    nspec = bought.groupBy(c, "specification").agg(F.count("*").alias("n_specification"))
+    nproc = bought.groupBy(c, "process_type").agg(F.count("*").alias("n_process_type"))
+    attrs = ["category", "subcategory", "specification", "process_type", "product_price"]
+    in_cat = cc.join(pinfo, "category").select(c, p, *attrs, "n_category", "avg_price")
+    other = (nspec.select(c, "specification").join(pinfo, "specification").select(c, p, *attrs)
+             .unionByName(nproc.select(c, "process_type").join(pinfo, "process_type").select(c, p, *attrs))
+             .join(ncat.select(c, "category"), [c, "category"], "left_anti").dropDuplicates([c, p])
+             .withColumn("n_category", F.lit(0).cast("long")).withColumn("avg_price", F.lit(None).cast("double")))
+    cand = in_cat.unionByName(other.select(*in_cat.columns))
+    cand = cand.join(bought.select(c, p), [c, p], "left_anti")
+    bsub = bought.filter(F.col("subcategory") != UNKNOWN).select(c, "subcategory").distinct()
+    cand = (cand.join(bsub, [c, "subcategory"], "left_anti")
+            .join(nspec, [c, "specification"], "left").join(nproc, [c, "process_type"], "left")
+            .join(nb, c).join(F.broadcast(cat), "category", "left"))
+    # price term: each candidate × the bought prices of its category (equal prices merged)
+    bp = (bought.join(prices, p, "left").groupBy(c, "category", F.col("product_price").alias("bought_price"))
+          .agg(F.count("*").alias("m")))
+    x = cand.join(bp, [c, "category"], "left")
+    term = F.when(F.col("m").isNotNull(),
+                  F.col("m") * _gauss(F.col("product_price"), F.col("bought_price"), F.col("cat_std")))
+    keep = ["subcategory", "n_category", "n_specification", "n_process_type", "n_bought", "n_unknown",
+            "product_price", "avg_price", "cat_std"]
+    g = x.groupBy(c, p).agg(*[F.max(k).alias(k) for k in keep], F.sum(term).alias("ps"))
     z = F.lit(0)
-    base = (F.coalesce("n_category", z) + F.coalesce("n_subcategory", z) + F.coalesce("n_specification", z)
+    n_sub = F.when(F.col("subcategory") == UNKNOWN, F.col("n_unknown")).otherwise(z)
+    base = (F.coalesce("n_category", z) + n_sub + F.coalesce("n_specification", z)
             + F.coalesce("n_process_type", z) + F.coalesce("ps", F.lit(0.0))) / (5.0 * F.col("n_bought"))
-    pmatch = price_match(cand.select("customer_id", "product_id"), products, prices, profiles, cat)
-    out = cand.select("customer_id", "product_id", "subcategory", base.alias("base_similarity")).join(
-        pmatch, ["customer_id", "product_id"])
+    pmatch = F.when(F.col("product_price").isNull() | F.col("avg_price").isNull(), F.lit(0.5)).otherwise(
+        _gauss(F.col("product_price"), F.col("avg_price"), F.col("cat_std")))
+    out = g.select(c, p, "subcategory", base.alias("base_similarity"), pmatch.alias("price_match"))
     out = out.withColumn("final_score", F.col("base_similarity") * F.col("price_match"))
     # rank on a rounded score so that last-bit differences of float sums cannot reorder
     return out.withColumn("rank_score", F.round("final_score", 10))
