@@ -57,19 +57,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster, set up locally only when unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder of the cluster.
+
+    The folder is the one the session names (``spark.checkpoint.dir`` or an earlier
+    ``setCheckpointDir``).  A scratch folder is made only for a local master, where driver
+    and executors are one process; anywhere else a missing setting is an error, because a
+    folder of the driver's own machine would not be seen by the executors.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="ledgerflow-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - some sessions reject setting core confs at runtime
-            pass
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 def sub_checkpoint(spark: SparkSession, name: str) -> str:
