@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerflow.llm import tokens
-from ledgerflow.llm.common import bitmap, cut, may_hold, shuffle_parts, table
+from ledgerflow.llm.common import bitmap, cut, may_hold, ship, shuffle_parts, table
 from ledgerflow.llm.graph import components
 
 BANDS, ROWS = 24, 4
@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 
     Texts are linked if 100 * intersection >= percent * union of their shingle sets.
     """
-    texts = docs.select("doc_id", F.col("text"))
+    ship(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(texts.mapInArrow(_sign(n, bands, rows), "doc_id long, n_shingles long, fp binary, bands array<long>"))
     classes = sig.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"))
     keys = classes.select("fp", F.explode("bands").alias("key"))
