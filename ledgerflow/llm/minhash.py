@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerflow.llm import tokens
-from ledgerflow.llm.common import bitmap, cut, may_hold, ship, shuffle_parts, table
+from ledgerflow.llm.common import bitmap, cut, may_hold, ship, shuffle_parts, table, text_of
 from ledgerflow.llm.graph import components
 
 BANDS, ROWS = 24, 4
@@ -103,9 +103,9 @@ def _sign(n: int, bands: int, rows: int):
                 keys = iter(band_keys(signatures([sets[i] for i in full], bands * rows), bands, rows)) if full else iter(())
                 some = [next(keys) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(some, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "bands"])
+                    pa.array(some, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "fp", "bands"])
     return run
 
 
@@ -197,13 +197,13 @@ def _verify(percent: int):
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row; ``fp`` is the digest of the row's set.
+    """doc_id, n_shingles, component_id, kept, text_key per row; ``text_key`` is a hash of the text.
 
     Texts are linked if 100 * intersection >= percent * union of their shingle sets.
     """
     ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = cut(texts.mapInArrow(_sign(n, bands, rows), "doc_id long, n_shingles long, fp binary, bands array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("text_key"))
+    sig = cut(texts.mapInArrow(_sign(n, bands, rows), "doc_id long, text_key long, n_shingles long, fp binary, bands array<long>"))
     classes = sig.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"))
     keys = classes.select("fp", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
@@ -230,10 +230,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     by_class = by_class.join(least, "root").select(F.col("fp").alias("key"), "component")
     # rows without shingles get a key of their own, so that they spread over the tasks
     alone = F.encode(F.concat(F.lit("alone "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "utf-8")
-    out = sig.select("doc_id", "n_shingles", "fp", F.coalesce("fp", alone).alias("key")).join(by_class, "key", "left")
+    out = sig.select("doc_id", "text_key", "n_shingles", "fp", F.coalesce("fp", alone).alias("key")).join(by_class, "key", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), "fp")
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
+
+
+def _text_key():
+    return F.xxhash64(text_of())
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, one text of each group, with their columns as they were."""
+    gone = near_duplicates(docs, n, percent).filter("not kept").select(
+        F.xxhash64("doc_id", "text_key").alias("_gone"), F.col("doc_id").alias("_id")).distinct()
+    gone = cut(gone)
+    own = F.xxhash64(F.col("doc_id").cast("long"), _text_key())
+    maybe = may_hold(bitmap(gone, "_gone"), own)
+    packed = docs.filter(maybe).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), own.alias("own"))
+    left = packed.join(gone, (F.col("own") == F.col("_gone")) & F.col("r.doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.filter(~maybe).unionByName(left.select("r.*"))
 
 
 def op5_minhash(spark, sf_dir):
