@@ -97,6 +97,17 @@ def may_hold(bits_row: DataFrame, key: Column, bits: int = BITMAP_BITS) -> Colum
     return F.call_function("shiftright", word, (b % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join to a grouped ``right`` whose keys may be very frequent in ``left``.
+
+    A grouped table already lies by its keys, and a join that relies on that cannot split a
+    large partition of ``left``.  The join key of its own makes Spark shuffle both sides
+    for the join, and then AQE splits what is skewed.
+    """
+    both = [df.withColumn("_join", F.xxhash64(*on)) for df in (left, right)]
+    return both[0].join(both[1], ["_join", *on], how).drop("_join")
+
+
 def ordered_prefix(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
     """Exclusive running sums over ``order`` within ``group``, without one task per group.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerflow.llm.common import bitmap, lower_ascii, may_hold, text_of
+from ledgerflow.llm.common import bitmap, lower_ascii, may_hold, spread_join, text_of
 
 PREFIX_CHARS = 64
 
@@ -51,7 +51,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = F.concat(F.lit("alone "), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.when(twin, full_hash(text_col)).otherwise(alone).alias("h"),
                        F.struct(F.lit(0).alias("_"), *[c.alias(k) for k, c in (carry or {}).items()]).alias("carried"))
-    out = rows.join(groups, "h", "left")
+    out = spread_join(rows, groups, ["h"], "left")
     found = F.col("group_size").isNotNull()
     return out.select(
         "doc_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerflow.llm.common import cut
+from ledgerflow.llm.common import cut, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,9 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = spread_join(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = spread_join(large, lower, ["a"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark:

@@ -41,6 +41,7 @@ FREQUENT = 1 << 19
 PAIR_WEIGHT = 0.7
 ADD = 0.1
 FLUSH = 1 << 21  # distinct n-grams that a task gathers before it hands them on
+SLICE = 1 << 21  # larger slices repeat fewer n-grams
 END = np.uint64(tokens.hash_word(b"\x00end of text"))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -111,7 +112,7 @@ def _count(shards: int):
 
         for batch in batches:
             raw, offsets = tokens.buffers(batch.column("text"))
-            for _, _, data, offs in tokens.slices(raw, offsets):
+            for _, _, data, offs in tokens.slices(raw, offsets, SLICE):
                 words, context, _ = sequences(data, offs)
                 for pairs, grams in ((False, words), (True, pair_hash(context, words))):
                     h, c = np.unique(grams, return_counts=True)
@@ -262,7 +263,7 @@ def _score(model, total: int, distinct: int, shards: int, light: int):
         for batch in batches:
             raw, offsets = tokens.buffers(batch.column("text"))
             id_type = batch.schema.field("doc_id").type
-            for a, b, data, offs in tokens.slices(raw, offsets):
+            for a, b, data, offs in tokens.slices(raw, offsets, SLICE):
                 words, context, at = sequences(data, offs)
                 n = b - a
                 row = np.repeat(np.arange(n), np.diff(at))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerflow.llm import tokens
-from ledgerflow.llm.common import bitmap, cut, may_hold, ship, shuffle_parts, table, text_of
+from ledgerflow.llm.common import bitmap, cut, may_hold, ship, shuffle_parts, spread_join, table, text_of
 from ledgerflow.llm.graph import components
 
 BANDS, ROWS = 24, 4
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     classes = sig.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"))
     keys = classes.select("fp", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    clusters = components(keys.join(buckets, "key").select(F.col("fp").alias("a"), "b"))
+    clusters = components(spread_join(keys, buckets, ["key"]).select(F.col("fp").alias("a"), "b"))
     clusters = cut(clusters.withColumnRenamed("node", "fp").withColumnRenamed("root", "cluster"))
 
     # one text per class; the bitmap keeps other texts out of the shuffle
@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     by_class = by_class.join(least, "root").select(F.col("fp").alias("key"), "component")
     # rows without shingles get a key of their own, so that they spread over the tasks
     alone = F.encode(F.concat(F.lit("alone "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "utf-8")
-    out = sig.select("doc_id", "text_key", "n_shingles", "fp", F.coalesce("fp", alone).alias("key")).join(by_class, "key", "left")
+    out = sig.select("doc_id", "text_key", "n_shingles", "fp", F.coalesce("fp", alone).alias("key"))
+    out = spread_join(out, by_class, ["key"], "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")

@@ -78,12 +78,12 @@ def statistics(w: Words) -> dict[str, np.ndarray]:
     again = np.zeros(len(w.hashes), bool)
     again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (w.row[1:] == w.row[:-1])
     last = raw[w.starts + length - 1] if len(length) else np.zeros(0, np.uint8)
-    pairs = np.unique(np.stack([w.row.astype(np.uint64), w.hashes]), axis=1)[0] if len(w.hashes) else np.zeros(0, np.uint64)
+    _, once = np.unique(tokens.mix(w.hashes + w.row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
     bytes_of = np.maximum(w.per_row(length), 1)
     letters_of = np.maximum(w.per_row(letters), 1)
     ends = np.isin(last, [ord(c) for c in ".!?:;"])
     return {
-        "n": n, "repeats": w.per_row(again) / safe, "variety": np.bincount(pairs.astype(np.int64), minlength=w.rows) / safe,
+        "n": n, "repeats": w.per_row(again) / safe, "variety": np.bincount(w.row[once], minlength=w.rows) / safe,
         "capitals": w.per_row(w.sums(_CLASS[raw] == 2)) / letters_of, "symbols": w.per_row(w.sums(_SYMBOL[raw])) / bytes_of,
         "bare_marks": w.per_row(solid == 0) / safe, "sentence_ends": w.per_row(ends) / safe,
         "marked_ends": w.per_row(_SYMBOL[last]) / safe, "shouting": w.per_row(last == ord("!")) / safe}

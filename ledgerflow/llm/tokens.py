@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21  # bytes worked on at once; a longer document is a slice of its own
+SLICE = 1 << 19  # bytes worked on at once; a longer document is a slice of its own
 
 _codes = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _codes[ord("A"):ord("Z") + 1] = _codes[ord("a"):ord("z") + 1]
