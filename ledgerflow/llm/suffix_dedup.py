@@ -36,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerflow.llm import tokens
-from ledgerflow.llm.common import bitmap, cut, may_hold, ship, shuffle_parts, table, text_of
+from ledgerflow.llm.common import bitmap, cut, may_hold, ship, shuffle_parts, spread_join, table, text_of
 
 LENGTH, GRAM = 200, 64
-PIECE = 1 << 23
+SLICE, PIECE = 1 << 18, 1 << 23
 BITS = 1 << 25
 SHALLOW = 4  # words
-GROUP = 4096
+GROUP = 512
 MOST_SPLIT = 100_000
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 _codes = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LOW = np.uint64((1 << 24) - 1)
@@ -105,7 +105,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dic
 def pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(batch row per row, start of the piece in its text, bytes, offsets): long texts in overlapping pieces."""
     raw, offsets = tokens.buffers(batch.column("text"))
-    for a, b, data, offs in tokens.slices(raw, offsets):
+    for a, b, data, offs in tokens.slices(raw, offsets, SLICE):
         if len(data) <= PIECE:
             yield np.arange(a, b), np.zeros(b - a, np.int64), data, offs
             continue
@@ -351,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ranges = whole.union(inside).union(across).groupBy("h", "f1", "f2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
     # back to the places: window starts a..b-1 of a block cover the bytes a..b-1+length
-    hits = places.join(ranges, ["h", "f1", "f2"]).select("k1", "k2", "first", "windows", F.explode("ranges").alias("r"))
+    hits = spread_join(places, ranges, ["h", "f1", "f2"]).select("k1", "k2", "first", "windows", F.explode("ranges").alias("r"))
     start = F.col("first") + F.col("r.a")
     end = F.col("first") + F.least(F.col("r.b"), F.col("windows")) - 1 + length
     spans = cut(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct(start.alias("s"), end.alias("e"))).alias("spans")))
