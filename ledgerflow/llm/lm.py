@@ -250,7 +250,7 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[n
     return found, np.where(found, values[at], 0)
 
 
-ROW = "shard int, kind int, uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, hashes binary, counts binary, width int, rows binary"
+ROW = "shard int, kind int, slice long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, hashes binary, counts binary, width int, rows binary"
 
 
 def _score(model, total: int, distinct: int, shards: int, light: int):
@@ -282,7 +282,7 @@ def _score(model, total: int, distinct: int, shards: int, light: int):
                 known = found[back]
                 base = np.bincount(row[known], np.log10((exact[back[known]] + ADD) / scale), n)
                 seen = np.bincount(row[known], minlength=n)
-                yield _rows(id_type, [-1] * n, [0] * n, list(range(uid, uid + n)), batch.column("doc_id").slice(a, n),
+                yield _rows(id_type, [-1] * n, [0] * n, [uid] * n, range(n), batch.column("doc_id").slice(a, n),
                             batch.column("held_out").slice(a, n), np.diff(at), seen, base, score, None)
                 # the others, one entry per word and document
                 rest = np.flatnonzero(~known)
@@ -297,39 +297,46 @@ def _score(model, total: int, distinct: int, shards: int, light: int):
                     some = np.flatnonzero(np.diff(cuts))
                     blobs = [(h[x:y].astype("<u8").tobytes(), _slim(times[x:y]), r[x:y].astype("<u4").tobytes()) for x, y in zip(cuts[some], cuts[some + 1], strict=True)]
                     m = len(some)
-                    yield _rows(id_type, some.tolist(), [1] * m, [uid] * m, pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), None, None, None, None, blobs)
-                uid += n
+                    yield _rows(id_type, some.tolist(), [1] * m, [uid] * m, None, pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), None, None, None, None, blobs)
+                uid += 1
     return run
 
 
-def _rows(id_type, shard, kind, uid, ids, held, n_tokens, known, base, score, blobs) -> pa.RecordBatch:
+def _rows(id_type, shard, kind, uid, row, ids, held, n_tokens, known, base, score, blobs) -> pa.RecordBatch:
     m = len(shard)
     number = lambda v, t: pa.nulls(m, t) if v is None else pa.array(v, t)
     packed = [pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())] if blobs is None else [
         pa.array([h for h, _, _ in blobs], pa.binary()), pa.array([t.tobytes() for _, t, _ in blobs], pa.binary()),
         pa.array([t.itemsize for _, t, _ in blobs], pa.int32()), pa.array([r for _, _, r in blobs], pa.binary())]
     return pa.RecordBatch.from_arrays([
-        pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(uid, pa.int64()), ids, held,
+        pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(uid, pa.int64()), number(row, pa.int64()), ids, held,
         number(n_tokens, pa.int64()), number(known, pa.int64()), number(base, pa.float64()), number(score, pa.float64()), *packed],
-        ["shard", "kind", "uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "hashes", "counts", "width", "rows"])
+        ["shard", "kind", "slice", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "hashes", "counts", "width", "rows"])
+
+
+DOC = ["slice", "kind", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+BLOB = ["rows", "known", "sums"]
 
 
 def _resolve(total: int, distinct: int):
     """Sorted (shard, kind) rows: exact counts first (kind -1), then the words that ask for them.
 
+    Each request gives one row: what its words add to the documents of its slice.
     Document rows (kind 0) go through as they are.
     """
     scale = total + ADD * (distinct + 1)
-    passed = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tables, keys, values = None, [], None, None
         for batch in batches:
             is_doc = pc.equal(batch.column("kind"), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(is_doc) for c in passed], passed)
+            docs = [batch.column(c).filter(is_doc) for c in DOC]
+            n = len(docs[0])
+            yield pa.RecordBatch.from_arrays([*docs, *[pa.nulls(n, pa.binary())] * 3], [*DOC, *BLOB])
             rest = batch.filter(pc.invert(is_doc))
-            columns = [rest.column(c).to_pylist() for c in ("shard", "kind", "uid", "hashes", "counts", "width", "rows")]
-            for number, kind, uid, h, c, width, rows in zip(*columns, strict=True):
+            columns = [rest.column(c).to_pylist() for c in ("shard", "kind", "slice", "hashes", "counts", "width", "rows")]
+            out: list[tuple] = []
+            for number, kind, piece, h, c, width, rows in zip(*columns, strict=True):
                 if number != shard:
                     shard, tables = number, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
                 if kind == -1:
@@ -340,16 +347,56 @@ def _resolve(total: int, distinct: int):
                     tables = []
                 h, times = _load(h, c, width)
                 found, count = _lookup(keys, values, h)
-                own, back = np.unique(np.frombuffer(rows, "<u4").astype(np.int64), return_inverse=True)
-                base = np.bincount(back, times * np.log10((count + ADD) / scale))
-                known = np.bincount(back, times * found).astype(np.int64)
-                m = len(own)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own + uid, pa.int64()), pa.nulls(m, batch.schema.field("doc_id").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
-                    pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.nulls(m, pa.float64())], passed)
+                own, back = np.unique(np.frombuffer(rows, "<u4"), return_inverse=True)
+                sums = np.bincount(back, times * np.log10((count + ADD) / scale))
+                known = np.bincount(back, times * found).astype("<u4")
+                out.append((piece, own.tobytes(), known.tobytes(), sums.astype("<f8").tobytes()))
+            m = len(out)
+            empty = [pa.nulls(m, batch.schema.field(c).type) for c in DOC[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([1] * m, pa.int32()), *empty,
+                                              *[pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3)]], [*DOC, *BLOB])
     return run
 
 
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (slice, kind) rows: the documents of a slice, then what the shards add to them."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    current, docs, known, base = None, [], np.zeros(0, np.int64), np.zeros(0)
+
+    def done() -> pa.RecordBatch:
+        t = pa.Table.from_batches(docs).combine_chunks()
+        row = t.column("row").to_numpy()
+        add = lambda column, more, kind: pa.array(t.column(column).to_numpy() + more[row], kind)
+        return pa.RecordBatch.from_arrays([
+            t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), t.column("n_tokens").combine_chunks(),
+            add("n_known", known, pa.int64()), add("base", base, pa.float64()), t.column("score").combine_chunks()], names)
+
+    for batch in batches:
+        number = batch.column("slice").to_numpy()
+        edges = np.flatnonzero(np.diff(number)) + 1
+        for a, b in zip([0, *edges], [*edges, len(number)], strict=True):
+            if a == b:
+                continue
+            if number[a] != current:
+                if docs:
+                    yield done()
+                current, docs, known, base = number[a], [], np.zeros(0, np.int64), np.zeros(0)
+            part = batch.slice(a, b - a)
+            is_doc = pc.equal(part.column("kind"), 0)
+            own = part.filter(is_doc)
+            if len(own):
+                docs.append(own)
+                size = max(len(known), int(pc.max(own.column("row")).as_py()) + 1)
+                known, base = np.resize(known, size) * 0, np.resize(base, size) * 0  # documents come first
+            more = part.filter(pc.invert(is_doc))
+            for rows, k, v in zip(*[more.column(c).to_pylist() for c in BLOB], strict=True):
+                at = np.frombuffer(rows, "<u4")
+                known[at] += np.frombuffer(k, "<u4")
+                base[at] += np.frombuffer(v, "<f8")
+    if docs:
+        yield done()
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``."""
     spark = docs.sparkSession
@@ -387,12 +434,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     first = texts.mapInArrow(_score(model, total, distinct, shards, light), ROW.format(kind=kind))
     exact = words.select((F.col("shard") % light).alias("shard"), F.lit(-1).alias("kind"), "hashes", "counts", "width")
     both = first.unionByName(exact, allowMissingColumns=True)
-    both = both.repartition(parts, F.when(F.col("kind") == 0, F.col("uid")).otherwise(F.col("shard"))).sortWithinPartitions("shard", "kind")
-    parts_of = both.mapInArrow(_resolve(total, distinct), f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
-    return parts_of.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"),
-        F.max("score").alias("score")).drop("uid")
+    both = both.repartition(parts, F.when(F.col("kind") == 0, F.col("slice")).otherwise(F.col("shard"))).sortWithinPartitions("shard", "kind")
+    row = f"slice long, kind int, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    added = both.mapInArrow(_resolve(total, distinct), row + ", rows binary, known binary, sums binary")
+    added = added.repartition(parts, "slice").sortWithinPartitions("slice", "kind")
+    out = added.mapInArrow(_combine, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm(spark, sf_dir):
