@@ -39,7 +39,11 @@ class Codec:
     def __init__(self, ranks_file: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes = {i: b for b, i in ranks.items()}
+        words = {i: b for b, i in ranks.items()}
+        known = [words.get(i, b"") for i in range(max(words) + 1)]
+        self.size = np.array([len(b) for b in known], np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.blob = np.frombuffer(b"".join(known), np.uint8)
 
     @staticmethod
     def of(ranks_file: bytes, pattern: str) -> "Codec":
@@ -48,6 +52,14 @@ class Codec:
             _codecs[key] = Codec(ranks_file, pattern)
         return _codecs[key]
 
+    def text(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The raw bytes of all ids, one after the other, and where each id's bytes end."""
+        size = self.size[ids]
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.start[ids] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.blob[at], ends
+
     def ids(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
@@ -149,34 +161,74 @@ def stitch(chunks: list[tuple[list[int], list[int], int | None]]) -> list[tuple[
     return out
 
 
-def _cuts(key, pdf):
-    import pandas as pd
+def _cuts(chunk: int, overlap: int):
+    """Per text: the piece that begins in each chunk, whether the chunk's window holds all of it, and the piece before."""
+    def run(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("chunk")
+        sure = [None if pd.isna(x) else int(x) for x in pdf["sure"]]
+        cuts = stitch(list(zip(pdf["head"].map(list), pdf["tail"].map(list), sure, strict=True)))
+        until, end = [], None
+        for at, _ in reversed(cuts):
+            until.append(end)
+            end = end if at is None else at
+        until.reverse()
+        last = len(cuts) - 1
+        inside = [at is not None and (c == last if u is None else u <= (c + 1) * chunk + overlap)
+                  for c, ((at, _), u) in enumerate(zip(cuts, until, strict=True))]
+        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "at": pd.array([a for a, _ in cuts], "Int64"),
+                             "until": pd.array(until, "Int64"), "inside": inside, "before": [b for _, b in cuts],
+                             "before_inside": [inside[b] for _, b in cuts]})
+    return run
 
-    pdf = pdf.sort_values("chunk")
-    cuts = stitch(list(zip(pdf["head"].map(list), pdf["tail"].map(list), [None if pd.isna(x) else int(x) for x in pdf["sure"]], strict=True)))
-    return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "chunk": pdf["chunk"].to_numpy(),
-                         "at": pd.array([a for a, _ in cuts], "Int64"), "before": [b for _, b in cuts]})
 
+def _pieces(vocabulary, pattern: str, chunk: int):
+    """Ids of the pieces that a chunk's window holds; of other pieces the part that lies in the chunk."""
+    names = ["uid", "piece", "chunk", "ids", "part"]
 
-def _pieces(vocabulary, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocabulary.value, pattern)
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("uid", "chunk", "at", "until", "inside", "before", "before_inside")]
+            rows = list(zip(*columns, strict=True))
+            for a, _, texts in _texts(batch.column("text")):
+                out: list[tuple] = []
+                for (uid, number, at, until, inside, before, before_inside), t in zip(rows[a:a + len(texts)], texts, strict=True):
+                    start = number * chunk
+                    if at is None:
+                        out.append((uid, before, number, None, t[:chunk]))
+                        continue
+                    if not before_inside and at > start:
+                        out.append((uid, before, number, None, t[:at - start]))
+                    if inside:
+                        out.append((uid, number, number, codec.ids(t[at - start:None if until is None else until - start]).tobytes(), None))
+                    else:
+                        out.append((uid, number, number, None, t[at - start:chunk]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                    zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], names)
+    return run
 
-        def done(key, parts):
-            ids = codec.ids("".join(parts))
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), id_lists([ids])],
-                                              ["uid", "piece", "ids"])
 
-        key, parts = None, []
+def _join(vocabulary, pattern: str):
+    """The ids of each text: its pieces in order; parts of a piece are put together first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(vocabulary.value, pattern)
         for batch in batches:
-            for uid, piece, part in zip(*[batch.column(c).to_pylist() for c in ("uid", "piece", "part")], strict=True):
-                if key is not None and (uid, piece) != key:
-                    yield done(key, parts)
-                    parts = []
-                key = (uid, piece)
-                parts.append(part)
-        if key is not None:
-            yield done(key, parts)
+            for uid, pieces in zip(batch.column("uid").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                ids, parts, open_piece = [], [], None
+                for p in [*pieces, None]:
+                    if parts and (p is None or p["piece"] != open_piece):
+                        ids.append(codec.ids("".join(parts)))
+                        parts = []
+                    if p is None:
+                        continue
+                    open_piece = p["piece"]
+                    if p["ids"] is None:
+                        parts.append(p["part"])
+                    else:
+                        ids.append(np.frombuffer(p["ids"], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), id_lists([np.concatenate(ids)])], ["uid", "ids"])
     return run
 
 
@@ -200,34 +252,29 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     whole = cut(rows.filter(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()))
     parts = whole.mapInArrow(_chunks(chunk, overlap), "uid long, chunk int, last boolean, text string").repartition(n, "uid", "chunk")
     edges = parts.mapInArrow(_edges(vocabulary, pattern, chunk, overlap), "uid long, chunk int, head array<long>, tail array<long>, sure long")
-    cuts = edges.groupBy("uid").applyInPandas(_cuts, "uid long, chunk int, at long, before int")
-    core = F.substring("text", 1, chunk)
-    rel = (F.col("at") - F.col("chunk").cast("long") * chunk).cast("int")
-    both = parts.join(cuts, ["uid", "chunk"]).select("uid", "chunk", F.when(F.col("at").isNull(), F.array(
-        F.struct(F.col("before").alias("piece"), core.alias("part")))).otherwise(F.array(
-            F.struct(F.col("before").alias("piece"), F.substring(core, F.lit(1), rel).alias("part")),
-            F.struct(F.col("chunk").alias("piece"), F.substr(core, rel + 1).alias("part")))).alias("x"))
-    fragments = both.select("uid", "chunk", F.explode("x").alias("x")).select("uid", "chunk", "x.piece", "x.part").filter("part <> ''")
-    fragments = fragments.repartition(n, "uid", "piece").sortWithinPartitions("uid", "piece", "chunk")
-    ids = fragments.select("uid", "piece", "part").mapInArrow(_pieces(vocabulary, pattern), "uid long, piece int, ids array<int>")
-    joined = ids.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
+    cuts = edges.groupBy("uid").applyInPandas(
+        _cuts(chunk, overlap), "uid long, chunk int, at long, until long, inside boolean, before int, before_inside boolean")
+    pieces = parts.join(cuts, ["uid", "chunk"]).select("uid", "chunk", "text", "at", "until", "inside", "before", "before_inside")
+    pieces = pieces.mapInArrow(_pieces(vocabulary, pattern, chunk), "uid long, piece int, chunk int, ids binary, part string")
+    pieces = pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("piece", "chunk", "ids", "part"))).alias("pieces"))
+    joined = pieces.mapInArrow(_join(vocabulary, pattern), "uid long, ids array<int>")
     return one.union(whole.select("doc_id", "uid").join(joined, "uid").select("doc_id", "ids"))
 
 
 def _decode(vocabulary, pattern: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of = Codec.of(vocabulary.value, pattern).bytes
+        codec = Codec.of(vocabulary.value, pattern)
         for batch in batches:
             column = batch.column("ids")
-            offsets, values = column.offsets.to_numpy(), column.values
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
             row = 0
             while row < len(column):
-                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 1_000_000, side="right")) - 1)
-                flat = values.slice(offsets[row], offsets[end] - offsets[row]).to_pylist()
-                cuts = (offsets[row:end + 1] - offsets[row]).tolist()
-                data = [b"".join(map(table_of.__getitem__, flat[s:e])) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, end - row) for c in keep], column.slice(row, end - row),
-                                                  pa.array(data, pa.binary())], [*keep, "ids", "data"])
+                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (1 << 18), side="right")) - 1)
+                raw, ends = codec.text(values[offsets[row]:offsets[end]])
+                cuts = np.concatenate(([0], ends))[offsets[row:end + 1] - offsets[row]].astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), end - row, [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, end - row) for c in keep], column.slice(row, end - row), data],
+                                                  [*keep, "ids", "data"])
                 row = end
     return run
 
