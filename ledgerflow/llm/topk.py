@@ -16,7 +16,7 @@ scores are exact (float64 products while they stay below 2^53, Python integers b
 Defined results: vectors that are null or hold a null or non-finite component take no
 part, nor do rows without an id; a repeated id counts once, with its largest vector;
 vectors meet only vectors of their own length; fewer than k candidates are all returned;
-scores beyond 64 bits are returned as the nearest 64-bit number.
+scores beyond 64 bits count as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from ledgerflow.llm.common import cut, ship, shuffle_parts, table
 
 SHARD, QUERIES, LEAF, K, SCALE = 1024, 16384, 64, 10, 1024
 EXACT = float(1 << 53)
+TOP, LOW = (1 << 63) - 1, -(1 << 63)
 
 
 class BallTree:
@@ -109,13 +110,11 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
 def big_search(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, limit: float, k: int) -> list[tuple[int, int]]:
     """The k best by whole numbers of any size, for vectors whose products pass 2^53."""
     q = [int(x) for x in query]
-    scored = [(sum(a * int(b) for a, b in zip(q, r, strict=True)), int(i)) for r, i in zip(rows, ids, strict=True) if i != query_id]
+    scored = [(min(max(sum(a * int(b) for a, b in zip(q, r, strict=True)), LOW), TOP), int(i)) for r, i in zip(rows, ids, strict=True) if i != query_id]
     return sorted(((s, i) for s, i in scored if s >= limit), key=lambda x: (-x[0], x[1]))[:k]
 
 
 def _shard_task(k: int, scale: int):
-    top, low = (1 << 63) - 1, -(1 << 63)
-
     def answer(vectors: list, ids: list, batch: list[tuple]) -> pa.RecordBatch:
         q_ids = np.array([r[0] for r in batch], np.int64)
         queries = np.floor(np.array([r[1] for r in batch], np.float64).reshape(len(batch), -1) * scale)
@@ -132,7 +131,7 @@ def _shard_task(k: int, scale: int):
                         out.append((int(q_ids[a]), int(i), int(s)))
         else:
             for a in range(len(batch)):
-                out += [(int(q_ids[a]), i, min(max(s, low), top)) for s, i in big_search(rows, row_ids, queries[a], q_ids[a], limits[a], k)]
+                out += [(int(q_ids[a]), i, s) for s, i in big_search(rows, row_ids, queries[a], q_ids[a], limits[a], k)]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
