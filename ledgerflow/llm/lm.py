@@ -434,7 +434,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     first = texts.mapInArrow(_score(model, total, distinct, shards, light), ROW.format(kind=kind))
     exact = words.select((F.col("shard") % light).alias("shard"), F.lit(-1).alias("kind"), "hashes", "counts", "width")
     both = first.unionByName(exact, allowMissingColumns=True)
-    both = both.repartition(parts, F.when(F.col("kind") == 0, F.col("slice")).otherwise(F.col("shard"))).sortWithinPartitions("shard", "kind")
+    both = both.repartition(parts, F.when(F.col("kind") == 0, F.xxhash64("slice", "row")).otherwise(F.col("shard"))).sortWithinPartitions("shard", "kind")
     row = f"slice long, kind int, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
     added = both.mapInArrow(_resolve(total, distinct), row + ", rows binary, known binary, sums binary")
     added = added.repartition(parts, "slice").sortWithinPartitions("slice", "kind")
