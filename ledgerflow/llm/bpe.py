@@ -77,13 +77,21 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield a, b, [blob[s:e].decode("utf-8", "replace") for s, e in zip(offs[:-1], offs[1:], strict=True)]
 
 
-def _encode(vocabulary, pattern: str, keep: list[str]):
+def id_bytes(codec: Codec, rows: list[np.ndarray]) -> pa.Array:
+    """The decoded bytes of each row's ids."""
+    raw, ends = codec.text(np.concatenate(rows))
+    cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(r) for r in rows])))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+
+
+def _encode(vocabulary, pattern: str, keep: list[str], decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocabulary.value, pattern)
         for batch in batches:
             for a, b, texts in _texts(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in keep],
-                                                  id_lists([codec.ids(t) for t in texts])], [*keep, "ids"])
+                ids = [codec.ids(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in keep], id_lists(ids),
+                                                  *([id_bytes(codec, ids)] if decoded else [])], [*keep, "ids", *["data"] * decoded])
     return run
 
 
@@ -210,7 +218,7 @@ def _pieces(vocabulary, pattern: str, chunk: int):
     return run
 
 
-def _join(vocabulary, pattern: str):
+def _join(vocabulary, pattern: str, decoded: bool):
     """The ids of each text: its pieces in order; parts of a piece are put together first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocabulary.value, pattern)
@@ -228,7 +236,9 @@ def _join(vocabulary, pattern: str):
                         parts.append(p["part"])
                     else:
                         ids.append(np.frombuffer(p["ids"], np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), id_lists([np.concatenate(ids)])], ["uid", "ids"])
+                whole = [np.concatenate(ids)]
+                yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), id_lists(whole), *([id_bytes(codec, whole)] if decoded else [])],
+                                                  ["uid", "ids", *["data"] * decoded])
     return run
 
 
@@ -237,15 +247,17 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ids (array of int) per row of ``docs``."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) per row of ``docs``; with ``decoded`` also data, the ids decoded
+    again by the task that made them."""
+    shape = "ids array<int>" + ", data binary" * decoded
     spark = docs.sparkSession
     ship(spark)
     vocabulary = spark.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select("doc_id", text_of().alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     one = rows.filter(F.length("text") <= chunk).mapInArrow(
-        _encode(vocabulary, pattern, ["doc_id"]), f"doc_id {kind}, ids array<int>")
+        _encode(vocabulary, pattern, ["doc_id"], decoded), f"doc_id {kind}, {shape}")
 
     # the rest is numbered once and kept, so that every later step sees the same numbers
     n = shuffle_parts(spark)
@@ -257,8 +269,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     pieces = parts.join(cuts, ["uid", "chunk"]).select("uid", "chunk", "text", "at", "until", "inside", "before", "before_inside")
     pieces = pieces.mapInArrow(_pieces(vocabulary, pattern, chunk), "uid long, piece int, chunk int, ids binary, part string")
     pieces = pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("piece", "chunk", "ids", "part"))).alias("pieces"))
-    joined = pieces.mapInArrow(_join(vocabulary, pattern), "uid long, ids array<int>")
-    return one.union(whole.select("doc_id", "uid").join(joined, "uid").select("doc_id", "ids"))
+    joined = pieces.mapInArrow(_join(vocabulary, pattern, decoded), f"uid long, {shape}")
+    return one.union(whole.select("doc_id", "uid").join(joined, "uid").drop("uid"))
 
 
 def _decode(vocabulary, pattern: str, keep: list[str]):
@@ -293,7 +305,7 @@ def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
     import public_tokenizers
 
     path, pattern = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    back = decode(encode(docs, path, pattern), path, pattern)
+    back = encode(docs, path, pattern, decoded=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("data", 256).alias("decoded_sha256"))
