@@ -64,9 +64,9 @@ def safe_name(c) -> Column:
 
 
 def core_name(c) -> Column:
-    """Strip bracketed parts and '-', '_', '/' to get a search term."""
-    no_brackets = F.regexp_replace(_c(c), r"[\(（\[【][^\)）\]】]*[\)）\]】]", "")
-    return F.trim(F.regexp_replace(no_brackets, r"[-_/]+", " "))
+    """Delete parts in round brackets and the marks '-', '_', '/' to get a search term."""
+    no_brackets = F.regexp_replace(_c(c), r"[\(（][^\)）]*[\)）]", "")
+    return F.trim(F.regexp_replace(no_brackets, r"[-_/]+", ""))
 
 
 def keywords_from_json(c) -> Column:

@@ -331,8 +331,8 @@ def x_text(spark, sf_dir):
 
 
 @query("X_product", osql("""
-SELECT product_id, trim(regexp_replace(regexp_replace(name_zh || ' (' || specification || ')', '[\\(（\\[【][^\\)）\\]】]*[\\)）\\]】]', '', 'g'),
-                                      '[-_/]+', ' ', 'g')) AS core_name,
+SELECT product_id, trim(regexp_replace(regexp_replace(name_zh || ' (' || specification || ')', '[\\(（][^\\)）]*[\\)）]', '', 'g'),
+                                      '[-_/]+', '', 'g')) AS core_name,
        CASE WHEN CAST(specification AS DOUBLE) = floor(CAST(specification AS DOUBLE))
             THEN CAST(CAST(specification AS DOUBLE) AS BIGINT) || unit ELSE specification || unit END AS quantity_text,
        CASE WHEN list_price <= 1000 THEN 'low' WHEN list_price <= 1500 THEN 'medium' ELSE 'high' END AS price_band

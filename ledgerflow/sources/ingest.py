@@ -139,10 +139,8 @@ def replace_months(target: DataFrame, batch: DataFrame, date_col: str = "transac
 
 def write_replace_months(batch: DataFrame, path: str, date_col: str = "transaction_date") -> None:
     """SNK3 write: dynamic partition overwrite of the month partitions in the batch."""
-    spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (batch.withColumn("month", F.date_format(date_col, "yyyy-MM"))
-     .write.mode("overwrite").partitionBy("month").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
 
 
 def replace_stock(target: DataFrame, batch: DataFrame, cross_product: bool = True) -> DataFrame:

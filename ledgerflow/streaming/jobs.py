@@ -2,8 +2,8 @@
 
 Each job has a batch twin (a plain DataFrame function) and a streaming form:
 
-* S3 is a true stateful aggregate (watermark + ``groupBy`` in update mode).
-* S1, S2, S5 and S6 run their batch twin on every micro-batch with ``foreachBatch``.
+* S3 and S6 write partial totals per micro-batch and merge them when read.
+* S1, S2 and S5 run their batch twin on every micro-batch with ``foreachBatch``.
 * S4 is stateless.
 * S7 and S8 are periodic batch projections.
 
@@ -138,24 +138,17 @@ def reactivated_dates(out: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- S3 running month sales
-def month_sales(tx_stream: DataFrame, lateness: str = "32 days") -> DataFrame:
-    """S3: running quantity per (month, product), updated as order lines arrive.
+def month_totals(tx: DataFrame) -> DataFrame:
+    """S3: quantity per (month, product) of one set of order lines."""
+    return (tx.filter(F.col("document_type") == SALE)
+            .groupBy(F.to_date(F.trunc("transaction_date", "month")).alias("month"), "product_id")
+            .agg(F.sum("quantity").alias("month_quantity")))
 
-    The watermark is on the grouping column itself (the month start), so the state of a
-    month is dropped once the stream is ``lateness`` past it: state stays bounded to about
-    two months × products, and rows up to a month late still count."""
-    t = tx_stream.filter(F.col("document_type") == SALE).withColumn(
-        "month_ts", F.trunc("transaction_date", "month").cast("timestamp"))
-    return (t.withWatermark("month_ts", lateness)
-            .groupBy("month_ts", "product_id")
-            .agg(F.sum("quantity").alias("month_quantity"))
-            .select(F.to_date("month_ts").alias("month"), "product_id", "month_quantity"))
 
-
-def order_line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_line_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """Order lines as a stream: lineitem arrives as a stream, joined to the static orders
     (stream-static join), shaped like ``order_tx``."""
-    li = stream_table(spark, sf_dir, "lineitem")
+    li = stream_table(spark, sf_dir, "lineitem", max_files)
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     sign = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1))
     from ledgerflow.constants import RETURN
@@ -166,11 +159,15 @@ def order_line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * sign).cast("decimal(18,4)").alias("quantity"))
 
 
-def run_month_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run S3 over everything available and return the current totals."""
+def run_month_sales(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """Run S3 over everything available and return the totals.
+
+    Each micro-batch writes its own totals once (a replay rewrites them), and the totals of
+    a month are the sum over the batches, however late a line arrives and however the files
+    are dealt to batches.  No streaming state is kept."""
     out, ckpt = run_dir(spark, "month_sales")
-    run_available(month_sales(order_line_stream(spark, sf_dir)), out, ckpt, mode="update")
-    return latest_per_key(read_output(spark, out), ["month", "product_id"])
+    run_available(order_line_stream(spark, sf_dir, max_files), out, ckpt, fn=lambda df, _: month_totals(df))
+    return read_output(spark, out).groupBy("month", "product_id").agg(F.sum("month_quantity").alias("month_quantity"))
 
 
 # ----------------------------------------------------------------- S4 stock on write
@@ -203,14 +200,22 @@ def changed_since(summary: DataFrame, last: DataFrame) -> DataFrame:
     return j.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("fingerprint"))).drop("_prev")
 
 
-def change_stream(updates_stream: DataFrame, ts_col: str, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """S6 streaming form: rows and last change per event-time window, emitted once the
-    watermark passes the window (append mode)."""
-    return (updates_stream.withWatermark(ts_col, watermark).groupBy(F.window(ts_col, window))
+def change_counts(updates: DataFrame, ts_col: str, window: str = "1 day") -> DataFrame:
+    """Rows and last change per event-time window of one set of updates."""
+    return (updates.groupBy(F.window(ts_col, window))
             .agg(F.count("*").alias("changed_rows"), F.max(ts_col).alias("last_change"))
             .select(F.col("window.start").alias("window_start"), "changed_rows", "last_change"))
 
 
+def run_changes(spark: SparkSession, updates_stream: DataFrame, ts_col: str, window: str = "1 day") -> DataFrame:
+    """S6 streaming form: each micro-batch writes its counts per window, and a window's
+    figures are merged over the batches, the newest window and late rows included."""
+    out, ckpt = run_dir(spark, "changes")
+    run_available(updates_stream, out, ckpt, fn=lambda df, _: change_counts(df, ts_col, window))
+    parts = read_output(spark, out, "window_start timestamp, changed_rows long, last_change timestamp, batch_id int")
+    return parts.groupBy("window_start").agg(F.sum("changed_rows").alias("changed_rows"), F.max("last_change").alias("last_change"))
+
+
 # ----------------------------------------------------------------- S7 / S8 periodic
 def expire(pred: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Active predictions whose day is more than ``days`` before ``as_of`` expire."""

@@ -54,3 +54,24 @@ def test_next_scheduled_day(spark):
                                "d date, s string")     # 2024-01-05 is a Friday
     got = [r[0] for r in df.select(lc.next_scheduled_day(F.col("d"), F.col("s"))).collect()]
     assert got == [dt.date(2024, 1, 8), dt.date(2024, 1, 7), None]
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    """S3 and S6 with one file per micro-batch, in an order of their own, equal their batch forms."""
+    for name in ("lineitem", "orders"):
+        spark.read.parquet(f"{SF}/{name}.parquet").orderBy(F.rand(3)).repartition(6).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sj.run_month_sales(spark, str(tmp_path), max_files=1)
+    want = sj.run_month_sales(spark, SF)
+    assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).count() == 0
+    from ledgerflow.sources.views import Views
+    v = Views(spark, SF)
+    stream = v.incoming_from(sj.stream_table(spark, str(tmp_path), "orders", 1))
+    one = sj.change_counts(v.incoming_orders, "updated_at")
+    many = sj.run_changes(spark, stream, "updated_at")
+    assert many.count() == one.count() and many.exceptAll(one.select(many.columns)).count() == 0
+
+
+def test_core_name_deletes_marks(spark):
+    from ledgerflow.functions.text import core_name
+    rows = spark.createDataFrame([("A-B(x)",), ("[k] a_b/c",)], "n string").select(core_name("n").alias("c")).collect()
+    assert [r["c"] for r in rows] == ["AB", "[k] abc"]
