@@ -73,7 +73,7 @@ def reactivated(inactive: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
 # -------------------------------------------------------------------------- reminders
 def order_products(orders: DataFrame, pm: DataFrame) -> DataFrame:
     """Incoming orders with the purchased product's name (purchase_record)."""
-    names = pm.select("product_id", F.col("name_zh").alias("product_name")).dropDuplicates(["product_id"])
+    names = dedup_product(pm).select("product_id", F.col("name_zh").alias("product_name"))
     return orders.join(names, "product_id", "left")
 
 

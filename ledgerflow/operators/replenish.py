@@ -450,7 +450,8 @@ def train(samples: DataFrame, features: Sequence[str], max_iter: int = 50, max_d
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    s = samples.withColumn("_u", hash_unit([*PAIR, "target_date"], seed)).withColumn(
+    # a seed of its own: thinning keeps negatives by a hash of the same keys
+    s = samples.withColumn("_u", hash_unit([*PAIR, "target_date", "label"], seed + 1)).withColumn(
         "weight", F.when(F.col("label") == 1, F.lit(positive_weight)).otherwise(F.lit(1.0)))
     s = s.withColumn("label_d", F.col("label").cast("double"))
     tr, te = s.filter(F.col("_u") < 0.8), s.filter(F.col("_u") >= 0.8)

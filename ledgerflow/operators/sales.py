@@ -72,7 +72,7 @@ def sales_series(tx: DataFrame, pm: DataFrame, customers: DataFrame, level: str,
     t = tx.filter((F.col("document_type") == SALE)
                   & F.col("transaction_date").between(_d(start), _d(end)))
     if level in PRODUCT_LEVELS:
-        t = t.join(pm.select("product_id", level).dropDuplicates(["product_id"]), "product_id")
+        t = t.join(dedup_product(pm).select("product_id", level), "product_id")
     elif level in CUSTOMER_LEVELS:
         t = t.join(customers.select("customer_id", level), "customer_id")
     else:
@@ -151,7 +151,7 @@ def net_transactions(tx: DataFrame, pm: DataFrame, customer_id=None) -> DataFram
     """A5: net quantity per (customer, product, day) with the distinct document types
     joined by ','; relabelled sale / return / cancel-out; zero nets dropped."""
     t = tx if customer_id is None else tx.filter(F.col("customer_id") == F.lit(customer_id))
-    t = t.join(pm.select("product_id", F.col("name_zh").alias("product_name")).dropDuplicates(["product_id"]),
+    t = t.join(dedup_product(pm).select("product_id", F.col("name_zh").alias("product_name")),
                "product_id")
     g = t.groupBy("customer_id", "product_name", "transaction_date").agg(
         F.sum("quantity").alias("quantity"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ledgerflow.constants import SALE, STATUS_CONFIRMED
 from ledgerflow.functions.misc import fingerprint
 from ledgerflow.operators import lifecycle as lc
+from ledgerflow.operators.sales import dedup_product
 from ledgerflow.session import sub_checkpoint
 from ledgerflow.sources.tables import read_table, table_path
 
@@ -97,7 +98,7 @@ def fulfil(changes: DataFrame, pred: DataFrame, pm: DataFrame) -> tuple[DataFram
     latest = changes.groupBy("id").agg(F.max_by(F.struct("customer_id", "product_id", "new_status", "changed_at"),
                                                 F.col("changed_at")).alias("c")).select("id", "c.*")
     conf = latest.filter((F.col("new_status") == STATUS_CONFIRMED) & F.col("customer_id").isNotNull())
-    sub = pm.select("product_id", "subcategory").dropDuplicates(["product_id"])
+    sub = dedup_product(pm).select("product_id", "subcategory")
     conf = conf.join(sub, "product_id").groupBy("customer_id", "subcategory").agg(
         F.max(F.to_date("changed_at")).alias("confirmed_day"), F.max_by("id", "changed_at").alias("order_id"))
     p = pred.join(sub, "product_id", "left")
