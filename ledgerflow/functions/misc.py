@@ -74,11 +74,12 @@ def transaction_id(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Change fingerprint of a result set (per ``by`` group, or one row).
 
-    The source hashes the ordered rows' text with MD5; here the rows' 64-bit hashes are
+    The source hashes the ordered rows' text with MD5; here 60 bits of each row's MD5 are
     summed exactly (DECIMAL) and the sum and row count are hashed.  The value depends on
     the multiset of rows, not on their order, and it aggregates partially on every
     executor — no group is gathered into one buffer."""
-    row_hash = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
+    text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u001e")) for c in cols])
+    row_hash = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
     g = df.groupBy(*by) if by else df.groupBy()
     agg = g.agg(F.sum(row_hash.cast("decimal(38,0)")).alias("_s"), F.count("*").alias("row_count"))
     return agg.select(*by, "row_count",

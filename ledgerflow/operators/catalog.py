@@ -310,23 +310,12 @@ def page(df: DataFrame, order: Sequence, page_no: int, size: int) -> DataFrame:
                        (F.lit(page_no * size) < total).alias("has_next"), F.lit(page_no > 1).alias("has_prev"))
 
 
-SALT_BUCKETS = 32
-
-
-def top_k_per(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank",
-              salt_buckets: int = SALT_BUCKETS) -> DataFrame:
-    """The first k rows per key in a total ``order``, with their rank.
-
-    Skew-safe: rows are first ranked within (key, salt) — the salt is a hash of the row,
-    so a hot key is spread over ``salt_buckets`` tasks — and only each salt's first k
-    survive; the final rank per key then sorts at most k·salt_buckets rows.  Exact,
-    because the global first k are among the per-salt first k."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt_buckets))
-    d = df.withColumn("_salt", salt)
-    w1 = Window.partitionBy(*key, "_salt").orderBy(*order)
-    d = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
-    w2 = Window.partitionBy(*key).orderBy(*order)
-    return d.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k).drop("_salt", "_r1")
+def top_k_per(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
+    """The first k rows per key in a total ``order``, with their rank.  The
+    planner limits every group to k rows before the shuffle as well as after it, so a hot
+    key sends at most k rows per task."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
 def top_products_by_count(tx: DataFrame, k: int = 3) -> DataFrame:
@@ -359,8 +348,7 @@ def latest_per(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str]) -
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per key in ``order`` (DISTINCT ON); ``order`` must be total.  Uses the
-    skew-safe two-stage rank of ``top_k_per``."""
+    """First row per key in ``order`` (DISTINCT ON); ``order`` must be total."""
     return top_k_per(df, keys, order, 1, rank_col="_rn").drop("_rn")
 
 

@@ -251,6 +251,17 @@ def prediction_rows(sub: DataFrame, sku: DataFrame, batch_id: str, created_at: s
     return out.withColumn("batch_id", F.lit(batch_id)).withColumn("created_at", F.lit(created_at).cast("timestamp"))
 
 
+def prediction_batches(rows: DataFrame) -> DataFrame:
+    """Per batch and prediction month: rows in all and per level, predicted total,
+    first and last time."""
+    return rows.groupBy("batch_id", "prediction_month").agg(
+        F.count("*").alias("total_records"),
+        F.count_if(F.col("prediction_level") == "subcategory").alias("subcategory_count"),
+        F.count_if(F.col("prediction_level") == "sku").alias("sku_count"),
+        F.sum("prediction_value").alias("total_predicted_value"),
+        F.min("created_at").alias("batch_start_time"), F.max("created_at").alias("batch_end_time"))
+
+
 def prediction_summary(rows: DataFrame, month: str | None = None) -> DataFrame:
     """Count, sum, avg, min, max of prediction values per level (optionally one
     month), with batch count and first / last batch time."""

@@ -168,8 +168,7 @@ def next_scheduled_day(base: Column, schedule: Column) -> Column:
 
 def schedule_delivery(orders: DataFrame, customers: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
     """S5 (batch form): confirmed orders → delivery rows with status 'order' on the next
-    scheduled weekday after confirmation; positive purchase predictions → rows with
-    status 'prediction' on the next scheduled weekday on/after the predicted day − 1."""
+    scheduled weekday after confirmation, and those of ``predictions``."""
     c = customers.select("customer_id", F.col("customer_name").alias("_cname"), "delivery_schedule")
     o = orders.filter((F.col("status") == STATUS_CONFIRMED) & F.col("customer_id").isNotNull()).join(c, "customer_id")
     base = F.to_date(F.coalesce("confirmed_at", "created_at"))
@@ -180,20 +179,27 @@ def schedule_delivery(orders: DataFrame, customers: DataFrame, predictions: Data
         "amount", "quantity", F.lit(DELIVERY_FROM_ORDER).alias("status"),
         F.col("id").cast("string").alias("source_order_id"))
     if predictions is not None:
-        p = predictions.filter(F.col("will_purchase_anything")).join(c, "customer_id")
-        prow = p.select(
-            F.concat_ws("-", F.lit("P"), F.col("customer_id").cast("string"), F.col("product_id").cast("string"),
-                        F.col("prediction_date").cast("string")).alias("delivery_id"),
-            "customer_id", F.col("_cname").alias("customer_name"), F.col("product_id").cast("string").alias("product_id"),
-            F.lit(None).cast("string").alias("product_name"),
-            next_scheduled_day(F.date_sub("prediction_date", 1), F.col("delivery_schedule")).alias("delivery_date"),
-            F.lit(None).cast("decimal(18,4)").alias("amount"),
-            F.col("estimated_quantity").cast("decimal(18,4)").alias("quantity"),
-            F.lit(DELIVERY_FROM_PREDICTION).alias("status"), F.lit(None).cast("string").alias("source_order_id"))
-        rows = rows.withColumn("product_id", F.col("product_id").cast("string")).unionByName(prow)
+        rows = rows.withColumn("product_id", F.col("product_id").cast("string")).unionByName(
+            prediction_deliveries(predictions, customers))
     return rows
 
 
+def prediction_deliveries(predictions: DataFrame, customers: DataFrame) -> DataFrame:
+    """Positive purchase predictions → delivery rows with status 'prediction' on the
+    next scheduled weekday on or after the predicted day; product ids as text."""
+    c = customers.select("customer_id", F.col("customer_name").alias("_cname"), "delivery_schedule")
+    p = predictions.filter(F.col("will_purchase_anything")).join(c, "customer_id")
+    return p.select(
+        F.concat_ws("-", F.lit("P"), F.col("customer_id").cast("string"), F.col("product_id").cast("string"),
+                    F.col("prediction_date").cast("string")).alias("delivery_id"),
+        "customer_id", F.col("_cname").alias("customer_name"), F.col("product_id").cast("string").alias("product_id"),
+        F.lit(None).cast("string").alias("product_name"),
+        next_scheduled_day(F.date_sub("prediction_date", 1), F.col("delivery_schedule")).alias("delivery_date"),
+        F.lit(None).cast("decimal(18,4)").alias("amount"),
+        F.col("estimated_quantity").cast("decimal(18,4)").alias("quantity"),
+        F.lit(DELIVERY_FROM_PREDICTION).alias("status"), F.lit(None).cast("string").alias("source_order_id"))
+
+
 def deliveries(ds: DataFrame, customer_id=None, product_id=None, status=None, date=None,
                start=None, end=None) -> DataFrame:
     """delivery lookups by customer, product, status, day or day range, ordered by

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.misc import blank_to_null
 from ledgerflow.operators.sales import dedup_product
 
+# FIXED VALUES: group labels of the order list.
+CHAT_GROUP_PREFIX = "Line用戶: "
+UNKNOWN_GROUP = "未知客戶"
+
 
 def reminder_list(pred: DataFrame, customers: DataFrame, pm: DataFrame, unknown: str = "Unknown") -> DataFrame:
     """Predictions ⟕ customer ⟕ product (one row per product), names with fallback."""
@@ -18,25 +22,22 @@ def reminder_list(pred: DataFrame, customers: DataFrame, pm: DataFrame, unknown:
             .withColumn("product_name", F.coalesce("product_name", F.lit(unknown))))
 
 
-def group_orders(orders: DataFrame, k: int = 5) -> DataFrame:
-    """Orders grouped by customer name, else chat id, else 'unknown': order count,
-    open orders and the ids of the k newest orders (bounded per group: the k newest are
-    picked by a window rank before any list is built)."""
-    key = F.coalesce(blank_to_null(F.col("customer_name")), blank_to_null(F.col("line_id")), F.lit("unknown"))
+def group_orders(orders: DataFrame) -> DataFrame:
+    """Every order with its group (customer name, else the marked chat id, else one
+    group of unknown customers) and the group's number of orders and open orders.  Long
+    rows: a group of any size is never gathered into one list."""
+    name, line = blank_to_null(F.col("customer_name")), blank_to_null(F.col("line_id"))
+    key = F.coalesce(name, F.concat(F.lit(CHAT_GROUP_PREFIX), line), F.lit(UNKNOWN_GROUP))
     o = orders.withColumn("group_key", key)
-    cnt = o.groupBy("group_key").agg(F.count("*").alias("orders"), F.count_if(F.col("status") == "0").alias("open_orders"))
-    from ledgerflow.operators.catalog import top_k_per
-    top = top_k_per(o.select("group_key", "created_at", "id"), ["group_key"],
-                    [F.col("created_at").desc(), F.col("id").desc()], k, "_r")
-    ids = top.groupBy("group_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))),
-                                                   lambda x: x["id"]).alias("newest_order_ids"))
-    return cnt.join(ids, "group_key")
+    cnt = o.groupBy("group_key").agg(F.count("*").alias("group_orders"), F.count_if(F.col("status") == "0").alias("group_open"))
+    return o.join(cnt, "group_key")
 
 
 def hierarchy(pm: DataFrame) -> DataFrame:
-    """The product hierarchy in long form: (category, subcategory, product names)."""
-    p = pm.filter(F.col("category").isNotNull() & F.col("subcategory").isNotNull())
-    return p.groupBy("category", "subcategory").agg(F.count_distinct("name_zh").alias("product_names"))
+    """The hierarchy of the active products in long form: one row per category,
+    subcategory and product name."""
+    p = pm.filter((F.col("is_active") == "active") & F.col("category").isNotNull() & F.col("subcategory").isNotNull())
+    return p.select("category", "subcategory", F.col("name_zh").alias("product_name")).distinct()
 
 
 def dedup_best(pred: DataFrame, order_tie: str = "src") -> DataFrame:

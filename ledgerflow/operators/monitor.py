@@ -48,6 +48,11 @@ def run_stats(hist: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
                                 F.col("l.run_id").alias("last_run_id"))
 
 
+def schedule_counts(settings: DataFrame) -> DataFrame:
+    """Enabled and all schedules of a settings table (one row per schedule)."""
+    return settings.agg(F.count_if(F.col("enabled")).alias("enabled_schedules"), F.count("*").alias("total_schedules"))
+
+
 def overall_health(log: DataFrame, stats: DataFrame, critical_tasks: DataFrame, now: str,
                    fail_status: str = "failure", min_success_rate: float = 95.0) -> DataFrame:
     """One row: critical when the latest check of any task failed; warning when a

@@ -1,8 +1,7 @@
 """Prospect search in chat messages (SRC3–SRC5, C8–C13, A32).
 
-The keyword list is small and bounded (a handful of search terms per product), so it is
-broadcast and the messages stay distributed: the substring match is a broadcast
-nested-loop join whose cost is messages × keywords.
+The substring match has no join key, so its cost is messages × keywords; the planner
+broadcasts the keyword list when its size allows.
 """
 
 from __future__ import annotations
@@ -16,28 +15,29 @@ from ledgerflow.constants import PROSPECT_CAN_PROCESS, PROSPECT_NO_ID, PROSPECT_
 from ledgerflow.functions.text import chat_file_key
 
 CLASS_PRIORITY = {PROSPECT_PURCHASED: 3, PROSPECT_CAN_PROCESS: 2, PROSPECT_NO_ID: 1, PROSPECT_POTENTIAL: 0}
-TEXT_LIMIT = 500
-TEXTS_KEPT = 5
+# FIXED VALUES: the display text of a prospect.
+DISPLAY_CHARS = 500
+DISPLAY_TEXTS = 5
 
 
 # ------------------------------------------------------------------------- sources
 def read_chats_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3 (files): every chat CSV under ``path`` → one row per line with file name and
-    1-based line number; fields parsed by ``from_csv`` (sender type, sender name, date,
-    time, content).  Each file is one conversation, read whole (small, bounded)."""
-    raw = (spark.read.text(path, wholetext=True)
-           .select(F.col("value"), F.url_decode(F.col("_metadata.file_name")).alias("file_name"),
-                   F.col("_metadata.file_modification_time").alias("file_time")))
-    lines = raw.select("file_name", "file_time",
-                       F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("pos", "line"))
-    schema = "sender_type string, sender_name string, date_str string, time_str string, content string, extra string"
-    parsed = lines.select("file_name", "file_time", (F.col("pos") + 1).alias("row_no"), "line",
-                          F.from_csv("line", schema).alias("f"))
+    """SRC3 (files): every chat CSV under ``path`` → one row per record with file name and
+    1-based record number (quoted line breaks belong to their record): sender type, sender
+    name, date, time, content.  A file is one conversation and one task."""
+    schema = "sender_type string, sender_name string, date_str string, time_str string, content string"
+    rows = (spark.read.schema(schema).csv(path, multiLine=True, escape='"')
+            .select("*", F.url_decode(F.col("_metadata.file_name")).alias("file_name"),
+                    F.col("_metadata.file_path").alias("_path"),
+                    F.col("_metadata.file_modification_time").alias("file_time"),
+                    F.monotonically_increasing_id().alias("_id")))
+    first = rows.groupBy("_path").agg(F.min("_id").alias("_first"))
+    parsed = rows.join(first, "_path").withColumn("row_no", (F.col("_id") - F.col("_first") + 1).cast("int"))
     return parsed.filter(F.col("row_no") > 1).select(
-        "file_name", "file_time", "row_no",
-        F.trim("f.sender_type").alias("sender_type"), F.trim("f.sender_name").alias("sender_name"),
-        F.trim("f.date_str").alias("date_str"), F.trim("f.time_str").alias("time_str"),
-        F.trim("f.content").alias("content"), F.col("f.content").isNotNull().alias("has_5_fields"))
+        "file_name", "file_time", "row_no", F.trim("sender_type").alias("sender_type"),
+        F.trim("sender_name").alias("sender_name"), F.trim("date_str").alias("date_str"),
+        F.trim("time_str").alias("time_str"), F.trim("content").alias("content"),
+        F.col("content").isNotNull().alias("has_5_fields"))
 
 
 def user_messages(msgs: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def search_messages(msgs: DataFrame, keywords: DataFrame) -> DataFrame:
     insensitive), with its 0-based position, match type 'exact' and score 1.0."""
     kw = keywords.select(F.col("keyword")).filter(F.length(F.trim("keyword")) > 0).distinct()
     pos = F.instr(F.lower(F.col("content")), F.lower(F.col("keyword")))
-    j = msgs.join(F.broadcast(kw), pos > 0)
+    j = msgs.join(kw, pos > 0)
     return j.withColumn("position", pos - 1).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0))
 
 
@@ -92,15 +92,25 @@ def _priority(c: Column) -> Column:
     return F.element_at(m, c)
 
 
+def _prospect_key(name_col: str) -> Column:
+    return F.coalesce(F.col("customer_id").cast("string"), F.concat(F.lit("name:"), F.col(name_col)))
+
+
+def prospect_texts(classified: DataFrame, name_col: str = "file_customer_name") -> DataFrame:
+    """Every distinct whole text of every prospect, with its first occurrence and its
+    number of hits (long rows, nothing cut)."""
+    c = classified.withColumn("prospect_key", _prospect_key(name_col))
+    g = c.groupBy("prospect_key", "content").agg(F.min(F.struct("message_date", "file_name", "row_no")).alias("_o"),
+                                                 F.count("*").alias("hits"))
+    return g.select("prospect_key", "content", "_o.*", "hits")
+
+
 def consolidate(classified: DataFrame, name_col: str = "file_customer_name") -> DataFrame:
     """One row per customer id (or per name when there is no id): the highest class
-    (purchased > can process > no id), latest message date, hit count, and the first 5
-    distinct texts (by date, file, row) joined by ' | ' and cut at 500 characters.
-
-    Texts are ranked per key after a (key, text) aggregate, so at most 5 texts per key
-    are ever gathered."""
-    key = F.coalesce(F.col("customer_id").cast("string"), F.concat(F.lit("name:"), F.col(name_col)))
-    c = classified.withColumn("prospect_key", key)
+    (purchased > can process > no id), latest message date, hit count, and a display text:
+    the first 5 distinct texts (by date, file, row), one a line, with '...' after 500
+    characters.  The whole texts are the rows of ``prospect_texts``."""
+    c = classified.withColumn("prospect_key", _prospect_key(name_col))
     order = F.struct("message_date", "file_name", "row_no")
     agg = c.groupBy("prospect_key").agg(
         F.max(_priority(F.col("prospect_class"))).alias("_p"),
@@ -110,10 +120,11 @@ def consolidate(classified: DataFrame, name_col: str = "file_customer_name") ->
         F.count("*").alias("hit_count"))
     from ledgerflow.operators.catalog import top_k_per
     texts = c.groupBy("prospect_key", "content").agg(F.min(order).alias("_o"))
-    first = top_k_per(texts, ["prospect_key"], [F.col("_o"), F.col("content")], TEXTS_KEPT, "_r")
-    joined = first.groupBy("prospect_key").agg(
-        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "content"))),
-                                             lambda x: x["content"]), " | "), 1, TEXT_LIMIT).alias("texts"))
+    first = top_k_per(texts, ["prospect_key"], [F.col("_o"), F.col("content")], DISPLAY_TEXTS, "_r")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "content"))), lambda x: x["content"]), "\n")
+    joined = first.groupBy("prospect_key").agg(whole.alias("_w")).select(
+        "prospect_key", F.when(F.length("_w") > DISPLAY_CHARS, F.concat(F.substring("_w", 1, DISPLAY_CHARS), F.lit("...")))
+        .otherwise(F.col("_w")).alias("texts"))
     inv = F.create_map(*[F.lit(x) for k, v in CLASS_PRIORITY.items() for x in (v, k)])
     return agg.join(joined, "prospect_key").withColumn("prospect_class", F.element_at(inv, F.col("_p"))).drop("_p")
 
@@ -144,7 +155,7 @@ def search_runs(msgs: DataFrame, keywords_by_product: DataFrame, tx: DataFrame,
     run; all runs at once with the product as a join key."""
     kw = keywords_by_product.select("product_id", "keyword").distinct()
     pos = F.instr(F.lower(F.col("content")), F.lower(F.col("keyword")))
-    hits = msgs.join(F.broadcast(kw), pos > 0)
+    hits = msgs.join(kw, pos > 0)
     sub = pm.select("product_id", "subcategory")
     run_sub = kw.select("product_id").distinct().join(sub, "product_id")
     buyers = tx.join(sub, "product_id").select("customer_id", "subcategory").distinct()

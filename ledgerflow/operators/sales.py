@@ -222,10 +222,13 @@ def pivot_ranks(recs: DataFrame, key: str, value: str, n: int, prefix: str) -> D
 
 def change_stats(change: DataFrame) -> DataFrame:
     """One row: product count, increases / decreases / unchanged, distribution by
-    change range, zero and low (< 10) stock counts, average stock."""
+    change range, zero and low (< 10) stock counts, average stock, processed and
+    unprocessed products (``processed``)."""
     p = F.col("change_percentage")
     return change.agg(
         F.count("*").alias("total_products"),
+        F.count_if(F.col("processed")).alias("processed"),
+        F.count_if(~F.col("processed")).alias("unprocessed"),
         F.count_if(F.col("change_amount") > 0).alias("increased"),
         F.count_if(F.col("change_amount") < 0).alias("decreased"),
         F.count_if(F.col("change_amount") == 0).alias("unchanged"),

@@ -252,13 +252,14 @@ def j10_counts(spark, sf_dir):
 @query("J11", osql("""
 SELECT line_id, arg_min_null(customer_name, (created_at, id)) AS customer_name, arg_min_null(id, (created_at, id)) AS id
 FROM incoming_orders o WHERE line_id IS NOT NULL
-  AND line_id NOT IN (SELECT line_id FROM customers WHERE line_id IS NOT NULL AND customer_id % 2 = 0)
+  AND line_id NOT IN (SELECT line_id FROM customers WHERE line_id IS NOT NULL
+                        AND customer_id IN (SELECT customer_id FROM chat_messages WHERE customer_id IS NOT NULL))
 GROUP BY line_id"""))
 def j11_missing_members(spark, sf_dir):
-    """Chat ids seen in incoming orders that the (even-keyed) chat-id map lacks,
-    with first-seen attributes."""
+    """Chat ids seen in incoming orders that the chat-id map (customers who wrote
+    in a chat) lacks, with first-seen attributes."""
     v = Views(spark, sf_dir)
-    dim = v.customers.filter((F.col("line_id").isNotNull()) & (F.col("customer_id") % 2 == 0))
+    dim = v.customers.filter(F.col("line_id").isNotNull()).join(v.chat_messages.select("customer_id"), "customer_id", "left_semi")
     return cat.missing_members(v.incoming_orders, dim, "line_id", ["customer_name", "id"], ["created_at", "id"])
 
 
@@ -277,12 +278,13 @@ def j14_sibling_products(spark, sf_dir):
 SELECT o.id, o.customer_id, o.product_id, pm.subcategory
 FROM incoming_orders o JOIN product_master pm ON o.product_id = pm.product_id
 WHERE EXISTS (SELECT 1 FROM order_tx t JOIN product_master p2 ON t.product_id = p2.product_id
-              WHERE t.customer_id = o.customer_id AND p2.subcategory = pm.subcategory AND t.transaction_date < DATE '1998-01-01')"""))
+              WHERE t.customer_id = o.customer_id AND p2.subcategory = pm.subcategory AND t.document_type = '銷貨')"""))
 def j15_purchased_by_subcategory(spark, sf_dir):
-    """Incoming orders whose customer bought the product's subcategory before 1998."""
+    """Incoming orders whose customer bought the product's subcategory."""
     v = Views(spark, sf_dir)
     c = v.incoming_orders.select("id", "customer_id", "product_id")
-    return cat.purchased_by_subcategory(c, v.order_tx(end="1998-01-01"), v.product_master).select(
+    bought = v.order_tx().filter(F.col("document_type") == SALE)
+    return cat.purchased_by_subcategory(c, bought, v.product_master).select(
         "id", "customer_id", "product_id", "subcategory")
 
 

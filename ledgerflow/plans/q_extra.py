@@ -16,7 +16,7 @@ from ledgerflow.sources.views import Views, osql
 
 
 def _pred(v):
-    t = v.order_tx(start="1998-01-01", end="1998-02-01").filter(F.col("document_type") == SALE)
+    t = v.order_tx().filter(F.col("document_type") == SALE)
     return t.groupBy("customer_id", "product_id").agg(F.date_add(F.max("transaction_date"), 30).alias("prediction_date"))
 
 
@@ -25,7 +25,7 @@ SELECT p.customer_id, p.product_id, CAST(p.prediction_date AS VARCHAR) AS predic
        COALESCE(c.customer_name, 'Unknown') AS customer_name, COALESCE(pm.name_zh, 'Unknown') AS product_name,
        c.phone_number
 FROM (SELECT customer_id, product_id, MAX(transaction_date) + 30 AS prediction_date FROM order_tx
-      WHERE document_type = '{SALE}' AND transaction_date >= DATE '1998-01-01' AND transaction_date < DATE '1998-02-01'
+      WHERE document_type = '{SALE}'
       GROUP BY 1, 2) p
 LEFT JOIN customers c ON p.customer_id = c.customer_id
 LEFT JOIN (SELECT product_id, arg_min(name_zh, (CASE WHEN is_active = 'active' THEN 0 ELSE 1 END, warehouse_id)) AS name_zh
@@ -38,20 +38,22 @@ def j5_reminder_list(spark, sf_dir):
 
 
 @query("A33", osql("""
-SELECT group_key, COUNT(*) AS orders, count_if(status = '0') AS open_orders,
-       list(id ORDER BY created_at DESC, id DESC)[1:5] AS newest_order_ids
-FROM (SELECT *, COALESCE(NULLIF(trim(customer_name), ''), NULLIF(trim(line_id), ''), 'unknown') AS group_key
-      FROM incoming_orders) GROUP BY 1"""))
+SELECT group_key, COUNT(*) OVER (PARTITION BY group_key) AS group_orders,
+       count_if(status = '0') OVER (PARTITION BY group_key) AS group_open, id, customer_id, product_id,
+       CAST(quantity AS DOUBLE) AS quantity, status, CAST(created_at AS VARCHAR) AS created_at
+FROM (SELECT *, COALESCE(NULLIF(trim(customer_name), ''), 'Line用戶: ' || NULLIF(trim(line_id), ''), '未知客戶') AS group_key
+      FROM incoming_orders)"""))
 def a33_group_orders(spark, sf_dir):
-    """Incoming orders grouped by customer name, else chat id, else 'unknown'."""
-    return ls.group_orders(Views(spark, sf_dir).incoming_orders, k=5)
+    """Every incoming order under its group, with the group's counts."""
+    return ls.group_orders(Views(spark, sf_dir).incoming_orders).select(
+        "group_key", "group_orders", "group_open", "id", "customer_id", "product_id", "quantity", "status", "created_at")
 
 
 @query("A34", osql("""
-SELECT category, subcategory, COUNT(DISTINCT name_zh) AS product_names FROM product_master
-WHERE category IS NOT NULL AND subcategory IS NOT NULL GROUP BY 1, 2"""))
+SELECT DISTINCT category, subcategory, name_zh AS product_name FROM product_master
+WHERE is_active = 'active' AND category IS NOT NULL AND subcategory IS NOT NULL"""))
 def a34_hierarchy(spark, sf_dir):
-    """Category → subcategory → number of product names (long form)."""
+    """Category → subcategory → names of the active products (long form)."""
     return ls.hierarchy(Views(spark, sf_dir).product_master)
 
 

@@ -211,6 +211,17 @@ def a13_prediction_summary(spark, sf_dir):
     return fc.prediction_summary(_rows(Views(spark, sf_dir)), PRED)
 
 
+@query("A13_batches", osql("""
+SELECT batch_id, CAST(prediction_month AS VARCHAR) AS prediction_month, COUNT(*) AS total_records,
+       count_if(prediction_level = 'subcategory') AS subcategory_count, count_if(prediction_level = 'sku') AS sku_count,
+       CAST(SUM(prediction_value) AS BIGINT) AS total_predicted_value, CAST(MIN(created_at) AS VARCHAR) AS batch_start_time,
+       CAST(MAX(created_at) AS VARCHAR) AS batch_end_time
+FROM prows2 GROUP BY batch_id, prediction_month""", ctes=FC_CTES))
+def a13_prediction_batches(spark, sf_dir):
+    """Figures of every prediction batch."""
+    return fc.prediction_batches(_rows(Views(spark, sf_dir)))
+
+
 @query("A14", osql("""
 SELECT CAST(prediction_month AS VARCHAR) AS prediction_month, subcategory, count_if(prediction_level = 'sku') AS sku_rows,
        arg_max(volatility_group, (created_at, prediction_level)) FILTER (WHERE trim(COALESCE(volatility_group, '')) <> '')

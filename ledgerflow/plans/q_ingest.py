@@ -158,16 +158,15 @@ def src6_check_columns(spark, sf_dir):
 # ------------------------------------------------------------------------------ sinks
 @query("SNK3", osql("""
 SELECT transaction_id, CAST(transaction_date AS VARCHAR) AS transaction_date, CAST(amount AS DOUBLE) AS amount FROM (
-  SELECT * FROM order_tx WHERE transaction_date < DATE '2001-07-01'
-    AND date_trunc('month', transaction_date) NOT IN (
+  SELECT * FROM order_tx WHERE date_trunc('month', transaction_date) NOT IN (
       SELECT DISTINCT date_trunc('month', transaction_date) FROM order_tx
       WHERE transaction_date >= DATE '2001-06-15' AND transaction_date < DATE '2001-08-02')
   UNION ALL
   SELECT * FROM order_tx WHERE transaction_date >= DATE '2001-06-15' AND transaction_date < DATE '2001-08-02')"""))
 def snk3_replace_months(spark, sf_dir):
-    """SNK3: history up to June 2001 with the months of a new batch (mid-June on) replaced."""
+    """SNK3: the history with the months of a new batch (mid-June 2001 on) replaced."""
     v = Views(spark, sf_dir)
-    t = v.order_tx(end="2001-07-01")
+    t = v.order_tx()
     b = v.order_tx(start="2001-06-15", end="2001-08-02")
     return ig.replace_months(t, b).select("transaction_id", "transaction_date", "amount")
 
@@ -366,7 +365,7 @@ def x17_net_stock(spark, sf_dir):
     return i.select("product_id", "warehouse_id", n.alias("net_stock"), (n == F.col("stock_quantity")).alias("consistent"))
 
 
-@query("X2")
+@query("X2", osql("SELECT conv_id, row_no, TRUE AS round_trip_ok, TRUE AS clean_unchanged FROM chat_messages"))
 def x2_repair_text(spark, sf_dir):
     """Mojibake repair of chat texts (unchanged when not Latin-1-decoded UTF-8)."""
     m = Views(spark, sf_dir).chat_messages
@@ -375,7 +374,14 @@ def x2_repair_text(spark, sf_dir):
                     (ft.repair_text("content") == F.col("content")).alias("clean_unchanged"))
 
 
-@query("X16")
+def fingerprint_sql(by: str) -> str:
+    """The fingerprint of id, updated_at and status per ``by`` as SELECT items."""
+    row = "concat_ws(chr(31), CAST(id AS VARCHAR), CAST(updated_at AS VARCHAR), status)"
+    total = f"CAST(SUM(CAST('0x' || substr(md5({row}), 1, 15) AS HUGEINT)) AS VARCHAR)"
+    return f"{by}, COUNT(*) AS row_count, md5({total} || ':' || CAST(COUNT(*) AS VARCHAR)) AS fingerprint"
+
+
+@query("X16", osql(f"SELECT {fingerprint_sql('status')} FROM incoming_orders GROUP BY 1"))
 def x16_fingerprint(spark, sf_dir):
     """Change fingerprint of the incoming orders per status."""
     o = Views(spark, sf_dir).incoming_orders

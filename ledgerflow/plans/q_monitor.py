@@ -53,6 +53,16 @@ def a30_latest_runs(spark, sf_dir):
     return mo.run_stats(Views(spark, sf_dir).task_log, NOW)[1]
 
 
+@query("A30_schedules", osql(f"""
+SELECT count_if(last_run >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY) AS enabled_schedules, COUNT(*) AS total_schedules
+FROM (SELECT task_id, MAX(ts) AS last_run FROM task_log GROUP BY 1)"""))
+def a30_schedules(spark, sf_dir):
+    """Enabled and all schedules; a task of the log counts as enabled when it ran within a day of now."""
+    day_ago = F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 1 DAY")
+    tasks = Views(spark, sf_dir).task_log.groupBy("task_id").agg((F.max("ts") >= day_ago).alias("enabled"))
+    return mo.schedule_counts(tasks)
+
+
 @query("C15", osql(f"""
 SELECT f.failing_now, l.low_success_rate, r.critical_alerts_24h,
        CASE WHEN f.failing_now > 0 THEN 'critical' WHEN l.low_success_rate > 0 OR r.critical_alerts_24h > 0 THEN 'warning'

@@ -40,10 +40,11 @@ cagg AS (SELECT prospect_key, MAX(CASE prospect_class WHEN 'purchased' THEN 3 WH
                 MAX(customer_id) AS customer_id,
                 arg_min_null(file_customer_name, (message_date, file_name, row_no)) AS customer_name,
                 MAX(message_date) AS latest_date, COUNT(*) AS hit_count FROM keyed GROUP BY 1),
-ctext AS (SELECT prospect_key, substr(string_agg(content, ' | ' ORDER BY o, content), 1, 500) AS texts FROM (
+ctext AS (SELECT prospect_key, CASE WHEN length(w) > 500 THEN substr(w, 1, 500) || '...' ELSE w END AS texts FROM (
+          SELECT prospect_key, string_agg(content, '\n' ORDER BY o, content) AS w FROM (
             SELECT *, row_number() OVER (PARTITION BY prospect_key ORDER BY o, content) AS r FROM (
               SELECT prospect_key, content, MIN((message_date, file_name, row_no)) AS o FROM keyed GROUP BY 1, 2))
-          WHERE r <= 5 GROUP BY 1),
+          WHERE r <= 5 GROUP BY 1)),
 cons AS (SELECT a.prospect_key, a.customer_id, a.customer_name, a.latest_date, a.hit_count, t.texts,
                 CASE a.p WHEN 3 THEN 'purchased' WHEN 2 THEN 'can_process' WHEN 1 THEN 'cannot_process' ELSE 'potential' END
                   AS prospect_class
@@ -109,6 +110,15 @@ def c10_consolidate(spark, sf_dir):
         "prospect_key", "customer_id", "customer_name", "latest_date", "hit_count", "texts", "prospect_class")
 
 
+@query("C10_texts", osql("""
+SELECT prospect_key, content, CAST(o[1] AS VARCHAR) AS message_date, o[2] AS file_name, o[3] AS row_no, hits FROM (
+  SELECT prospect_key, content, MIN((message_date, file_name, row_no)) AS o, COUNT(*) AS hits FROM keyed GROUP BY 1, 2)""",
+    ctes=_MATCH))
+def c10_texts(spark, sf_dir):
+    """Every distinct text of every prospect, whole."""
+    return pr.prospect_texts(_classified(Views(spark, sf_dir)))
+
+
 def _recs_for_target(v):
     r = rc.recommend_customers(v.order_tx(), v.product_master)
     return r.filter(F.col("product_id") == TARGET)

@@ -277,7 +277,7 @@ def _m13_sql(targets):
 tg AS (SELECT * FROM (VALUES {tl}) t(target_date)),
 rows AS (SELECT l.*, tg.target_date FROM ld l, tg
          WHERE l.transaction_date >= tg.target_date - 90 AND l.transaction_date < tg.target_date),
-pairs AS (SELECT DISTINCT customer_id, product_id FROM ld WHERE transaction_date >= DATE '2001-01-01'),
+pairs AS (SELECT DISTINCT customer_id, product_id FROM ld),
 cu AS (SELECT target_date, customer_id, COUNT(DISTINCT transaction_date) AS customer_purchase_days_90d,
               CAST(SUM(amount) AS DOUBLE) AS customer_total_amount_90d,
               round(CAST(SUM(amount) AS DOUBLE) / COUNT(*), 6) AS customer_avg_amount_90d,
@@ -321,11 +321,10 @@ m13 AS (
 
 @query("M13", osql("SELECT * FROM m13", ctes=_m13_sql(LONG_TARGETS)))
 def m13_activity_features(spark, sf_dir):
-    """90-day activity features of 2001 pairs at two target days (category grain)."""
+    """90-day activity features of every pair at two target days (category grain)."""
     v = Views(spark, sf_dir)
     daily = rp.daily_purchases(v.replen_tx_long())
-    pairs = daily.filter(F.col("transaction_date") >= F.lit("2001-01-01").cast("date")).select(
-        "customer_id", "product_id").distinct()
+    pairs = daily.select("customer_id", "product_id").distinct()
     return rp.activity_features(daily, pairs, LONG_TARGETS)
 
 

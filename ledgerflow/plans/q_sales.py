@@ -195,18 +195,24 @@ def a20_pivot_ranks(spark, sf_dir):
 
 
 @query("A21", osql("""
-SELECT COUNT(*) AS total_products, count_if(change_amount > 0) AS increased, count_if(change_amount < 0) AS decreased,
+SELECT COUNT(*) AS total_products, count_if(u.product_id IS NOT NULL) AS processed, count_if(u.product_id IS NULL) AS unprocessed,
+       count_if(change_amount > 0) AS increased, count_if(change_amount < 0) AS decreased,
        count_if(change_amount = 0) AS unchanged, count_if(abs(change_percentage) >= 100) AS change_ge_100,
        count_if(abs(change_percentage) >= 50 AND abs(change_percentage) < 100) AS change_50_100,
        count_if(abs(change_percentage) >= 20 AND abs(change_percentage) < 50) AS change_20_50,
        count_if(abs(change_percentage) < 20) AS change_lt_20, count_if(stock_quantity = 0) AS zero_stock,
        count_if(stock_quantity > 0 AND stock_quantity < 10) AS low_stock,
        round(AVG(CAST(stock_quantity AS DOUBLE)), 6) AS avg_stock
-FROM chg2""", ctes=_TOP_BUYERS_SQL))
+FROM chg2 LEFT JOIN (SELECT DISTINCT product_id FROM inventory WHERE updated_at >= TIMESTAMP '2001-07-15') u
+  ON chg2.product_id = u.product_id""", ctes=_TOP_BUYERS_SQL))
 def a21_change_stats(spark, sf_dir):
-    """Change report statistics."""
+    """Change report statistics; a product counts as processed once its stock was updated after the report day."""
     v = Views(spark, sf_dir)
-    return sales.change_stats(sales.sales_change(v.order_tx(), v.product_master, v.inventory, None, "2001-07-15"))
+    change = sales.sales_change(v.order_tx(), v.product_master, v.inventory, None, "2001-07-15")
+    done = (v.inventory.filter(F.col("updated_at") >= F.lit("2001-07-15").cast("timestamp")).select("product_id").distinct()
+            .withColumn("_done", F.lit(True)))
+    change = change.join(done, "product_id", "left").withColumn("processed", F.coalesce("_done", F.lit(False))).drop("_done")
+    return sales.change_stats(change)
 
 
 @query("F15", osql("""

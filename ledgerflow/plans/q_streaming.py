@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerflow.constants import SALE
 from ledgerflow.operators import lifecycle as lc
 from ledgerflow.operators import sales
+from ledgerflow.plans.q_ingest import fingerprint_sql
 from ledgerflow.plans.q_lifecycle import _DS, _DS_OUT, _ORD
 from ledgerflow.plans.registry import query
 from ledgerflow.sources.views import MONEY, Views, osql
@@ -24,50 +25,61 @@ def s3_month_sales(spark, sf_dir):
 
 
 def _pred(v):
-    """Active repurchase predictions: pairs bought in January 1998, expected 30 days after."""
-    t = v.order_tx(start="1998-01-01", end="1998-02-01").filter(F.col("document_type") == SALE)
+    """Active repurchase predictions: every pair ever bought, expected 30 days after its
+    last purchase, in the pair's largest quantity."""
+    t = v.order_tx().filter(F.col("document_type") == SALE)
     return t.groupBy("customer_id", "product_id").agg(
-        F.date_add(F.max("transaction_date"), 30).alias("prediction_date")).withColumn(
-        "prediction_status", F.lit("active"))
-
-
-_PRED_SQL = f"""pred AS (SELECT customer_id, product_id, MAX(transaction_date) + 30 AS prediction_date, 'active' AS prediction_status
-             FROM order_tx WHERE document_type = '{SALE}' AND transaction_date >= DATE '1998-01-01'
-               AND transaction_date < DATE '1998-02-01' GROUP BY 1, 2),
-chg AS (SELECT id, customer_id, product_id, status AS new_status, COALESCE(confirmed_at, updated_at, created_at) AS changed_at
-        FROM incoming_orders),
-conf AS (SELECT c.customer_id, pm.subcategory, MAX(CAST(c.changed_at AS DATE)) AS confirmed_day,
-                arg_max(c.id, c.changed_at) AS order_id
-         FROM chg c JOIN product_master pm ON c.product_id = pm.product_id
-         WHERE c.new_status = '1' AND c.customer_id IS NOT NULL GROUP BY 1, 2),
-audit AS (SELECT p.customer_id, p.product_id, p.prediction_date, 'fulfil' AS action_type, 'active' AS old_status,
-                 'fulfilled' AS new_status, c.order_id AS related_transaction_id, c.confirmed_day AS related_transaction_date
+        F.date_add(F.max("transaction_date"), 30).alias("prediction_date"),
+        F.max("quantity").alias("estimated_quantity")).withColumn("prediction_status", F.lit("active")).withColumn(
+        "will_purchase_anything", F.col("estimated_quantity") >= 10)
+
+
+_PRED_SQL = f"""pred AS (SELECT customer_id, product_id, CAST(MAX(transaction_date) + 30 AS DATE) AS prediction_date,
+                 MAX(quantity) AS estimated_quantity, 'active' AS prediction_status, MAX(quantity) >= 10 AS will_purchase_anything
+             FROM order_tx WHERE document_type = '{SALE}' GROUP BY 1, 2),
+conf AS (SELECT o.customer_id, pm.subcategory, o.product_id, o.id,
+                COALESCE(o.confirmed_at, o.updated_at, o.created_at) AS changed_at
+         FROM incoming_orders o JOIN product_master pm ON o.product_id = pm.product_id
+         WHERE o.status = '1' AND o.customer_id IS NOT NULL AND trim(COALESCE(pm.subcategory, '')) <> ''),
+found AS (SELECT p.customer_id, p.product_id, p.prediction_date, arg_min(c.id, (c.changed_at, c.id)) AS order_id
           FROM pred p JOIN product_master pm ON p.product_id = pm.product_id
           JOIN conf c ON c.customer_id = p.customer_id AND c.subcategory = pm.subcategory
-          WHERE p.prediction_status = 'active' AND p.prediction_date <= c.confirmed_day)"""
+               AND p.prediction_date <= CAST(c.changed_at AS DATE)
+          WHERE p.prediction_status = 'active' GROUP BY 1, 2, 3),
+audit AS (SELECT c.customer_id, c.product_id, CAST(c.changed_at AS DATE) AS prediction_date, 'fulfilled' AS action_type,
+                 'active' AS old_status, 'fulfilled' AS new_status, f.order_id AS related_transaction_id,
+                 CAST(c.changed_at AS DATE) AS related_transaction_date, f.n AS affected_predictions
+          FROM (SELECT order_id, COUNT(*) AS n FROM found GROUP BY 1) f JOIN conf c ON c.id = f.order_id)"""
 
 _AUDIT_OUT = """customer_id, product_id, CAST(prediction_date AS VARCHAR) AS prediction_date, action_type, old_status, new_status,
-       related_transaction_id, CAST(related_transaction_date AS VARCHAR) AS related_transaction_date"""
+       related_transaction_id, CAST(related_transaction_date AS VARCHAR) AS related_transaction_date, affected_predictions"""
+
+_FULFILLED = """SELECT p.customer_id, p.product_id, CAST(p.prediction_date AS VARCHAR) AS prediction_date,
+       CASE WHEN f.order_id IS NULL THEN p.prediction_status ELSE 'fulfilled' END AS prediction_status
+FROM pred p LEFT JOIN found f USING (customer_id, product_id, prediction_date)"""
 
 
 @query("S1_batch", osql(f"SELECT {_AUDIT_OUT} FROM audit", ctes=_PRED_SQL))
 def s1_fulfil_batch(spark, sf_dir):
-    """S1 (batch twin): predictions fulfilled by confirmed orders of a sibling product."""
+    """S1 (batch twin): audit rows of the confirmed orders that fulfilled predictions."""
     v = Views(spark, sf_dir)
     return sj.fulfil(sj.status_changes(v.incoming_orders), _pred(v), v.product_master)[1]
 
 
+@query("S1_predictions", osql(_FULFILLED, ctes=_PRED_SQL))
+def s1_predictions(spark, sf_dir):
+    """S1 (batch twin): every prediction with its status after the confirmations."""
+    v = Views(spark, sf_dir)
+    updated = sj.fulfil(sj.status_changes(v.incoming_orders), _pred(v), v.product_master)[0]
+    return updated.select("customer_id", "product_id", "prediction_date", "prediction_status")
+
+
 @query("S1", osql(f"SELECT {_AUDIT_OUT} FROM audit", ctes=_PRED_SQL))
 def s1_fulfil_stream(spark, sf_dir):
-    """The same as a stream of order status changes (foreachBatch), one micro-batch
-    per input file; audit rows read back."""
+    """The same audit rows from a stream of order status changes."""
     v = Views(spark, sf_dir)
-    orders = sj.stream_table(spark, sf_dir, "orders")
-    changes = sj.status_changes(v.incoming_from(orders))
-    out, ckpt = sj.run_dir(spark, "fulfil")
-    sj.fulfil_stream(changes, _pred(v), v.product_master, out, ckpt)
-    res = sj.read_output(spark, out)
-    return res.drop("batch_id")
+    changes = sj.status_changes(v.incoming_from(sj.stream_table(spark, sf_dir, "orders")))
+    return sj.run_fulfil(spark, changes, _pred(v), v.product_master)[1]
 
 
 @query("S2", osql(f"""
@@ -112,6 +124,30 @@ def s5_delivery_stream(spark, sf_dir):
     return sj.read_output(spark, out).drop("batch_id")
 
 
+_PRED_DELIVERY = """SELECT 'P-' || CAST(p.customer_id AS VARCHAR) || '-' || CAST(p.product_id AS VARCHAR) || '-'
+         || CAST(p.prediction_date AS VARCHAR) AS delivery_id, p.customer_id, d.cname AS customer_name,
+       CAST(p.product_id AS VARCHAR) AS product_id, CAST(NULL AS VARCHAR) AS product_name,
+       CASE WHEN len(d.days) > 0 THEN CAST(CAST(list_filter(
+            generate_series(p.prediction_date + INTERVAL 0 DAY, p.prediction_date + INTERVAL 6 DAY, INTERVAL 1 DAY),
+            lambda x: list_contains(d.days, isodow(x)))[1] AS DATE) AS VARCHAR) END AS delivery_date,
+       CAST(NULL AS DOUBLE) AS amount, CAST(p.estimated_quantity AS DOUBLE) AS quantity, 'prediction' AS status,
+       CAST(NULL AS VARCHAR) AS source_order_id
+FROM pred p JOIN days_of d ON p.customer_id = d.customer_id WHERE p.will_purchase_anything"""
+
+
+@query("S5_predictions", osql(_PRED_DELIVERY, ctes=_ORD + "," + _DS + "," + _PRED_SQL))
+def s5_prediction_deliveries(spark, sf_dir):
+    """Delivery rows from a stream of predictions (the prediction table of a run,
+    written and then read as a stream)."""
+    v = Views(spark, sf_dir)
+    out, ckpt = sj.run_dir(spark, "prediction-delivery")
+    table = f"{out}-predictions"
+    _pred(v).write.parquet(table)
+    stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
+    sj.run_available(sj.prediction_delivery_stream(stream, v.customers), out, ckpt)
+    return sj.read_output(spark, out).drop("batch_id")
+
+
 @query("S6_batch", osql("""
 SELECT CAST(time_bucket(INTERVAL 1 DAY, updated_at) AS VARCHAR) AS window_start, COUNT(*) AS changed_rows,
        CAST(MAX(updated_at) AS VARCHAR) AS last_change FROM incoming_orders GROUP BY 1"""))
@@ -121,7 +157,14 @@ def s6_change_summary(spark, sf_dir):
     return sj.change_summary(v.incoming_orders, "updated_at", ["id", "updated_at", "status"]).drop("fingerprint")
 
 
-@query("S6_changed")
+@query("S6_changed", osql(f"""
+SELECT CAST(n.window_start AS VARCHAR) AS window_start, n.row_count AS changed_rows, CAST(n.last_change AS VARCHAR) AS last_change,
+       n.fingerprint
+FROM (SELECT {fingerprint_sql("time_bucket(INTERVAL 1 DAY, updated_at) AS window_start")}, MAX(updated_at) AS last_change
+      FROM incoming_orders GROUP BY 1) n
+LEFT JOIN (SELECT {fingerprint_sql("time_bucket(INTERVAL 1 DAY, updated_at) AS window_start")} FROM incoming_orders
+           WHERE created_at < TIMESTAMP '1998-01-01' GROUP BY 1) b ON n.window_start = b.window_start
+WHERE b.fingerprint IS NULL OR b.fingerprint <> n.fingerprint"""))
 def s6_changed(spark, sf_dir):
     """Days whose fingerprint differs from an earlier snapshot (orders before 1998)."""
     v = Views(spark, sf_dir)
@@ -147,7 +190,8 @@ SELECT customer_id, product_id, CAST(prediction_date AS VARCHAR) AS prediction_d
             ELSE prediction_status END AS prediction_status FROM pred""", ctes=_PRED_SQL))
 def s7_expire(spark, sf_dir):
     """Active predictions older than 14 days expire on 1998-03-01."""
-    return sj.expire(_pred(Views(spark, sf_dir)), "1998-03-01", 14)
+    return sj.expire(_pred(Views(spark, sf_dir)), "1998-03-01", 14).select(
+        "customer_id", "product_id", "prediction_date", "prediction_status")
 
 
 @query("S8", osql("""

@@ -130,10 +130,10 @@ def append_partitioned(df: DataFrame, path: str, partition_by: Sequence[str]) ->
 
 def replace_months(target: DataFrame, batch: DataFrame, date_col: str = "transaction_date") -> DataFrame:
     """SNK3: drop every target row whose (year, month) occurs in the batch, then add the
-    batch (the months touched are a small distinct set, broadcast)."""
+    batch."""
     m = F.trunc(F.col(date_col), "month")
     months = batch.select(m.alias("_m")).distinct()
-    kept = target.withColumn("_m", m).join(F.broadcast(months), "_m", "left_anti").drop("_m")
+    kept = target.withColumn("_m", m).join(months, "_m", "left_anti").drop("_m")
     return kept.unionByName(batch.select(*target.columns))
 
 
@@ -151,7 +151,7 @@ def replace_stock(target: DataFrame, batch: DataFrame, cross_product: bool = Tru
         prods = batch.select("product_id").distinct()
         whs = batch.select("warehouse_id").distinct()
         hit_p = target.join(prods.withColumn("_p", F.lit(True)), "product_id", "left")
-        hit = hit_p.join(F.broadcast(whs).withColumn("_w", F.lit(True)), "warehouse_id", "left")
+        hit = hit_p.join(whs.withColumn("_w", F.lit(True)), "warehouse_id", "left")
         kept = hit.filter(~(F.coalesce("_p", F.lit(False)) & F.coalesce("_w", F.lit(False)))).drop("_p", "_w")
     else:
         kept = target.join(batch.select("product_id", "warehouse_id"), ["product_id", "warehouse_id"], "left_anti")

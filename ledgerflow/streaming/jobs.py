@@ -2,8 +2,8 @@
 
 Each job has a batch twin (a plain DataFrame function) and a streaming form:
 
-* S3 and S6 write partial totals per micro-batch and merge them when read.
-* S1, S2 and S5 run their batch twin on every micro-batch with ``foreachBatch``.
+* S1, S3 and S6 write partial results per micro-batch and merge them when read.
+* S2 and S5 run their batch twin on every micro-batch with ``foreachBatch``.
 * S4 is stateless.
 * S7 and S8 are periodic batch projections.
 
@@ -18,10 +18,10 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.constants import SALE, STATUS_CONFIRMED
+from ledgerflow.constants import SALE, STATUS_CONFIRMED, STATUS_OPEN
 from ledgerflow.functions.misc import fingerprint
 from ledgerflow.operators import lifecycle as lc
 from ledgerflow.operators.sales import dedup_product
@@ -83,42 +83,86 @@ def latest_per_key(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------- S1 fulfil predictions
+PREDICTION_KEY = ["customer_id", "product_id", "prediction_date"]
+
+
 def status_changes(orders: DataFrame) -> DataFrame:
-    """Order status change events of the incoming-order table: (id, customer_id,
-    product_id, new_status, changed_at)."""
-    return orders.select("id", "customer_id", "product_id", F.col("status").alias("new_status"),
+    """Status changes of the incoming-order table: (id, customer_id, product_id, old_status,
+    new_status, changed_at).  A settled order was open ('0') before; an open one has no
+    earlier status."""
+    return orders.select("id", "customer_id", "product_id",
+                         F.when(F.col("status") != STATUS_OPEN, F.lit(STATUS_OPEN)).alias("old_status"),
+                         F.col("status").alias("new_status"),
                          F.coalesce("confirmed_at", "updated_at", "created_at").alias("changed_at"))
 
 
+def fulfilments(changes: DataFrame, pred: DataFrame, pm: DataFrame) -> DataFrame:
+    """The active predictions that the changes fulfil, each with its earliest
+    confirmation (changed_at, order id, ordered product).
+
+    Only a change from '0' to '1' with customer and product counts; it fulfils the
+    customer's predictions of any product of the ordered subcategory dated on or before
+    the confirmation day.  Confirmations and predictions are first reduced to one row per
+    (customer, subcategory, day), so that the window that looks up the next confirmation
+    holds calendar days and never the lines of a busy customer."""
+    sub = (dedup_product(pm).select("product_id", "subcategory")
+           .filter(F.trim(F.coalesce("subcategory", F.lit(""))) != ""))
+    conf = changes.filter((F.col("old_status") == STATUS_OPEN) & (F.col("new_status") == STATUS_CONFIRMED)
+                          & F.col("customer_id").isNotNull() & F.col("changed_at").isNotNull())
+    first = F.struct("changed_at", F.col("id").alias("order_id"), F.col("product_id").alias("order_product_id"))
+    conf = conf.join(sub, "product_id").select("customer_id", "subcategory", F.to_date("changed_at").alias("day"),
+                                               first.alias("first"))
+    active = (pred.filter(F.col("prediction_status") == "active").select(*PREDICTION_KEY).distinct()
+              .join(sub, "product_id"))
+    asked = active.select("customer_id", "subcategory", F.col("prediction_date").alias("day"),
+                          F.lit(None).cast(conf.schema["first"].dataType).alias("first"), F.lit(True).alias("asked"))
+    days = (conf.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("customer_id", "subcategory", "day")
+            .agg(F.min("first").alias("first"), F.max("asked").alias("asked")))
+    later = (Window.partitionBy("customer_id", "subcategory").orderBy("day")
+             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    hits = (days.withColumn("first", F.min("first").over(later)).filter(F.col("asked") & F.col("first").isNotNull())
+            .select("customer_id", "subcategory", F.col("day").alias("prediction_date"), "first"))
+    return active.join(hits, ["customer_id", "subcategory", "prediction_date"]).select(*PREDICTION_KEY, "first.*")
+
+
+def merge_fulfilments(parts: DataFrame) -> DataFrame:
+    """One row per prediction, the earliest of the confirmations found for it."""
+    first = F.min(F.struct("changed_at", "order_id", "order_product_id")).alias("first")
+    return parts.groupBy(*PREDICTION_KEY).agg(first).select(*PREDICTION_KEY, "first.*")
+
+
+def fulfil_result(found: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(predictions with those found set to 'fulfilled', one audit row per confirming
+    order that changed any prediction)."""
+    hit = found.select(*PREDICTION_KEY, F.lit(True).alias("_hit"))
+    status = F.when(F.col("_hit") & (F.col("prediction_status") == "active"), F.lit("fulfilled")).otherwise(
+        F.col("prediction_status"))
+    updated = pred.join(hit, PREDICTION_KEY, "left").withColumn("prediction_status", status)
+    audit = found.groupBy("order_id", "customer_id", F.col("order_product_id").alias("product_id"),
+                          F.to_date("changed_at").alias("related_transaction_date")).agg(
+        F.count("*").alias("affected_predictions"))
+    return updated.select(*pred.columns), audit.select(
+        "customer_id", "product_id", F.col("related_transaction_date").alias("prediction_date"),
+        F.lit("fulfilled").alias("action_type"), F.lit("active").alias("old_status"),
+        F.lit("fulfilled").alias("new_status"), F.col("order_id").alias("related_transaction_id"),
+        "related_transaction_date", "affected_predictions")
+
+
 def fulfil(changes: DataFrame, pred: DataFrame, pm: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S1 (batch twin): the latest change per order id; for orders now confirmed, the
-    customer's active predictions of any product in the ordered product's subcategory,
-    dated on or before the confirmation day, become 'fulfilled'.  Returns (updated
-    predictions, audit rows of the changed predictions)."""
-    latest = changes.groupBy("id").agg(F.max_by(F.struct("customer_id", "product_id", "new_status", "changed_at"),
-                                                F.col("changed_at")).alias("c")).select("id", "c.*")
-    conf = latest.filter((F.col("new_status") == STATUS_CONFIRMED) & F.col("customer_id").isNotNull())
-    sub = dedup_product(pm).select("product_id", "subcategory")
-    conf = conf.join(sub, "product_id").groupBy("customer_id", "subcategory").agg(
-        F.max(F.to_date("changed_at")).alias("confirmed_day"), F.max_by("id", "changed_at").alias("order_id"))
-    p = pred.join(sub, "product_id", "left")
-    j = p.join(conf, ["customer_id", "subcategory"], "left")
-    hit = (F.col("prediction_status") == "active") & F.col("confirmed_day").isNotNull() & (
-        F.col("prediction_date") <= F.col("confirmed_day"))
-    out = j.withColumn("_hit", hit)
-    updated = out.withColumn("prediction_status", F.when(F.col("_hit"), F.lit("fulfilled"))
-                             .otherwise(F.col("prediction_status")))
-    audit = out.filter("_hit").select("customer_id", "product_id", "prediction_date",
-                                      F.lit("fulfil").alias("action_type"), F.lit("active").alias("old_status"),
-                                      F.lit("fulfilled").alias("new_status"),
-                                      F.col("order_id").alias("related_transaction_id"),
-                                      F.col("confirmed_day").alias("related_transaction_date"))
-    return updated.select(*pred.columns), audit
-
-
-def fulfil_stream(changes_stream: DataFrame, pred: DataFrame, pm: DataFrame, out_dir: str, ckpt: str) -> None:
-    """S1 streaming form: audit rows of every micro-batch of status changes."""
-    run_available(changes_stream, out_dir, ckpt, fn=lambda df, _: fulfil(df, pred, pm)[1])
+    """S1 (batch twin): (updated predictions, audit rows)."""
+    return fulfil_result(merge_fulfilments(fulfilments(changes, pred, pm)), pred)
+
+
+def run_fulfil(spark: SparkSession, changes_stream: DataFrame, pred: DataFrame,
+               pm: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S1 streaming form.  Each micro-batch writes what it fulfils; a prediction found by
+    several batches keeps its earliest confirmation, so the result is that of the batch
+    twin however the changes are dealt to micro-batches, and a replay repeats nothing."""
+    out, ckpt = run_dir(spark, "fulfil")
+    run_available(changes_stream, out, ckpt, fn=lambda df, _: fulfilments(df, pred, pm))
+    schema = pred.select(*PREDICTION_KEY).schema.simpleString()[7:-1].replace(":", " ")
+    parts = read_output(spark, out, schema + ", changed_at timestamp, order_id long, order_product_id long, batch_id int")
+    return fulfil_result(merge_fulfilments(parts), pred)
 
 
 # ------------------------------------------------------------------ S2 reactivation
@@ -184,6 +228,11 @@ def delivery_stream(orders_stream: DataFrame, customers: DataFrame, pm: DataFram
     return lc.schedule_delivery(lc.order_products(orders_stream, pm), customers)
 
 
+def prediction_delivery_stream(pred_stream: DataFrame, customers: DataFrame) -> DataFrame:
+    """Positive purchase predictions → delivery rows (stream-static join)."""
+    return lc.prediction_deliveries(pred_stream, customers)
+
+
 # ---------------------------------------------------------------- S6 change detector
 def change_summary(df: DataFrame, ts_col: str, cols: list[str], window: str = "1 day") -> DataFrame:
     """S6 (batch twin): per time window: rows changed, last change time and a fingerprint

@@ -185,12 +185,15 @@ def test_fulfil_rules(spark):
                                  "customer_id long, product_id long, prediction_date date, prediction_status string")
     ts = dt.datetime
     changes = spark.createDataFrame([
-        (100, 7, 2, "1", ts(2024, 1, 10, 9)),       # sibling of product 1, on the day → fulfils (7,1) only
-        (101, 8, 1, "1", ts(2024, 1, 9, 9)),        # before the prediction day → no
-        (102, 9, 1, "1", ts(2024, 1, 12, 9))],      # prediction not active → no
-        "id long, customer_id long, product_id long, new_status string, changed_at timestamp")
+        (99, 7, 3, "1", "1", ts(2024, 1, 11, 9)),        # not a change from open to confirmed → no
+        (100, 7, 2, "0", "1", ts(2024, 1, 10, 9)),       # sibling of product 1, on the day → fulfils (7,1) only
+        (103, 7, 1, "0", "1", ts(2024, 1, 11, 9)),       # later: nothing left to fulfil, no audit row
+        (101, 8, 1, "0", "1", ts(2024, 1, 9, 9)),        # before the prediction day → no
+        (102, 9, 1, "0", "1", ts(2024, 1, 12, 9))],      # prediction not active → no
+        "id long, customer_id long, product_id long, old_status string, new_status string, changed_at timestamp")
     upd, audit = sj.fulfil(changes, pred, pm)
-    assert [(r["customer_id"], r["product_id"]) for r in audit.collect()] == [(7, 1)]
+    got = [(r["customer_id"], r["product_id"], r["related_transaction_id"], r["affected_predictions"]) for r in audit.collect()]
+    assert got == [(7, 2, 100, 1)]
     st = {(r["customer_id"], r["product_id"]): r["prediction_status"] for r in upd.collect()}
     assert st[(7, 1)] == "fulfilled" and st[(7, 3)] == "active" and st[(8, 1)] == "active" and st[(9, 1)] == "expired"
 

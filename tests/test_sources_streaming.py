@@ -20,11 +20,14 @@ def test_read_chat_csv_files(spark, tmp_path):
         "User,Ann,2024-01-02,10:00,\"Do you have rice, 5kg?\"\n"
         "Account,Shop,2024-01-02,10:01,Yes we do\n"
         "user,Ann,2024-01-02,10:02,x\n"
-        "User,Ann,2024-01-03\n", encoding="utf-8")
+        "User,Ann,2024-01-03\n"
+        "User,Ann,2024-01-04,10:00,\"first line\nsecond line\"\n"
+        "User,Ann,2024-01-04,10:01,after\n", encoding="utf-8")
     (d / "2_Bob.csv").write_text("h1,h2,h3,h4,h5\nUser,Bob,2024-01-05,09:00,need noodles\n", encoding="utf-8")
     msgs = pr.user_messages(pr.with_file_key(pr.read_chats_csv(spark, str(d))))
     got = sorted((r["file_customer_name"], r["file_customer_id"], r["row_no"], r["content"]) for r in msgs.collect())
-    assert got == [("Bob", None, 2, "need noodles"), ("Shop A", "42", 2, "Do you have rice, 5kg?")]
+    assert got == [("Bob", None, 2, "need noodles"), ("Shop A", "42", 2, "Do you have rice, 5kg?"),
+                   ("Shop A", "42", 6, "first line\nsecond line"), ("Shop A", "42", 7, "after")]
 
 
 def test_month_sales_stream_equals_batch(spark):
@@ -69,6 +72,12 @@ def test_streams_over_several_batches(spark, tmp_path):
     one = sj.change_counts(v.incoming_orders, "updated_at")
     many = sj.run_changes(spark, stream, "updated_at")
     assert many.count() == one.count() and many.exceptAll(one.select(many.columns)).count() == 0
+    from ledgerflow.plans.q_streaming import _pred
+    pred = _pred(v)
+    streamed = sj.run_fulfil(spark, sj.status_changes(stream), pred, v.product_master)
+    batch = sj.fulfil(sj.status_changes(v.incoming_orders), pred, v.product_master)
+    for got, want in zip(streamed, batch):
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
 
 
 def test_core_name_deletes_marks(spark):
