@@ -136,14 +136,15 @@ def new_item_orders(df: DataFrame) -> DataFrame:
 
 def timeline(tx: DataFrame, customer_id=None, product_id=None, month: str | None = None) -> DataFrame:
     """dated purchases, optional customer / product (trimmed, lower-case) / month
-    prefix 'YYYY-MM'; oldest first."""
+    'YYYY-MM'; oldest first."""
     t = tx
     if customer_id is not None:
         t = t.filter(F.col("customer_id") == F.lit(customer_id))
     if product_id is not None:
         t = t.filter(F.lower(F.trim(F.col("product_id").cast("string"))) == str(product_id).strip().lower())
     if month:
-        t = t.filter(F.date_format("transaction_date", "yyyy-MM").startswith(month))
+        first = F.to_date(F.lit(f"{month}-01"))
+        t = t.filter((F.col("transaction_date") >= first) & (F.col("transaction_date") < F.add_months(first, 1)))
     return t.orderBy("customer_id", "transaction_date", "transaction_id")
 
 

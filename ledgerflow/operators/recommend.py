@@ -16,9 +16,9 @@ Scale notes:
 * Candidates are products sharing an attribute value with the customer's history; a
   product sharing none scores 0 and is never recommended here (the source ranks such
   zero-score products in arbitrary order after the others).
-* The 5 % / 95 % price cut uses exact quantiles computed from a value → count aggregate
-  that is range-partitioned and prefix-summed per partition: no global sort in one task,
-  and heavily repeated prices collapse before the shuffle.
+* The 5 % / 95 % price cut uses exact quantiles computed from value → count and
+  magnitude → count aggregates: no global sort, and heavily repeated prices collapse
+  before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.misc import default
+from ledgerflow.operators.sales import dedup_product
 
 R = 6
 UNKNOWN = "unknown"   # FIXED VALUE: fill for missing product attributes
@@ -39,24 +40,31 @@ def _r(c: Column) -> Column:
 
 
 # ------------------------------------------------------------------ exact quantiles
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | None = None) -> DataFrame:
+def magnitude(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises: 256 steps per power of two."""
+    step = F.floor(F.log2(F.abs(v)) * 256) + 300_000   # log2 of a double is above -1075
+    return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0)).cast("long")
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / SQL ``quantile_cont``) of ``col``:
     one row with columns q0, q1, ...
 
-    Distinct values are counted (partial aggregation), range-partitioned, prefix-summed
-    within each partition and offset by the totals of the earlier partitions (one row per
-    partition, which also carries the overall count), so no task ever holds more than one
-    range partition of distinct values and no scalar subquery is repeated in the plan."""
-    g = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = g.repartitionByRange(n_parts, "v").withColumn("pid", F.spark_partition_id())
-    tot = r.groupBy("pid").agg(F.sum("c").alias("pc"))
-    every = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    off = tot.select("pid", F.coalesce(F.sum("pc").over(Window.orderBy("pid").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), F.sum("pc").over(every).alias("n"))
-    cum = r.withColumn("cin", F.sum("c").over(Window.partitionBy("pid").orderBy("v")
-                                              .rowsBetween(Window.unboundedPreceding, 0)))
-    cum = cum.join(F.broadcast(off), "pid").withColumn("hi", F.col("off") + F.col("cin")).withColumn(
+    Distinct values are counted (partial aggregation) and the counts summed per magnitude,
+    a fixed function of the value, so a task run again cannot disagree with the offsets.
+    Running sums over the magnitudes tell which of them hold the wanted ranks (at most two
+    per quantile); only their values are ordered."""
+    g = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
+         .withColumn("b", magnitude(F.col("v"))))
+    every = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    off = g.groupBy("b").agg(F.sum("c").alias("bc")).select(
+        "b", "bc", F.coalesce(F.sum("bc").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
+                              F.lit(0)).alias("off"), F.sum("bc").over(every).alias("n"))
+    ranks = [r for q in qs for k1 in [F.floor((F.col("n") - 1) * F.lit(float(q)))] for r in (k1, k1 + 1)]
+    wanted = F.exists(F.array(*ranks), lambda r: (F.col("off") <= r) & (r < F.col("off") + F.col("bc")))
+    cum = g.join(F.broadcast(off.filter(wanted)), "b").withColumn("cin", F.sum("c").over(
+        Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    cum = cum.withColumn("hi", F.col("off") + F.col("cin")).withColumn(
         "lo", F.col("hi") - F.col("c"))                       # value v holds 0-based ranks [lo, hi)
     sel, outs = [], []
     for i, q in enumerate(qs):
@@ -83,10 +91,10 @@ def priced_sales(tx: DataFrame, pm: DataFrame) -> DataFrame:
 
 def active_products(pm: DataFrame) -> DataFrame:
     """Active products, one row each, attributes with 'unknown' for missing values."""
-    p = pm.filter(F.col("is_active") == "active").select(
+    p = dedup_product(pm.filter(F.col("is_active") == "active"))
+    return p.select(
         "product_id", *[default(F.col(c).cast("string"), UNKNOWN).alias(c)
                         for c in ("category", "subcategory", "specification", "process_type")])
-    return p.dropDuplicates(["product_id"])
 
 
 def trim_prices(sales: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:

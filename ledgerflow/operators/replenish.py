@@ -32,6 +32,7 @@ from ledgerflow.constants import (ORDER_RATE_THRESHOLD_DEFAULT, ORDER_RATE_THRES
                                   ORDER_RATE_THRESHOLD_NEW, SALE, SEGMENT_ACTIVE, SEGMENT_IMPORTANT,
                                   SEGMENT_NEW, SEGMENT_PLANNED, SEGMENT_VIP)
 from ledgerflow.functions.misc import bucket_ge
+from ledgerflow.session import checkpoint_dir
 
 R = 6
 PAIR = ["customer_id", "product_id"]
@@ -340,8 +341,8 @@ def activity_features(daily: DataFrame, pairs: DataFrame, targets: Sequence[str]
 # -------------------------------------------------------------------------- samples
 def hash_unit(cols: Sequence[str], seed: int) -> Column:
     """A reproducible uniform number in [0, 1) from the row's keys."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in cols])
-    return (F.pmod(h, F.lit(1 << 30)).cast("double")) / float(1 << 30)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def thin_negatives(samples: DataFrame, ratio: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -373,11 +374,12 @@ def rolling_samples(daily: DataFrame, end: str, window_days: int = 90, label_day
 
 
 def training_samples(daily: DataFrame, first: str, last: str, step_days: int = 15, history_days: int = 90,
-                     label_days: int = 7, only_with_history: bool = False) -> DataFrame:
-    """M14 (unsampled): every ``step_days`` sample date: pairs with history in the
+                     label_days: int = 7, only_with_history: bool = False, ratio: float | None = None) -> DataFrame:
+    """Every ``step_days`` sample date: pairs with history in the
     previous 90 days or a purchase in the next 7; label = bought within the next 7 days;
     activity features (M13) from the 90 days before.  ``only_with_history`` drops positives
-    without history (one trainer's rule)."""
+    without history (one trainer's rule).  With ``ratio`` the negatives are thinned, on the
+    bare keys, before any feature is computed."""
     from ledgerflow.operators.catalog import sample_windows
 
     sw = sample_windows(daily, first, last, step_days, history_days, label_days)
@@ -388,6 +390,8 @@ def training_samples(daily: DataFrame, first: str, last: str, step_days: int = 1
     if only_with_history:
         keys = keys.filter("has_history")
     keys = keys.drop("_h")
+    if ratio is not None:
+        keys = thin_negatives(keys, ratio, [*PAIR, "sample_date"])
     hist_rows = sw.filter(F.col("role") == "history").withColumnRenamed("sample_date", "target_date")
     feats = _activity_from_windows(hist_rows, keys.withColumnRenamed("sample_date", "target_date"))
     return feats
@@ -445,7 +449,8 @@ NUMERIC_M12 = [f for f in FEATURES_M12]
 def train(samples: DataFrame, features: Sequence[str], max_iter: int = 50, max_depth: int = 6,
           step_size: float = 0.05, positive_weight: float = 8.0, seed: int = 42):
     """Gradient-boosted trees with class weight [1, w]; stratified 80/20 split by a
-    key hash (per label, so both classes split 80/20).  Returns (model, metrics DataFrame)."""
+    key hash (per label, so both classes split 80/20).  The samples are materialised once in
+    the shared checkpoint folder.  Returns (model, scored hold-out); see ``evaluate``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -453,13 +458,14 @@ def train(samples: DataFrame, features: Sequence[str], max_iter: int = 50, max_d
     # a seed of its own: thinning keeps negatives by a hash of the same keys
     s = samples.withColumn("_u", hash_unit([*PAIR, "target_date", "label"], seed + 1)).withColumn(
         "weight", F.when(F.col("label") == 1, F.lit(positive_weight)).otherwise(F.lit(1.0)))
-    s = s.withColumn("label_d", F.col("label").cast("double"))
+    checkpoint_dir(s.sparkSession)
+    s = s.withColumn("label_d", F.col("label").cast("double")).checkpoint()
     tr, te = s.filter(F.col("_u") < 0.8), s.filter(F.col("_u") >= 0.8)
     va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(labelCol="label_d", featuresCol="features", weightCol="weight", maxIter=max_iter,
                         maxDepth=max_depth, stepSize=step_size, seed=seed)
     model = Pipeline(stages=[va, gbt]).fit(tr)
-    return model, evaluate(model.transform(te), 0.5)
+    return model, model.transform(te)
 
 
 def evaluate(scored: DataFrame, threshold: float) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerflow.constants import AS_OF_MONTHLY, SALE, VOL_HIGH, VOL_LOW, VOL_MEDIUM
 from ledgerflow.operators import forecast as fc
 from ledgerflow.plans.registry import query
+from ledgerflow.session import sub_checkpoint
+from ledgerflow.sources.ingest import append_partitioned
 from ledgerflow.sources.views import Views, osql
 
 PRED = AS_OF_MONTHLY              # predict 2001-08
@@ -188,17 +192,30 @@ def a12_forecast_errors(spark, sf_dir):
     return fc.forecast_errors(fc.with_errors(sub, act.select("subcategory", "actual"), "subcategory"))
 
 
-@query("SNK2", osql("""
+_SNK2 = """
 SELECT prediction_level, CAST(prediction_month AS VARCHAR) AS prediction_month, subcategory, product_id, product_name,
        prediction_value, cv_value, allocation_ratio, volatility_group, prediction_method,
        CAST(month_minus_3 AS DOUBLE) AS month_minus_3, CAST(month_minus_2 AS DOUBLE) AS month_minus_2,
        CAST(month_minus_1 AS DOUBLE) AS month_minus_1, batch_id, CAST(created_at AS VARCHAR) AS created_at
-FROM prows2""", ctes=FC_CTES))
+FROM prows2"""
+
+
+@query("SNK2", osql(_SNK2, ctes=FC_CTES))
 def snk2_prediction_rows(spark, sf_dir):
     """SNK2: batch-stamped rows of both levels, ready to append."""
     return _rows(Views(spark, sf_dir))
 
 
+@query("SNK2_write", osql(_SNK2, ctes=FC_CTES))
+def snk2_append_rows(spark, sf_dir):
+    """SNK2: both levels appended, one after the other, to a table by month, and read back."""
+    rows = _rows(Views(spark, sf_dir))
+    path = sub_checkpoint(spark, f"tables/predictions-{uuid.uuid4().hex[:12]}")
+    for level in ("subcategory", "sku"):
+        append_partitioned(rows.filter(F.col("prediction_level") == level), path, ["prediction_month"])
+    return spark.read.parquet(path).select(*rows.columns)
+
+
 @query("A13", osql("""
 SELECT prediction_level, COUNT(*) AS n_rows, SUM(prediction_value) AS total_prediction,
        round(AVG(prediction_value), 6) AS avg_prediction, MIN(prediction_value) AS min_prediction,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ledgerflow.functions import misc as fm
 from ledgerflow.functions import text as ft
 from ledgerflow.operators import replenish as rp
 from ledgerflow.plans.registry import query
+from ledgerflow.session import sub_checkpoint
 from ledgerflow.sources import ingest as ig
 from ledgerflow.sources.views import Views, osql
 
@@ -156,13 +159,16 @@ def src6_check_columns(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------------ sinks
-@query("SNK3", osql("""
+_SNK3 = """
 SELECT transaction_id, CAST(transaction_date AS VARCHAR) AS transaction_date, CAST(amount AS DOUBLE) AS amount FROM (
   SELECT * FROM order_tx WHERE date_trunc('month', transaction_date) NOT IN (
       SELECT DISTINCT date_trunc('month', transaction_date) FROM order_tx
       WHERE transaction_date >= DATE '2001-06-15' AND transaction_date < DATE '2001-08-02')
   UNION ALL
-  SELECT * FROM order_tx WHERE transaction_date >= DATE '2001-06-15' AND transaction_date < DATE '2001-08-02')"""))
+  SELECT * FROM order_tx WHERE transaction_date >= DATE '2001-06-15' AND transaction_date < DATE '2001-08-02')"""
+
+
+@query("SNK3", osql(_SNK3))
 def snk3_replace_months(spark, sf_dir):
     """SNK3: the history with the months of a new batch (mid-June 2001 on) replaced."""
     v = Views(spark, sf_dir)
@@ -171,6 +177,17 @@ def snk3_replace_months(spark, sf_dir):
     return ig.replace_months(t, b).select("transaction_id", "transaction_date", "amount")
 
 
+@query("SNK3_write", osql(_SNK3))
+def snk3_write_months(spark, sf_dir):
+    """SNK3: the same on a stored table: its month partitions are written, those of the
+    batch overwritten, and the table read back."""
+    v = Views(spark, sf_dir)
+    path = sub_checkpoint(spark, f"tables/transactions-{uuid.uuid4().hex[:12]}")
+    ig.write_replace_months(v.order_tx(), path)
+    ig.write_replace_months(v.order_tx(start="2001-06-15", end="2001-08-02"), path)
+    return spark.read.parquet(path).select("transaction_id", "transaction_date", "amount")
+
+
 _INV_BATCH = """ib AS (SELECT * REPLACE (stock_quantity * 2 AS stock_quantity) FROM inventory
                WHERE product_id IN (SELECT product_id FROM product_master WHERE specification IN ('41', '42', '43')))"""
 
@@ -227,7 +244,23 @@ def snk8_delete_keys(spark, sf_dir):
     """SNK8: stock rows of deleted (inactive) products removed."""
     v = Views(spark, sf_dir)
     gone = v.product_master.filter(F.col("is_active") == "inactive").select("product_id")
-    return ig.delete_keys(v.inventory, gone, ["product_id"]).select("product_id", "warehouse_id")
+    return ig.delete_products(v.product_master, v.inventory, gone)[1].select("product_id", "warehouse_id")
+
+
+@query("SNK8_products", osql("SELECT product_id, warehouse_id FROM product_master WHERE is_active <> 'inactive' OR is_active IS NULL"))
+def snk8_delete_products(spark, sf_dir):
+    """SNK8: the product rows that stay when inactive products are deleted."""
+    v = Views(spark, sf_dir)
+    gone = v.product_master.filter(F.col("is_active") == "inactive").select("product_id")
+    return ig.delete_products(v.product_master, v.inventory, gone)[0].select("product_id", "warehouse_id")
+
+
+@query("SNK8_customers", osql("SELECT customer_id FROM customers WHERE customer_id IN (SELECT customer_id FROM order_tx)"))
+def snk8_delete_customers(spark, sf_dir):
+    """SNK8: customers left when those who never ordered are deleted."""
+    v = Views(spark, sf_dir)
+    gone = v.customers.select("customer_id").join(v.order_tx().select("customer_id"), "customer_id", "left_anti")
+    return ig.delete_keys(v.customers, gone, ["customer_id"]).select("customer_id")
 
 
 _PRED = """pr AS (SELECT customer_id, product_id, prediction_date, purchase_probability,
@@ -354,6 +387,24 @@ def x13_keywords(spark, sf_dir):
     return e.select("event_id", F.array_sort(ft.keywords_from_json("props")).alias("keywords"))
 
 
+@query("X13_json", osql("""
+SELECT event_id, list_sort(list_distinct([event_type, 'user ' || CAST(user_id AS VARCHAR)])) AS keywords FROM events"""))
+def x13_json_keywords(spark, sf_dir):
+    """Keyword payloads that are JSON objects of lists, in a code fence."""
+    e = Views(spark, sf_dir).raw("events")
+    user = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    lists = F.to_json(F.struct(F.array("event_type", user).alias("exact"), F.array(user).alias("similar")))
+    payload = F.concat(F.lit("```json\n"), lists, F.lit("\n```"))
+    return e.select("event_id", F.array_sort(ft.keywords_from_json(payload)).alias("keywords"))
+
+
+@query("X17_price", osql("""
+SELECT id, CASE WHEN quantity <> 0 THEN CAST(amount AS DOUBLE) / CAST(quantity AS DOUBLE) END AS unit_price FROM incoming_orders"""))
+def x17_unit_price(spark, sf_dir):
+    """Unit price = amount / quantity."""
+    return Views(spark, sf_dir).incoming_orders.select("id", fm.unit_price("amount", "quantity").alias("unit_price"))
+
+
 @query("X17", osql("""
 SELECT product_id, warehouse_id, CAST(total_quantity - borrowed_out + borrowed_in AS DOUBLE) AS net_stock,
        CAST(total_quantity - borrowed_out + borrowed_in AS DOUBLE) = CAST(stock_quantity AS DOUBLE) AS consistent

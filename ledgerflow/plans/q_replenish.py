@@ -246,19 +246,33 @@ def m12_cycle_features(spark, sf_dir):
     return rp.cycle_features(_daily(v), _pairs(v), CUT, TARGETS)
 
 
-@query("M15", osql(f"""
+M14_DATES = [(_dt.date(2000, 7, 1) + _dt.timedelta(days=15 * i)).isoformat() for i in range(25)]
+
+
+def _thin_sql(keys, ratio, cols):
+    """Condition that keeps the positives and the thinned negatives of ``keys``."""
+    text = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    unit = f"CAST('0x' || substr(md5(concat_ws('|', '42', {text})), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+    rate = f"(SELECT least(1.0::DOUBLE, {ratio}::DOUBLE * count_if(label = 1) / greatest(count_if(label = 0), 1)) FROM {keys})"
+    return f"(label = 1 OR {unit} < {rate})"
+
+
+_M15 = f"""
 SELECT f.customer_id, f.product_id, CAST(f.target_date AS VARCHAR) AS target_date, f.weekday_name, {", ".join("f." + c for c in rp.FEATURES_M12)},
        CASE WHEN w.customer_id IS NULL THEN 0 ELSE 1 END AS label
 FROM feat f LEFT JOIN (SELECT DISTINCT customer_id, product_id, transaction_date FROM win) w
-  ON f.customer_id = w.customer_id AND f.product_id = w.product_id AND f.target_date = w.transaction_date""",
-    ctes=_m12_sql(CUT, TARGETS)))
+  ON f.customer_id = w.customer_id AND f.product_id = w.product_id AND f.target_date = w.transaction_date"""
+
+
+@query("M15", osql(_M15, ctes=_m12_sql(CUT, TARGETS)))
 def m15_rolling_samples(spark, sf_dir):
     """Labelled rolling samples (all negatives; the 3:1 thinning is M15_sampled)."""
     v = Views(spark, sf_dir)
     return rp.rolling_samples(v.replen_tx.transform(lambda t: rp.daily_purchases(t)), END)
 
 
-@query("M15_sampled")
+@query("M15_sampled", osql("SELECT * FROM m15 WHERE " + _thin_sql("m15", 3.0, ["customer_id", "product_id", "target_date"]),
+                           ctes=_m12_sql(CUT, TARGETS) + f",\nm15 AS ({_M15})"))
 def m15_sampled(spark, sf_dir):
     """Positives plus about 3 hash-sampled negatives per positive."""
     v = Views(spark, sf_dir)
@@ -328,15 +342,31 @@ def m13_activity_features(spark, sf_dir):
     return rp.activity_features(daily, pairs, LONG_TARGETS)
 
 
-@query("M14")
+def _m14_sql():
+    """The M13 features for the thinned (sample date, pair) keys instead of all pairs."""
+    head, feats = _m13_sql(M14_DATES).split("m13 AS (")
+    keys = """keys AS (
+  SELECT COALESCE(h.target_date, l.target_date) AS target_date, COALESCE(h.customer_id, l.customer_id) AS customer_id,
+         COALESCE(h.product_id, l.product_id) AS product_id, CASE WHEN l.customer_id IS NULL THEN 0 ELSE 1 END AS label,
+         h.customer_id IS NOT NULL AS has_history
+  FROM (SELECT DISTINCT target_date, customer_id, product_id FROM rows) h
+  FULL JOIN (SELECT DISTINCT tg.target_date, d.customer_id, d.product_id FROM ld d, tg
+             WHERE d.transaction_date >= tg.target_date AND d.transaction_date < tg.target_date + 7) l
+    ON h.target_date = l.target_date AND h.customer_id = l.customer_id AND h.product_id = l.product_id),
+"""
+    feats = feats.replace("FROM pairs p CROSS JOIN tg", "FROM (SELECT * FROM keys WHERE "
+                          + _thin_sql("keys", 4.0, ["customer_id", "product_id", "target_date"]) + ") p")
+    feats = feats.replace("tg.target_date", "p.target_date").replace("AS target_date,", "AS target_date, p.label, p.has_history,", 1)
+    return head + keys + "m13 AS (" + feats
+
+
+@query("M14", osql("SELECT * FROM m13", ctes=_m14_sql()))
 def m14_training_samples(spark, sf_dir):
     """Labelled samples every 15 days (90-day features, 7-day labels), negatives
     thinned to 4 per positive by key hash."""
-    v = Views(spark, sf_dir)
-    daily = rp.daily_purchases(v.replen_tx_long())
-    s = rp.training_samples(daily, "2000-07-01", "2001-07-01", 15)
-    return rp.thin_negatives(s.withColumnRenamed("sample_date", "target_date"), 4.0,
-                             ["customer_id", "product_id", "target_date"])
+    daily = rp.daily_purchases(Views(spark, sf_dir).replen_tx_long())
+    s = rp.training_samples(daily, M14_DATES[0], "2001-07-01", 15, ratio=4.0)
+    return s.withColumnRenamed("sample_date", "target_date")
 
 
 @query("M14_counts", osql("""
@@ -368,7 +398,7 @@ def _model(v, max_iter=20):
 @query("M16")
 def m16_train(spark, sf_dir):
     """GBT classifier on the rolling samples; held-out metrics (one row)."""
-    return _model(Views(spark, sf_dir))[1]
+    return rp.evaluate(_model(Views(spark, sf_dir))[1], 0.5)
 
 
 @query("M17")

@@ -198,3 +198,8 @@ def apply_patches(target: DataFrame, patches: DataFrame, key: Sequence[str], ord
 def delete_keys(df: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """SNK8: rows whose key is in ``keys`` are removed (anti join)."""
     return df.join(keys.select(*key).distinct(), list(key), "left_anti")
+
+
+def delete_products(pm: DataFrame, inventory: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SNK8: (products, stock) without the products of ``gone``."""
+    return delete_keys(pm, gone, ["product_id"]), delete_keys(inventory, gone, ["product_id"])

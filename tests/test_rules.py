@@ -127,7 +127,7 @@ def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.integers(0, 50, 400).astype(float), np.full(300, 17.0)])   # a hot value
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    got = rc.exact_quantiles(df, "x", [0.05, 0.5, 0.95], partitions=5).collect()[0]
+    got = rc.exact_quantiles(df, "x", [0.05, 0.5, 0.95]).collect()[0]
     for i, q in enumerate((0.05, 0.5, 0.95)):
         assert math.isclose(got[f"q{i}"], float(np.quantile(vals, q)), rel_tol=1e-12)
 
@@ -221,3 +221,21 @@ def test_method_map(spark, label):
     from ledgerflow.functions.misc import method_of
     got = spark.createDataFrame([(label,)], "g string").select(method_of("g")).collect()[0][0]
     assert got in ("trend", "ewma", "median")
+
+
+def test_thinning_keeps_both_classes_in_both_parts(spark):
+    n = 20_000
+    s = spark.range(n).select(F.col("id").alias("customer_id"), F.lit(1).alias("product_id"), F.lit("2024-01-01").alias("target_date"),
+                              F.when(F.col("id") % 50 == 0, 1).otherwise(0).alias("label"))
+    keys = ["customer_id", "product_id", "target_date"]
+    thin = rp.thin_negatives(s, 3.0, keys)
+    count = {r["label"]: r["count"] for r in thin.groupBy("label").count().collect()}
+    assert count[1] == n // 50 and abs(count[0] - 3 * count[1]) < 0.15 * 3 * count[1]
+    part = thin.withColumn("held", rp.hash_unit([*keys, "label"], 43) >= 0.8).groupBy("label").agg(F.avg(F.col("held").cast("int")).alias("share"))
+    assert all(0.13 < r["share"] < 0.27 for r in part.collect())
+
+
+def test_recommendation_attributes_of_a_product_in_two_warehouses(spark):
+    pm = _pm(spark, [(1, "S/b", "B"), (1, "S/a", "A")]).withColumn("warehouse_id", F.when(F.col("category") == "A", 0).otherwise(1).cast("long"))
+    got = rc.active_products(pm).collect()
+    assert [(r["product_id"], r["category"]) for r in got] == [(1, "A")]
