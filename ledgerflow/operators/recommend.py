@@ -14,8 +14,8 @@ Scale notes:
   sum needs (candidate, bought product) pairs, and only inside one category, with bought
   products of equal price merged first.
 * Candidates are products sharing an attribute value with the customer's history; a
-  product sharing none scores 0 and is never recommended here (the source ranks such
-  zero-score products in arbitrary order after the others).
+  product sharing none scores 0.  M26 fills a short list with such products by id; M27
+  lists scoring customers only.
 * The 5 % / 95 % price cut uses exact quantiles computed from value → count and
   magnitude → count aggregates: no global sort, and heavily repeated prices collapse
   before the shuffle.
@@ -234,11 +234,8 @@ def scoring_sales(tx: DataFrame, pm: DataFrame, trim: bool = True) -> DataFrame:
     checkpoint folder (``checkpoint()``): the ~10 branches of the scoring plan read it
     instead of re-running the scan, join and quantile cut, and a lost executor re-reads
     the checkpoint instead of the whole lineage."""
-    import gc
-
     from ledgerflow.session import checkpoint_dir
 
-    gc.collect()   # drop cyclic driver-side garbage that still pins plans of earlier jobs before a heavy one
     checkpoint_dir(tx.sparkSession)
     sales = priced_sales(tx, pm)
     sales = trim_prices(sales) if trim else sales
@@ -246,16 +243,42 @@ def scoring_sales(tx: DataFrame, pm: DataFrame, trim: bool = True) -> DataFrame:
     return sales.select(*cols).checkpoint(eager=True)
 
 
+def _zero_scores(best: DataFrame, scoring: DataFrame, sales: DataFrame, pm: DataFrame, k: int) -> DataFrame:
+    """Subcategories that score 0, for the customers with fewer than ``k`` scoring ones.
+
+    Every subcategory stands for its smallest product id, and the subcategories are
+    numbered in that order.  A customer with e subcategories that are bought or scoring
+    finds k others among the first k + e, so no customer meets the whole list."""
+    c = "customer_id"
+    reps = active_products(pm).groupBy("subcategory").agg(F.min("product_id").alias("product_id"))
+    reps = reps.withColumn("place", F.row_number().over(Window.orderBy("product_id")))   # one row per subcategory
+    few = (sales.select(c).distinct().join(scoring.groupBy(c).agg(F.count("*").alias("n")), c, "left")
+           .filter(F.coalesce("n", F.lit(0)) < k).select(c))
+    taken = (sales.select(c, "subcategory").filter(F.col("subcategory") != UNKNOWN).unionByName(scoring.select(c, "subcategory"))
+             .distinct().join(few, c, "left_semi"))
+    reach = few.join(taken.groupBy(c).agg(F.count("*").alias("e")), c, "left").select(
+        c, F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce("e", F.lit(0)).cast("int"))).alias("place"))
+    free = (reach.join(reps, "place").join(taken, [c, "subcategory"], "left_anti")
+            .join(sales.select(c, "product_id").distinct(), [c, "product_id"], "left_anti"))
+    known = best.select(c, "product_id", "base_similarity", "price_match")
+    z = free.join(known, [c, "product_id"], "left").select(
+        c, "product_id", "subcategory", F.coalesce("base_similarity", F.lit(0.0)).alias("base_similarity"),
+        F.coalesce("price_match", F.lit(0.5)).alias("price_match"))
+    z = z.withColumn("final_score", F.col("base_similarity") * F.col("price_match"))
+    return z.withColumn("rank_score", F.round("final_score", 10)).select(*best.columns)
+
+
 def recommend_products(tx: DataFrame, pm: DataFrame, k: int = 7, trim: bool = True,
                        sales: DataFrame | None = None) -> DataFrame:
     """M26 (+ W9): per customer the best product of each unbought subcategory, then the top
-    k of those by final score (ties by product id), with rank and rounded scores."""
+    k of those by final score (ties by product id), with rank and rounded scores.  A
+    customer with fewer than k scoring subcategories gets those that score 0 as well."""
     sales = scoring_sales(tx, pm, trim) if sales is None else sales
-    s = _scored_candidates(sales, pm).filter(F.col("final_score") > 0)
     from ledgerflow.operators.catalog import top_k_per
     order = [F.col("rank_score").desc(), F.col("product_id")]
-    best = top_k_per(s, ["customer_id", "subcategory"], order, 1, "_r").drop("_r")
-    top = top_k_per(best, ["customer_id"], order, k)
+    best = top_k_per(_scored_candidates(sales, pm), ["customer_id", "subcategory"], order, 1, "_r").drop("_r").checkpoint()
+    scoring = best.filter(F.col("rank_score") > 0)
+    top = top_k_per(scoring.unionByName(_zero_scores(best, scoring, sales, pm, k)), ["customer_id"], order, k)
     return top.select("customer_id", F.col("product_id").alias("recommended_product_id"), "rank",
                       F.round("base_similarity", 4).alias("similarity_score"),
                       F.round("price_match", 4).alias("price_match_score"),

@@ -73,11 +73,18 @@ scored AS (
   LEFT JOIN cat k ON k.category = c.category),
 scored2 AS (SELECT *, base_similarity * price_match AS final_score,
                    round(base_similarity * price_match, 10) AS rank_score FROM scored
-            WHERE base_similarity * price_match > 0),
+            WHERE round(base_similarity * price_match, 10) > 0),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, subcategory
                                                      ORDER BY rank_score DESC, product_id) AS r1 FROM scored2) WHERE r1 = 1),
+zeros AS (SELECT n.customer_id, r.product_id, r.subcategory, COALESCE(s.base_similarity, 0.0::DOUBLE) AS base_similarity,
+                 COALESCE(s.price_match, 0.5::DOUBLE) AS price_match,
+                 COALESCE(s.base_similarity * s.price_match, 0.0::DOUBLE) AS final_score, 0.0::DOUBLE AS rank_score
+          FROM nb n CROSS JOIN (SELECT subcategory, MIN(product_id) AS product_id FROM ap GROUP BY 1) r
+          LEFT JOIN scored s ON s.customer_id = n.customer_id AND s.product_id = r.product_id
+          WHERE NOT EXISTS (SELECT 1 FROM bought b WHERE b.customer_id = n.customer_id AND b.subcategory = r.subcategory)
+            AND NOT EXISTS (SELECT 1 FROM best x WHERE x.customer_id = n.customer_id AND x.subcategory = r.subcategory)),
 recp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY rank_score DESC, product_id) AS rank
-                        FROM best) WHERE rank <= 7),
+                        FROM (SELECT * EXCLUDE (r1) FROM best UNION ALL SELECT * FROM zeros)) WHERE rank <= 7),
 recc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY rank_score DESC, customer_id) AS rank
                         FROM scored2) WHERE rank <= 7)"""
 

@@ -239,3 +239,14 @@ def test_recommendation_attributes_of_a_product_in_two_warehouses(spark):
     pm = _pm(spark, [(1, "S/b", "B"), (1, "S/a", "A")]).withColumn("warehouse_id", F.when(F.col("category") == "A", 0).otherwise(1).cast("long"))
     got = rc.active_products(pm).collect()
     assert [(r["product_id"], r["category"]) for r in got] == [(1, "A")]
+
+
+def test_recommendations_are_filled_with_products_that_score_zero(spark):
+    pm = spark.createDataFrame([(p, 0, f"n{p}", f"C{p}", f"S{p}", f"sp{p}", f"pr{p}", "active") for p in range(1, 13)],
+                               "product_id long, warehouse_id long, name_zh string, category string, subcategory string, "
+                               "specification string, process_type string, is_active string")
+    tx = _tx(spark, [(1, 2, D(2001, 1, 5), 3), (2, 5, D(2001, 1, 5), 4), (2, 1, D(2001, 1, 6), 4)])
+    rows = rc.recommend_products(tx, pm, k=7, trim=False).orderBy("customer_id", "rank").collect()
+    got = {c: [r["recommended_product_id"] for r in rows if r["customer_id"] == c] for c in (1, 2)}
+    assert got == {1: [1, 3, 4, 5, 6, 7, 8], 2: [2, 3, 4, 6, 7, 8, 9]}
+    assert all(r["final_score"] == 0.0 and r["price_match_score"] == 0.5 for r in rows)
