@@ -136,26 +136,23 @@ def src2_clean_stock(spark, sf_dir):
 
 
 def _src6_sql():
-    from ledgerflow.sources.ingest import CONTRACTS
     parts = []
-    for src, kind in (("customers", "customer"), ("order_tx", "sales"), ("inventory", "inventory")):
-        req = "[" + ", ".join(f"'{c}'" for c in CONTRACTS[kind]) + "]"
-        parts.append(f"""SELECT '{src}' AS source, '{kind}' AS kind,
-       list_sort(list_filter({req}, lambda x: NOT list_contains(c.cols, x))) AS missing,
-       list_sort(list_filter(c.cols, lambda x: NOT list_contains({req}, x))) AS extra,
-       len(list_filter({req}, lambda x: NOT list_contains(c.cols, x))) = 0 AS ok
-FROM (SELECT list(column_name) AS cols FROM (DESCRIBE SELECT * FROM {src})) c""")
-    return osql("\nUNION ALL\n".join(parts))
+    for table, kind, letters in (("sheet", "sales", ig.SALES_COLUMNS), ("st", "inventory", ig.STOCK_COLUMNS)):
+        required = ig.CONTRACTS[kind]
+        cells = {name: f"count_if(trim(COALESCE({letter}, '')) <> '')" for letter, name in letters.items()}
+        for name in [*cells, *[c for c in required if c not in cells]]:
+            parts.append(f"""SELECT file, '{kind}' AS kind, COUNT(*) AS rows, '{name}' AS column_name,
+       CAST({cells.get(name, "0")} AS BIGINT) AS filled_rows, {name in required} AS required FROM {table} GROUP BY file""")
+    return osql("SELECT *, CASE WHEN required AND filled_rows = 0 THEN 'missing' WHEN NOT required AND filled_rows > 0 "
+                "THEN 'extra' ELSE 'ok' END AS status FROM (" + "\nUNION ALL\n".join(parts) + ")", ctes=_SHEET + "," + _STOCK)
 
 
 @query("SRC6", _src6_sql())
 def src6_check_columns(spark, sf_dir):
-    """SRC6: the business views checked against the import column contracts."""
+    """SRC6: the columns of every sales and stock sheet against their contracts."""
     v = Views(spark, sf_dir)
-    cols = (ig.schema_of(v.customers, "customers", "customer")
-            .unionByName(ig.schema_of(v.order_tx(), "order_tx", "sales"))
-            .unionByName(ig.schema_of(v.inventory, "inventory", "inventory")))
-    return ig.check_columns(cols)
+    return ig.check_columns(sales_sheet(v), "sales", ig.SALES_COLUMNS).unionByName(
+        ig.check_columns(stock_sheet(v), "inventory", ig.STOCK_COLUMNS))
 
 
 # ------------------------------------------------------------------------------ sinks

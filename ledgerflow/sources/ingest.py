@@ -97,21 +97,23 @@ def clean_stock(raw: DataFrame) -> DataFrame:
     return out.filter(F.col("product_id").isNotNull() & ~F.col("_bad")).drop("_bad")
 
 
-def check_columns(columns: DataFrame, contracts: dict[str, Sequence[str]] = CONTRACTS) -> DataFrame:
-    """SRC6: ``columns`` (source, kind, columns array) against the contract of its kind:
-    missing and extra column lists and an ok flag."""
-    spark = columns.sparkSession
-    c = spark.createDataFrame([(k, list(v)) for k, v in contracts.items()], "kind string, required array<string>")
-    j = columns.join(F.broadcast(c), "kind", "left")
-    return j.select("source", "kind", F.array_sort(F.array_except("required", "columns")).alias("missing"),
-                    F.array_sort(F.array_except("columns", "required")).alias("extra")).withColumn(
-        "ok", F.size("missing") == 0)
-
-
-def schema_of(df: DataFrame, source: str, kind: str) -> DataFrame:
-    """One row (source, kind, columns) describing a DataFrame's columns."""
-    return df.sparkSession.createDataFrame([(source, kind, list(df.columns))],
-                                           "source string, kind string, columns array<string>")
+def check_columns(raw: DataFrame, kind: str, letters: dict[str, str]) -> DataFrame:
+    """SRC6: every column of every sheet file against the contract of ``kind``: one row per
+    (file, column) with the file's rows, the rows in which the column is filled and a
+    status: 'missing' (required, never filled), 'extra' (filled, not required) or 'ok'."""
+    required = CONTRACTS[kind]
+    absent = [c for c in required if c not in letters.values()]
+    counts = raw.groupBy("file").agg(
+        F.count("*").alias("rows"),
+        *[F.count_if(blank_to_null(F.col(letter)).isNotNull()).alias(name) for letter, name in letters.items()],
+        *[F.lit(0).cast("long").alias(c) for c in absent])
+    names = [*letters.values(), *absent]
+    each = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(n).alias("filled_rows"),
+                              F.lit(n in required).alias("required")) for n in names])
+    status = (F.when(F.col("required") & (F.col("filled_rows") == 0), F.lit("missing"))
+              .when(~F.col("required") & (F.col("filled_rows") > 0), F.lit("extra")).otherwise(F.lit("ok")))
+    return counts.select("file", "rows", F.explode(each).alias("x")).select(
+        "file", F.lit(kind).alias("kind"), "rows", "x.column_name", "x.filled_rows", "x.required").withColumn("status", status)
 
 
 # ------------------------------------------------------------------------------- sinks

@@ -250,3 +250,11 @@ def test_recommendations_are_filled_with_products_that_score_zero(spark):
     got = {c: [r["recommended_product_id"] for r in rows if r["customer_id"] == c] for c in (1, 2)}
     assert got == {1: [1, 3, 4, 5, 6, 7, 8], 2: [2, 3, 4, 6, 7, 8, 9]}
     assert all(r["final_score"] == 0.0 and r["price_match_score"] == 0.5 for r in rows)
+
+
+def test_sheet_columns_missing_and_extra(spark):
+    names = list(ig.SALES_COLUMNS)
+    raw = spark.createDataFrame([("f", *["" if c in ("F", "Y") else "x" for c in names]), ("f", *["" if c == "F" else "y" for c in names])],
+                                "file string, " + ", ".join(f"{c} string" for c in names))
+    got = {r["column_name"]: (r["rows"], r["filled_rows"], r["status"]) for r in ig.check_columns(raw, "sales", ig.SALES_COLUMNS).collect()}
+    assert got["product_id"] == (2, 0, "missing") and got["currency"] == (2, 1, "extra") and got["quantity"] == (2, 2, "ok")
