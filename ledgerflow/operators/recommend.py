@@ -207,7 +207,7 @@ def _scored_candidates(sales: DataFrame, pm: DataFrame) -> DataFrame:
     bsub = bought.filter(F.col("subcategory") != UNKNOWN).select(c, "subcategory").distinct()
     cand = (cand.join(bsub, [c, "subcategory"], "left_anti")
             .join(nspec, [c, "specification"], "left").join(nproc, [c, "process_type"], "left")
-            .join(nb, c).join(F.broadcast(cat), "category", "left"))
+            .join(nb, c).join(cat, "category", "left"))
     # price term: each candidate × the bought prices of its category (equal prices merged)
     bp = (bought.join(prices, p, "left").groupBy(c, "category", F.col("product_price").alias("bought_price"))
           .agg(F.count("*").alias("m")))
