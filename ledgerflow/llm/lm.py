@@ -6,15 +6,16 @@ shard, and the shards add them up.
 
 The model keeps quantised counts only.  A count c of at least ``MIN_COUNT`` has the level
 1 + floor(log2(c / MIN_COUNT)), and the filter holds the n-gram once for each level up to
-its own; a reader probes level after level until one is missing.  The filter is built
-segment by segment (one per shard) and broadcast.  Its size follows the corpus up to
-``MAX_BITS``; beyond that the smallest count that is kept rises until the filter fits, so
-the broadcast has a fixed bound and the error rate stays what it is.
+its own; a reader probes level after level until one is missing.  ``MIN_COUNT`` is 1, so
+every n-gram of the training documents is in the filter, however large the corpus.  The
+filter is built segment by segment: each shard has one for its words and one for its
+pairs, sized by what they hold, so the filter grows with the corpus and its error rate
+stays what it is.  Segments never leave their shard: the distinct words and pairs of a
+slice of documents are sent there, and their levels come back to the slice.
 
 The probability of a word after another mixes the pair's share with the smoothed word
-probability, both from probed counts.  The base score uses exact counts: words so frequent
-that there can be only ``FREQUENT`` of them are broadcast, all others are looked up in
-their shard, and the shares of a document are added up.
+probability, both from probed counts.  The base score uses exact counts, which the shards
+send along with the levels of the words.
 
 Defined results: null and empty texts have one token, the end; a null id has the checksum
 of the empty text; rows that repeat an id are rows of their own; without training
@@ -35,13 +36,12 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerflow.llm import tokens
 from ledgerflow.llm.common import cut, ship, shuffle_parts, table
 
-MIN_COUNT = 2
-BITS_PER_EVENT, PROBES, MAX_BITS = 12, 4, 1 << 29
-FREQUENT = 1 << 19
+MIN_COUNT = 1
+BITS_PER_EVENT, PROBES = 12, 4
 PAIR_WEIGHT = 0.7
 ADD = 0.1
 FLUSH = 1 << 21  # distinct n-grams that a task gathers before it hands them on
-SLICE = 1 << 21  # larger slices repeat fewer n-grams
+SLICE = 1 << 23  # larger slices repeat fewer n-grams
 END = np.uint64(tokens.hash_word(b"\x00end of text"))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -64,7 +64,8 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return tokens.mix(first * _A + second * _B + np.uint64(1))
+    """56 bits: enough to tell pairs apart far below the filter's error rate, and shorter to send."""
+    return tokens.mix(first * _A + second * _B + np.uint64(1)) >> np.uint64(8)
 
 
 def _merge(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +82,23 @@ def _slim(counts: np.ndarray) -> np.ndarray:
     return counts.astype("u1" if top < 256 else "<u4" if top < 1 << 32 else "<u8")
 
 
+def _squeeze(h: np.ndarray) -> bytes:
+    """Sorted numbers as the first one, the bytes per step, and the steps byte by byte."""
+    steps = np.diff(h)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return h[:1].astype("<u8").tobytes() + bytes([width]) + steps.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes() + len(h).to_bytes(8, "little")
+
+
+def _unsqueeze(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[-8:], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    steps = np.zeros((n, 8), "u1")
+    steps[0] = np.frombuffer(blob, "u1", 8)
+    steps[1:, :blob[8]] = np.frombuffer(blob, "u1", blob[8] * (n - 1), 9).reshape(blob[8], n - 1).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _pack(rows: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(rows["shard"], pa.int32()), pa.array(rows["pairs"], pa.bool_()), pa.array(rows["hashes"], pa.binary()),
@@ -94,7 +112,7 @@ def _by_shard(h: np.ndarray, c: np.ndarray, pairs: bool, shards: int) -> Iterato
     rows: dict[str, list] = {k: [] for k in ("shard", "pairs", "hashes", "counts", "width")}
     for s in np.flatnonzero(np.diff(cuts)):
         part = _slim(c[cuts[s]:cuts[s + 1]])
-        for k, v in zip(rows, (int(s), pairs, h[cuts[s]:cuts[s + 1]].astype("<u8").tobytes(), part.tobytes(), part.itemsize), strict=True):
+        for k, v in zip(rows, (int(s), pairs, _squeeze(h[cuts[s]:cuts[s + 1]]), part.tobytes(), part.itemsize), strict=True):
             rows[k].append(v)
     yield _pack(rows)
 
@@ -126,44 +144,41 @@ def _count(shards: int):
 
 
 def _load(hashes: bytes, counts: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(hashes, "<u8"), np.frombuffer(counts, f"<u{width}").astype(np.int64)
+    return _unsqueeze(hashes), np.frombuffer(counts, f"<u{width}").astype(np.int64)
 
 
-def _add_up(min_count: int):
-    """Sorted (shard, pairs) rows to one row each; pairs below ``min_count`` are left out.
+MODEL = "shard int, pairs boolean, hashes binary, counts binary, width int, bits binary, n_bits long, total long, distinct long"
 
-    ``levels`` counts the n-grams by bit length of their count.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key, hashes, counts):
-            h, c = _merge(hashes, counts)
-            total, distinct = int(c.sum()), len(h)
-            if key[1]:
-                h, c = h[c >= min_count], c[c >= min_count]
-            histogram = np.bincount(np.frexp(c.astype(float))[1], minlength=64)[:64].tolist()
-            slim = _slim(c)
-            return pa.RecordBatch.from_arrays([
-                pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.bool_()), pa.array([h.astype("<u8").tobytes()], pa.binary()),
-                pa.array([slim.tobytes()], pa.binary()), pa.array([slim.itemsize], pa.int32()), pa.array([total], pa.int64()),
-                pa.array([distinct], pa.int64()), pa.array([histogram], pa.list_(pa.int64()))],
-                ["shard", "pairs", "hashes", "counts", "width", "total", "distinct", "levels"])
-
-        key, hashes, counts = None, [], []
-        for batch in batches:
-            for shard, pairs, h, c, width in zip(*[batch.column(x).to_pylist() for x in ("shard", "pairs", "hashes", "counts", "width")], strict=True):
-                if key is not None and (shard, pairs) != key:
-                    yield done(key, hashes, counts)
-                    hashes, counts = [], []
-                key = (shard, pairs)
-                h, c = _load(h, c, width)
-                hashes.append(h)
-                counts.append(c)
-                if len(hashes) >= 32:
-                    h, c = _merge(hashes, counts)
-                    hashes, counts = [h], [c]
-        if key is not None:
-            yield done(key, hashes, counts)
-    return run
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (shard, pairs) rows to one row each: the segment of the filter, and the exact counts of words."""
+    def done(key, hashes, counts):
+        h, c = _merge(hashes, counts)
+        bloom = LogBloom(1, 0, MIN_COUNT)
+        bloom.segment_bits = max(64, math.ceil(int(bloom.level(c).sum()) * BITS_PER_EVENT * 1.1))
+        bits, slim = bloom.segment(h, c), _slim(c)
+        exact = (None, None, None) if key[1] else (_squeeze(h), slim.tobytes(), slim.itemsize)
+        return pa.RecordBatch.from_arrays([
+            pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.bool_()), pa.array([exact[0]], pa.binary()), pa.array([exact[1]], pa.binary()),
+            pa.array([exact[2]], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([bloom.segment_bits], pa.int64()),
+            pa.array([int(c.sum())], pa.int64()), pa.array([len(h)], pa.int64())],
+            ["shard", "pairs", "hashes", "counts", "width", "bits", "n_bits", "total", "distinct"])
+
+    key, hashes, counts = None, [], []
+    for batch in batches:
+        for shard, pairs, h, c, width in zip(*[batch.column(x).to_pylist() for x in ("shard", "pairs", "hashes", "counts", "width")], strict=True):
+            if key is not None and (shard, pairs) != key:
+                yield done(key, hashes, counts)
+                hashes, counts = [], []
+            key = (shard, pairs)
+            h, c = _load(h, c, width)
+            hashes.append(h)
+            counts.append(c)
+            if len(hashes) >= 32:
+                h, c = _merge(hashes, counts)
+                hashes, counts = [h], [c]
+    if key is not None:
+        yield done(key, hashes, counts)
 
 
 class LogBloom:
@@ -201,44 +216,22 @@ class LogBloom:
             held &= (byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return held
 
-    def count(self, grams: np.ndarray) -> np.ndarray:
-        """The middle of the count range of the highest level held without a gap; 0 if none is."""
+    def probe(self, grams: np.ndarray) -> np.ndarray:
+        """The highest level held without a gap; 0 if none is."""
         level, alive, j = np.zeros(len(grams), np.int64), np.arange(len(grams)), 1
         base = (grams % np.uint64(self.shards)) * np.uint64((self.segment_bits + 7) // 8)
         while len(alive):
             alive = alive[self.holds(grams[alive], base[alive], j)]
             level[alive] = j
             j += 1
-        return np.where(level > 0, 1.5 * self.min_count * np.exp2(level - 1.0) - 0.5, 0.0)
-
-
-def _segments(bloom: LogBloom):
-    """One segment per shard; the rows of a shard follow each other."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, bits = None, None
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["shard", "bits"])
-        for batch in batches:
-            for number, h, c, width in zip(*[batch.column(x).to_pylist() for x in ("shard", "hashes", "counts", "width")], strict=True):
-                part = bloom.segment(*_load(h, c, width))
-                if number == shard:
-                    bits |= part
-                    continue
-                if bits is not None:
-                    yield done()
-                shard, bits = number, part
-        if bits is not None:
-            yield done()
-    return run
+        return level
 
+    def middle(self, level: np.ndarray) -> np.ndarray:
+        """The middle of a level's count range; 0 for level 0."""
+        return np.where(level > 0, 1.5 * self.min_count * np.exp2(level - 1.0) - 0.5, 0.0)
 
-def _frequent(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c, width in zip(*[batch.column(x).to_pylist() for x in ("hashes", "counts", "width")], strict=True):
-                h, c = _load(h, c, width)
-                yield pa.RecordBatch.from_arrays([pa.array([h[c >= least].tobytes()], pa.binary()), pa.array([c[c >= least].astype("<i8").tobytes()], pa.binary())],
-                                                  ["hashes", "counts"])
-    return run
+    def count(self, grams: np.ndarray) -> np.ndarray:
+        return self.middle(self.probe(grams))
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,15 +243,37 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[n
     return found, np.where(found, values[at], 0)
 
 
-ROW = "shard int, kind int, slice long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, hashes binary, counts binary, width int, rows binary"
+TABLES, DOC, BODY, PROBE = -1, 0, 1, 2
+PLACE = "slice long, kind int, row long, doc_id {kind}, held_out boolean, n_tokens long, pairs boolean, start long, hashes binary, counts binary, width int"
+ROW = "shard int, " + PLACE + ", bits binary, n_bits long"
+ANSWER = PLACE + ", levels binary"
+COLUMNS = ["slice", "kind", "row", "doc_id", "held_out", "n_tokens", "pairs", "start", "hashes", "counts", "width"]
+_TYPES = {"shard": pa.int32(), "slice": pa.int64(), "kind": pa.int32(), "row": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "pairs": pa.bool_(),
+          "start": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "width": pa.int32(), "bits": pa.binary(), "n_bits": pa.int64(), "levels": pa.binary()}
 
 
-def _score(model, total: int, distinct: int, shards: int, light: int):
-    """Document rows (kind 0) and the words that need their shard (kind 1)."""
-    scale = total + ADD * (distinct + 1)
+def _rows(names: list[str], id_type: pa.DataType, m: int, **given) -> pa.RecordBatch:
+    """``m`` rows of these columns; columns that are not given are null."""
+    kinds = _TYPES | {"doc_id": id_type}
+    column = lambda k: pa.nulls(m, kinds[k]) if k not in given else given[k] if isinstance(given[k], pa.Array) else pa.array(given[k], kinds[k])
+    return pa.RecordBatch.from_arrays([column(k) for k in names], names)
+
+
+def _dealt(grams: np.ndarray, shards: int, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct n-grams by light shard and hash, place of each n-gram among them, first place per light shard)."""
+    own, back = np.unique(grams, return_inverse=True)
+    number = (own % np.uint64(shards) % np.uint64(light)).astype(np.int64)
+    order = np.argsort(number, kind="stable")
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
+    return own[order], place[back], np.searchsorted(number[order], np.arange(light + 1))
+
+
+def _ask(shards: int, light: int):
+    """Documents, the words of each slice, and its distinct words and pairs for their shards."""
+    names = ["shard", *COLUMNS, "bits", "n_bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, keys, values = model.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             raw, offsets = tokens.buffers(batch.column("text"))
@@ -266,135 +281,114 @@ def _score(model, total: int, distinct: int, shards: int, light: int):
             for a, b, data, offs in tokens.slices(raw, offsets, SLICE):
                 words, context, at = sequences(data, offs)
                 n = b - a
-                row = np.repeat(np.arange(n), np.diff(at))
-                # the model
-                distinct_words, back = np.unique(words, return_inverse=True)
-                word_count = bloom.count(distinct_words)
-                pairs, pair_back = np.unique(pair_hash(context, words), return_inverse=True)
-                pair_count = bloom.count(pairs)[pair_back]
-                first_count = word_count[np.searchsorted(distinct_words, context)]
-                plain = (word_count[back] + ADD) / scale
-                share = np.minimum(1.0, pair_count / np.maximum(first_count, 1.0))
-                p = np.where(first_count > 0, (1 - PAIR_WEIGHT) * plain + PAIR_WEIGHT * share, plain)
-                score = np.bincount(row, np.log10(p), n)
-                # the exact base score, as far as the frequent words go
-                found, exact = _lookup(keys, values, distinct_words)
-                known = found[back]
-                base = np.bincount(row[known], np.log10((exact[back[known]] + ADD) / scale), n)
-                seen = np.bincount(row[known], minlength=n)
-                yield _rows(id_type, [-1] * n, [0] * n, [uid] * n, range(n), batch.column("doc_id").slice(a, n),
-                            batch.column("held_out").slice(a, n), np.diff(at), seen, base, score, None)
-                # the others, one entry per word and document
-                rest = np.flatnonzero(~known)
-                if len(rest):
-                    number = (words[rest] % np.uint64(shards) % np.uint64(light)).astype(np.int64)
-                    order = np.lexsort((words[rest], row[rest], number))
-                    h, r, s = words[rest][order], row[rest][order], number[order]
-                    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))))
-                    times = np.diff(np.concatenate((first, [len(h)])))
-                    h, r, s = h[first], r[first], s[first]
-                    cuts = np.searchsorted(s, np.arange(light + 1))
+                yield _rows(names, id_type, n, shard=[-1] * n, kind=[DOC] * n, slice=[uid] * n, row=range(n), doc_id=batch.column("doc_id").slice(a, n),
+                            held_out=batch.column("held_out").slice(a, n), n_tokens=np.diff(at))
+                yield _rows(names, id_type, 1, shard=[-1], kind=[BODY], slice=[uid], hashes=[pa.compress(data.tobytes(), codec="zstd", asbytes=True)],
+                            counts=[offs.astype("<u8").tobytes()])
+                for pairs in (False, True):
+                    own, _, cuts = _dealt(pair_hash(context, words) if pairs else words, shards, light)
                     some = np.flatnonzero(np.diff(cuts))
-                    blobs = [(h[x:y].astype("<u8").tobytes(), _slim(times[x:y]), r[x:y].astype("<u4").tobytes()) for x, y in zip(cuts[some], cuts[some + 1], strict=True)]
                     m = len(some)
-                    yield _rows(id_type, some.tolist(), [1] * m, [uid] * m, None, pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), None, None, None, None, blobs)
+                    yield _rows(names, id_type, m, shard=some, kind=[PROBE] * m, slice=[uid] * m, pairs=[pairs] * m, start=cuts[some],
+                                hashes=[_squeeze(own[x:y]) for x, y in zip(cuts[some], cuts[some + 1], strict=True)])
                 uid += 1
     return run
 
 
-def _rows(id_type, shard, kind, uid, row, ids, held, n_tokens, known, base, score, blobs) -> pa.RecordBatch:
-    m = len(shard)
-    number = lambda v, t: pa.nulls(m, t) if v is None else pa.array(v, t)
-    packed = [pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())] if blobs is None else [
-        pa.array([h for h, _, _ in blobs], pa.binary()), pa.array([t.tobytes() for _, t, _ in blobs], pa.binary()),
-        pa.array([t.itemsize for _, t, _ in blobs], pa.int32()), pa.array([r for _, _, r in blobs], pa.binary())]
-    return pa.RecordBatch.from_arrays([
-        pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(uid, pa.int64()), number(row, pa.int64()), ids, held,
-        number(n_tokens, pa.int64()), number(known, pa.int64()), number(base, pa.float64()), number(score, pa.float64()), *packed],
-        ["shard", "kind", "slice", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "hashes", "counts", "width", "rows"])
-
-
-DOC = ["slice", "kind", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-BLOB = ["rows", "known", "sums"]
+def _answer(shards: int, light: int):
+    """Sorted (shard, kind) rows: the tables of a shard first, then the n-grams that are looked up there.
 
-
-def _resolve(total: int, distinct: int):
-    """Sorted (shard, kind) rows: exact counts first (kind -1), then the words that ask for them.
-
-    Each request gives one row: what its words add to the documents of its slice.
-    Document rows (kind 0) go through as they are.
+    Each request gives one row: levels, and for words also exact counts.  The rows of
+    documents and slices go through as they are.
     """
-    scale = total + ADD * (distinct + 1)
+    names = [*COLUMNS, "levels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tables, keys, values = None, [], None, None
+        shard, tables, keys, values, segments = None, [], None, None, {}
         for batch in batches:
-            is_doc = pc.equal(batch.column("kind"), 0)
-            docs = [batch.column(c).filter(is_doc) for c in DOC]
-            n = len(docs[0])
-            yield pa.RecordBatch.from_arrays([*docs, *[pa.nulls(n, pa.binary())] * 3], [*DOC, *BLOB])
-            rest = batch.filter(pc.invert(is_doc))
-            columns = [rest.column(c).to_pylist() for c in ("shard", "kind", "slice", "hashes", "counts", "width", "rows")]
+            id_type = batch.schema.field("doc_id").type
+            through = pc.and_(pc.greater_equal(batch.column("kind"), DOC), pc.less(batch.column("kind"), PROBE))
+            kept = [batch.column(c).filter(through) for c in COLUMNS]
+            yield pa.RecordBatch.from_arrays([*kept, pa.nulls(len(kept[0]), pa.binary())], names)
+            rest = batch.filter(pc.invert(through))
+            columns = [rest.column(c).to_pylist() for c in ("shard", "kind", "slice", "pairs", "start", "hashes", "counts", "width", "bits", "n_bits", "row")]
             out: list[tuple] = []
-            for number, kind, piece, h, c, width, rows in zip(*columns, strict=True):
+            for number, kind, piece, pairs, start, h, c, width, bits, n_bits, own in zip(*columns, strict=True):
                 if number != shard:
-                    shard, tables = number, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-                if kind == -1:
-                    tables.append(_load(h, c, width))
+                    shard, tables, segments = number, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], {}
+                if kind == TABLES:
+                    segments[pairs, own] = LogBloom(1, n_bits, MIN_COUNT, np.frombuffer(bits, np.uint8))
+                    if not pairs:
+                        tables.append(_load(h, c, width))
                     continue
                 if tables:
                     keys, values = _merge([k for k, _ in tables], [v for _, v in tables])
                     tables = []
-                h, times = _load(h, c, width)
-                found, count = _lookup(keys, values, h)
-                own, back = np.unique(np.frombuffer(rows, "<u4"), return_inverse=True)
-                sums = np.bincount(back, times * np.log10((count + ADD) / scale))
-                known = np.bincount(back, times * found).astype("<u4")
-                out.append((piece, own.tobytes(), known.tobytes(), sums.astype("<f8").tobytes()))
-            m = len(out)
-            empty = [pa.nulls(m, batch.schema.field(c).type) for c in DOC[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([1] * m, pa.int32()), *empty,
-                                              *[pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3)]], [*DOC, *BLOB])
+                h = _unsqueeze(h)
+                full, level = h % np.uint64(shards), np.zeros(len(h), np.int64)
+                for at in range(number, shards, light):
+                    if (pairs, at) in segments:
+                        mine = np.flatnonzero(full == at)
+                        level[mine] = segments[pairs, at].probe(h[mine])
+                exact = None if pairs else _slim(_lookup(keys, values, h)[1])
+                out.append((piece, pairs, start, level.astype("u1").tobytes(), *((None, None) if pairs else (exact.tobytes(), exact.itemsize))))
+            if out:
+                piece, pairs, start, levels, counts, width = zip(*out, strict=True)
+                yield _rows(names, id_type, len(out), slice=piece, kind=[PROBE] * len(out), pairs=pairs, start=start, levels=levels, counts=counts, width=width)
     return run
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (slice, kind) rows: the documents of a slice, then what the shards add to them."""
+def _combine(total: int, distinct: int, shards: int, light: int):
+    """Sorted (slice, kind) rows: the documents of a slice, its words, then what the shards know of them."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    current, docs, known, base = None, [], np.zeros(0, np.int64), np.zeros(0)
-
-    def done() -> pa.RecordBatch:
-        t = pa.Table.from_batches(docs).combine_chunks()
-        row = t.column("row").to_numpy()
-        add = lambda column, more, kind: pa.array(t.column(column).to_numpy() + more[row], kind)
+    scale = total + ADD * (distinct + 1)
+    middle = LogBloom(1, 0, MIN_COUNT).middle
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        docs = t.filter(pc.equal(t.column("kind"), DOC)).sort_by("row")
+        rest = t.filter(pc.greater(t.column("kind"), DOC)).select(["kind", "pairs", "start", "hashes", "counts", "width", "levels"]).to_pylist()
+        offs = np.frombuffer(rest[0]["counts"], "<u8").astype(np.int64)
+        data = np.frombuffer(pa.decompress(rest[0]["hashes"], int(offs[-1]), codec="zstd", asbytes=True), np.uint8)
+        words, context, at = sequences(data, offs)
+        own, back, _ = _dealt(words, shards, light)
+        pairs, pair_back, _ = _dealt(pair_hash(context, words), shards, light)
+        exact, word_level, pair_level = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(pairs), np.int64)
+        for r in rest[1:]:
+            level = np.frombuffer(r["levels"], "u1")
+            if r["pairs"]:
+                pair_level[r["start"]:r["start"] + len(level)] = level
+            else:
+                word_level[r["start"]:r["start"] + len(level)] = level
+                exact[r["start"]:r["start"] + len(level)] = np.frombuffer(r["counts"], f"<u{r['width']}")
+        n = len(docs)
+        row = np.repeat(np.arange(n), np.diff(at))
+        word_count = middle(word_level)
+        first_count = word_count[back][np.concatenate(([-1], np.arange(len(back) - 1)))]  # the first context is the end, as is the last word
+        plain = ((word_count + ADD) / scale)[back]
+        share = np.minimum(1.0, middle(pair_level)[pair_back] / np.maximum(first_count, 1.0))
+        p = np.where(first_count > 0, (1 - PAIR_WEIGHT) * plain + PAIR_WEIGHT * share, plain)
         return pa.RecordBatch.from_arrays([
-            t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), t.column("n_tokens").combine_chunks(),
-            add("n_known", known, pa.int64()), add("base", base, pa.float64()), t.column("score").combine_chunks()], names)
+            docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), docs.column("n_tokens").combine_chunks(),
+            pa.array(np.bincount(row, exact[back] > 0, n).astype(np.int64)), pa.array(np.bincount(row, np.log10((exact + ADD) / scale)[back], n)),
+            pa.array(np.bincount(row, np.log10(p), n))], names)
 
-    for batch in batches:
-        number = batch.column("slice").to_numpy()
-        edges = np.flatnonzero(np.diff(number)) + 1
-        for a, b in zip([0, *edges], [*edges, len(number)], strict=True):
-            if a == b:
-                continue
-            if number[a] != current:
-                if docs:
-                    yield done()
-                current, docs, known, base = number[a], [], np.zeros(0, np.int64), np.zeros(0)
-            part = batch.slice(a, b - a)
-            is_doc = pc.equal(part.column("kind"), 0)
-            own = part.filter(is_doc)
-            if len(own):
-                docs.append(own)
-                size = max(len(known), int(pc.max(own.column("row")).as_py()) + 1)
-                known, base = np.resize(known, size) * 0, np.resize(base, size) * 0  # documents come first
-            more = part.filter(pc.invert(is_doc))
-            for rows, k, v in zip(*[more.column(c).to_pylist() for c in BLOB], strict=True):
-                at = np.frombuffer(rows, "<u4")
-                known[at] += np.frombuffer(k, "<u4")
-                base[at] += np.frombuffer(v, "<f8")
-    if docs:
-        yield done()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
+        for batch in batches:
+            number = batch.column("slice").to_numpy()
+            edges = np.flatnonzero(np.diff(number)) + 1
+            for a, b in zip([0, *edges], [*edges, len(number)], strict=True):
+                if a == b:
+                    continue
+                if number[a] != current:
+                    if parts:
+                        yield done(parts)
+                    current, parts = number[a], []
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield done(parts)
+    return run
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -409,36 +403,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     schema = "shard int, pairs boolean, hashes binary, counts binary, width int"
     counted = texts.filter("not held_out").select("text").mapInArrow(_count(shards), schema)
     counted = counted.repartition(parts, "shard").sortWithinPartitions("shard", "pairs")
-    counts = cut(counted.mapInArrow(_add_up(MIN_COUNT), schema + ", total long, distinct long, levels array<long>"))
-
-    # figures of the corpus: a fixed number of values
-    words = counts.filter("not pairs")
-    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    levels = {r[0]: r[1] for r in counts.select(F.posexplode("levels").alias("bits", "n")).groupBy("bits").agg(F.sum("n")).collect()}
-    least = MIN_COUNT  # a power of two, so that levels are bit lengths
-    while (events := sum(n * (b - int(math.log2(least))) for b, n in levels.items() if b > math.log2(least))) * BITS_PER_EVENT > MAX_BITS:
-        least *= 2
-    segment_bits = max(64, math.ceil(events * BITS_PER_EVENT * 1.1 / shards))
-    width = (segment_bits + 7) // 8
-    bloom = LogBloom(shards, segment_bits, least)
-    bits = np.zeros(width * shards, np.uint8)
-    for r in counts.select("shard", "hashes", "counts", "width").mapInArrow(_segments(bloom), "shard int, bits binary").collect():
-        bits[r["shard"] * width:(r["shard"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    bloom.bits = bits
-    common = words.select("hashes", "counts", "width").mapInArrow(_frequent(max(1, math.ceil(total / FREQUENT))), "hashes binary, counts binary").collect()
-    keys, values = _merge([np.zeros(0, np.uint64), *[np.frombuffer(r["hashes"], "<u8") for r in common]],
-                          [np.zeros(0, np.int64), *[np.frombuffer(r["counts"], "<i8") for r in common]])
-    model = spark.sparkContext.broadcast((bloom, keys, values))
+    model = cut(counted.mapInArrow(_add_up, MODEL))
+    total, distinct = model.filter("not pairs").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     kind = dict(docs.dtypes)["doc_id"]
-    first = texts.mapInArrow(_score(model, total, distinct, shards, light), ROW.format(kind=kind))
-    exact = words.select((F.col("shard") % light).alias("shard"), F.lit(-1).alias("kind"), "hashes", "counts", "width")
-    both = first.unionByName(exact, allowMissingColumns=True)
-    both = both.repartition(parts, F.when(F.col("kind") == 0, F.xxhash64("slice", "row")).otherwise(F.col("shard"))).sortWithinPartitions("shard", "kind")
-    row = f"slice long, kind int, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
-    added = both.mapInArrow(_resolve(total, distinct), row + ", rows binary, known binary, sums binary")
-    added = added.repartition(parts, "slice").sortWithinPartitions("slice", "kind")
-    out = added.mapInArrow(_combine, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    asked = texts.mapInArrow(_ask(shards, light), ROW.format(kind=kind))
+    tables = model.select((F.col("shard") % light).alias("shard"), F.lit(TABLES).alias("kind"), F.col("shard").cast("long").alias("row"),
+                          "pairs", "hashes", "counts", "width", "bits", "n_bits")
+    both = asked.unionByName(tables, allowMissingColumns=True)
+    spread = F.when(F.col("kind").isin(DOC, BODY), F.xxhash64("slice", "row")).otherwise(F.col("shard"))
+    both = both.repartition(parts, spread).sortWithinPartitions("shard", "kind")
+    known = both.mapInArrow(_answer(shards, light), ANSWER.format(kind=kind))
+    known = known.repartition(parts, "slice").sortWithinPartitions("slice", "kind")
+    out = known.mapInArrow(_combine(total, distinct, shards, light), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -229,6 +229,30 @@ def test_log_bloom_counts():
     assert (bloom.count(tokens.mix(np.arange(10 ** 6, 10 ** 6 + 5000, dtype=np.uint64))) > 0).mean() < 0.03
 
 
+def test_lm_keeps_words_and_pairs_seen_once(make):
+    # half the documents are one text of words that occur nowhere else, half are the same words in another order
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    seen = [(i, f"ant{i} bee{i} cat{i} dog{i} elk{i} fox{i}") for i in train]
+    held = [i for i in range(400, 4000) if zlib.crc32(str(i).encode()) % 10 == 0][:len(train)]
+    known = [(h, t) for h, (_, t) in zip(held, seen)]
+    mixed = [(h + 10 ** 6, " ".join(reversed(t.split()))) for h, t in known]
+    mixed = [(d, t) for d, t in mixed if zlib.crc32(str(d).encode()) % 10 == 0]
+    new = [(d, " ".join(f"new{d}x{k}" for k in range(6))) for d in range(2 * 10 ** 6, 2 * 10 ** 6 + 300) if zlib.crc32(str(d).encode()) % 10 == 0]
+    score = {r["doc_id"]: r["score"] for r in lm.score_documents(make(seen + known + mixed + new, "doc_id long, text string")).collect()}
+    mean = lambda rows: sum(score[d] for d, _ in rows) / len(rows)
+    assert mean(known) > mean(mixed) + 5 and mean(mixed) > mean(new) + 2
+
+
+def test_lm_filter_holds_every_count(make):
+    import numpy as np
+
+    assert lm.MIN_COUNT == 1 and not hasattr(lm, "MAX_BITS")
+    grams = tokens.mix(np.arange(1, 5001, dtype=np.uint64))
+    bloom = lm.LogBloom(1, 5000 * 14, lm.MIN_COUNT)
+    bloom.bits = bloom.segment(grams, np.ones(5000, np.int64))
+    assert (bloom.count(grams) >= 1).all()
+
+
 def test_suffix_dedup(make, docs, nothing):
     def brute(rows, length):
         bodies = [(d, (t or "").encode()) for d, t, *_ in rows]
