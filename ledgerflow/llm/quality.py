@@ -5,9 +5,12 @@
 2. Expectation-maximisation over these counts, which cover all documents, estimates how
    often each labeller votes what on good and on bad text, and so the posterior of every
    pattern.
-3. The posteriors are the training targets of a logistic scorer over hashed word shapes:
-   single shapes, neighbouring shapes, and whether a word repeats the one before.  It is
-   trained on a sample of about ``TRAIN_ROWS`` documents drawn by a hash of id and text.
+3. The posteriors are the training targets of a logistic scorer over hashed words and word
+   shapes: single shapes, neighbouring shapes, and marks of words that repeat the one
+   before, that were there already in their block of ``BLOCK`` words, and that end a run of
+   ``RUN`` words the document had before.  The shares of the marks are the statistics the
+   labellers look at.  It is trained on a sample of about ``TRAIN_ROWS`` documents drawn by
+   a hash of id and text.
 4. The scorer alone decides on every document, over its whole text.
 
 Defined results: a document without words (null, empty, blank) gets score 0 and is not
@@ -27,7 +30,8 @@ from ledgerflow.llm import tokens
 from ledgerflow.llm.common import ship, table, text_of
 
 TRAIN_ROWS = 20_000
-FEATURES = 1 << 12
+SHAPES, FEATURES = 1 << 12, 1 << 14  # shapes and marks come first, then words
+BLOCK, RUN = 256, 5
 ROUNDS, STEPS = 40, 300
 GOOD, BAD = 1, 2
 
@@ -45,6 +49,13 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
 
 
+def _later(keys: np.ndarray) -> np.ndarray:
+    """Where a key was there before."""
+    out = np.ones(len(keys), bool)
+    out[np.unique(keys, return_index=True)[1]] = False
+    return out
+
+
 class Words:
     """Word table of a slice: hash, row, last byte and counts per word."""
 
@@ -60,11 +71,29 @@ class Words:
         self.hashes, self.at = tokens.words(data, offsets)
         self.row = np.repeat(np.arange(self.rows), np.diff(self.at))
         self.data, self.blank = data, blank
+        self.seen, self.echo = self._seen(), self._echo()
 
     def sums(self, mask: np.ndarray) -> np.ndarray:
         """Bytes of each word where ``mask`` holds (blanks never count)."""
         return np.add.reduceat((mask & ~self.blank).astype(np.int32), self.starts) if len(self.starts) else np.zeros(0, np.int32)
 
+    def _seen(self) -> np.ndarray:
+        """Words that were there already in their block of ``BLOCK`` words: a share that does not grow with the length."""
+        block = (np.arange(len(self.row)) - self.at[self.row]) // BLOCK
+        place = tokens.mix((self.row.astype(np.uint64) << np.uint64(32)) + block.astype(np.uint64))
+        return _later(tokens.mix(self.hashes + place))
+
+    def _echo(self) -> np.ndarray:
+        """Words that end a run of ``RUN`` words which the document had before."""
+        out, n = np.zeros(len(self.row), bool), len(self.row) - RUN + 1
+        if n > 0:
+            run = self.row[:n].astype(np.uint64)
+            for k in range(RUN):
+                run = tokens.mix(run * np.uint64(0x9E3779B97F4A7C15) + self.hashes[k:k + n])
+            whole = np.flatnonzero(self.row[:n] == self.row[RUN - 1:])
+            out[whole + RUN - 1] = _later(run[whole])
+        return out
+
     def per_row(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, values, self.rows)
 
@@ -78,12 +107,11 @@ def statistics(w: Words) -> dict[str, np.ndarray]:
     again = np.zeros(len(w.hashes), bool)
     again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (w.row[1:] == w.row[:-1])
     last = raw[w.starts + length - 1] if len(length) else np.zeros(0, np.uint8)
-    _, once = np.unique(tokens.mix(w.hashes + w.row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
     bytes_of = np.maximum(w.per_row(length), 1)
     letters_of = np.maximum(w.per_row(letters), 1)
     ends = np.isin(last, [ord(c) for c in ".!?:;"])
     return {
-        "n": n, "repeats": w.per_row(again) / safe, "variety": np.bincount(w.row[once], minlength=w.rows) / safe,
+        "n": n, "repeats": w.per_row(again) / safe, "variety": 1 - w.per_row(w.seen) / safe, "echoes": w.per_row(w.echo) / safe,
         "capitals": w.per_row(w.sums(_CLASS[raw] == 2)) / letters_of, "symbols": w.per_row(w.sums(_SYMBOL[raw])) / bytes_of,
         "bare_marks": w.per_row(solid == 0) / safe, "sentence_ends": w.per_row(ends) / safe,
         "marked_ends": w.per_row(_SYMBOL[last]) / safe, "shouting": w.per_row(last == ord("!")) / safe}
@@ -98,7 +126,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
 
     each = [
         vote(s["repeats"] > 0.2, s["repeats"] < 0.05, s["n"] >= 5),
-        vote(s["variety"] < 0.12, s["variety"] > 0.25, many & (s["n"] < 5000)),
+        vote((s["variety"] < 0.12) | (s["echoes"] > 0.5), (s["variety"] > 0.25) & (s["echoes"] < 0.2), many),
         vote(s["capitals"] > 0.5, s["capitals"] < 0.15, some),
         vote(s["symbols"] > 0.08, s["symbols"] < 0.04, some),
         vote(s["bare_marks"] > 0.2, s["bare_marks"] < 0.05, some),
@@ -112,7 +140,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every word: its shape, the pair with the shape before, the repeat mark."""
+    """(row, feature) of every word: its shape, the pair with the shape before, the marks, the word itself."""
     if not len(w.starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kind = _CLASS[w.data]
@@ -132,9 +160,10 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(shape), np.uint64)
     again[1:] = same_row & (w.hashes[1:] == w.hashes[:-1])
     pair = tokens.mix(before * np.uint64(0x9E3779B97F4A7C15) + shape)
-    mark = tokens.mix(again + np.uint64(77))
-    size = np.uint64(FEATURES)
-    return np.concatenate([w.row] * 3), np.concatenate([(x % size).astype(np.int64) for x in (shape, pair, mark)])
+    mark, seen, echo = (tokens.mix(x.astype(np.uint64) + np.uint64(k)) for x, k in ((again, 77), (w.seen, 177), (w.echo, 277)))
+    hashed = [(x % np.uint64(SHAPES)).astype(np.int64) for x in (shape, pair, mark, seen, echo)]
+    words = (w.hashes % np.uint64(FEATURES - SHAPES)).astype(np.int64) + SHAPES
+    return np.concatenate([w.row] * 6), np.concatenate([*hashed, words])
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:

@@ -291,6 +291,17 @@ def test_quality_against_labels(spark, docs, nothing):
     assert quality.classify(nothing).count() == 0 and quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_sees_repeated_sentences_of_any_length(make):
+    random.seed(9)
+    words = ["".join(random.choice("abcdefghiklmnoprstu") for _ in range(random.randrange(2, 9))) for _ in range(3000)]
+    sentence = lambda: " ".join(random.choice(words) for _ in range(random.randrange(6, 14))).capitalize() + "."
+    clean = [(i, " ".join(sentence() for _ in range(random.choice([8, 30, 120, 700])))) for i in range(400)]
+    again = [(1000 + i, " ".join([sentence()] * random.choice([30, 200, 900]))) for i in range(80)]
+    rows = {r["doc_id"]: r for r in quality.classify(make(clean + again, "doc_id long, text string")).collect()}
+    assert max(rows[d]["n_words"] for d, _ in again) > 5000 and max(rows[d]["n_words"] for d, _ in clean) > 5000
+    assert all(rows[d]["kept"] for d, _ in clean) and not any(rows[d]["kept"] for d, _ in again)
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
