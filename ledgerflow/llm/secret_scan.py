@@ -1,7 +1,10 @@
 """Secret scan: fixed patterns, plus tokens that a battery of randomness tests picks out.
 
 Base spans are the matches of three patterns (assignment, access key, long hex).  Besides
-them every run of 20 or more key characters is a candidate:
+them every run of 20 or more key characters is a candidate.  A run ends before an '=' that
+other key characters follow.  A run that mixes '/' or '+' with '_' or '-' fits no alphabet:
+its parts between '/' and '+' are candidates, and those between '_' and '-'; found parts
+that overlap are reported as one span.  For each candidate:
 
 * the encoding (and so the alphabet) is inferred from its characters;
 * chi-squared test: how evenly the alphabet is used.  Under the null, ordinary text, the
@@ -31,7 +34,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
+LEAST = 20
+CANDIDATE = r"[A-Za-z0-9+/_-]{14,}+(?:=++(?![A-Za-z0-9+/_-]))?+"  # with its padding at least LEAST
+PARTS = (r"[A-Za-z0-9_-]{14,}+=*+", r"[A-Za-z0-9+/]{14,}+=*+")
 
 #: (pattern, alphabet, non-uniformity of ordinary text in it), first match wins.  The last
 #: value is k * sum(q^2) - 1 over the k symbols for letter frequencies of European text.
@@ -95,6 +100,31 @@ def _p_value(v: Column, k: int, spread: float) -> Column:
     return F.when(passes, even).otherwise(F.lit(1.0))
 
 
+def candidates(text: Column) -> Column:
+    """Spans to test, as (kind, s, e, m)."""
+    def parts(x: Column, i: int) -> Column:
+        return F.transform(places(x["m"], PARTS[i], 3), lambda y: F.struct(
+            y["kind"].alias("kind"), (y["s"] + x["s"]).alias("s"), (y["e"] + x["s"]).alias("e"), y["m"].alias("m")))
+
+    def split(x: Column) -> Column:
+        mixed = F.regexp_like(x["m"], F.lit("[+/]")) & F.regexp_like(x["m"], F.lit("[_-]"))
+        return F.when(mixed, F.concat(parts(x, 0), parts(x, 1))).otherwise(F.array(x))
+
+    return F.filter(F.flatten(F.transform(places(text, CANDIDATE, 3), split)), lambda x: F.length(x["m"]) >= LEAST)
+
+
+def merged(spans: Column) -> Column:
+    """Spans (s, e) by place, those that overlap as one."""
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        both = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when((F.size(acc) > 0) & (last["e"] > x["s"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(
+            F.concat(acc, F.array(x)))
+
+    places_of = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    return F.aggregate(places_of, F.array().cast("array<struct<s:bigint,e:bigint>>"), step)
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, base (array of spans), added (array of spans) per row of ``docs``."""
     text = text_of(text_col)
@@ -109,7 +139,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
     rows = docs.select("doc_id", text.alias("_text"))
-    rows = rows.select("doc_id", base_spans(F.col("_text")).alias("base"), places(F.col("_text"), CANDIDATE, 3).alias("runs"))
+    rows = rows.select("doc_id", base_spans(F.col("_text")).alias("base"), candidates(F.col("_text")).alias("runs"))
     rows = rows.select("doc_id", "base", F.transform(F.filter("runs", lambda x: clear(x, F.col("base"))), candidate).alias("runs"))
     rows = cut(rows.withColumn("runs", F.filter("runs", lambda x: x["enc"].isNotNull())))
 
@@ -126,7 +156,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def found(x: Column) -> Column:
         return x["bin"] >= F.coalesce(F.try_element_at(F.col("_least"), x["enc"] * 100 + x["len_class"]), F.lit(MAX_BIN + 1))
 
-    added = F.transform(F.filter("runs", found), lambda x: F.struct(F.lit(3).alias("kind"), x["s"], x["e"]))
+    added = F.transform(merged(F.filter("runs", found)), lambda x: F.struct(F.lit(3).alias("kind"), x["s"], x["e"]))
     return rows.withColumn("_least", least).select("doc_id", "base", added.alias("added"))
 
 

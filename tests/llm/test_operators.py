@@ -109,6 +109,23 @@ def test_secrets_finds_random_tokens(make):
     assert sum(added[i] for i in range(30)) >= 27 and not any(added[100 + i] for i in range(200))
 
 
+def test_secrets_finds_tokens_in_assignments_and_urls(make):
+    random.seed(8)
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    frames = [("SESSION=", "+/", ""), ("auth_key=", "+/", "= end"), ("http://x.org/a?sig=", "_-", "&b=1"), ("http://x.org/api-v1/files_of/", "_-", "/raw"), ("my-own_", "+/", " end")]
+    planted = {}
+    for i in range(150):
+        before, marks, after = frames[i % 5]
+        planted[i] = (before, "".join(random.choice(plain + marks) for _ in range(43)) + random.choice(plain), after)
+    rows = [(i, "see " + "".join(t)) for i, t in planted.items()]
+    rows += [(1000 + i, "see /usr/share/doc-base/some_package/internationalization-guide and name_of_the_setting=internationalization") for i in range(100)]
+    out = {r["doc_id"]: [(x["s"], x["e"]) for x in r["added"]] for r in secret_scan.scan(make(rows, "doc_id long, text string")).collect()}
+    for k in range(5):
+        whole = [any(s <= 4 + len(b) and 4 + len(b) + len(t) <= e <= 4 + len(b + t + after) for s, e in out[i]) for i, (b, t, after) in planted.items() if i % 5 == k]
+        assert sum(whole) >= 24, frames[k]
+    assert not any(out[1000 + i] for i in range(100))
+
+
 def luhn(d):
     return sum(v * (1 + i % 2) - 9 * (v * (1 + i % 2) > 9) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
 
