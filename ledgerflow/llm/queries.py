@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerflow.llm import bpe, exact_dedup, lm, minhash, mixing, pii, quality, secret_scan, suffix_dedup, token_counts, topk
+from ledgerflow.llm import bpe, conversation_repair, exact_dedup, lm, minhash, mixing, pii, quality, secret_scan, suffix_dedup, token_counts, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op13_token_counts": token_counts.op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
