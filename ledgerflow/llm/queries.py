@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerflow.llm import bpe, conversation_repair, exact_dedup, lm, minhash, mixing, pii, quality, secret_scan, suffix_dedup, token_counts, topk
+from ledgerflow.llm import bpe, conversation_repair, exact_dedup, hard_negatives, lm, minhash, mixing, pii, quality, secret_scan, suffix_dedup, token_counts, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_pii": pii.op10_pii,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_token_counts": token_counts.op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
@@ -25,6 +26,7 @@ ORACLE = {
     "op1_topk": topk.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
