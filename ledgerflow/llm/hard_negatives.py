@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerflow.llm.common import cut, ship, shuffle_parts, spread_join, table
 
-SHARD, BLOCK, SAMPLE, MEMBERS, ROUNDS = 8192, 8192, 8192, 64, 8
+SHARD, BLOCK, SAMPLE, MEMBERS, ROUNDS, SMALL = 8192, 8192, 8192, 64, 8, 1 << 16
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 10, 30, 90
 EXACT, SLACK = float(1 << 53), 1e-6
 TOP, BOTTOM = (1 << 63) - 1, -(1 << 63)
@@ -186,11 +186,18 @@ def _search(middle, same: bool, k: int, scale: int):
     return run
 
 
+def _lookup(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Join to a grouped table whose keys may be very frequent in ``rows``: by broadcast if it is
+    counted to be small, so that no row moves; else by a join that splits frequent keys."""
+    few = cut(few)
+    return rows.join(F.broadcast(few), on) if few.count() <= SMALL else spread_join(rows, few, on)
+
+
 def _shards(rows: DataFrame, bucket: Column, shard: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their bucket and shard, and the number of shards of each bucket."""
     rows = rows.withColumn("bucket", bucket)
     counts = rows.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    placed = spread_join(rows, counts, ["dim", "bucket"]).withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("int"))
+    placed = _lookup(rows, counts, ["dim", "bucket"]).withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("int"))
     return placed.drop("shards"), counts
 
 
@@ -204,10 +211,10 @@ def _ask(rows: DataFrame, anchors: DataFrame, bucket: str | None, middle, k: int
     stored, counts = _shards(rows, key, shard)
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     used = anchors.withColumn("bucket", key).groupBy("dim", "bucket").agg(F.max("blocks").alias("blocks"))
-    stored = spread_join(stored, used, ["dim", "bucket"]).select(
+    stored = _lookup(stored, used, ["dim", "bucket"]).select(
         "dim", "bucket", "shard", blocks, F.lit(False).alias("is_query"), F.lit(None).cast("int").alias("cluster"), "rid", "vec_id", "label", "vec",
         F.lit(None).cast("double").alias("theta"), F.lit(None).cast("array<long>").alias("bands"))
-    asked = spread_join(anchors.withColumn("bucket", key), counts, ["dim", "bucket"]).select(
+    asked = _lookup(anchors.withColumn("bucket", key), counts, ["dim", "bucket"]).select(
         "dim", "bucket", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", F.lit(True).alias("is_query"), "cluster", "rid",
         "vec_id", "label", "vec", "theta", "bands")
     keys = ["dim", "bucket", "shard", "block"]
@@ -259,7 +266,7 @@ def clustered(anchors: DataFrame, members: int = MEMBERS, sample: int = SAMPLE,
     placed = cut(placed)
     sizes = placed.groupBy("dim", "cluster").agg((F.max("angle") + 1e-6).alias("theta"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     blocks = placed.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = spread_join(spread_join(placed, sizes, ["dim", "cluster"]), blocks, ["dim"])
+    placed = _lookup(_lookup(placed, sizes, ["dim", "cluster"]), blocks, ["dim"])
     part = F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts"))
     return cut(placed.withColumn("block", F.pmod(F.xxhash64("cluster", part), F.col("blocks")).cast("int")).drop("angle", "parts")), middle
 
