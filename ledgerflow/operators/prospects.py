@@ -1,7 +1,8 @@
 """Prospect search in chat messages (SRC3–SRC5, C8–C13, A32).
 
-The substring match has no join key, so its cost is messages × keywords; the planner
-broadcasts the keyword list when its size allows.
+Keywords are found through an index of character trigrams: a message is joined to a
+keyword only where it holds the keyword's rarest trigram, and the pair is then checked
+with ``instr``.  Each distinct keyword is matched once, however many products search it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.constants import PROSPECT_CAN_PROCESS, PROSPECT_NO_ID, PROSPECT_POTENTIAL, PROSPECT_PURCHASED
 from ledgerflow.functions.text import chat_file_key
+from ledgerflow.session import cut, lookup
 
 CLASS_PRIORITY = {PROSPECT_PURCHASED: 3, PROSPECT_CAN_PROCESS: 2, PROSPECT_NO_ID: 1, PROSPECT_POTENTIAL: 0}
 # FIXED VALUES: the display text of a prospect.
@@ -61,13 +63,55 @@ def latest_batch(msgs: DataFrame, batch_col: str = "batch", time_col: str = "bat
 
 
 # ---------------------------------------------------------------------------- search
+GRAM = 3           # characters of an indexed piece; a shorter keyword is a piece itself
+FEW_GRAMS = 4096   # pieces that are looked up in a set inside the scan; more are joined
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters, overlapping, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
+
+
+def _gram_rows(texts: DataFrame, col: str, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """One row per text and wanted piece it holds (``gram``)."""
+    wanted = cut(wanted.select("gram").distinct())
+    found = F.array_distinct(F.flatten(F.array(*[grams(F.col(col), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    if wanted.count() <= FEW_GRAMS:
+        few = [r["gram"] for r in wanted.collect()]      # at most FEW_GRAMS short strings
+        return texts.withColumn("gram", F.explode(F.filter(found, lambda g: g.isin(few))))
+    return lookup(texts.withColumn("gram", F.explode(found)), wanted, ["gram"])
+
+
+def keyword_index(texts: DataFrame, col: str, keywords: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Each keyword with the piece of it that the fewest texts hold (ties by piece)."""
+    low = F.lower(F.col("keyword"))
+    pieces = [grams(low, n) for n in (1, 2, GRAM)]
+    own = F.when(F.length(low) == 1, pieces[0]).when(F.length(low) == 2, pieces[1]).otherwise(pieces[2])
+    kg = cut(keywords.select("keyword", F.explode(own).alias("gram")))
+    sizes = [r[0] for r in kg.select(F.length("gram")).distinct().collect()]      # one to three numbers
+    held = _gram_rows(texts, col, kg, sizes).groupBy("gram").agg(F.count("*").alias("n"))
+    rare = kg.join(held, "gram", "left").groupBy("keyword").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return cut(rare), sizes
+
+
 def search_messages(msgs: DataFrame, keywords: DataFrame) -> DataFrame:
     """One row per (message, keyword) where the keyword occurs in the message (case
     insensitive), with its 0-based position, match type 'exact' and score 1.0."""
-    kw = keywords.select(F.col("keyword")).filter(F.length(F.trim("keyword")) > 0).distinct()
-    pos = F.instr(F.lower(F.col("content")), F.lower(F.col("keyword")))
-    j = msgs.join(kw, pos > 0)
-    return j.withColumn("position", pos - 1).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0))
+    kw = keywords.select("keyword").filter(F.length(F.trim("keyword")) > 0).distinct()
+    texts = msgs.withColumn("_low", F.lower(F.col("content")))
+    index, sizes = keyword_index(texts.select("_low"), "_low", kw)
+    pos = F.instr(F.col("_low"), F.lower(F.col("keyword")))
+    if index.count() <= FEW_GRAMS:
+        j = lookup(_gram_rows(texts, "_low", index, sizes), index, ["gram"])
+    else:
+        # many keywords: only digests of the texts meet the index, the messages come back after it
+        texts = texts.withColumn("_text", F.sha2("_low", 256))
+        one = texts.groupBy("_text").agg(F.first("_low").alias("_low"))
+        hits = lookup(_gram_rows(one, "_low", index, sizes).select("_text", "gram"), index, ["gram"]).select("_text", "keyword")
+        j = texts.join(hits, "_text").drop("_text")
+    j = j.filter(pos > 0).withColumn("position", pos - 1).drop("_low", "gram")
+    return j.withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0))
 
 
 def classify_prospects(matches: DataFrame, tx: DataFrame, pm: DataFrame, product_id) -> DataFrame:
@@ -151,21 +195,49 @@ def prospect_summary(cons: DataFrame) -> DataFrame:
 
 def search_runs(msgs: DataFrame, keywords_by_product: DataFrame, tx: DataFrame, pm: DataFrame) -> DataFrame:
     """One search run per product (its keywords from ``keywords_by_product``:
-    product_id, keyword): keywords, hits, distinct customers and purchased customers per
-    run; all runs at once with the product as a join key."""
-    kw = keywords_by_product.select("product_id", "keyword").distinct()
-    pos = F.instr(F.lower(F.col("content")), F.lower(F.col("keyword")))
-    hits = msgs.join(kw, pos > 0)
-    sub = pm.select("product_id", "subcategory")
-    run_sub = kw.select("product_id").distinct().join(sub, "product_id")
-    buyers = tx.join(sub, "product_id").select("customer_id", "subcategory").distinct()
-    bought = run_sub.join(buyers, "subcategory").select("product_id", "customer_id").withColumn("_b", F.lit(True))
-    h = hits.join(bought, ["product_id", "customer_id"], "left")
-    per = h.groupBy("product_id").agg(
-        F.count("*").alias("matches"), F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct(F.when(F.col("_b"), F.col("customer_id"))).alias("purchased_customers"))
-    nkw = kw.groupBy("product_id").agg(F.count("*").alias("keywords"))
-    return nkw.join(per, "product_id", "left").na.fill(0, ["matches", "customers", "purchased_customers"])
+    product_id, keyword): keywords, hits, distinct customers and purchased customers.
+
+    Each distinct keyword is matched once and its hits are summed per customer before they
+    meet products.  Products with the same keywords are one set, and keywords that every
+    product has are counted once for all: a set adds only the customers they do not reach."""
+    kw = cut(keywords_by_product.select("product_id", "keyword").filter(F.length(F.trim("keyword")) > 0).distinct())
+    named = keywords_by_product.select("product_id", "keyword").distinct().groupBy("product_id").agg(F.count("*").alias("keywords"))
+    total = kw.agg(F.count_distinct("product_id")).scalar()
+    common = cut(kw.groupBy("keyword").agg((F.count("*") == total).alias("common")))
+    hits = cut(search_messages(msgs, kw.select("keyword")).groupBy("keyword", "customer_id").agg(F.count("*").alias("hits"))
+               .join(common, "keyword"))
+    everyone = hits.filter("common")
+    known = cut(everyone.filter("customer_id is not null").select("customer_id").distinct())
+    own = kw.join(common.filter(~F.col("common")), "keyword")
+    sets = cut(named.join(own.groupBy("product_id").agg(F.array_sort(F.collect_set("keyword")).alias("_words")), "product_id", "left")
+               .withColumn("set", F.xxhash64("_words")))
+    words = sets.select("set", F.explode("_words").alias("keyword")).distinct()
+    reached = cut(words.join(hits.filter(~F.col("common")), "keyword").groupBy("set", "customer_id").agg(F.sum("hits").alias("hits")))
+    fresh = cut(reached.filter("customer_id is not null").join(known, "customer_id", "left_anti").select("set", "customer_id"))
+    sub = pm.select("product_id", "subcategory").distinct()
+    bought = cut(tx.join(sub, "product_id").select("customer_id", "subcategory").distinct())
+    per_set = reached.groupBy("set").agg(F.sum("hits").alias("_h")).join(fresh.groupBy("set").agg(F.count("*").alias("_c")), "set", "left")
+    runs = sets.select("product_id", "keywords", "set").join(per_set, "set", "left")
+    # a product of several subcategories counts a customer once
+    in_sub = known.join(bought, "customer_id")
+    in_set = fresh.join(bought, "customer_id")
+    once = sub.groupBy("product_id").agg(F.count("*").alias("_n"), F.min("subcategory").alias("subcategory"))
+    plain = (runs.join(once.filter("_n = 1").select("product_id", "subcategory"), "product_id")
+             .join(in_sub.groupBy("subcategory").agg(F.count("*").alias("_p")), "subcategory", "left")
+             .join(in_set.groupBy("set", "subcategory").agg(F.count("*").alias("_q")), ["set", "subcategory"], "left"))
+    several = runs.join(once, "product_id", "left").filter("_n is null or _n > 1")
+    many = several.select("product_id", "set").join(sub, "product_id")
+    p = many.join(in_sub, "subcategory").select("product_id", "customer_id").distinct().groupBy("product_id").agg(F.count("*").alias("_p"))
+    q = many.join(in_set, ["set", "subcategory"]).select("product_id", "customer_id").distinct().groupBy("product_id").agg(F.count("*").alias("_q"))
+    columns = ["product_id", "keywords", "_h", "_c", "_p", "_q"]
+    several = several.join(p, "product_id", "left").join(q, "product_id", "left")
+    every = everyone.agg(F.sum("hits")).scalar()
+    whole = known.agg(F.count("*")).scalar()
+    zero = F.lit(0)
+    return plain.select(*columns).unionByName(several.select(*columns)).select(
+        "product_id", "keywords", (F.coalesce(every, zero) + F.coalesce("_h", zero)).alias("matches"),
+        (F.coalesce(whole, zero) + F.coalesce("_c", zero)).alias("customers"),
+        (F.coalesce("_p", zero) + F.coalesce("_q", zero)).alias("purchased_customers"))
 
 
 def keyword_stats(matches: DataFrame) -> DataFrame:
@@ -184,11 +256,10 @@ def top_customers_per_class(classified: DataFrame, k_by_class: dict[str, int]) -
     return r.filter(F.col("rank") <= F.coalesce(F.element_at(kmap, F.col("prospect_class")), F.lit(10)))
 
 
-def keywords_for_products(pm: DataFrame, product_ids: Sequence, words: Sequence[str]) -> DataFrame:
-    """Keyword table per searched product: the fixed words plus the product's core name
-    (X12).  Bounded: a few words per searched product."""
+def keywords_for_products(pm: DataFrame, words: Sequence[str]) -> DataFrame:
+    """Keyword table per product: the fixed words plus the product's core name."""
     from ledgerflow.functions.text import core_name
 
-    p = pm.filter(F.col("product_id").isin(list(product_ids))).select("product_id", core_name("name_zh").alias("nm"))
+    p = pm.select("product_id", core_name("name_zh").alias("nm"))
     fixed = F.array(*[F.lit(w) for w in words])
     return p.select("product_id", F.explode(F.array_union(fixed, F.array(F.col("nm")))).alias("keyword"))

@@ -13,9 +13,14 @@ Scale notes:
   factor) / (5·|B|).  The four counts are equi-joins on attribute values; only the price
   sum needs (candidate, bought product) pairs, and only inside one category, with bought
   products of equal price merged first.
+* The lists of M26 and M27 come from the bounded search of ``bounded.py``: limits from a
+  first round, upper bounds against them in the second, prices summed only where a bound
+  still reaches the limit.  Customers with more than ``HOT`` bought products, whose prices
+  would not fit a row, are scored by joins instead.
 * Candidates are products sharing an attribute value with the customer's history; a
-  product sharing none scores 0.  M26 fills a short list with such products by id; M27
-  lists scoring customers only.
+  product sharing none scores 0.  Short lists are filled with those by id: M26 with the
+  smallest products of subcategories not bought, M27 with customers who did not buy the
+  subcategory.
 * The 5 % / 95 % price cut uses exact quantiles computed from value → count and
   magnitude → count aggregates: no global sort, and heavily repeated prices collapse
   before the shuffle.
@@ -30,9 +35,11 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.misc import default
 from ledgerflow.operators.sales import dedup_product
+from ledgerflow.session import cut
 
 R = 6
 UNKNOWN = "unknown"   # FIXED VALUE: fill for missing product attributes
+HOT = 2048            # bought products of a customer from which joins score it instead of the search
 
 
 def _r(c: Column) -> Column:
@@ -172,46 +179,25 @@ def product_similarity(pairs: DataFrame, products: DataFrame, prices: DataFrame,
 
 
 # ---------------------------------------------------------------- candidate scoring
-def _scored_candidates(sales: DataFrame, pm: DataFrame) -> DataFrame:
-    """Every (customer, candidate product) with its mean similarity to the customer's
-    bought products, price match and final score.  Candidates: unbought active products
-    sharing category, specification or process type with the bought set, whose
-    subcategory the customer has not bought ('unknown' never blocks).
-
-    Plan shape: the per-(customer, category) counts and price profile generate the
-    in-category candidates with everything they need in one join; spec / process matches
-    add candidates of other categories; the two count joins, the bought-price join and
-    one (customer, product) aggregate finish the score."""
+def _scored_pairs(pairs: DataFrame, sales: DataFrame, pm: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """base_similarity, price_match, final_score and rank_score of given (customer_id,
+    product_id) pairs, by joins.  ``only`` names the customers of the pairs, if few."""
     c, p = "customer_id", "product_id"
-    products = active_products(pm)
-    prices = product_prices(sales)
+    products, prices = active_products(pm), product_prices(sales)
     cat = category_price_stats(sales).select("category", "cat_std")
-    pinfo = products.join(prices, p, "left")
-    bought = sales.select(c, p).distinct().join(products, p)
-    nb = bought.groupBy(c).agg(F.count("*").alias("n_bought"),
-                               F.count_if(F.col("subcategory") == UNKNOWN).alias("n_unknown"))
-    ncat = bought.groupBy(c, "category").agg(F.count("*").alias("n_category"))
-    prof = (sales.groupBy(c, "category").agg(F.avg("unit_price").alias("avg_price"), F.count("*").alias("_pc"))
+    mine = sales if only is None else sales.join(only, c, "left_semi")
+    bought = mine.select(c, p).distinct().join(products, p)
+    nb = bought.groupBy(c).agg(F.count("*").alias("n_bought"), F.count_if(F.col("subcategory") == UNKNOWN).alias("n_unknown"))
+    x = pairs.select(c, p).join(products.join(prices, p, "left"), p).join(nb, c).join(cat, "category", "left")
+    for a in ("category", "specification", "process_type"):
+        x = x.join(bought.groupBy(c, a).agg(F.count("*").alias(f"n_{a}")), [c, a], "left")
+    prof = (mine.groupBy(c, "category").agg(F.avg("unit_price").alias("avg_price"), F.count("*").alias("_pc"))
             .filter(F.col("_pc") >= 2).drop("_pc"))
-    cc = ncat.join(prof, [c, "category"], "left")
-    nspec = bought.groupBy(c, "specification").agg(F.count("*").alias("n_specification"))
-    nproc = bought.groupBy(c, "process_type").agg(F.count("*").alias("n_process_type"))
-    attrs = ["category", "subcategory", "specification", "process_type", "product_price"]
-    in_cat = cc.join(pinfo, "category").select(c, p, *attrs, "n_category", "avg_price")
-    other = (nspec.select(c, "specification").join(pinfo, "specification").select(c, p, *attrs)
-             .unionByName(nproc.select(c, "process_type").join(pinfo, "process_type").select(c, p, *attrs))
-             .join(ncat.select(c, "category"), [c, "category"], "left_anti").dropDuplicates([c, p])
-             .withColumn("n_category", F.lit(0).cast("long")).withColumn("avg_price", F.lit(None).cast("double")))
-    cand = in_cat.unionByName(other.select(*in_cat.columns))
-    cand = cand.join(bought.select(c, p), [c, p], "left_anti")
-    bsub = bought.filter(F.col("subcategory") != UNKNOWN).select(c, "subcategory").distinct()
-    cand = (cand.join(bsub, [c, "subcategory"], "left_anti")
-            .join(nspec, [c, "specification"], "left").join(nproc, [c, "process_type"], "left")
-            .join(nb, c).join(cat, "category", "left"))
-    # price term: each candidate × the bought prices of its category (equal prices merged)
+    x = x.join(prof, [c, "category"], "left")
+    # price term: each product × the bought prices of its category (equal prices merged)
     bp = (bought.join(prices, p, "left").groupBy(c, "category", F.col("product_price").alias("bought_price"))
           .agg(F.count("*").alias("m")))
-    x = cand.join(bp, [c, "category"], "left")
+    x = x.join(bp, [c, "category"], "left")
     term = F.when(F.col("m").isNotNull(),
                   F.col("m") * _gauss(F.col("product_price"), F.col("bought_price"), F.col("cat_std")))
     keep = ["subcategory", "n_category", "n_specification", "n_process_type", "n_bought", "n_unknown",
@@ -224,9 +210,26 @@ def _scored_candidates(sales: DataFrame, pm: DataFrame) -> DataFrame:
     pmatch = F.when(F.col("product_price").isNull() | F.col("avg_price").isNull(), F.lit(0.5)).otherwise(
         _gauss(F.col("product_price"), F.col("avg_price"), F.col("cat_std")))
     out = g.select(c, p, "subcategory", base.alias("base_similarity"), pmatch.alias("price_match"))
-    out = out.withColumn("final_score", F.col("base_similarity") * F.col("price_match"))
     # rank on a rounded score so that last-bit differences of float sums cannot reorder
-    return out.withColumn("rank_score", F.round("final_score", 10))
+    return out.withColumn("rank_score", F.round(F.col("base_similarity") * F.col("price_match"), 10))
+
+
+def _scored_candidates(sales: DataFrame, pm: DataFrame, only: DataFrame) -> DataFrame:
+    """Every candidate of the customers ``only``, scored by joins.  Candidates: unbought active
+    products sharing category, specification, process type or the unknown subcategory with
+    the bought set, whose subcategory the customer has not bought ('unknown' never blocks)."""
+    c, p = "customer_id", "product_id"
+    products = active_products(pm)
+    bought = sales.join(only, c, "left_semi").select(c, p).distinct().join(products, p)
+    shared = [bought.select(c, a).distinct().join(products.select(p, a), a).select(c, p)
+              for a in ("category", "specification", "process_type")]
+    shared.append(bought.filter(F.col("subcategory") == UNKNOWN).select(c, "subcategory").distinct()
+                  .join(products.select(p, "subcategory"), "subcategory").select(c, p))
+    cand = shared[0].union(shared[1]).union(shared[2]).union(shared[3]).distinct()
+    bsub = bought.filter(F.col("subcategory") != UNKNOWN).select(c, "subcategory").distinct()
+    cand = (cand.join(bought.select(c, p), [c, p], "left_anti").join(products.select(p, "subcategory"), p)
+            .join(bsub, [c, "subcategory"], "left_anti"))
+    return _scored_pairs(cand, sales, pm, only)
 
 
 def scoring_sales(tx: DataFrame, pm: DataFrame, trim: bool = True) -> DataFrame:
@@ -234,16 +237,22 @@ def scoring_sales(tx: DataFrame, pm: DataFrame, trim: bool = True) -> DataFrame:
     checkpoint folder (``checkpoint()``): the ~10 branches of the scoring plan read it
     instead of re-running the scan, join and quantile cut, and a lost executor re-reads
     the checkpoint instead of the whole lineage."""
-    from ledgerflow.session import checkpoint_dir
-
-    checkpoint_dir(tx.sparkSession)
     sales = priced_sales(tx, pm)
     sales = trim_prices(sales) if trim else sales
     cols = ["customer_id", "product_id", "category", "subcategory", "specification", "process_type", "unit_price"]
-    return sales.select(*cols).checkpoint(eager=True)
+    return cut(sales.select(*cols))
+
+
+def _scoring(sales: DataFrame, pm: DataFrame):
+    from ledgerflow.operators.bounded import Scoring
+
+    return Scoring(sales, active_products(pm), product_prices(sales), category_price_stats(sales), HOT)
 
 
-def _zero_scores(best: DataFrame, scoring: DataFrame, sales: DataFrame, pm: DataFrame, k: int) -> DataFrame:
+SCORES = ["customer_id", "product_id", "subcategory", "base_similarity", "price_match", "rank_score"]
+
+
+def _zero_scores(scoring: DataFrame, sales: DataFrame, pm: DataFrame, k: int) -> DataFrame:
     """Subcategories that score 0, for the customers with fewer than ``k`` scoring ones.
 
     Every subcategory stands for its smallest product id, and the subcategories are
@@ -260,12 +269,37 @@ def _zero_scores(best: DataFrame, scoring: DataFrame, sales: DataFrame, pm: Data
         c, F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce("e", F.lit(0)).cast("int"))).alias("place"))
     free = (reach.join(reps, "place").join(taken, [c, "subcategory"], "left_anti")
             .join(sales.select(c, "product_id").distinct(), [c, "product_id"], "left_anti"))
-    known = best.select(c, "product_id", "base_similarity", "price_match")
-    z = free.join(known, [c, "product_id"], "left").select(
-        c, "product_id", "subcategory", F.coalesce("base_similarity", F.lit(0.0)).alias("base_similarity"),
-        F.coalesce("price_match", F.lit(0.5)).alias("price_match"))
-    z = z.withColumn("final_score", F.col("base_similarity") * F.col("price_match"))
-    return z.withColumn("rank_score", F.round("final_score", 10)).select(*best.columns)
+    return _scored_pairs(free, sales, pm, few).select(*SCORES)
+
+
+def _zero_customers(scoring: DataFrame, sales: DataFrame, wanted: DataFrame, pm: DataFrame, k: int) -> DataFrame:
+    """Customers who score 0, for the wanted products with fewer than ``k`` scoring ones.
+
+    Customers are numbered by id.  What bars a customer is the product's subcategory (an
+    unknown one: the product itself).  Of a subcategory with e barred customers the first
+    k + n others lie among the first k + n + e; all these reaches together are no more
+    than the distinct pairs of customer and subcategory.  n: scoring customers, below k."""
+    c, p = "customer_id", "product_id"
+    barrier = F.when(F.col("subcategory") == UNKNOWN, F.concat(F.lit("p:"), F.col(p).cast("string"))).otherwise(
+        F.concat(F.lit("s:"), F.col("subcategory"))).alias("barrier")
+    few = (wanted.join(scoring.groupBy(p).agg(F.count("*").alias("n")), p, "left").filter(F.coalesce("n", F.lit(0)) < k)
+           .join(active_products(pm).select(p, "subcategory"), p).select(p, barrier))
+    few = cut(few)
+    barred = cut(sales.select(c, barrier).distinct().join(few.select("barrier").distinct(), "barrier", "left_semi"))
+    order = sales.select(c).distinct()
+    n = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = cut(order.repartitionByRange(n, c).withColumn("_part", F.spark_partition_id()))
+    ahead = order.groupBy("_part").agg(F.count("*").alias("_n")).withColumn(      # one row per partition
+        "_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = order.join(F.broadcast(ahead.drop("_n")), "_part").withColumn(
+        "place", F.col("_ahead") + F.row_number().over(Window.partitionBy("_part").orderBy(c)))
+    reach = few.select("barrier").distinct().join(barred.groupBy("barrier").agg(F.count("*").alias("e")), "barrier", "left").select(
+        "barrier", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2 * k) + F.coalesce("e", F.lit(0)))).alias("place"))
+    free = reach.join(order.select(c, "place"), "place").join(barred, [c, "barrier"], "left_anti")
+    from ledgerflow.operators.catalog import top_k_per
+    free = top_k_per(free, ["barrier"], [F.col("place")], 2 * k, "_r").select("barrier", c)
+    pairs = free.join(few, "barrier").select(c, p).join(scoring.select(c, p), [c, p], "left_anti")
+    return _scored_pairs(pairs, sales, pm).select(*SCORES)
 
 
 def recommend_products(tx: DataFrame, pm: DataFrame, k: int = 7, trim: bool = True,
@@ -276,27 +310,47 @@ def recommend_products(tx: DataFrame, pm: DataFrame, k: int = 7, trim: bool = Tr
     sales = scoring_sales(tx, pm, trim) if sales is None else sales
     from ledgerflow.operators.catalog import top_k_per
     order = [F.col("rank_score").desc(), F.col("product_id")]
-    best = top_k_per(_scored_candidates(sales, pm), ["customer_id", "subcategory"], order, 1, "_r").drop("_r").checkpoint()
-    scoring = best.filter(F.col("rank_score") > 0)
-    top = top_k_per(scoring.unionByName(_zero_scores(best, scoring, sales, pm, k)), ["customer_id"], order, k)
+    search = _scoring(sales, pm)
+    scoring = search.products_for_customers(k).select(*SCORES)
+    if not search.hot.isEmpty():
+        best = best_per_subcategory(_scored_candidates(sales, pm, search.hot)).filter(F.col("rank_score") > 0)
+        scoring = scoring.unionByName(best.select(*SCORES))
+    scoring = cut(scoring)
+    top = top_k_per(scoring.unionByName(_zero_scores(scoring, sales, pm, k)), ["customer_id"], order, k)
     return top.select("customer_id", F.col("product_id").alias("recommended_product_id"), "rank",
                       F.round("base_similarity", 4).alias("similarity_score"),
                       F.round("price_match", 4).alias("price_match_score"),
-                      F.round("final_score", 4).alias("final_score"), "subcategory")
+                      F.round(F.col("base_similarity") * F.col("price_match"), 4).alias("final_score"), "subcategory")
+
+
+def best_per_subcategory(scored: DataFrame) -> DataFrame:
+    """The best product of each (customer, subcategory) by rank score, ties by product id."""
+    from ledgerflow.operators.catalog import top_k_per
+
+    return top_k_per(scored, ["customer_id", "subcategory"], [F.col("rank_score").desc(), F.col("product_id")], 1, "_r").drop("_r")
 
 
 def recommend_customers(tx: DataFrame, pm: DataFrame, k: int = 7, trim: bool = True,
-                        sales: DataFrame | None = None) -> DataFrame:
-    """Per product the top k customers who bought neither it nor its subcategory, by
-    the same score (ties by customer id)."""
+                        sales: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Per sold product the top k customers who bought neither it nor its subcategory, by
+    the same score (ties by customer id), customers who score 0 included.  ``wanted`` (product_id)
+    leaves out other products."""
     sales = scoring_sales(tx, pm, trim) if sales is None else sales
-    s = _scored_candidates(sales, pm).filter(F.col("final_score") > 0)
+    sold = sales.select("product_id").distinct()
+    sold = cut(sold if wanted is None else sold.join(wanted, "product_id", "left_semi"))
     from ledgerflow.operators.catalog import top_k_per
-    top = top_k_per(s, ["product_id"], [F.col("rank_score").desc(), F.col("customer_id")], k)
+    order = [F.col("rank_score").desc(), F.col("customer_id")]
+    search = _scoring(sales, pm)
+    scoring = search.customers_for_products(sold, k).join(search.stock.select("product_id", "subcategory"), "product_id")
+    if not search.hot.isEmpty():
+        hot = _scored_candidates(sales, pm, search.hot).join(sold, "product_id", "left_semi").filter(F.col("rank_score") > 0)
+        scoring = scoring.select(*SCORES).unionByName(hot.select(*SCORES))
+    scoring = cut(top_k_per(scoring.select(*SCORES), ["product_id"], order, k, "_r").drop("_r"))
+    top = top_k_per(scoring.unionByName(_zero_customers(scoring, sales, sold, pm, k)), ["product_id"], order, k)
     return top.select("product_id", F.col("customer_id").alias("recommended_customer_id"), "rank",
                       F.round("base_similarity", 4).alias("similarity_score"),
                       F.round("price_match", 4).alias("price_match_score"),
-                      F.round("final_score", 4).alias("final_score"))
+                      F.round(F.col("base_similarity") * F.col("price_match"), 4).alias("final_score"))
 
 
 def enrich_recs(recs: DataFrame, pm: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,6 @@ from ledgerflow.plans.registry import query
 from ledgerflow.sources.views import Views, osql
 
 TARGET = 7
-RUN_PRODUCTS = (7, 8, 9)
 
 _FILEKEY = """
 fk AS (SELECT *, len(parts) AS np, array_to_string(parts[5:], '_') AS tail FROM (
@@ -120,8 +119,8 @@ def c10_texts(spark, sf_dir):
 
 
 def _recs_for_target(v):
-    r = rc.recommend_customers(v.order_tx(), v.product_master)
-    return r.filter(F.col("product_id") == TARGET)
+    return rc.recommend_customers(v.order_tx(), v.product_master,
+                                  wanted=v.product_master.filter(F.col("product_id") == TARGET).select("product_id"))
 
 
 def _c11_sql():
@@ -160,7 +159,7 @@ kwp AS (SELECT DISTINCT product_id, keyword FROM (
           SELECT product_id, unnest(list_distinct([{", ".join(f"'{w}'" for w in TEST_KEYWORDS)},
               trim(regexp_replace(regexp_replace(name_zh, '[\\(（\\[【][^\\)）\\]】]*[\\)）\\]】]', '', 'g'), '[-_/]+', ' ', 'g'))]))
                  AS keyword
-          FROM product_master WHERE product_id IN ({", ".join(str(p) for p in RUN_PRODUCTS)}))),
+          FROM product_master)),
 rh AS (SELECT k.product_id, m.customer_id FROM msgs m JOIN kwp k ON instr(lower(m.content), lower(k.keyword)) > 0),
 rsub AS (SELECT DISTINCT k.product_id, pm.subcategory FROM kwp k JOIN product_master pm ON k.product_id = pm.product_id),
 rbuy AS (SELECT DISTINCT r.product_id, t.customer_id FROM rsub r JOIN product_master pm ON pm.subcategory = r.subcategory
@@ -176,9 +175,9 @@ LEFT JOIN (SELECT h.product_id, COUNT(*) AS matches, COUNT(DISTINCT h.customer_i
            FROM rh h LEFT JOIN rbuy b ON h.product_id = b.product_id AND h.customer_id = b.customer_id GROUP BY 1) p
   ON n.product_id = p.product_id""", ctes=_RUNS))
 def c13_search_runs(spark, sf_dir):
-    """One search run per product (fixed words + the product's core name)."""
+    """One search run for every product (fixed words + the product's core name)."""
     v = Views(spark, sf_dir)
-    kw = pr.keywords_for_products(v.product_master, RUN_PRODUCTS, TEST_KEYWORDS)
+    kw = pr.keywords_for_products(v.product_master, TEST_KEYWORDS)
     return pr.search_runs(_msgs(v), kw, v.order_tx(), v.product_master)
 
 

@@ -41,7 +41,8 @@ n_proc AS (SELECT customer_id, process_type, COUNT(*) AS n FROM bought GROUP BY
 cand0 AS (SELECT DISTINCT customer_id, product_id FROM (
             SELECT n.customer_id, ap.product_id FROM n_cat n JOIN ap ON n.category = ap.category
             UNION ALL SELECT n.customer_id, ap.product_id FROM n_spec n JOIN ap ON n.specification = ap.specification
-            UNION ALL SELECT n.customer_id, ap.product_id FROM n_proc n JOIN ap ON n.process_type = ap.process_type)),
+            UNION ALL SELECT n.customer_id, ap.product_id FROM n_proc n JOIN ap ON n.process_type = ap.process_type
+            UNION ALL SELECT n.customer_id, ap.product_id FROM n_sub n JOIN ap ON n.subcategory = ap.subcategory AND ap.subcategory = 'unknown')),
 cand AS (SELECT c.customer_id, ap.* FROM cand0 c JOIN ap ON c.product_id = ap.product_id
          WHERE NOT EXISTS (SELECT 1 FROM bought b WHERE b.customer_id = c.customer_id AND b.product_id = c.product_id)
            AND NOT EXISTS (SELECT 1 FROM bought b WHERE b.customer_id = c.customer_id AND b.subcategory = ap.subcategory
@@ -85,8 +86,15 @@ zeros AS (SELECT n.customer_id, r.product_id, r.subcategory, COALESCE(s.base_sim
             AND NOT EXISTS (SELECT 1 FROM best x WHERE x.customer_id = n.customer_id AND x.subcategory = r.subcategory)),
 recp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY rank_score DESC, product_id) AS rank
                         FROM (SELECT * EXCLUDE (r1) FROM best UNION ALL SELECT * FROM zeros)) WHERE rank <= 7),
+every AS (SELECT n.customer_id, r.product_id, COALESCE(s.base_similarity, 0.0::DOUBLE) AS base_similarity,
+                 COALESCE(s.price_match, 0.5::DOUBLE) AS price_match, COALESCE(s.base_similarity * s.price_match, 0.0::DOUBLE) AS final_score,
+                 COALESCE(round(s.base_similarity * s.price_match, 10), 0.0::DOUBLE) AS rank_score
+          FROM nb n CROSS JOIN (SELECT DISTINCT product_id, subcategory FROM ts) r
+          LEFT JOIN scored s ON s.customer_id = n.customer_id AND s.product_id = r.product_id
+          WHERE NOT EXISTS (SELECT 1 FROM bought b WHERE b.customer_id = n.customer_id
+                            AND (b.product_id = r.product_id OR (b.subcategory = r.subcategory AND b.subcategory <> 'unknown')))),
 recc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY rank_score DESC, customer_id) AS rank
-                        FROM scored2) WHERE rank <= 7)"""
+                        FROM every) WHERE rank <= 7)"""
 
 
 def _sales(v, trim=True):

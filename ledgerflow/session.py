@@ -79,3 +79,44 @@ def sub_checkpoint(spark: SparkSession, name: str) -> str:
     """A named sub-folder of the shared checkpoint folder (streaming state, written tables)."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for the Arrow operators."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerflow-"), "ledgerflow_code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
+def cut(df):
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def lookup(rows, few, on: list[str], how: str = "inner", bound: int = 1 << 16):
+    """Join to a grouped table whose keys may be very frequent in ``rows``: a broadcast if
+    it is counted to hold at most ``bound`` rows, so that no row moves; else a join keyed by
+    a column of its own, which lets AQE split frequent keys."""
+    from pyspark.sql import functions as F
+
+    few = cut(few)
+    if few.count() <= bound:
+        return rows.join(F.broadcast(few), on, how)
+    both = [df.withColumn("_join", F.xxhash64(*on)) for df in (rows, few)]
+    return both[0].join(both[1], ["_join", *on], how).drop("_join")
