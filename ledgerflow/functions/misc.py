@@ -71,6 +71,17 @@ def transaction_id(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return out.withColumn("id_collision", F.count("*").over(Window.partitionBy("transaction_id")) > 1)
 
 
+def row_hash(cols: Sequence[str]) -> Column:
+    """60 bits of the MD5 of a row's values, as an exact number."""
+    text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u001e")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def fingerprint_of(total: Column, count: Column) -> Column:
+    """The fingerprint of rows whose hashes sum to ``total``; sums of disjoint rows may be added."""
+    return F.md5(F.concat_ws(":", total.cast("string"), count.cast("string")))
+
+
 def fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Change fingerprint of a result set (per ``by`` group, or one row).
 
@@ -78,13 +89,9 @@ def fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     summed exactly (DECIMAL) and the sum and row count are hashed.  The value depends on
     the multiset of rows, not on their order, and it aggregates partially on every
     executor — no group is gathered into one buffer."""
-    text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u001e")) for c in cols])
-    row_hash = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
     g = df.groupBy(*by) if by else df.groupBy()
-    agg = g.agg(F.sum(row_hash.cast("decimal(38,0)")).alias("_s"), F.count("*").alias("row_count"))
-    return agg.select(*by, "row_count",
-                      F.md5(F.concat_ws(":", F.col("_s").cast("string"), F.col("row_count").cast("string")))
-                      .alias("fingerprint"))
+    agg = g.agg(F.sum(row_hash(cols)).alias("_s"), F.count("*").alias("row_count"))
+    return agg.select(*by, "row_count", fingerprint_of(F.col("_s"), F.col("row_count")).alias("fingerprint"))
 
 
 def unit_price(amount, quantity) -> Column:

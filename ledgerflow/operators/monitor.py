@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.session import cut, lookup
+
 # FIXED VALUES: currency conversion of the API usage ledger.
 USD_TO_TWD_RATE = 31.5
 # FIXED VALUES: alert policy.
@@ -136,6 +138,82 @@ def alerts(health: DataFrame, history: DataFrame, now: str) -> DataFrame:
     return j.select("job_id", "status", cnt.alias("alerts_sent"), "last_alert", send.alias("send_alert"))
 
 
+def alert_history(history: DataFrame) -> DataFrame:
+    """What the rule needs of a job's alerts: their number, the last one and the first warning."""
+    return history.groupBy("job_id").agg(F.count("*").cast("int").alias("n"), F.max("ts").alias("last"),
+                                         F.min(F.when(F.col("status") == "warning", F.col("ts"))).alias("warned"))
+
+
+def alerts_over_time(checks: DataFrame, history: DataFrame) -> DataFrame:
+    """W12 over time (batch form): the alerts sent for health checks (job_id, ts, status) taken
+    in the order of their times, each alert joining the history.
+
+    A job has at most ``MAX_ALERTS_PER_JOB`` alerts, so that many rounds find them all: a
+    round looks up each job's next check that may be sent, as a minimum that aggregates
+    before any shuffle.  Checks at the same time go by status."""
+    checks = cut(checks.filter(F.col("status").isin("critical", "warning")).select("job_id", "ts", "status").distinct())
+    state = cut(checks.select("job_id").distinct().join(alert_history(history), "job_id", "left")
+                .withColumn("n", F.coalesce("n", F.lit(0))))
+    sent = []
+    for _ in range(MAX_ALERTS_PER_JOB):
+        cool = F.col("last").isNull() | (F.col("ts") >= F.col("last") + F.expr(f"INTERVAL {ALERT_COOLDOWN_HOURS} HOURS"))
+        old = F.col("warned") < F.col("ts") - F.expr(f"INTERVAL {WARNING_THRESHOLD_HOURS} HOURS")
+        ready = (F.col("n") < MAX_ALERTS_PER_JOB) & cool & ((F.col("status") == "critical") | F.coalesce(old, F.lit(False)))
+        # a job's state is one row; checks of a busy job stay where they are
+        found = cut(lookup(checks, state, ["job_id"]).filter(ready).groupBy("job_id").agg(F.min(F.struct("ts", "status")).alias("a")))
+        sent.append(found.select("job_id", "a.ts", "a.status"))
+        new_warning = F.when(F.col("a.status") == "warning", F.col("a.ts"))
+        state = cut(state.join(found, "job_id").select(
+            "job_id", (F.col("n") + 1).alias("n"), F.col("a.ts").alias("last"), F.coalesce("warned", new_warning).alias("warned")))
+    out = sent[0]
+    for more in sent[1:]:
+        out = out.union(more)
+    return out
+
+
+# State of a job in the streaming form: alerts so far, the last one, the first warning (microseconds, -1: none), open checks.
+ALERT_STATE = "n int, last long, warned long, times array<long>, kinds array<string>"
+ALERT_OUT = "job_id string, us long, status string"
+HOUR_US = 3_600_000_000
+
+
+def alert_state(key, frames, state):
+    """W12 streaming step: checks wait until the watermark passes them, then go in the order of their times.
+
+    Each check brings its job's earlier alerts (n, last, warned), which count once, when the state begins."""
+    import pandas as pd
+
+    if state.exists:
+        n, last, warned, times, kinds = state.get
+        open_checks = set(zip(times, kinds, strict=True))
+    else:
+        n, last, warned, open_checks = None, -1, -1, set()
+    for frame in frames:
+        if n is None and len(frame):
+            row = frame.iloc[0]
+            n, last, warned = int(row["n"]), int(row["last"]), int(row["warned"])
+        problems = frame[frame["status"].isin(["critical", "warning"])]
+        open_checks |= set(zip(problems["us"].astype("int64").tolist(), problems["status"].tolist(), strict=True))
+    n = n or 0
+    passed = state.getCurrentWatermarkMs() * 1000
+    sent = []
+    for us, status in sorted(open_checks):
+        if us >= passed:
+            break
+        open_checks.discard((us, status))
+        if n >= MAX_ALERTS_PER_JOB or (last >= 0 and us < last + ALERT_COOLDOWN_HOURS * HOUR_US):
+            continue
+        if status == "critical" or 0 <= warned < us - WARNING_THRESHOLD_HOURS * HOUR_US:
+            sent.append((key[0], us, status))
+            n, last = n + 1, us
+            warned = us if warned < 0 and status == "warning" else warned
+    rest = sorted(open_checks) if n < MAX_ALERTS_PER_JOB else []
+    state.update((n, last, warned, [r[0] for r in rest], [r[1] for r in rest]))
+    if rest:
+        state.setTimeoutTimestamp(max(rest[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+    yield pd.DataFrame(sent, columns=["job_id", "us", "status"]).astype({"us": "int64"})
+
+
 # --------------------------------------------------------------------- API usage
 def parse_api_log(lines: DataFrame, col: str = "value") -> DataFrame:
     """SRC7: API usage lines → time, model, operation, input / output tokens, cost (NT$)

@@ -15,6 +15,7 @@ from ledgerflow.operators import replenish as rp
 from ledgerflow.plans.registry import query
 from ledgerflow.session import sub_checkpoint
 from ledgerflow.sources import ingest as ig
+from ledgerflow.sources.versions import VersionedTable
 from ledgerflow.sources.views import Views, osql
 
 
@@ -189,54 +190,130 @@ _INV_BATCH = """ib AS (SELECT * REPLACE (stock_quantity * 2 AS stock_quantity) F
                WHERE product_id IN (SELECT product_id FROM product_master WHERE specification IN ('41', '42', '43')))"""
 
 
-@query("SNK4", osql("""
+def _stored(spark, name, target):
+    """A new stored table that holds ``target`` as version 0."""
+    table = VersionedTable(spark, sub_checkpoint(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}"))
+    table.write(target, 0)
+    return table
+
+
+def _twice(*writes):
+    """Apply a batch and then the same batch again, which must not change anything."""
+    for write in writes:
+        write()
+        assert not write(), "a replayed batch was applied"
+
+
+_SNK4 = osql("""
 SELECT product_id, warehouse_id, CAST(stock_quantity AS DOUBLE) AS stock_quantity FROM (
   SELECT * FROM inventory WHERE NOT (product_id IN (SELECT product_id FROM ib) AND warehouse_id IN (SELECT warehouse_id FROM ib))
-  UNION ALL SELECT * FROM ib)""", ctes=_INV_BATCH))
+  UNION ALL SELECT * FROM ib)""", ctes=_INV_BATCH)
+
+
+def _stock_batch(v):
+    sizes = v.product_master.filter(F.col("specification").isin("41", "42", "43")).select("product_id")
+    b = v.inventory.join(sizes, "product_id", "left_semi").withColumn("stock_quantity", F.col("stock_quantity") * 2)
+    return b.withColumn("stock_quantity", F.col("stock_quantity").cast("decimal(18,4)"))
+
+
+@query("SNK4", _SNK4)
 def snk4_replace_stock(spark, sf_dir):
     """SNK4: stock rows replaced by a batch (product set × warehouse set, as the source)."""
     v = Views(spark, sf_dir)
-    sizes = v.product_master.filter(F.col("specification").isin("41", "42", "43")).select("product_id")
-    b = v.inventory.join(sizes, "product_id", "left_semi").withColumn("stock_quantity", F.col("stock_quantity") * 2)
-    b = b.withColumn("stock_quantity", F.col("stock_quantity").cast("decimal(18,4)"))
-    return ig.replace_stock(v.inventory, b).select("product_id", "warehouse_id", "stock_quantity")
+    return ig.replace_stock(v.inventory, _stock_batch(v)).select("product_id", "warehouse_id", "stock_quantity")
+
+
+@query("SNK4_write", _SNK4)
+def snk4_write_stock(spark, sf_dir):
+    """SNK4: the same on a stored table, applied twice, and read back."""
+    v = Views(spark, sf_dir)
+    table = _stored(spark, "stock", v.inventory)
+    _twice(lambda: ig.stored_stock(table, _stock_batch(v), 1))
+    return table.read().select("product_id", "warehouse_id", "stock_quantity")
 
 
-@query("SNK6", osql("""
+_SNK6 = osql("""
 SELECT customer_id, line_id FROM (
   SELECT customer_id, line_id FROM customers WHERE line_id IS NOT NULL
   UNION ALL
   SELECT DISTINCT o.customer_id, 'L' || CAST(o.customer_id AS VARCHAR) AS line_id FROM incoming_orders o
   WHERE o.customer_id IS NOT NULL AND o.is_new_product
-    AND o.customer_id NOT IN (SELECT customer_id FROM customers WHERE line_id IS NOT NULL))"""))
-def snk6_insert_missing(spark, sf_dir):
-    """SNK6: chat-id map rows added only for customers without one (insert if absent)."""
-    v = Views(spark, sf_dir)
+    AND o.customer_id NOT IN (SELECT customer_id FROM customers WHERE line_id IS NOT NULL))""")
+
+
+def _chat_ids(v):
     target = v.customers.filter(F.col("line_id").isNotNull()).select("customer_id", "line_id")
     new = (v.incoming_orders.filter(F.col("customer_id").isNotNull() & F.col("is_new_product"))
            .select("customer_id", F.concat(F.lit("L"), F.col("customer_id").cast("string")).alias("line_id")).distinct())
-    return ig.insert_missing(target, new, ["customer_id"])
+    return target, new
+
+
+@query("SNK6", _SNK6)
+def snk6_insert_missing(spark, sf_dir):
+    """SNK6: chat-id map rows added only for customers without one (insert if absent)."""
+    return ig.insert_missing(*_chat_ids(Views(spark, sf_dir)), ["customer_id"])
+
+
+@query("SNK6_write", _SNK6)
+def snk6_write_missing(spark, sf_dir):
+    """SNK6: the same on a stored table; a later batch of the same rows adds none."""
+    target, new = _chat_ids(Views(spark, sf_dir))
+    table = _stored(spark, "chat-ids", target)
+    _twice(lambda: ig.stored_insert_missing(table, new, ["customer_id"], 1))
+    ig.stored_insert_missing(table, new, ["customer_id"], 2)
+    return table.read()
 
 
-@query("SNK7", osql("""
+_SNK7 = osql("""
 SELECT c.customer_id, COALESCE(p.customer_name, c.customer_name) AS customer_name, COALESCE(p.notes, c.notes) AS notes,
        CASE WHEN p.customer_id IS NOT NULL THEN '2001-08-01 00:00:00' END AS updated_at
 FROM customers c LEFT JOIN (
   SELECT customer_id, arg_max_null(customer_name, (created_at, id)) AS customer_name, arg_max_null(order_note, (created_at, id)) AS notes
-  FROM incoming_orders WHERE customer_id IS NOT NULL GROUP BY 1) p ON c.customer_id = p.customer_id"""))
-def snk7_apply_patches(spark, sf_dir):
-    """SNK7: each customer's latest incoming order patches name and notes (non-null
-    fields only) and stamps updated_at."""
-    v = Views(spark, sf_dir)
+  FROM incoming_orders WHERE customer_id IS NOT NULL GROUP BY 1) p ON c.customer_id = p.customer_id""")
+
+
+def _patches(v):
     target = v.customers.select("customer_id", "customer_name", "notes")
     patches = v.incoming_orders.filter(F.col("customer_id").isNotNull()).select(
         "customer_id", "customer_name", F.col("order_note").alias("notes"), F.struct("created_at", "id").alias("_o"))
-    return ig.apply_patches(target, patches, ["customer_id"], "_o", "2001-08-01 00:00:00")
+    return target, patches
+
+
+@query("SNK7", _SNK7)
+def snk7_apply_patches(spark, sf_dir):
+    """SNK7: each customer's latest incoming order patches name and notes (non-null
+    fields only) and stamps updated_at."""
+    return ig.apply_patches(*_patches(Views(spark, sf_dir)), ["customer_id"], "_o", "2001-08-01 00:00:00")
+
 
+@query("SNK7_write", _SNK7)
+def snk7_write_patches(spark, sf_dir):
+    """SNK7: the same on a stored table, applied twice, and read back."""
+    target, patches = _patches(Views(spark, sf_dir))
+    table = _stored(spark, "customers", target)
+    _twice(lambda: ig.stored_patches(table, patches, ["customer_id"], "_o", "2001-08-01 00:00:00", 1))
+    return table.read()
 
-@query("SNK8", osql("""
+
+_SNK8 = osql("""
 SELECT product_id, warehouse_id FROM inventory
-WHERE product_id NOT IN (SELECT product_id FROM product_master WHERE is_active = 'inactive')"""))
+WHERE product_id NOT IN (SELECT product_id FROM product_master WHERE is_active = 'inactive')""")
+
+
+@query("SNK8_write", _SNK8)
+def snk8_write_cascade(spark, sf_dir):
+    """SNK8: the cascade on stored stock and product tables; the stock that stays."""
+    v = Views(spark, sf_dir)
+    stock = _stored(spark, "stock", v.inventory.select("product_id", "warehouse_id"))
+    products = _stored(spark, "products", v.product_master.select("product_id", "warehouse_id", "is_active"))
+    gone = products.read().filter(F.col("is_active") == "inactive").select("product_id")
+    for expected in (True, False):
+        done = ig.stored_delete([(stock, ["product_id"]), (products, ["product_id"])], gone, 1)
+        assert done == [expected, expected], "a replayed cascade was applied"
+    return stock.read().join(products.read().select("product_id").distinct(), "product_id", "left_semi")
+
+
+@query("SNK8", _SNK8)
 def snk8_delete_keys(spark, sf_dir):
     """SNK8: stock rows of deleted (inactive) products removed."""
     v = Views(spark, sf_dir)
@@ -284,18 +361,30 @@ FROM old o FULL OUTER JOIN new n
   ON o.customer_id = n.customer_id AND o.product_id = n.product_id AND o.prediction_date = n.prediction_date""", ctes=ctes)
 
 
-@query("SNK5", _snk5_sql())
-def snk5_upsert(spark, sf_dir):
-    """SNK5: predictions of 2024-01-22 upserted into those of 2024-01-20 (only rows still
-    active take new values)."""
-    v = Views(spark, sf_dir)
+def _predictions(v):
     old = rp.predict_orders(v.replen_tx, "2024-01-20").filter("will_purchase_anything")
     old = old.withColumn("prediction_status", F.when(F.col("prediction_date") <= F.lit("2024-01-22").cast("date"),
                                                      F.lit("fulfilled")).otherwise(F.lit("active")))
     new = rp.predict_orders(v.replen_tx, "2024-01-22").filter("will_purchase_anything").withColumn(
         "prediction_status", F.lit("active"))
     cols = ["customer_id", "product_id", "prediction_date", "purchase_probability", "prediction_status"]
-    return ig.upsert(old.select(*cols), new.select(*cols), ["customer_id", "product_id", "prediction_date"])
+    return old.select(*cols), new.select(*cols)
+
+
+@query("SNK5", _snk5_sql())
+def snk5_upsert(spark, sf_dir):
+    """SNK5: predictions of 2024-01-22 upserted into those of 2024-01-20 (only rows still
+    active take new values)."""
+    return ig.upsert(*_predictions(Views(spark, sf_dir)), ["customer_id", "product_id", "prediction_date"])
+
+
+@query("SNK5_write", _snk5_sql())
+def snk5_write_upsert(spark, sf_dir):
+    """SNK5: the same on a stored table, applied twice, and read back."""
+    old, new = _predictions(Views(spark, sf_dir))
+    table = _stored(spark, "predictions", old)
+    _twice(lambda: ig.stored_upsert(table, new, ["customer_id", "product_id", "prediction_date"], 1))
+    return table.read()
 
 
 # --------------------------------------------------------------- scalar functions (X*)

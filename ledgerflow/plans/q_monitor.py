@@ -135,13 +135,13 @@ def c14_freshness(spark, sf_dir):
 _HIST = f"""hist AS (SELECT CASE user_id % 5 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TABLES))} END AS job_id,
                   CAST(ts AS TIMESTAMP) + INTERVAL 2 DAY AS ts,
                   CASE WHEN user_id % 2 = 0 THEN 'warning' ELSE 'critical' END AS status
-           FROM events WHERE event_type = 'error' AND value >= 470)"""
+           FROM events WHERE event_type = 'error')"""
 
 
 def _history(v):
     ev = v.raw("events")
     job = F.element_at(F.array(*[F.lit(t) for t in _TABLES]), (F.col("user_id") % 5 + 1).cast("int"))
-    return ev.filter((F.col("event_type") == "error") & (F.col("value") >= 470)).select(
+    return ev.filter(F.col("event_type") == "error").select(
         job.alias("job_id"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("ts"),
         F.when(F.col("user_id") % 2 == 0, F.lit("warning")).otherwise(F.lit("critical")).alias("status"))
 
@@ -163,6 +163,60 @@ def w12_alerts(spark, sf_dir):
     return mo.alerts(health, _history(v), FRESH_NOW)
 
 
+def _checks(v, events=None):
+    """Health checks of the monitored jobs, one per event: errors are problems, the rest is healthy."""
+    ev = v.raw("events") if events is None else events
+    job = F.element_at(F.array(*[F.lit(t) for t in _TABLES]), (F.col("user_id") % 5 + 1).cast("int"))
+    bad = F.when(F.col("user_id") % 2 == 0, F.lit("warning")).otherwise(F.lit("critical"))
+    return ev.select(job.alias("job_id"), F.col("ts").cast("timestamp").alias("ts"),
+                     F.when(F.col("event_type") == "error", bad).otherwise(F.lit("healthy")).alias("status"))
+
+
+def _decided(checks):
+    """The checks that a stream's last watermark has passed."""
+    last = checks.agg(F.max("ts")).scalar()
+    return checks.filter(F.col("ts") < F.date_trunc("millisecond", last))
+
+
+def _first_warnings(checks):
+    """The alert history a stream starts with: each job's first warning."""
+    return checks.filter(F.col("status") == "warning").groupBy("job_id").agg(F.min("ts").alias("ts")).withColumn("status", F.lit("warning"))
+
+
+def _over_time_sql():
+    jobs = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TABLES))
+    ctes = f"""checks AS (SELECT CASE user_id % 5 {jobs} END AS job_id, CAST(ts AS TIMESTAMP) AS ts,
+                 CASE WHEN user_id % 2 = 0 THEN 'warning' ELSE 'critical' END AS status FROM events
+          WHERE event_type = 'error' AND ts < (SELECT date_trunc('millisecond', MAX(ts)) FROM events)),
+s0 AS (SELECT job_id, 1 AS n, MIN(ts) AS last, MIN(ts) AS warned FROM (
+         SELECT CASE user_id % 5 {jobs} END AS job_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'error' AND user_id % 2 = 0)
+       GROUP BY 1)"""
+    for k in range(1, 6):
+        ctes += f""",
+f{k} AS (SELECT c.job_id, MIN((c.ts, c.status)) AS a FROM checks c JOIN s{k - 1} s ON c.job_id = s.job_id
+        WHERE s.n < 5 AND (s.last IS NULL OR c.ts >= s.last + INTERVAL 4 HOUR)
+          AND (c.status = 'critical' OR s.warned < c.ts - INTERVAL 2 HOUR) GROUP BY 1),
+s{k} AS (SELECT s.job_id, s.n + 1 AS n, f.a[1] AS last, COALESCE(s.warned, CASE WHEN f.a[2] = 'warning' THEN f.a[1] END) AS warned
+        FROM s{k - 1} s JOIN f{k} f ON s.job_id = f.job_id)"""
+    return osql(" UNION ALL ".join(f"SELECT job_id, CAST(a[1] AS VARCHAR) AS ts, a[2] AS status FROM f{k}" for k in range(1, 6)), ctes=ctes)
+
+
+@query("W12_alerts", _over_time_sql())
+def w12_alerts_over_time(spark, sf_dir):
+    """The alerts sent over the whole history of health checks."""
+    checks = _checks(Views(spark, sf_dir))
+    return mo.alerts_over_time(_decided(checks), _first_warnings(checks))
+
+
+@query("W12_stream", _over_time_sql())
+def w12_alert_stream(spark, sf_dir):
+    """The same alerts from a stream of health checks, with state keyed by job."""
+    from ledgerflow.streaming import jobs as sj
+
+    v = Views(spark, sf_dir)
+    return sj.run_alerts(spark, _checks(v, sj.stream_table(spark, sf_dir, "events")), _first_warnings(_checks(v)))
+
+
 _API = r"""lines AS (SELECT CASE WHEN value < 5 THEN 'garbage line' ELSE
    '[API] ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0')
    || ' - api_calls - INFO - 模型=model-' || CAST(user_id % 3 AS VARCHAR) || ' | 操作=' || event_type

@@ -93,11 +93,20 @@ WHERE t.document_type = '{SALE}' AND t.transaction_date <= DATE '2001-08-01' AND
 GROUP BY 1"""))
 def s2_reactivate_stream(spark, sf_dir):
     """Lapsed customers (60+ days on 2001-01-01) reactivated by streamed order lines."""
+    return _reactivation(spark, sf_dir)[0]
+
+
+def _reactivation(spark, sf_dir):
     v = Views(spark, sf_dir)
-    ina = lc.inactive_customers(v.order_tx(), v.customers, "2001-01-01", 60).select("customer_id", "last_order_date")
-    out, ckpt = sj.run_dir(spark, "reactivate")
-    sj.reactivate_stream(sj.order_line_stream(spark, sf_dir), ina, "2001-08-01", out, ckpt)
-    return sj.reactivated_dates(sj.read_output(spark, out, "customer_id long, reactivated_date date, batch_id int"))
+    lapsed = lc.inactive_customers(v.order_tx(), v.customers, "2001-01-01", 60).select("customer_id", "last_order_date")
+    return sj.run_reactivation(spark, sj.order_line_events(spark, sf_dir), lapsed, "2001-08-01")
+
+
+@query("S2_last", osql(f"""
+SELECT customer_id, CAST(MAX(transaction_date) AS VARCHAR) AS last_order_date FROM order_tx WHERE document_type = '{SALE}' GROUP BY 1"""))
+def s2_last_orders(spark, sf_dir):
+    """The maintained table of last order dates after the stream."""
+    return _reactivation(spark, sf_dir)[1]
 
 
 @query("S4", osql("""
@@ -175,13 +184,14 @@ def s6_changed(spark, sf_dir):
     return sj.changed_since(now, before)
 
 
-@query("S6", osql("""
-SELECT CAST(time_bucket(INTERVAL 1 DAY, updated_at) AS VARCHAR) AS window_start, COUNT(*) AS changed_rows,
-       CAST(MAX(updated_at) AS VARCHAR) AS last_change FROM incoming_orders GROUP BY 1"""))
+@query("S6", osql(f"""
+SELECT CAST(window_start AS VARCHAR) AS window_start, row_count AS changed_rows, CAST(last_change AS VARCHAR) AS last_change, fingerprint
+FROM (SELECT {fingerprint_sql("time_bucket(INTERVAL 1 DAY, updated_at) AS window_start")}, MAX(updated_at) AS last_change
+      FROM incoming_orders GROUP BY 1)"""))
 def s6_change_stream(spark, sf_dir):
-    """S6 streaming form: per-day change counts, merged over the micro-batches."""
+    """S6 streaming form: rows, last change and fingerprint per day, as last told."""
     v = Views(spark, sf_dir)
-    return sj.run_changes(spark, v.incoming_from(sj.stream_table(spark, sf_dir, "orders")), "updated_at")
+    return sj.run_changes(spark, v.incoming_from(sj.stream_table(spark, sf_dir, "orders")), "id", "updated_at", ["id", "updated_at", "status"])
 
 
 @query("S7", osql("""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.misc import blank_to_null
+from ledgerflow.sources.versions import VersionedTable
 
 # FIXED VALUES: column letters of the ERP sheets and the first data row.
 SALES_COLUMNS = {"A": "customer_id", "F": "product_id", "K": "product_name", "N": "transaction_date",
@@ -205,3 +206,37 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame
 def delete_products(pm: DataFrame, inventory: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SNK8: (products, stock) without the products of ``gone``."""
     return delete_keys(pm, gone, ["product_id"]), delete_keys(inventory, gone, ["product_id"])
+
+
+# ------------------------------------------------------------- stored forms of the sinks
+def stored_stock(table: VersionedTable, batch: DataFrame, number: int, cross_product: bool = True) -> bool:
+    """SNK4 on a stored table; False if batch ``number`` was applied before."""
+    return table.change(lambda t: replace_stock(t, batch, cross_product), number)
+
+
+def stored_upsert(table: VersionedTable, new: DataFrame, key: Sequence[str], number: int) -> bool:
+    """SNK5 on a stored table."""
+    return table.change(lambda t: upsert(t, new, key), number)
+
+
+def stored_insert_missing(table: VersionedTable, new: DataFrame, key: Sequence[str], number: int) -> bool:
+    """SNK6 on a stored table."""
+    return table.change(lambda t: insert_missing(t, new, key), number)
+
+
+def stored_patches(table: VersionedTable, patches: DataFrame, key: Sequence[str], order: str, stamp: str, number: int) -> bool:
+    """SNK7 on a stored table; the first patch adds ``updated_at``."""
+    return table.change(lambda t: apply_patches(t, patches, key, order, stamp), number)
+
+
+def stored_delete(tables: Sequence[tuple[VersionedTable, Sequence[str]]], gone: DataFrame, number: int) -> list[bool]:
+    """SNK8 cascade on stored tables, each with the key columns it shares with ``gone``.
+
+    The tables that refer to others come first; a cascade that stopped half way goes on
+    with the tables that do not have batch ``number`` yet.  The keys are stored with the
+    first table, so that a later table sees the same ones."""
+    spark, first = gone.sparkSession, tables[0][0]
+    keys = VersionedTable(spark, f"{first.path}/deleted", "k")
+    keys.write(gone, number)
+    gone = spark.read.parquet(keys.folder(number))
+    return [table.change(lambda t, k=key: delete_keys(t, gone, list(k)), number) for table, key in tables]

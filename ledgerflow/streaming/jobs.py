@@ -2,8 +2,11 @@
 
 Each job has a batch twin (a plain DataFrame function) and a streaming form:
 
-* S1, S3 and S6 write partial results per micro-batch and merge them when read.
-* S2 and S5 run their batch twin on every micro-batch with ``foreachBatch``.
+* S1 writes partial results per micro-batch and merges them when read.
+* S2, S3 and S6 keep maintained tables (``sources/versions.py``): what is known per key is
+  stored, merged per micro-batch and compacted, and nothing is rescanned.
+* S5 runs its batch twin on every micro-batch with ``foreachBatch``.
+* W12 is a stateful operator keyed by job.
 * S4 is stateless.
 * S7 and S8 are periodic batch projections.
 
@@ -22,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.constants import SALE, STATUS_CONFIRMED, STATUS_OPEN
-from ledgerflow.functions.misc import fingerprint
+from ledgerflow.functions.misc import fingerprint, fingerprint_of, row_hash
 from ledgerflow.operators import lifecycle as lc
 from ledgerflow.operators.sales import dedup_product
 from ledgerflow.session import sub_checkpoint
 from ledgerflow.sources.tables import read_table, table_path
+from ledgerflow.sources.versions import MaintainedTable, VersionedTable, merged
 
 
 # ------------------------------------------------------------------------- plumbing
@@ -67,13 +71,12 @@ def run_available(stream: DataFrame, out_dir: str, ckpt: str, mode: str = "appen
 
 
 def read_output(spark: SparkSession, out_dir: str, schema: str | None = None) -> DataFrame:
-    """All micro-batch folders of a sink (empty DataFrame when no batch produced rows)."""
-    try:
-        return spark.read.parquet(f"{out_dir}/batch_*")
-    except Exception:  # noqa: BLE001 - no batch written yet
-        if schema is None:
-            raise
+    """All micro-batch folders of a sink (an empty table of ``schema`` when no batch was written)."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/batch_*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    if schema is not None and not found:
         return spark.createDataFrame([], schema)
+    return spark.read.parquet(f"{out_dir}/batch_*")
 
 
 def latest_per_key(df: DataFrame, key: list[str]) -> DataFrame:
@@ -165,21 +168,76 @@ def run_fulfil(spark: SparkSession, changes_stream: DataFrame, pred: DataFrame,
     return fulfil_result(merge_fulfilments(parts), pred)
 
 
-# ------------------------------------------------------------------ S2 reactivation
-def reactivate_stream(tx_stream: DataFrame, inactive: DataFrame, as_of: str, out_dir: str, ckpt: str) -> None:
-    """For every micro-batch of new orders, lapsed customers that ordered after their
-    last order date get a reactivated date (rows written per batch; the first date wins
-    when reading)."""
+# --------------------------------------------------- order lines that meet their orders
+LINE = "l_orderkey long, product_id long, document_type string, quantity decimal(18,4)"
+ORDER = "l_orderkey long, customer_id long, transaction_date date"
+
 
-    def step(df: DataFrame, _bid: int) -> DataFrame:
-        r = lc.reactivated(inactive.withColumn("reactivated_date", F.lit(None).cast("date")), df, as_of)
-        return r.filter(F.col("reactivated_date").isNotNull()).select("customer_id", "reactivated_date")
+def order_line_events(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """Order lines and orders as one stream of rows (``is_line`` tells them apart)."""
+    from ledgerflow.constants import RETURN
 
-    run_available(tx_stream, out_dir, ckpt, fn=step)
+    li = stream_table(spark, sf_dir, "lineitem", max_files)
+    sign = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1))
+    lines = li.select(F.lit(True).alias("is_line"), "l_orderkey", F.col("l_partkey").alias("product_id"),
+                      F.when(F.col("l_returnflag") == "R", F.lit(RETURN)).otherwise(F.lit(SALE)).alias("document_type"),
+                      (F.col("l_quantity") * sign).cast("decimal(18,4)").alias("quantity"),
+                      F.lit(None).cast("long").alias("customer_id"), F.lit(None).cast("date").alias("transaction_date"))
+    orders = stream_table(spark, sf_dir, "orders", max_files).select(
+        F.lit(False).alias("is_line"), F.col("o_orderkey").alias("l_orderkey"), F.lit(None).cast("long").alias("product_id"),
+        F.lit(None).cast("string").alias("document_type"), F.lit(None).cast("decimal(18,4)").alias("quantity"),
+        F.col("o_custkey").alias("customer_id"), F.to_date("o_orderdate").alias("transaction_date"))
+    return lines.unionByName(orders)
+
+
+def run_order_lines(spark: SparkSession, events: DataFrame, base: str, handle, compact: int = 8) -> None:
+    """Call ``handle(lines, batch)`` with the order lines whose order is known, once per line.
+
+    Orders are kept as a maintained table of dates; a line that comes before its order
+    waits in a stored table until it does.  A replayed batch starts from the tables as they
+    were before it."""
+    orders = MaintainedTable(spark, f"{base}/orders", ORDER, lambda rows: rows.groupBy("l_orderkey").agg(
+        F.max(F.struct("transaction_date", "customer_id")).alias("_o")).select("l_orderkey", "_o.customer_id", "_o.transaction_date"), compact)
+    waiting = VersionedTable(spark, f"{base}/waiting")
+    columns = ["l_orderkey", "product_id", "document_type", "quantity"]
+
+    def step(df: DataFrame, batch: int) -> None:
+        df = df.persist()
+        orders.add(df.filter("not is_line").select("l_orderkey", "customer_id", "transaction_date"), batch)
+        lines = df.filter("is_line").select(*columns).unionByName(waiting.read(batch - 1, LINE))
+        met = lines.join(orders.read(batch).withColumn("_known", F.lit(True)), "l_orderkey", "left").persist()
+        waiting.write(met.filter("_known is null").select(*columns), batch)
+        waiting.remove(batch - 1)
+        handle(met.filter("_known").select("customer_id", "product_id", "transaction_date", "document_type", "quantity"), batch)
+        met.unpersist()
+        df.unpersist()
+
+    q = (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+# ------------------------------------------------------------------ S2 reactivation
+def run_reactivation(spark: SparkSession, events: DataFrame, inactive: DataFrame, as_of: str, compact: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(customer_id, reactivated_date) of the lapsed customers that ordered after their
+    last order date, and (customer_id, last_order_date) of every customer who ordered.
 
+    The lapsed customers with their last order date are stored once; each micro-batch adds
+    the first date it finds per customer, and the earliest one counts."""
+    base = run_dir(spark, "reactivate")[0]
+    stored = VersionedTable(spark, f"{base}/inactive")
+    stored.write(inactive.select("customer_id", "last_order_date"), 0)
+    found = MaintainedTable(spark, f"{base}/found", "customer_id long, reactivated_date date", merged(["customer_id"], reactivated_date=F.min), compact)
+    last = MaintainedTable(spark, f"{base}/last", "customer_id long, last_order_date date", merged(["customer_id"], last_order_date=F.max), compact)
 
-def reactivated_dates(out: DataFrame) -> DataFrame:
-    return out.groupBy("customer_id").agg(F.min("reactivated_date").alias("reactivated_date"))
+    def handle(lines: DataFrame, batch: int) -> None:
+        sold = lines.filter(F.col("document_type") == SALE)
+        last.add(sold.groupBy("customer_id").agg(F.max("transaction_date").alias("last_order_date")), batch)
+        lapsed = stored.read().withColumn("reactivated_date", F.lit(None).cast("date"))
+        hit = lc.reactivated(lapsed, lines, as_of).filter(F.col("reactivated_date").isNotNull())
+        found.add(hit.select("customer_id", "reactivated_date"), batch)
+
+    run_order_lines(spark, events, base, handle, compact)
+    return found.read(), last.read()
 
 
 # -------------------------------------------------------------- S3 running month sales
@@ -190,29 +248,17 @@ def month_totals(tx: DataFrame) -> DataFrame:
             .agg(F.sum("quantity").alias("month_quantity")))
 
 
-def order_line_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """Order lines as a stream: lineitem arrives as a stream, joined to the static orders
-    (stream-static join), shaped like ``order_tx``."""
-    li = stream_table(spark, sf_dir, "lineitem", max_files)
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    sign = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1))
-    from ledgerflow.constants import RETURN
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.col("o_custkey").alias("customer_id"), F.col("l_partkey").alias("product_id"),
-        F.to_date("o_orderdate").alias("transaction_date"),
-        F.when(F.col("l_returnflag") == "R", F.lit(RETURN)).otherwise(F.lit(SALE)).alias("document_type"),
-        (F.col("l_quantity") * sign).cast("decimal(18,4)").alias("quantity"))
-
-
-def run_month_sales(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+def run_month_sales(spark: SparkSession, sf_dir: str, max_files: int | None = None, compact: int = 8) -> DataFrame:
     """Run S3 over everything available and return the totals.
 
-    Each micro-batch writes its own totals once (a replay rewrites them), and the totals of
-    a month are the sum over the batches, however late a line arrives and however the files
-    are dealt to batches.  No streaming state is kept."""
-    out, ckpt = run_dir(spark, "month_sales")
-    run_available(order_line_stream(spark, sf_dir, max_files), out, ckpt, fn=lambda df, _: month_totals(df))
-    return read_output(spark, out).groupBy("month", "product_id").agg(F.sum("month_quantity").alias("month_quantity"))
+    Each micro-batch adds its totals to a maintained table, which sums them per month and
+    product, however late a line or its order arrives and however the files are dealt to
+    batches."""
+    base = run_dir(spark, "month_sales")[0]
+    totals = MaintainedTable(spark, f"{base}/totals", "month date, product_id long, month_quantity decimal(28,4)",
+                             lambda rows: rows.groupBy("month", "product_id").agg(F.sum("month_quantity").cast("decimal(28,4)").alias("month_quantity")), compact)
+    run_order_lines(spark, order_line_events(spark, sf_dir, max_files), base, lambda lines, batch: totals.add(month_totals(lines), batch), compact)
+    return totals.read()
 
 
 # ----------------------------------------------------------------- S4 stock on write
@@ -250,20 +296,92 @@ def changed_since(summary: DataFrame, last: DataFrame) -> DataFrame:
     return j.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("fingerprint"))).drop("_prev")
 
 
-def change_counts(updates: DataFrame, ts_col: str, window: str = "1 day") -> DataFrame:
-    """Rows and last change per event-time window of one set of updates."""
-    return (updates.groupBy(F.window(ts_col, window))
-            .agg(F.count("*").alias("changed_rows"), F.max(ts_col).alias("last_change"))
-            .select(F.col("window.start").alias("window_start"), "changed_rows", "last_change"))
-
-
-def run_changes(spark: SparkSession, updates_stream: DataFrame, ts_col: str, window: str = "1 day") -> DataFrame:
-    """S6 streaming form: each micro-batch writes its counts per window, and a window's
-    figures are merged over the batches, the newest window and late rows included."""
+STATE = "window_start timestamp, changed_rows long, last_change timestamp, fingerprint string, seq long"
+
+
+def _newest(key: str) -> callable:
+    """Merge: the row of the highest ``seq`` per key."""
+    return lambda rows: rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "seq").alias("_v")).select(key, "_v.*")
+
+
+class ChangeDetector:
+    """Windows whose rows changed, by an order-free fingerprint kept per window.
+
+    The detector stores the last version of every row (key, time, window, hash) and the last
+    fingerprint it told per window.  A micro-batch replaces the rows that are new or differ
+    (an older version of a row never replaces a newer one), sums the hashes of the windows
+    they touch anew and tells a window only if its fingerprint differs.  A file that comes
+    again changes nothing."""
+
+    def __init__(self, spark: SparkSession, base: str, key: str, ts_col: str, cols: list[str], window: str = "1 day", compact: int = 8):
+        self.key, self.ts, self.cols, self.window, self.out = key, ts_col, cols, window, f"{base}/events"
+        # of two versions of a row the later one counts, on equal times the one that came later
+        order = F.struct("ts", "seq", "hash")
+        self.rows = MaintainedTable(spark, f"{base}/rows", f"{key} long, window_start timestamp, ts timestamp, hash decimal(38,0), seq long",
+                                    lambda r: r.groupBy(key).agg(F.max_by(F.struct("window_start", "ts", "hash", "seq"), order).alias("_v")).select(key, "_v.*"), compact)
+        self.state = MaintainedTable(spark, f"{base}/state", STATE, _newest("window_start"), compact)
+
+    def step(self, df: DataFrame, batch: int) -> None:
+        seq = F.lit(batch).cast("long").alias("seq")
+        fresh = df.select(F.col(self.key).cast("long").alias(self.key), F.window(self.ts, self.window).start.alias("window_start"),
+                          F.col(self.ts).alias("ts"), row_hash(self.cols).alias("hash"), seq)
+        fresh = self.rows.merge(fresh)
+        known = self.rows.read(batch - 1).select(self.key, F.col("window_start").alias("_w"), F.col("ts").alias("_ts"), F.col("hash").alias("_hash"))
+        differ = F.col("_hash").isNull() | ((F.col("hash") != F.col("_hash")) & (F.col("ts") >= F.col("_ts")))
+        changed = fresh.join(known, self.key, "left").filter(differ).persist()
+        touched = changed.select("window_start").union(changed.select("_w")).filter("window_start is not null").distinct()
+        self.rows.add(changed.select(self.key, "window_start", "ts", "hash", "seq"), batch)
+        now = (self.rows.read(batch).join(touched, "window_start", "left_semi").groupBy("window_start")
+               .agg(F.count("*").alias("changed_rows"), F.max("ts").alias("last_change"), F.sum("hash").alias("_sum")))
+        now = touched.join(now, "window_start", "left").select(
+            "window_start", F.coalesce("changed_rows", F.lit(0)).alias("changed_rows"), "last_change",
+            F.when(F.col("changed_rows").isNotNull(), fingerprint_of(F.col("_sum"), F.col("changed_rows"))).alias("fingerprint"), seq)
+        told = self.state.read(batch - 1).select("window_start", F.col("fingerprint").alias("_told"), F.lit(True).alias("_known"))
+        tell = now.join(told, "window_start", "left").filter("_known is null or not (fingerprint <=> _told)").drop("_told", "_known").persist()
+        self.state.add(tell, batch)
+        tell.write.mode("overwrite").parquet(f"{self.out}/batch_{batch}")
+        tell.unpersist()
+        changed.unpersist()
+
+    def run(self, updates: DataFrame, ckpt: str) -> None:
+        updates.writeStream.foreachBatch(self.step).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+
+    def windows(self) -> DataFrame:
+        """The windows as last told."""
+        return self.state.read().filter("changed_rows > 0").drop("seq")
+
+
+def run_changes(spark: SparkSession, updates_stream: DataFrame, key: str, ts_col: str, cols: list[str], window: str = "1 day",
+                compact: int = 8) -> DataFrame:
+    """S6 streaming form: rows, last change and fingerprint per window, as last told."""
     out, ckpt = run_dir(spark, "changes")
-    run_available(updates_stream, out, ckpt, fn=lambda df, _: change_counts(df, ts_col, window))
-    parts = read_output(spark, out, "window_start timestamp, changed_rows long, last_change timestamp, batch_id int")
-    return parts.groupBy("window_start").agg(F.sum("changed_rows").alias("changed_rows"), F.max("last_change").alias("last_change"))
+    detector = ChangeDetector(spark, out, key, ts_col, cols, window, compact)
+    detector.run(updates_stream, ckpt)
+    return detector.windows()
+
+
+# -------------------------------------------------------------- W12 alerts over time
+def run_alerts(spark: SparkSession, checks: DataFrame, history: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """W12 streaming form: the alerts sent for a stream of health checks (job_id, ts, status).
+
+    State is keyed by job: the alerts sent and the checks the watermark has not passed yet.
+    Checks are decided in the order of their times once the watermark has passed them, so
+    the result does not depend on how they are dealt to micro-batches."""
+    from ledgerflow.operators import monitor as mo
+    from ledgerflow.session import ship_package
+
+    ship_package(spark)
+    out, ckpt = run_dir(spark, "alerts")
+    known = VersionedTable(spark, f"{out}-history")
+    known.write(mo.alert_history(history), 0)
+    us = [F.coalesce(F.unix_micros(c), F.lit(-1)).alias(c) for c in ("last", "warned")]
+    past = known.read().select("job_id", F.col("n"), *us)
+    stream = checks.withWatermark("ts", delay).select("job_id", "ts", F.unix_micros("ts").alias("us"), "status")
+    stream = stream.join(past, "job_id", "left").fillna(0, ["n"]).fillna(-1, ["last", "warned"])
+    sent = stream.groupBy("job_id").applyInPandasWithState(mo.alert_state, mo.ALERT_OUT, mo.ALERT_STATE, "append", "EventTimeTimeout")
+    run_available(sent, out, ckpt)
+    found = read_output(spark, out, mo.ALERT_OUT + ", batch_id int")
+    return found.select("job_id", F.timestamp_micros("us").alias("ts"), "status")
 
 
 # ----------------------------------------------------------------- S7 / S8 periodic
