@@ -354,10 +354,11 @@ def thin_negatives(samples: DataFrame, ratio: float, keys: Sequence[str], seed:
     return samples.filter((F.col("label") == 1) | (hash_unit(keys, seed) < rate))
 
 
-def rolling_samples(daily: DataFrame, end: str, window_days: int = 90, label_days: int = 7) -> DataFrame:
-    """M15 (unsampled): qualified pairs (M11, window ending ``end``) × the non-Sunday days
-    of the last ``label_days`` days; label = a purchase of the pair that day; features (M12)
-    only from days before the label window (leak guard)."""
+def rolling_samples(daily: DataFrame, end: str, window_days: int = 90, label_days: int = 7, ratio: float | None = None) -> DataFrame:
+    """Qualified pairs (M11, window ending ``end``) × the non-Sunday days of the last
+    ``label_days`` days; label = a purchase of the pair that day; features (M12) only from
+    days before the label window (leak guard).  With ``ratio`` the negatives are thinned, on
+    the bare keys, before any feature is computed."""
     import datetime as _dt
 
     e = _dt.date.fromisoformat(end)
@@ -368,9 +369,16 @@ def rolling_samples(daily: DataFrame, end: str, window_days: int = 90, label_day
     win = daily.filter((F.col("transaction_date") >= F.lit(start.isoformat()).cast("date"))
                        & (F.col("transaction_date") <= F.lit(end).cast("date")))
     pairs = qualified_pairs(win, end)
-    feats = cycle_features(win, pairs, val_start.isoformat(), targets)
     lab = win.select(*PAIR, F.col("transaction_date").alias("target_date")).distinct().withColumn("label", F.lit(1))
-    return feats.join(lab, [*PAIR, "target_date"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    if ratio is None:
+        feats = cycle_features(win, pairs, val_start.isoformat(), targets)
+        return feats.join(lab, [*PAIR, "target_date"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    days = F.explode(F.array(*[_d(t) for t in targets])).alias("target_date")
+    keys = (pairs.select(*PAIR).distinct().select(*PAIR, days).join(lab, [*PAIR, "target_date"], "left")
+            .withColumn("label", F.coalesce("label", F.lit(0))))
+    keys = thin_negatives(keys, ratio, [*PAIR, "target_date"])
+    feats = cycle_features(win, keys.select(*PAIR).distinct(), val_start.isoformat(), targets)
+    return feats.join(keys, [*PAIR, "target_date"])
 
 
 def training_samples(daily: DataFrame, first: str, last: str, step_days: int = 15, history_days: int = 90,
@@ -442,32 +450,7 @@ def _activity_from_windows(rows: DataFrame, keys: DataFrame) -> DataFrame:
         F.coalesce(F.least(F.datediff(t, "_pl"), F.lit(999)), F.lit(999)).alias("days_since_cp_last_purchase"))
 
 
-# --------------------------------------------------------------- model
-NUMERIC_M12 = [f for f in FEATURES_M12]
-
-
-def train(samples: DataFrame, features: Sequence[str], max_iter: int = 50, max_depth: int = 6,
-          step_size: float = 0.05, positive_weight: float = 8.0, seed: int = 42):
-    """Gradient-boosted trees with class weight [1, w]; stratified 80/20 split by a
-    key hash (per label, so both classes split 80/20).  The samples are materialised once in
-    the shared checkpoint folder.  Returns (model, scored hold-out); see ``evaluate``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    # a seed of its own: thinning keeps negatives by a hash of the same keys
-    s = samples.withColumn("_u", hash_unit([*PAIR, "target_date", "label"], seed + 1)).withColumn(
-        "weight", F.when(F.col("label") == 1, F.lit(positive_weight)).otherwise(F.lit(1.0)))
-    checkpoint_dir(s.sparkSession)
-    s = s.withColumn("label_d", F.col("label").cast("double")).checkpoint()
-    tr, te = s.filter(F.col("_u") < 0.8), s.filter(F.col("_u") >= 0.8)
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(labelCol="label_d", featuresCol="features", weightCol="weight", maxIter=max_iter,
-                        maxDepth=max_depth, stepSize=step_size, seed=seed)
-    model = Pipeline(stages=[va, gbt]).fit(tr)
-    return model, model.transform(te)
-
-
+# ------------------------------------------- model metrics and scoring (M16–M18; training: boosting.py)
 def evaluate(scored: DataFrame, threshold: float) -> DataFrame:
     """AUC (Spark evaluator, computed distributed) plus accuracy / precision / recall / F1
     at ``threshold`` from one aggregate."""

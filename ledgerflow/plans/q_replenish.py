@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ledgerflow.constants import (SALE, SEGMENT_ACTIVE, SEGMENT_IMPORTANT, SEGMENT_NEW, SEGMENT_PLANNED,
                                   SEGMENT_VIP)
+from ledgerflow.operators import boosting as bo
 from ledgerflow.operators import replenish as rp
 from ledgerflow.plans.registry import query
+from ledgerflow.session import cut, sub_checkpoint
 from ledgerflow.sources.views import Views, osql
 
 END = "2024-01-30"
@@ -276,8 +279,7 @@ def m15_rolling_samples(spark, sf_dir):
 def m15_sampled(spark, sf_dir):
     """Positives plus about 3 hash-sampled negatives per positive."""
     v = Views(spark, sf_dir)
-    s = rp.rolling_samples(rp.daily_purchases(v.replen_tx), END)
-    return rp.thin_negatives(s, 3.0, ["customer_id", "product_id", "target_date"])
+    return rp.rolling_samples(rp.daily_purchases(v.replen_tx), END, ratio=3.0)
 
 
 _LONG = f"""
@@ -389,42 +391,147 @@ def m14_counts(spark, sf_dir):
         F.count_if((F.col("label") == 1) & ~F.col("has_history")).alias("positives_without_history"))
 
 
-def _model(v, max_iter=20):
-    s = rp.thin_negatives(rp.rolling_samples(rp.daily_purchases(v.replen_tx), END), 3.0,
-                          ["customer_id", "product_id", "target_date"])
-    return rp.train(s, rp.FEATURES_M12, max_iter=max_iter)
+def _samples(v, end=END):
+    return rp.rolling_samples(rp.daily_purchases(v.replen_tx), end, ratio=3.0)
 
 
-@query("M16")
-def m16_train(spark, sf_dir):
-    """GBT classifier on the rolling samples; held-out metrics (one row)."""
-    return rp.evaluate(_model(Views(spark, sf_dir))[1], 0.5)
+_MODELS: dict[tuple, str] = {}
+
+
+def _trained(spark, sf_dir, anew=False):
+    """(model, scored held-out rows) of the rolling samples.  A model is trained once per
+    application and table folder, stored in the shared folder and loaded from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _MODELS.get(key)
+    if path is None or anew:
+        path = sub_checkpoint(spark, f"models/purchase-{uuid.uuid4().hex[:12]}")
+        model, scored = bo.train(_samples(Views(spark, sf_dir)))
+        model.save(path)
+        keep = scored.select(*bo.KEYS, "label", "label_d", "rawPrediction", "probability")
+        keep.write.parquet(f"{path}/held_out")
+        _MODELS[key] = path
+    return bo.PurchaseModel.load(spark, path), spark.read.parquet(f"{path}/held_out")
+
+
+def _hashed(seed, cols):
+    text = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"concat_ws('|', '{seed}', {text})"
+
+
+_SAMPLED = f""",
+m15 AS ({_M15}),
+sampled AS (SELECT *, CAST('0x' || substr(md5({_hashed(43, ["customer_id", "product_id", "target_date", "label"])}), 1, 8) AS BIGINT)
+                      / 4294967296.0::DOUBLE >= 0.8 AS held_out
+            FROM m15 WHERE """ + _thin_sql("m15", 3.0, ["customer_id", "product_id", "target_date"]) + ")"
+
+
+def _stat_sql(c):
+    h = f"md5({_hashed(44, ['customer_id', 'product_id', 'target_date'])}), customer_id, product_id, target_date"
+    over = f"OVER (PARTITION BY {c} ORDER BY {h} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return (f"round((COALESCE(SUM(label) {over}, 0) + (SELECT AVG(label) FROM sampled WHERE NOT held_out)) "
+            f"/ (COUNT(*) {over} + 1.0::DOUBLE), 9) AS ts_{c}")
+
+
+@query("M16_target_stats", osql(f"""
+SELECT customer_id, product_id, target_date, {", ".join(_stat_sql(c) for c in bo.CATEGORIES)} FROM sampled WHERE NOT held_out""",
+    ctes=_m12_sql(CUT, TARGETS) + _SAMPLED))
+def m16_target_stats(spark, sf_dir):
+    """Ordered target statistics of the five categories for the training rows."""
+    rows = cut(_samples(Views(spark, sf_dir)).filter(~bo.held_out()))
+    stats = bo.ordered_target_stats(rows)
+    return stats.select(*bo.KEYS, *[F.round(f"ts_{c}", 9).alias(f"ts_{c}") for c in bo.CATEGORIES])
 
 
-@query("M17")
+@query("M16", osql("""
+SELECT count_if(held_out) AS held_out, count_if(held_out AND label = 1) AS positives, count_if(held_out AND label = 0) AS negatives,
+       TRUE AS sums_agree, TRUE AS stopped_within_limit, TRUE AS auc_in_range FROM sampled""", ctes=_m12_sql(CUT, TARGETS) + _SAMPLED))
+def m16_train(spark, sf_dir):
+    """The classifier trained on the rolling samples: held-out rows of both classes, and
+    that the confusion sums add up, at most 500 trees were grown and the AUC is one."""
+    model, scored = _trained(spark, sf_dir, anew=True)
+    m, rounds = rp.evaluate(scored, 0.5), model.facts["rounds"]
+    return m.select(F.col("n").alias("held_out"), (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"),
+                    (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") == F.col("n")).alias("sums_agree"),
+                    F.lit(1 <= rounds <= bo.ROUNDS).alias("stopped_within_limit"), F.col("auc").between(0, 1).alias("auc_in_range"))
+
+
+@query("M16_metrics")
+def m16_metrics(spark, sf_dir):
+    """Held-out metrics of the trained model and its number of trees (one row)."""
+    model, scored = _trained(spark, sf_dir)
+    return rp.evaluate(scored, 0.5).withColumn("trees", F.lit(model.facts["rounds"]))
+
+
+@query("M17", osql(f"""
+SELECT q.customer_id, q.product_id, greatest(1, CAST(floor(MIN(d.quantity)) AS BIGINT)) AS estimated_quantity, TRUE AS day_in_week,
+       TRUE AS probability_in_range
+FROM qpairs q JOIN (
+  SELECT *, row_number() OVER (PARTITION BY customer_id, product_id ORDER BY transaction_date DESC) AS r FROM (
+    SELECT customer_id, product_id, transaction_date, SUM(quantity) AS quantity FROM replen_tx
+    WHERE document_type = '{SALE}' AND transaction_date <= DATE '{END}' GROUP BY 1, 2, 3)) d
+  ON q.customer_id = d.customer_id AND q.product_id = d.product_id AND d.r <= 3
+GROUP BY 1, 2""", ctes=_WIN))
 def m17_score(spark, sf_dir):
-    """Best day per qualified pair in the next 7 days, probability ≥ 0.5."""
+    """Every qualified pair scored for the next 7 days: its best day lies in them, its
+    probability is one, and its quantity is the least of its last three."""
+    s = _scores(spark, sf_dir, 0.0)
+    after = F.datediff("prediction_date", F.lit(END).cast("date"))
+    return s.select("customer_id", "product_id", "estimated_quantity", after.between(1, 7).alias("day_in_week"),
+                    F.col("purchase_probability").between(0, 1).alias("probability_in_range"))
+
+
+def _scores(spark, sf_dir, threshold):
     v = Views(spark, sf_dir)
-    model, _ = _model(v)
-    return rp.score(model, rp.daily_purchases(v.replen_tx), _pairs(v), END)
+    return rp.score(_trained(spark, sf_dir)[0], rp.daily_purchases(v.replen_tx), _pairs(v), END, threshold=threshold)
 
 
-@query("M18")
-def m18_forward_validate(spark, sf_dir):
-    """Train on history up to a week before the validation week (7-day buffer),
-    predict the validation week, compare pair sets (A28)."""
+@query("M17_predictions")
+def m17_predictions(spark, sf_dir):
+    """Best day per qualified pair in the next 7 days, probability ≥ 0.5."""
+    return _scores(spark, sf_dir, 0.5)
+
+
+VAL_TRAIN_END, VAL_CUT = "2024-01-16", "2024-01-23"
+
+
+def _validated(spark, sf_dir):
+    """(first model, metrics of the validation week, final model)."""
     v = Views(spark, sf_dir)
     daily = rp.daily_purchases(v.replen_tx)
-    train_end = "2024-01-16"
-    s = rp.thin_negatives(rp.rolling_samples(daily, train_end), 3.0, ["customer_id", "product_id", "target_date"])
-    model, _ = rp.train(s, rp.FEATURES_M12, max_iter=20)
-    pairs = rp.qualified_pairs(daily.filter(F.col("transaction_date") <= F.lit(train_end).cast("date")), train_end)
-    pred = rp.score(model, daily.filter(F.col("transaction_date") <= F.lit("2024-01-23").cast("date")), pairs,
-                    "2024-01-23")
-    act = daily.filter(F.col("transaction_date").between(F.lit("2024-01-24").cast("date"),
-                                                         F.lit("2024-01-30").cast("date")))
-    return rp.pair_metrics(pred, act.join(pairs.select("customer_id", "product_id"), ["customer_id", "product_id"],
-                                          "left_semi"))
+    first, _ = bo.train(_samples(v, VAL_TRAIN_END))
+    pairs = rp.qualified_pairs(daily.filter(F.col("transaction_date") <= F.lit(VAL_TRAIN_END).cast("date")), VAL_TRAIN_END)
+    pred = rp.score(first, daily.filter(F.col("transaction_date") <= F.lit(VAL_CUT).cast("date")), pairs, VAL_CUT)
+    act = daily.filter((F.col("transaction_date") > F.lit(VAL_CUT).cast("date")) & (F.col("transaction_date") <= F.lit(END).cast("date")))
+    metrics = rp.pair_metrics(pred, act.join(pairs.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_semi"))
+    samples = cut(_samples(v))
+    return first, metrics, bo.fit_all(samples, first.facts["rounds"]), samples
+
+
+@query("M18", osql(f"""
+SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT d.customer_id, d.product_id FROM replen_tx d JOIN vpairs p
+          ON d.customer_id = p.customer_id AND d.product_id = p.product_id
+        WHERE d.document_type = '{SALE}' AND d.transaction_date > DATE '{VAL_CUT}' AND d.transaction_date <= DATE '{END}')) AS actual_pairs,
+       (SELECT COUNT(*) FROM sampled) AS final_samples, TRUE AS same_trees""",
+    ctes=_m12_sql(CUT, TARGETS) + _SAMPLED + f""",
+vcust AS (SELECT customer_id FROM (SELECT DISTINCT customer_id, product_id, transaction_date FROM replen_tx
+            WHERE document_type = '{SALE}' AND transaction_date <= DATE '{VAL_TRAIN_END}') GROUP BY 1
+          HAVING COUNT(*) >= 3 AND date_diff('day', MAX(transaction_date), DATE '{VAL_TRAIN_END}') <= 30),
+vpairs AS (SELECT customer_id, product_id FROM (SELECT DISTINCT customer_id, product_id, transaction_date FROM replen_tx
+             WHERE document_type = '{SALE}' AND transaction_date <= DATE '{VAL_TRAIN_END}')
+           WHERE customer_id IN (SELECT customer_id FROM vcust) GROUP BY 1, 2 HAVING COUNT(*) >= 2)"""))
+def m18_forward_validate(spark, sf_dir):
+    """Train on history up to a week before the validation week (7-day buffer), predict
+    that week, compare pair sets, then fit all rows with as many trees."""
+    first, metrics, final, samples = _validated(spark, sf_dir)
+    return metrics.select((F.col("tp") + F.col("fn")).alias("actual_pairs"), samples.agg(F.count("*")).scalar().alias("final_samples"),
+                          F.lit(first.facts["rounds"] == final.facts["rounds"]).alias("same_trees"))
+
+
+@query("M18_metrics")
+def m18_metrics(spark, sf_dir):
+    """TP, FP, FN, precision, recall and F1 of the validation week, and the trees of the final model."""
+    _, metrics, final, _ = _validated(spark, sf_dir)
+    return metrics.withColumn("trees", F.lit(final.facts["rounds"]))
 
 
 @query("M19", osql(f"""
