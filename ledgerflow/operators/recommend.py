@@ -160,7 +160,15 @@ def price_match(pairs: DataFrame, products: DataFrame, prices: DataFrame, profil
     return j.select("customer_id", "product_id", pmatch.alias("price_match"))
 
 
-def product_similarity(pairs: DataFrame, products: DataFrame, prices: DataFrame, cat: DataFrame) -> DataFrame:
+def bought_together(lines: DataFrame, order_key: str, product_key: str) -> DataFrame:
+    """Every distinct pair of products of one order (product_id_a < product_id_b).  Repeated
+    lines of a product are one before the pairs are made."""
+    one = lines.select(F.col(order_key).alias("_o"), F.col(product_key).alias("product_id_a")).distinct()
+    other = one.withColumnRenamed("product_id_a", "product_id_b")
+    return one.join(other, "_o").filter("product_id_a < product_id_b").select("product_id_a", "product_id_b").distinct()
+
+
+def product_similarity(pairs: DataFrame, products: DataFrame, prices: DataFrame, cat: DataFrame, digits: int = R) -> DataFrame:
     """The 5-factor similarity for given (product_a, product_b) pairs."""
     a = products.select(*[F.col(c).alias(f"{c}_a") for c in products.columns])
     b = products.select(*[F.col(c).alias(f"{c}_b") for c in products.columns])
@@ -175,7 +183,8 @@ def product_similarity(pairs: DataFrame, products: DataFrame, prices: DataFrame,
         _gauss(F.col("price_a"), F.col("price_b"), F.col("cat_std")))
     return j.select("product_id_a", "product_id_b", *[s.alias(n) for s, n in zip(same, (
         "same_category", "same_subcategory", "same_specification", "same_process"))],
-        _r(price).alias("price_similarity"), _r((same[0] + same[1] + same[2] + same[3] + price) / 5.0).alias("similarity"))
+        F.round(price, digits).alias("price_similarity"),
+                    F.round((same[0] + same[1] + same[2] + same[3] + price) / 5.0, digits).alias("similarity"))
 
 
 # ---------------------------------------------------------------- candidate scoring

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import recommend as rc
@@ -158,22 +157,44 @@ FROM (SELECT x.*, CASE WHEN a.category <> b.category THEN 0.0
       LEFT JOIN prices pa ON pa.product_id = x.product_id_a LEFT JOIN prices pb ON pb.product_id = x.product_id_b
       LEFT JOIN cat k ON k.category = a.category) x
 JOIN ap a ON x.product_id_a = a.product_id JOIN ap b ON x.product_id_b = b.product_id""", ctes=REC_CTES + """,
-pairs AS (SELECT DISTINCT product_id_a, product_id_b FROM (
-  SELECT l_partkey AS product_id_a,
-         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS product_id_b
-  FROM lineitem) WHERE product_id_b IS NOT NULL)"""))
+lines AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+pairs AS (SELECT DISTINCT a.l_partkey AS product_id_a, b.l_partkey AS product_id_b
+          FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""))
 def m24_product_similarity(spark, sf_dir):
-    """5-factor similarity of products bought one after the other in an order."""
+    """5-factor similarity of every pair of products bought in one order."""
     v = Views(spark, sf_dir)
-    li = v.raw("lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    pairs = (li.select(F.col("l_partkey").alias("product_id_a"), F.lead("l_partkey").over(w).alias("product_id_b"))
-             .filter(F.col("product_id_b").isNotNull()).distinct())
     s = _sales(v)
+    pairs = rc.bought_together(v.raw("lineitem"), "l_orderkey", "l_partkey")
     return rc.product_similarity(pairs, rc.active_products(v.product_master), rc.product_prices(s),
                                  rc.category_price_stats(s))
 
 
+@query("M24_top", osql("""
+SELECT product_id_a, rank, product_id_b, similarity, price_similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_id_a ORDER BY similarity DESC, distance NULLS LAST, product_id_b) AS rank FROM (
+    SELECT product_id_a, product_id_b, round(ps, 9) AS price_similarity, round((same + ps) / 5.0, 9) AS similarity, distance FROM (
+      SELECT a.product_id AS product_id_a, b.product_id AS product_id_b,
+             (a.category = b.category)::INT + (a.subcategory = b.subcategory)::INT + (a.specification = b.specification)::INT
+               + (a.process_type = b.process_type)::INT AS same,
+             CASE WHEN a.category = b.category THEN round(abs(pa.p - pb.p), 6) END AS distance,
+             CASE WHEN a.category <> b.category THEN 0.0::DOUBLE
+                  WHEN pa.p IS NULL OR pb.p IS NULL THEN 0.5::DOUBLE
+                  WHEN k.cat_std > 0 THEN exp(-0.5 * pow(abs(pa.p - pb.p) / k.cat_std, 2))
+                  WHEN abs(pa.p - pb.p) = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS ps
+      FROM ap a JOIN ap b ON a.product_id <> b.product_id
+      LEFT JOIN rp pa ON pa.product_id = a.product_id LEFT JOIN rp pb ON pb.product_id = b.product_id
+      LEFT JOIN cat k ON k.category = a.category)))
+WHERE rank <= 7""", ctes=REC_CTES + """,
+rp AS (SELECT product_id, round(product_price, 6) AS p FROM prices)"""))
+def m24_nearest_products(spark, sf_dir):
+    """The 7 most similar products of every active product."""
+    v = Views(spark, sf_dir)
+    s = _sales(v)
+    from ledgerflow.operators.neighbours import nearest_products
+
+    return nearest_products(rc.active_products(v.product_master), rc.product_prices(s), rc.category_price_stats(s))
+
+
 @query("M25", osql("""
 SELECT o.customer_id, o.product_id,
        round(CASE WHEN p.product_price IS NULL OR pr.avg_price IS NULL THEN 0.5
