@@ -58,17 +58,41 @@ def decode_labels(c, mapping: dict, default_label: str | None = None) -> Column:
     return F.coalesce(out, F.lit(default_label)) if default_label is not None else out
 
 
-def transaction_id(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Deterministic 8-character id from the keys and the row's position among
-    equal keys (so repeated rows differ), plus ``id_collision`` for ids that repeat."""
+ID_LENGTH, HASH_LENGTH = 8, 64
+
+
+def transaction_id(df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int = ID_LENGTH,
+                   taken: DataFrame | None = None) -> DataFrame:
+    """Deterministic id of ``length`` characters from the keys and the row's position
+    among equal keys (so repeated rows differ).
+
+    Rows whose id repeats, or is one of ``taken`` (column transaction_id), get twice as many
+    characters of their hash, round by round, until no id repeats; every other row keeps
+    its id, and ids of different rounds differ in length.  A round looks only at the rows
+    that still collide.  ``id_collision`` tells which ids were lengthened."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy(*order)
-    base = df.withColumn("_n", F.row_number().over(w))
-    tid = F.substring(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys],
-                                         F.col("_n").cast("string")), 256), 1, 8)
-    out = base.withColumn("transaction_id", tid).drop("_n")
-    return out.withColumn("id_collision", F.count("*").over(Window.partitionBy("transaction_id")) > 1)
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("_n").cast("string"))
+    rows = df.withColumn("_n", F.row_number().over(w)).withColumn("_full", F.sha2(text, 256)).withColumn("_size", F.lit(length))
+    used = None if taken is None else taken.select(F.col("transaction_id").alias("_id")).distinct()
+    lengths = [length]
+    while lengths[-1] < HASH_LENGTH:
+        lengths.append(min(2 * lengths[-1], HASH_LENGTH))
+    open_ids = rows.select(F.substring("_full", 1, length).alias("_id"), "_full")
+    longer = None
+    for now, following in zip(lengths, lengths[1:]):
+        bad = open_ids.groupBy("_id").agg(F.count("*").alias("_c")).filter("_c > 1").select("_id")
+        if used is not None:
+            bad = bad.union(open_ids.select("_id").join(used, "_id", "left_semi")).distinct()
+        hit = open_ids.join(bad, "_id", "left_semi").select(F.substring("_full", 1, following).alias("_id"), "_full")
+        step = hit.select("_full", F.lit(following).alias("_to"))
+        longer = step if longer is None else longer.union(step)
+        open_ids = hit
+    longer = longer.groupBy("_full").agg(F.max("_to").alias("_to"))
+    out = rows.join(longer, "_full", "left").withColumn("_size", F.coalesce("_to", "_size"))
+    return out.withColumn("transaction_id", F.expr("substring(_full, 1, _size)")).withColumn(
+        "id_collision", F.col("_to").isNotNull()).select(*df.columns, "transaction_id", "id_collision")
 
 
 def row_hash(cols: Sequence[str]) -> Column:

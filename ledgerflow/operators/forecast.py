@@ -222,20 +222,28 @@ def with_errors(fc: DataFrame, act: DataFrame, key: str) -> DataFrame:
 def forecast_errors(errs: DataFrame) -> DataFrame:
     """A12 report: per volatility group and overall (rollup): rows, valid rows (APE not
     the sentinel), mean / median APE over valid rows, share below 0.2 and 0.3, total
-    absolute error, totals of actual and forecast."""
+    absolute error, totals of actual and forecast.  The medians come from grouped exact
+    quantiles, so that the total needs no buffer of all rows."""
+    from ledgerflow.operators.recommend import exact_quantiles
+
     valid = F.col("ape") < APE_SENTINEL
     va = F.when(valid, F.col("ape"))
     n_valid = F.count_if(valid)
-    return errs.rollup("volatility_group").agg(
+    report = errs.rollup("volatility_group").agg(
+        F.grouping("volatility_group").alias("_all"),
         F.count("*").alias("n_rows"),
         n_valid.alias("valid_rows"),
         F.round(F.avg(va), R).alias("mean_ape"),
-        F.round(F.median(va), R).alias("median_ape"),
         F.round(F.count_if(valid & (F.col("ape") < 0.2)) / F.greatest(n_valid, F.lit(1)), R).alias("share_lt_20"),
         F.round(F.count_if(valid & (F.col("ape") < 0.3)) / F.greatest(n_valid, F.lit(1)), R).alias("share_lt_30"),
         F.round(F.sum(F.abs(F.col("prediction") - F.col("actual"))), 4).alias("total_abs_error"),
         F.round(F.sum("actual"), 4).alias("total_actual"),
         F.round(F.sum("prediction"), 4).alias("total_prediction"))
+    group = F.concat(F.lit("="), F.coalesce(F.col("volatility_group"), F.lit("")))
+    levels = errs.filter(valid).select("ape", F.explode(F.array(F.lit("all"), group)).alias("_level"))
+    medians = exact_quantiles(levels, "ape", [0.5], ["_level"]).select("_level", F.round("q0", R).alias("median_ape"))
+    report = report.withColumn("_level", F.when(F.col("_all") == 1, F.lit("all")).otherwise(group))
+    return report.join(medians, "_level", "left").drop("_level", "_all")
 
 
 def prediction_rows(sub: DataFrame, sku: DataFrame, batch_id: str, created_at: str) -> DataFrame:

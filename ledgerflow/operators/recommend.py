@@ -53,24 +53,27 @@ def magnitude(v: Column) -> Column:
     return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0)).cast("long")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / SQL ``quantile_cont``) of ``col``:
-    one row with columns q0, q1, ...
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / SQL ``quantile_cont``) of ``col`` as
+    columns q0, q1, ...: one row, or one per ``group`` (columns without nulls).
 
     Distinct values are counted (partial aggregation) and the counts summed per magnitude,
     a fixed function of the value, so a task run again cannot disagree with the offsets.
     Running sums over the magnitudes tell which of them hold the wanted ranks (at most two
     per quantile); only their values are ordered."""
-    g = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    by = list(group)
+    g = (df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
          .withColumn("b", magnitude(F.col("v"))))
-    every = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    off = g.groupBy("b").agg(F.sum("c").alias("bc")).select(
-        "b", "bc", F.coalesce(F.sum("bc").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
-                              F.lit(0)).alias("off"), F.sum("bc").over(every).alias("n"))
+    every = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    off = g.groupBy(*by, "b").agg(F.sum("c").alias("bc")).select(
+        *by, "b", "bc", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"), F.sum("bc").over(every).alias("n"))
     ranks = [r for q in qs for k1 in [F.floor((F.col("n") - 1) * F.lit(float(q)))] for r in (k1, k1 + 1)]
     wanted = F.exists(F.array(*ranks), lambda r: (F.col("off") <= r) & (r < F.col("off") + F.col("bc")))
-    cum = g.join(F.broadcast(off.filter(wanted)), "b").withColumn("cin", F.sum("c").over(
-        Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    off = off.filter(wanted)
+    # without groups: at most two rows per quantile
+    cum = g.join(off if by else F.broadcast(off), [*by, "b"]).withColumn("cin", F.sum("c").over(
+        Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     cum = cum.withColumn("hi", F.col("off") + F.col("cin")).withColumn(
         "lo", F.col("hi") - F.col("c"))                       # value v holds 0-based ranks [lo, hi)
     sel, outs = [], []
@@ -83,7 +86,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
                 F.max(h).alias(f"h_{i}")]
         x1, x2 = F.col(f"x1_{i}"), F.coalesce(F.col(f"x2_{i}"), F.col(f"x1_{i}"))
         outs.append((x1 + (x2 - x1) * (F.col(f"h_{i}") - F.floor(F.col(f"h_{i}")))).alias(f"q{i}"))
-    return cum.agg(*sel).select(*outs)
+    return (cum.groupBy(*by) if by else cum).agg(*sel).select(*by, *outs)
 
 
 # --------------------------------------------------------------------- price data

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerflow.constants import SALE
+from ledgerflow.functions import text as ft
 from ledgerflow.operators import catalog as cat
 from ledgerflow.operators import lists as ls
+from ledgerflow.operators import recommend as rc
 from ledgerflow.operators import replenish as rp
 from ledgerflow.plans.registry import query
 from ledgerflow.session import sub_checkpoint
@@ -105,3 +107,27 @@ def snk1_write_csv(spark, sf_dir):
     back = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     first = back.columns[0]
     return back.select(F.col(first).alias("subcategory"), F.col("quantity").cast("double").alias("quantity"))
+
+
+@query("W9", osql(f"""
+SELECT customer_id, subcategory, product_id, purchases, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY purchases DESC, product_id) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY customer_id, subcategory ORDER BY purchases DESC, product_id) AS r FROM (
+      SELECT t.customer_id, p.subcategory, t.product_id, COUNT(*) AS purchases
+      FROM order_tx t JOIN product_master p ON t.product_id = p.product_id WHERE t.document_type = '{SALE}' GROUP BY 1, 2, 3))
+  WHERE r = 1) WHERE rank <= 7"""))
+def w9_best_then_top(spark, sf_dir):
+    """Each customer's most bought product of every subcategory, then the 7 best of those."""
+    v = Views(spark, sf_dir)
+    bought = v.order_tx().filter(F.col("document_type") == SALE).join(v.product_master.select("product_id", "subcategory"), "product_id")
+    counts = bought.groupBy("customer_id", "subcategory", "product_id").agg(F.count("*").alias("purchases"))
+    best = rc.best_per_subcategory(counts.withColumn("rank_score", F.col("purchases")))
+    top = cat.top_k_per(best, ["customer_id"], [F.col("purchases").desc(), F.col("product_id")], 7)
+    return top.select("customer_id", "subcategory", "product_id", "purchases", "rank")
+
+
+@query("X10_percent", osql("""
+SELECT customer_id, format('{:,.1f}', abs(acctbal)) || '%' AS percent_text FROM customers"""))
+def x10_percent(spark, sf_dir):
+    """Absolute percentage with one decimal (account balances stand in for the change)."""
+    return Views(spark, sf_dir).customers.select("customer_id", ft.fmt_percent("acctbal").alias("percent_text"))

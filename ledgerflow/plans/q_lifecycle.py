@@ -217,11 +217,14 @@ def c6_flag_new_product(spark, sf_dir):
 
 
 @query("C7", osql(f"""
-SELECT *, COUNT(*) OVER (PARTITION BY transaction_id) > 1 AS id_collision FROM (
-  SELECT substr(sha256(CAST(o.id AS VARCHAR) || '|1'), 1, 8) AS transaction_id, o.id AS source_order_id, o.customer_id,
+SELECT * EXCLUDE (h, n8, n16, n32), substr(h, 1, CASE WHEN n8 = 1 THEN 8 WHEN n16 = 1 THEN 16 WHEN n32 = 1 THEN 32 ELSE 64 END) AS transaction_id,
+       n8 > 1 AS id_collision FROM (
+  SELECT *, COUNT(*) OVER (PARTITION BY substr(h, 1, 8)) AS n8, COUNT(*) OVER (PARTITION BY substr(h, 1, 16)) AS n16,
+         COUNT(*) OVER (PARTITION BY substr(h, 1, 32)) AS n32 FROM (
+  SELECT sha256(CAST(o.id AS VARCHAR) || '|1') AS h, o.id AS source_order_id, o.customer_id,
          o.product_id, CAST(CAST(o.created_at AS DATE) AS VARCHAR) AS transaction_date, '{SALE}' AS document_type,
          CAST(o.quantity AS DOUBLE) AS quantity, o.unit_price, CAST(o.amount AS DOUBLE) AS amount
-  FROM incoming_orders o WHERE o.status = '1' AND o.customer_id IN (SELECT customer_id FROM customers))"""))
+  FROM incoming_orders o WHERE o.status = '1' AND o.customer_id IN (SELECT customer_id FROM customers)))"""))
 def c7_confirm_orders(spark, sf_dir):
     """Confirmed orders of known customers as transaction rows."""
     v = Views(spark, sf_dir)

@@ -258,3 +258,33 @@ def test_sheet_columns_missing_and_extra(spark):
                                 "file string, " + ", ".join(f"{c} string" for c in names))
     got = {r["column_name"]: (r["rows"], r["filled_rows"], r["status"]) for r in ig.check_columns(raw, "sales", ig.SALES_COLUMNS).collect()}
     assert got["product_id"] == (2, 0, "missing") and got["currency"] == (2, 1, "extra") and got["quantity"] == (2, 2, "ok")
+
+
+def test_grouped_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot", 3.0)] * 50 + [("hot", float(x)) for x in rng.normal(0, 9, 201)] + [("two", 1.0), ("two", 4.0), ("one", -2.5)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    out = rc.exact_quantiles(df, "x", [0.5, 0.9], ["g"])
+    assert "median" not in out._jdf.queryExecution().toString().lower()
+    got = {r.g: (r.q0, r.q1) for r in out.collect()}
+    for g in ("hot", "two", "one"):
+        v = [x for h, x in rows if h == g]
+        assert np.allclose(got[g], np.quantile(v, [0.5, 0.9]), rtol=1e-12)
+    assert set(got) == {"hot", "two", "one"}
+
+
+def test_colliding_ids_are_lengthened(spark):
+    """One hex digit for 60 rows must collide; ids end unique, the same on a second run, and unlike those taken."""
+    from ledgerflow.functions.misc import transaction_id
+
+    df = spark.createDataFrame([(i % 50, i) for i in range(60)], "k long, o long").repartition(5)
+    once = sorted(map(tuple, transaction_id(df, ["k"], ["o"], length=1).collect()))
+    ids = [r[2] for r in once]
+    assert len(set(ids)) == 60 and any(len(i) > 1 for i in ids)
+    assert once == sorted(map(tuple, transaction_id(df.repartition(3), ["k"], ["o"], length=1).collect()))
+    assert all((len(i) > 1) == flag for _, _, i, flag in once)
+    taken = spark.createDataFrame([(i,) for i in ids], "transaction_id string")
+    again = [r.transaction_id for r in transaction_id(df, ["k"], ["o"], length=1, taken=taken).collect()]
+    assert len(set(again)) == 60 and not set(again) & set(ids)
+    plain = transaction_id(df, ["k"], ["o"]).collect()
+    assert all(len(r.transaction_id) == 8 and not r.id_collision for r in plain)
