@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerflow.llm import tokens
-from ledgerflow.llm.common import ship, table, text_of
+from ledgerflow.llm.common import cut, ship, table, text_of
 
 TRAIN_ROWS = 20_000
 SHAPES, FEATURES = 1 << 12, 1 << 14  # shapes and marks come first, then words
@@ -250,7 +250,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[int, float]
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     part = texts.filter(draw < int((1 << 30) * min(1.0, train_rows / n.sum())))
     examples = part.select("text").mapInArrow(_examples(posterior), "target double, at array<long>, share array<double>")
-    return posterior, np.array(examples.coalesce(1).mapInArrow(_train, "weights array<double>").first()["weights"])
+    # the sample is written first, so that the one training task reads nothing but the sample
+    return posterior, np.array(cut(examples).coalesce(1).mapInArrow(_train, "weights array<double>").first()["weights"])
 
 
 def scores(w: Words, weights: np.ndarray) -> np.ndarray:
