@@ -10,7 +10,10 @@ between the cuts are whole pre-tokens; they are encoded in parallel and their id
 in order.  A shorter text is one piece.
 
 The vocabulary file is read on the driver and sent to the workers; its size is fixed.
-Defined results: a null or empty text has no ids; rows that repeat an id are rows of
+A run of blanks longer than ``LONG_RUN`` is one pre-token by the pattern's rule and is encoded
+without the pattern's engine.
+
+Defined results: a null or empty text has no ids; an empty table gives no rows; rows that repeat an id are rows of
 their own; extra columns are ignored.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,9 @@ from ledgerflow.llm.common import cut, ship, shuffle_parts, table, text_of
 CHUNK, OVERLAP, GUARD = 16384, 256, 3
 _codecs: dict[tuple[str, str], "Codec"] = {}
 
+# The characters with the Unicode property White_Space.
+BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 
 class Codec:
     """Encoder and byte table of a rank file, built once per worker."""
@@ -39,6 +46,7 @@ class Codec:
     def __init__(self, ranks_file: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.blank_rule = r"\s+(?!\S)" in pattern
         words = {i: b for b, i in ranks.items()}
         known = [words.get(i, b"") for i in range(max(words) + 1)]
         self.size = np.array([len(b) for b in known], np.int32)
@@ -61,7 +69,27 @@ class Codec:
         return self.blob[at], ends
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        if not self.blank_rule or len(text) <= LONG_RUN or not (runs := [m.span() for m in LONG_BLANKS.finditer(text)]):
+            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        # the pattern takes a run of blanks as one match, but for the last blank before a non-blank;
+        # such a match goes past the pattern's engine, whose stack it would not fit
+        out, at = [], 0
+        for a, b in runs:
+            b -= b < len(text)
+            if a > at:
+                out.append(self.encoding.encode_to_numpy(text[at:a], disallowed_special=()))
+            out.append(self._run(text[a:b]))
+            at = b
+        if at < len(text):
+            out.append(self.encoding.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate(out).astype(np.int32)
+
+    def _run(self, blanks: str) -> np.ndarray:
+        return np.array(self.encoding._encode_single_piece(blanks), np.int32)
+
+
+LONG_RUN = 50_000
+LONG_BLANKS = re.compile(f"[{''.join(sorted(BLANKS))}]{{{LONG_RUN},}}")
 
 
 def id_lists(rows: list[np.ndarray]) -> pa.Array:
@@ -114,10 +142,6 @@ def splitter(pattern: str):
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-# The characters with the Unicode property White_Space.
-BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-
-
 def boundaries(text: str, pattern) -> list[int]:
     """The ends of the pre-tokens where a text may be cut.
 
