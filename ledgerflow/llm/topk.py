@@ -13,10 +13,14 @@
 Queries go to the shards in blocks of bounded size.  Components are scaled to integers;
 scores are exact (float64 products while they stay below 2^53, Python integers beyond).
 
+Rows are numbered in the order of their ids, so the search itself never compares ids.
+
 Defined results: vectors that are null or hold a null or non-finite component take no
-part, nor do rows without an id; a repeated id counts once, with its largest vector;
-vectors meet only vectors of their own length; fewer than k candidates are all returned;
-scores beyond 64 bits count as the nearest 64-bit number.
+part; rows that repeat an id are rows of their own, and a query leaves out only its own
+row; a row without an id is no query and, on ties, comes behind those with one; vectors
+meet only vectors of their own length; fewer than k candidates are all returned; scores
+beyond 64 bits count as the nearest 64-bit number; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -179,9 +183,13 @@ def top_k(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_col: st
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & sound)
-    rows = rows.groupBy("vec_id").agg(F.max("vec").alias("vec")).withColumn("dim", F.size("vec")).withColumn("asks", F.expr(is_query))
-    rows = cut(rows)
+    rows = rows.filter(F.col("vec").isNotNull() & sound).withColumn("asks", F.coalesce(F.expr(is_query), F.lit(False)) & F.col("vec_id").isNotNull())
+    # numbers that rise with the id (nulls last); stored, so that no task can number the rows anew
+    order = [F.asc_nulls_last("vec_id"), F.xxhash64("vec")]
+    rows = rows.repartitionByRange(shuffle_parts(rows.sparkSession), *order).sortWithinPartitions(*order)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
+    names = rows.select("row", "vec_id")
+    rows = rows.drop("vec_id").withColumnRenamed("row", "vec_id")      # from here on a row's number stands for its id
     # one entry per vector length: its shards and its blocks of queries
     plan = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"),
                                    F.ceil((F.count_if("asks") + 1) / queries).cast("int").alias("blocks"))
@@ -197,8 +205,10 @@ def top_k(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_col: st
     away = _ask(rows, again, k, scale)
 
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (home.union(away).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    best = home.union(away).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = best.join(names.select(F.col("row").alias("vec_id"), F.col("vec_id").alias("_found")), "vec_id")
+    best = best.join(names.select(F.col("row").alias("query_id"), F.col("vec_id").alias("_asked")), "query_id")
+    return best.select(F.col("_asked").alias("query_id"), "rank", F.col("_found").alias("vec_id"), "score")
 
 
 def op1_topk(spark, sf_dir):
@@ -207,15 +217,14 @@ def op1_topk(spark, sf_dir):
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS e, len(embedding) AS n
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS e, len(embedding) AS n
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.id, q.vec_id AS query_id, c.vec_id,
          CASE WHEN q.n = 0 THEN 0
               ELSE list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) END::BIGINT AS score
-  FROM v q JOIN v c ON q.n = c.n AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+  FROM v q JOIN v c ON q.n = c.n AND q.id <> c.id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
