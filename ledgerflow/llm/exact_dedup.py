@@ -14,7 +14,7 @@ kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerflow.llm.common import bitmap, lower_ascii, may_hold, spread_join, text_of
 
@@ -26,7 +26,7 @@ def full_hash(text: str = "text") -> Column:
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              carry: dict[str, Column] | None = None) -> DataFrame:
+              carry: dict[str, Column] | None = None, with_group: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, and the ``carry`` columns.
 
     ``carry`` maps a column name to an expression over ``docs`` that is evaluated in the
@@ -54,6 +54,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = spread_join(rows, groups, ["h"], "left")
     found = F.col("group_size").isNotNull()
     return out.select(
+        *(["h"] if with_group else []),
         "doc_id",
         F.when(found, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -62,10 +63,13 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were."""
+    """The rows of ``docs`` that stay, with their columns as they were: one row of each group of
+    equal texts, also where rows repeat with their id or have none."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = decisions(docs, id_col, text_col, {"whole_row": whole}).filter("kept")
-    return kept.select("whole_row.*")
+    kept = decisions(docs, id_col, text_col, {"whole_row": whole}, with_group=True).filter("kept")
+    first = W.partitionBy("h").orderBy(F.xxhash64("whole_row"))
+    one = kept.filter("group_size > 1").withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+    return kept.filter("group_size = 1").select("whole_row.*").unionByName(one.select("whole_row.*"))
 
 
 def op9_exact_dedup(spark, sf_dir):

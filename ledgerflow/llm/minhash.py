@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerflow.llm import tokens
 from ledgerflow.llm.common import bitmap, cut, may_hold, ship, shuffle_parts, spread_join, table, text_of
@@ -204,20 +204,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("text_key"))
     sig = cut(texts.mapInArrow(_sign(n, bands, rows), "doc_id long, text_key long, n_shingles long, fp binary, bands array<long>"))
-    classes = sig.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"))
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    classes = sig.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.min(own).alias("pick"), F.first("bands").alias("bands"))
     keys = classes.select("fp", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     clusters = components(spread_join(keys, buckets, ["key"]).select(F.col("fp").alias("a"), "b"))
     clusters = cut(clusters.withColumnRenamed("node", "fp").withColumnRenamed("root", "cluster"))
 
     # one text per class; the bitmap keeps other texts out of the shuffle
-    own = F.coalesce("doc_id", F.lit(NO_ID))
-    picked = sig.select("fp", own.alias("pick")).join(clusters, "fp").groupBy("fp").agg(F.min("pick").alias("pick")).select("pick").distinct()
-    picked = cut(picked)
+    picked = cut(classes.select("fp", "pick").join(clusters.select("fp"), "fp").select("pick").distinct())
     chosen = texts.withColumn("pick", own).filter(may_hold(bitmap(picked, "pick"), F.col("pick"))).join(picked, "pick", "left_semi")
     sets = chosen.select("text").mapInArrow(_full_sets(n), "fp binary, members binary")
     size = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = cut(sets.join(clusters, "fp").join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
+    members = cut(spread_join(sets.join(clusters, "fp"), size, ["cluster"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "members")
     pairs = pairs.repartitionByRange(shuffle_parts(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
@@ -225,9 +224,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     groups = components(links)
 
     root = F.coalesce("root", "fp")
-    by_class = classes.drop("bands").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "min_id", root.alias("root"))
+    by_class = classes.drop("bands", "pick").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "min_id", root.alias("root"))
     least = by_class.groupBy("root").agg(F.min("min_id").alias("component"))
-    by_class = by_class.join(least, "root").select(F.col("fp").alias("key"), "component")
+    by_class = spread_join(by_class, least, ["root"]).select(F.col("fp").alias("key"), "component")
     # rows without shingles get a key of their own, so that they spread over the tasks
     alone = F.encode(F.concat(F.lit("alone "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "utf-8")
     out = sig.select("doc_id", "text_key", "n_shingles", "fp", F.coalesce("fp", alone).alias("key"))
@@ -242,15 +241,21 @@ def _text_key():
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one text of each group, with their columns as they were."""
-    gone = near_duplicates(docs, n, percent).filter("not kept").select(
-        F.xxhash64("doc_id", "text_key").alias("_gone"), F.col("doc_id").alias("_id")).distinct()
-    gone = cut(gone)
+    """The rows of ``docs`` that stay, one text of each group, with their columns as they were.
+
+    Of rows that repeat with id and text one stays; texts without words stay all."""
+    found = cut(near_duplicates(docs, n, percent).select("doc_id", "kept", "n_shingles", F.xxhash64("doc_id", "text_key").alias("_key")))
+    key = [F.col("_key"), F.col("doc_id").alias("_id")]
+    gone = found.filter("not kept").select(*key, F.lit(True).alias("_gone")).distinct()
+    again = found.filter("kept and n_shingles > 0").groupBy(*key).count().filter("count > 1").select("_key", "_id", F.lit(False).alias("_gone"))
+    marked = cut(gone.unionByName(again))
     own = F.xxhash64(F.col("doc_id").cast("long"), _text_key())
-    maybe = may_hold(bitmap(gone, "_gone"), own)
+    maybe = may_hold(bitmap(marked, "_key"), own)
     packed = docs.filter(maybe).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), own.alias("own"))
-    left = packed.join(gone, (F.col("own") == F.col("_gone")) & F.col("r.doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    return docs.filter(~maybe).unionByName(left.select("r.*"))
+    same = (F.col("own") == F.col("_key")) & F.col("r.doc_id").cast("long").eqNullSafe(F.col("_id"))
+    left = packed.join(marked, same, "left").filter("_gone is null or not _gone")
+    one = left.filter("_gone is not null").withColumn("_r", F.row_number().over(W.partitionBy("own").orderBy(F.xxhash64("r")))).filter("_r = 1")
+    return docs.filter(~maybe).unionByName(left.filter("_gone is null").select("r.*")).unionByName(one.select("r.*"))
 
 
 def op5_minhash(spark, sf_dir):

@@ -17,7 +17,7 @@ result; a source without words has target 0.  A rerun gives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerflow.llm.common import WORD, cut, ordered_prefix, text_of
 
@@ -80,13 +80,20 @@ def mix(docs: DataFrame, carry: dict[str, Column] | None = None, seed: str = SEE
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of the mix, whole documents only, each as often as it is taken."""
+    """The rows of the mix, whole documents only, each as often as it is taken.
+
+    Rows that repeat in all columns are taken one by one; together they appear as often as
+    the mix takes each of them."""
     row_key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    plan = mix(docs, {"row_key": row_key}).filter("copies > 0").groupBy("doc_id", "row_key").agg(F.max("copies").alias("copies"))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("row_key").alias("_mix_key"), F.col("copies").alias("_mix_copies"))
+    plan = mix(docs, {"row_key": row_key}).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    plan = plan.filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("row_key").alias("_mix_key"),
+                                            F.col("copies").alias("_mix_copies"), F.col("rows").alias("_mix_rows"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row"), row_key.alias("_mix_own"))
     taken = packed.join(plan, (F.col("_mix_own") == F.col("_mix_key")) & F.col("_mix_row.doc_id").eqNullSafe(F.col("_mix_id")))
-    return taken.select(F.explode(F.array_repeat("_mix_row", F.col("_mix_copies").cast("int"))).alias("r")).select("r.*")
+    first = W.partitionBy("_mix_own", "_mix_id").orderBy("_mix_copies")
+    again = taken.filter("_mix_rows > 1").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    every = taken.filter("_mix_rows = 1").unionByName(again)
+    return every.select(F.explode(F.array_repeat("_mix_row", F.col("_mix_copies").cast("int"))).alias("r")).select("r.*")
 
 
 def op6_mixing(spark, sf_dir):
