@@ -29,7 +29,7 @@ from ledgerflow.functions.misc import fingerprint, fingerprint_of, row_hash
 from ledgerflow.operators import lifecycle as lc
 from ledgerflow.operators.sales import dedup_product
 from ledgerflow.session import sub_checkpoint
-from ledgerflow.sources.tables import read_table, table_path
+from ledgerflow.sources.tables import is_file, read_table, table_path
 from ledgerflow.sources.versions import MaintainedTable, VersionedTable, merged
 
 
@@ -37,11 +37,11 @@ from ledgerflow.sources.versions import MaintainedTable, VersionedTable, merged
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     """Streaming read of a table (a Parquet folder, or one Parquet file of a folder)."""
     schema = read_table(spark, sf_dir, name).schema
-    path = table_path(sf_dir, name)
+    path = table_path(sf_dir, name, spark)
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet") and os.path.isfile(path):
+    if path.endswith(".parquet") and is_file(spark, path):
         return r.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
     return r.parquet(path)
 

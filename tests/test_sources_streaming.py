@@ -191,3 +191,12 @@ def test_core_name_deletes_marks(spark):
     from ledgerflow.functions.text import core_name
     rows = spark.createDataFrame([("A-B(x)",), ("[k] a_b/c",)], "n string").select(core_name("n").alias("c")).collect()
     assert [r["c"] for r in rows] == ["AB", "[k] abc"]
+
+
+def test_tables_in_a_store_that_only_spark_opens(spark):
+    """A mount of the test folder under another scheme: tables and streams are found through Spark."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.teststore.link./in", f"file://{SF}")
+    assert Views(spark, "viewfs://teststore/in").order_tx().count() == Views(spark, SF).order_tx().count() > 0
+    got = sj.run_month_sales(spark, "viewfs://teststore/in")
+    assert got.count() == sj.month_totals(Views(spark, SF).order_tx()).count()
