@@ -30,11 +30,12 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerflow.llm.common import cut, table, text_of
-from ledgerflow.llm.spans import count_kind, digits, joined, luhn, places
+from ledgerflow.llm.spans import apart, count_kind, digits, joined, luhn, places
 
 KINDS = ("email", "ip", "card", "phone", "id")
 LABELERS = ("shape", "gazetteer", "cue", "doubt", "edges")
 ROUNDS = 12
+CONTEXT = 32  # characters before a span that a labeler sees
 
 # The base patterns, with possessive loops and run guards.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -78,14 +79,15 @@ def valid_ip(m: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    ip = F.filter(places(text, IP, 1), lambda x: valid_ip(x["m"]))
-    card = F.filter(places(text, CARD, 2), lambda x: F.length(digits(x["m"])).between(16, 19) & luhn(digits(x["m"])))
-    phone = F.filter(places(text, PHONE, 3), lambda x: F.length(digits(x["m"])).between(8, 15))
-    return F.concat(places(text, EMAIL, 0), ip, card, phone)
+    ip = F.filter(places(text, IP, 1, context=CONTEXT), lambda x: valid_ip(x["m"]))
+    card = F.filter(places(text, CARD, 2, context=CONTEXT), lambda x: F.length(digits(x["m"])).between(16, 19) & luhn(digits(x["m"])))
+    phone = F.filter(places(text, PHONE, 3, context=CONTEXT), lambda x: F.length(digits(x["m"])).between(8, 15))
+    return F.concat(places(text, EMAIL, 0, context=CONTEXT), ip, card, phone)
 
 
 def looser_spans(text: Column) -> Column:
-    return F.concat(places(text, EMAIL_AT, 0), places(text, CARD_LIKE, 2), places(text, PHONE_LOCAL, 3), places(text, NATIONAL_ID, 4))
+    return F.concat(places(text, EMAIL_AT, 0, context=CONTEXT), places(text, CARD_LIKE, 2, context=CONTEXT),
+                    places(text, PHONE_LOCAL, 3, context=CONTEXT), places(text, NATIONAL_ID, 4, context=CONTEXT))
 
 
 def _by_kind(kind: Column, patterns: tuple[str, ...], value: Column) -> Column:
@@ -95,10 +97,9 @@ def _by_kind(kind: Column, patterns: tuple[str, ...], value: Column) -> Column:
     return out
 
 
-def describe(text: Column, x: Column) -> Column:
+def describe(x: Column) -> Column:
     """Votes (one number, base 3: 0 abstains, 1 yes, 2 no) and features of a candidate."""
-    before = F.substring(text, F.greatest(x["s"] - 31, F.lit(1)).cast("int"), F.least(x["s"], F.lit(32)).cast("int"))
-    after = F.substring(text, (x["e"] + 1).cast("int"), F.lit(1))
+    before, after = x["before"], x["after"]
     kind, m = x["kind"], x["m"]
     n = F.length(digits(m))
     glued = F.regexp_like(before, F.lit(r"[A-Za-z0-9]$")) | F.regexp_like(after, F.lit(r"^[A-Za-z0-9]"))
@@ -129,11 +130,9 @@ def describe(text: Column, x: Column) -> Column:
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, base and loose candidates; a loose find that touches a base span is no candidate."""
     rows = docs.select("doc_id", text_of(text_col).alias("_text"))
-    rows = rows.select("doc_id", "_text", base_spans(F.col("_text")).alias("base"), looser_spans(F.col("_text")).alias("loose"))
-    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    rows = rows.select("doc_id", "_text", "base", apart.alias("loose"))
-    return rows.select("doc_id", F.transform("base", lambda x: describe(F.col("_text"), x)).alias("base"),
-                       F.transform("loose", lambda x: describe(F.col("_text"), x)).alias("loose"))
+    rows = rows.select("doc_id", base_spans(F.col("_text")).alias("base"), looser_spans(F.col("_text")).alias("loose"))
+    rows = rows.select("doc_id", "base", apart(F.col("loose"), F.col("base")).alias("loose"))
+    return rows.select("doc_id", F.transform("base", describe).alias("base"), F.transform("loose", describe).alias("loose"))
 
 
 def vote_of(code: Column, j: int) -> Column:

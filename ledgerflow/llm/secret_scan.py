@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerflow.llm.common import cut, table, text_of
-from ledgerflow.llm.spans import count_kind, joined, places, upper_tail
+from ledgerflow.llm.spans import apart, count_kind, joined, merged, places, upper_tail
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns.
@@ -113,18 +113,6 @@ def candidates(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(places(text, CANDIDATE, 3), split)), lambda x: F.length(x["m"]) >= LEAST)
 
 
-def merged(spans: Column) -> Column:
-    """Spans (s, e) by place, those that overlap as one."""
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        both = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        return F.when((F.size(acc) > 0) & (last["e"] > x["s"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(
-            F.concat(acc, F.array(x)))
-
-    places_of = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    return F.aggregate(places_of, F.array().cast("array<struct<s:bigint,e:bigint>>"), step)
-
-
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, base (array of spans), added (array of spans) per row of ``docs``."""
     text = text_of(text_col)
@@ -135,12 +123,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         F.least(F.floor(F.log2(F.length(x["m"]))), F.lit(12)).cast("int").alias("len_class"),
                         F.least(F.floor(-F.log10(F.greatest(t["p"], F.lit(1e-300))) / BIN), F.lit(MAX_BIN)).cast("int").alias("bin"))
 
-    def clear(x: Column, base: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-
     rows = docs.select("doc_id", text.alias("_text"))
     rows = rows.select("doc_id", base_spans(F.col("_text")).alias("base"), candidates(F.col("_text")).alias("runs"))
-    rows = rows.select("doc_id", "base", F.transform(F.filter("runs", lambda x: clear(x, F.col("base"))), candidate).alias("runs"))
+    rows = rows.select("doc_id", "base", F.transform(apart(F.col("runs"), F.col("base")), candidate).alias("runs"))
     rows = cut(rows.withColumn("runs", F.filter("runs", lambda x: x["enc"].isNotNull())))
 
     # Benjamini-Hochberg: at most encodings x length classes x bins rows
