@@ -25,12 +25,16 @@ def running(values: Column, join) -> Column:
     take n log n steps; appending to an array element by element would take n squared.
     """
     def over(v: Column) -> Column:
-        shifts = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(v))
-        return F.aggregate(shifts, v, lambda acc, s: F.transform(
+        return F.aggregate(_shifts(v, 31), v, lambda acc, s: F.transform(
             acc, lambda x, i: F.when(i < s, x).otherwise(join(F.get(acc, i - s), x))))
     return bound(values, over)
 
 
+def _shifts(v: Column, most: int) -> Column:
+    """1, 2, 4, ... as far as the array reaches, at most ``most`` of them."""
+    return F.slice(F.array(*[F.lit(1 << k) for k in range(most)]), F.lit(1), F.least(F.length(F.bin(F.size(v))), F.lit(most)))
+
+
 def places(text: Column, pattern: str, kind: int, group: int | None = None, context: int = 0) -> Column:
     """All leftmost non-overlapping matches as array of (kind, s, e, m), e exclusive.
 
@@ -39,16 +43,21 @@ def places(text: Column, pattern: str, kind: int, group: int | None = None, cont
     with the text and with n log n of the matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    # the last gap has no match behind it
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("whole"), value.alias("part"))
+    m = "whole" if group is None else "part"
+
+    def parts(f: Column) -> Column:
+        # the last gap has no match behind it
+        both = [F.split(text, pattern, -1).alias("gap"), f.alias("whole")]
+        if group is not None:
+            both.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
+        return F.arrays_zip(*both)
 
     def spans(p: Column) -> Column:
         steps = F.transform(p, lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["whole"]), F.lit(0))).cast("long"))
         ends = running(steps, lambda a, b: a + b)
 
         def one(x: Column, e: Column, near: tuple[Column, ...] = ()) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), (e - F.length(x["whole"])).alias("s"), e.alias("e"), x["part"].alias("m"), *near)
+            return F.struct(F.lit(kind).alias("kind"), (e - F.length(x["whole"])).alias("s"), e.alias("e"), x[m].alias("m"), *near)
 
         if not context:
             rows = F.zip_with(p, ends, lambda x, e: F.struct(x["whole"].alias("whole"), one(x, e).alias("span")))
@@ -59,8 +68,8 @@ def places(text: Column, pattern: str, kind: int, group: int | None = None, cont
                     one(y["x"], z["e"], (z["before"].alias("before"), _after(p, y["i"]).alias("after"))).alias("span")))
         return F.transform(F.filter(rows, lambda r: r["whole"].isNotNull()), lambda r: r["span"])
 
-    return F.when(F.size(found) > 0, bound(parts, spans)).otherwise(
-        F.array().cast(_span_type(context)))
+    return bound(found, lambda f: F.when(F.size(f) > 0, bound(parts(f), spans)).otherwise(
+        F.array().cast(_span_type(context))))
 
 
 def _span_type(context: int) -> str:
@@ -73,11 +82,11 @@ def _before(parts: Column, width: int) -> Column:
     A match has at least one character, so ``width`` matches back reach far enough.
     """
     def last(c: Column) -> Column:
-        return F.when(F.length(c) > width, F.substring(c, -width, width)).otherwise(c)
+        return F.substring(c, -width, width)
 
-    tails = F.transform(parts, lambda x, i: last(F.concat(F.coalesce(F.get(parts, i - 1)["whole"], F.lit("")), x["gap"])))
-    shifts = F.array(*[F.lit(1 << k) for k in range(width.bit_length())])
-    return F.aggregate(shifts, tails, lambda acc, s: F.transform(acc, lambda x, i: F.when(
+    tails = F.transform(parts, lambda x, i: F.when(F.length(x["gap"]) >= width, last(x["gap"])).otherwise(
+        last(F.concat(F.coalesce(F.get(parts, i - 1)["whole"], F.lit("")), x["gap"]))))
+    return F.aggregate(_shifts(parts, width.bit_length()), tails, lambda acc, s: F.transform(acc, lambda x, i: F.when(
         (i < s) | (F.length(x) >= width), x).otherwise(last(F.concat(F.get(acc, i - s), x)))))
 
 
