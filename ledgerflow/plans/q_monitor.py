@@ -163,7 +163,7 @@ def w12_alerts(spark, sf_dir):
     return mo.alerts(health, _history(v), FRESH_NOW)
 
 
-def _checks(v, events=None):
+def _job_checks(v, events=None):
     """Health checks of the monitored jobs, one per event: errors are problems, the rest is healthy."""
     ev = v.raw("events") if events is None else events
     job = F.element_at(F.array(*[F.lit(t) for t in _TABLES]), (F.col("user_id") % 5 + 1).cast("int"))
@@ -204,7 +204,7 @@ s{k} AS (SELECT s.job_id, s.n + 1 AS n, f.a[1] AS last, COALESCE(s.warned, CASE
 @query("W12_alerts", _over_time_sql())
 def w12_alerts_over_time(spark, sf_dir):
     """The alerts sent over the whole history of health checks."""
-    checks = _checks(Views(spark, sf_dir))
+    checks = _job_checks(Views(spark, sf_dir))
     return mo.alerts_over_time(_decided(checks), _first_warnings(checks))
 
 
@@ -214,7 +214,7 @@ def w12_alert_stream(spark, sf_dir):
     from ledgerflow.streaming import jobs as sj
 
     v = Views(spark, sf_dir)
-    return sj.run_alerts(spark, _checks(v, sj.stream_table(spark, sf_dir, "events")), _first_warnings(_checks(v)))
+    return sj.run_alerts(spark, _job_checks(v, sj.stream_table(spark, sf_dir, "events")), _first_warnings(_job_checks(v)))
 
 
 _API = r"""lines AS (SELECT CASE WHEN value < 5 THEN 'garbage line' ELSE
