@@ -6,6 +6,7 @@ import random
 import pytest
 
 from ledgerflow.operators import recommend as rc
+from ledgerflow.operators import neighbours
 from ledgerflow.operators.neighbours import nearest_products
 
 
@@ -40,3 +41,25 @@ def test_nearest_products(spark, seed, k):
 def test_bought_together(spark):
     lines = spark.createDataFrame([(1, 5), (1, 3), (1, 5), (2, 3), (2, 5), (2, 9), (3, 4), (None, 1), (None, 2)], "o long, p long")
     assert sorted(map(tuple, rc.bought_together(lines, "o", "p").collect())) == [(3, 5), (3, 9), (5, 9)]
+
+
+def test_candidates_stay_few(spark):
+    """Who is told of a product by one round of sets: at most k + 1 a set, where prices differ, and done products ask no more."""
+    k = 3
+    rows = [(p, f"c{p % 2}", f"c{p % 2}/s{p % 4}", f"x{p % 3}", "y", float(p * p)) for p in range(400)]
+    products = spark.createDataFrame(rows, "product_id long, category string, subcategory string, specification string, process_type string, price double")
+    sets = neighbours.rounds()[0][1]
+    ids = {r.product_id: len(r.ids) for r in neighbours.candidates(products, k, sets).collect()}
+    assert len(ids) == 400 and max(ids.values()) <= len(sets) * (k + 1)
+    few = neighbours.candidates(products, k, sets, spark.createDataFrame([(7,), (8,)], "product_id long")).collect()
+    assert {r.product_id for r in few} == {7, 8}
+
+
+def test_similarity_moves_pairs_once_to_each_product(spark):
+    pairs = spark.createDataFrame([(1, 2)], "product_id_a long, product_id_b long")
+    products = spark.createDataFrame([(1, "c", "s", "x", "y"), (2, "c", "s", "x", "z")], "product_id long, category string, subcategory string, specification string, process_type string")
+    prices = spark.createDataFrame([(1, 5.0), (2, 5.0)], "product_id long, product_price double")
+    out = rc.product_similarity(pairs, products, prices, spark.createDataFrame([("c", 1.0)], "category string, cat_std double"))
+    assert [(r.similarity, r.price_similarity) for r in out.collect()] == [(0.8, 1.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Join") for line in plan.splitlines()) == 2
