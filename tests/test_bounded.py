@@ -117,3 +117,20 @@ def test_no_sales(spark):
     assert rc.recommend_products(None, pm, sales=none).collect() == []
     assert rc.recommend_customers(None, pm, sales=none).collect() == []
     assert rc.best_per_subcategory(none.select("customer_id", "product_id", "subcategory", F.lit(1.0).alias("rank_score"))).count() == 0
+
+
+def test_wide_shards(spark, monkeypatch):
+    """Several wide shards and bins of few products give the same lists, and a customer's row meets few shards."""
+    products, sales = market(5, n_products=240)
+    pm, df = spark.createDataFrame(products, PM), rc.cut(spark.createDataFrame(sales, SALES))
+    want = sorted(map(tuple, rc.recommend_products(None, pm, sales=df).collect()))
+    asked = []
+    plain_ask = bounded._ask_wide
+    monkeypatch.setattr(bounded, "_ask_wide", lambda stock, rows, k: asked.append(rows.count()) or plain_ask(stock, rows, k))
+    rc.recommend_products(None, pm, sales=df).collect()
+    customers = len({s[0] for s in sales})
+    assert asked[0] <= 2 * customers
+    monkeypatch.setattr(bounded, "SHELF", 9)
+    monkeypatch.setattr(bounded, "BINS", 3)
+    monkeypatch.setattr(bounded, "CROWD", 4)
+    assert sorted(map(tuple, rc.recommend_products(None, pm, sales=df).collect())) == want
