@@ -26,8 +26,12 @@ def s3_month_sales(spark, sf_dir):
 
 def _pred(v):
     """Active repurchase predictions: every pair ever bought, expected 30 days after its
-    last purchase, in the pair's largest quantity."""
-    t = v.order_tx().filter(F.col("document_type") == SALE)
+    last purchase, in the pair's largest quantity.
+
+    Pairs hardly repeat within a partition of orders, so the lines move before they are
+    counted: the table of pairs lies in other, smaller tasks than the sorts of the join."""
+    t = v.order_tx().filter(F.col("document_type") == SALE).select("customer_id", "product_id", "transaction_date", "quantity")
+    t = t.repartition(4 * int(v.spark.conf.get("spark.sql.shuffle.partitions")), "customer_id", "product_id")
     return t.groupBy("customer_id", "product_id").agg(
         F.date_add(F.max("transaction_date"), 30).alias("prediction_date"),
         F.max("quantity").alias("estimated_quantity")).withColumn("prediction_status", F.lit("active")).withColumn(

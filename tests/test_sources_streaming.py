@@ -200,3 +200,22 @@ def test_tables_in_a_store_that_only_spark_opens(spark):
     assert Views(spark, "viewfs://teststore/in").order_tx().count() == Views(spark, SF).order_tx().count() > 0
     got = sj.run_month_sales(spark, "viewfs://teststore/in")
     assert got.count() == sj.month_totals(Views(spark, SF).order_tx()).count()
+
+
+def test_predictions_are_counted_apart_from_the_join(spark, tmp_path):
+    """The table of pairs lies in tasks of its own, after the lines have moved."""
+    from ledgerflow.plans.q_streaming import _pred
+    from ledgerflow.sources.views import Views
+
+    day = dt.datetime(2001, 1, 2)
+    spark.createDataFrame([(1, 7, day), (2, 7, day + dt.timedelta(days=3)), (3, 8, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    lines = [(1, 5, 1, 1, 4.0, 8.0, 0.0, "N"), (2, 5, 1, 1, 12.0, 8.0, 0.0, "N"), (2, 5, 1, 2, 50.0, 8.0, 0.0, "R"), (3, 5, 1, 1, 1.0, 8.0, 0.0, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                 "l_discount double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    pred = _pred(Views(spark, str(tmp_path)))
+    got = sorted((r.customer_id, r.product_id, str(r.prediction_date), float(r.estimated_quantity), r.will_purchase_anything) for r in pred.collect())
+    assert got == [(7, 5, "2001-02-04", 12.0, True), (8, 5, "2001-02-01", 1.0, False)]
+    plan = pred._jdf.queryExecution().sparkPlan().toString().splitlines()
+    last_count = max(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert last_count < min(i for i, line in enumerate(plan) if "Exchange" in line) < min(i for i, line in enumerate(plan) if "Join" in line)
