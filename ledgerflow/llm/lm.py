@@ -11,7 +11,10 @@ every n-gram of the training documents is in the filter, however large the corpu
 filter is built segment by segment: each shard has one for its words and one for its
 pairs, sized by what they hold, so the filter grows with the corpus and its error rate
 stays what it is.  Segments never leave their shard: the distinct words and pairs of a
-slice of documents are sent there, and their levels come back to the slice.
+slice of documents are sent there, and their levels come back to the slice.  Texts move
+once, to meet these levels: the slices are cut a second time for that, by the number of
+their partition, so a partition must hold the same rows in the same order each time it
+is read.  Tables in files do; other inputs are stored first.
 
 The probability of a word after another mixes the pair's share with the smoothed word
 probability, both from probed counts.  The base score uses exact counts, which the shards
@@ -30,11 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerflow.llm import tokens
-from ledgerflow.llm.common import cut, ship, shuffle_parts, table
+from ledgerflow.llm.common import cut, cut_clean, ship, shuffle_parts, table
 
 MIN_COUNT = 1
 BITS_PER_EVENT, PROBES = 12, 4
@@ -244,17 +246,16 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[n
 
 
 TABLES, DOC, BODY, PROBE = -1, 0, 1, 2
-PLACE = "slice long, kind int, row long, doc_id {kind}, held_out boolean, n_tokens long, pairs boolean, start long, hashes binary, counts binary, width int"
-ROW = "shard int, " + PLACE + ", bits binary, n_bits long"
-ANSWER = PLACE + ", levels binary"
-COLUMNS = ["slice", "kind", "row", "doc_id", "held_out", "n_tokens", "pairs", "start", "hashes", "counts", "width"]
+ROW = "shard int, slice long, kind int, row long, pairs boolean, start long, hashes binary, counts binary, width int, bits binary, n_bits long"
+ANSWER = "slice long, kind int, pairs boolean, start long, counts binary, width int, levels binary"
+PLACE = "slice long, kind int, row long, doc_id {kind}, held_out boolean, n_tokens long, hashes binary, counts binary"
 _TYPES = {"shard": pa.int32(), "slice": pa.int64(), "kind": pa.int32(), "row": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "pairs": pa.bool_(),
           "start": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "width": pa.int32(), "bits": pa.binary(), "n_bits": pa.int64(), "levels": pa.binary()}
 
 
-def _rows(names: list[str], id_type: pa.DataType, m: int, **given) -> pa.RecordBatch:
+def _rows(schema: str, m: int, id_type: pa.DataType | None = None, **given) -> pa.RecordBatch:
     """``m`` rows of these columns; columns that are not given are null."""
-    kinds = _TYPES | {"doc_id": id_type}
+    kinds, names = _TYPES | {"doc_id": id_type}, [c.split()[0] for c in schema.split(", ")]
     column = lambda k: pa.nulls(m, kinds[k]) if k not in given else given[k] if isinstance(given[k], pa.Array) else pa.array(given[k], kinds[k])
     return pa.RecordBatch.from_arrays([column(k) for k in names], names)
 
@@ -269,49 +270,53 @@ def _dealt(grams: np.ndarray, shards: int, light: int) -> tuple[np.ndarray, np.n
     return own[order], place[back], np.searchsorted(number[order], np.arange(light + 1))
 
 
-def _ask(shards: int, light: int):
-    """Documents, the words of each slice, and its distinct words and pairs for their shards."""
-    names = ["shard", *COLUMNS, "bits", "n_bits"]
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(number, batch, first row, end row, bytes, offsets) of the slices of a partition."""
+    done: dict[int, int] = {}
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = batch.column("part")[0].as_py()
+        raw, offsets = tokens.buffers(batch.column("text"))
+        for a, b, data, offs in tokens.slices(raw, offsets, SLICE):
+            done[part] = done.get(part, -1) + 1
+            yield (part << 40) + done[part], batch, a, b, data, offs
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents and the texts of each slice."""
+    for uid, batch, a, b, data, offs in _slices(batches):
+        words, at = tokens.words(data, offs)
+        id_type, n = batch.schema.field("doc_id").type, b - a
+        yield _rows(PLACE, n, id_type, kind=[DOC] * n, slice=[uid] * n, row=range(n), doc_id=batch.column("doc_id").slice(a, n),
+                    held_out=batch.column("held_out").slice(a, n), n_tokens=np.diff(at) + 1)
+        yield _rows(PLACE, 1, id_type, kind=[BODY], slice=[uid], hashes=[pa.compress(data.tobytes(), codec="zstd", asbytes=True)],
+                    counts=[offs.astype("<u8").tobytes()])
+
 
+def _ask(shards: int, light: int):
+    """The distinct words and pairs of each slice for their shards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            raw, offsets = tokens.buffers(batch.column("text"))
-            id_type = batch.schema.field("doc_id").type
-            for a, b, data, offs in tokens.slices(raw, offsets, SLICE):
-                words, context, at = sequences(data, offs)
-                n = b - a
-                yield _rows(names, id_type, n, shard=[-1] * n, kind=[DOC] * n, slice=[uid] * n, row=range(n), doc_id=batch.column("doc_id").slice(a, n),
-                            held_out=batch.column("held_out").slice(a, n), n_tokens=np.diff(at))
-                yield _rows(names, id_type, 1, shard=[-1], kind=[BODY], slice=[uid], hashes=[pa.compress(data.tobytes(), codec="zstd", asbytes=True)],
-                            counts=[offs.astype("<u8").tobytes()])
-                for pairs in (False, True):
-                    own, _, cuts = _dealt(pair_hash(context, words) if pairs else words, shards, light)
-                    some = np.flatnonzero(np.diff(cuts))
-                    m = len(some)
-                    yield _rows(names, id_type, m, shard=some, kind=[PROBE] * m, slice=[uid] * m, pairs=[pairs] * m, start=cuts[some],
-                                hashes=[_squeeze(own[x:y]) for x, y in zip(cuts[some], cuts[some + 1], strict=True)])
-                uid += 1
+        for uid, _, _, _, data, offs in _slices(batches):
+            words, context, _ = sequences(data, offs)
+            for pairs in (False, True):
+                own, _, cuts = _dealt(pair_hash(context, words) if pairs else words, shards, light)
+                some = np.flatnonzero(np.diff(cuts))
+                m = len(some)
+                yield _rows(ROW, m, shard=some, kind=[PROBE] * m, slice=[uid] * m, pairs=[pairs] * m, start=cuts[some],
+                            hashes=[_squeeze(own[x:y]) for x, y in zip(cuts[some], cuts[some + 1], strict=True)])
     return run
 
 
 def _answer(shards: int, light: int):
     """Sorted (shard, kind) rows: the tables of a shard first, then the n-grams that are looked up there.
 
-    Each request gives one row: levels, and for words also exact counts.  The rows of
-    documents and slices go through as they are.
+    Each request gives one row: levels, and for words also exact counts.
     """
-    names = [*COLUMNS, "levels"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tables, keys, values, segments = None, [], None, None, {}
         for batch in batches:
-            id_type = batch.schema.field("doc_id").type
-            through = pc.and_(pc.greater_equal(batch.column("kind"), DOC), pc.less(batch.column("kind"), PROBE))
-            kept = [batch.column(c).filter(through) for c in COLUMNS]
-            yield pa.RecordBatch.from_arrays([*kept, pa.nulls(len(kept[0]), pa.binary())], names)
-            rest = batch.filter(pc.invert(through))
-            columns = [rest.column(c).to_pylist() for c in ("shard", "kind", "slice", "pairs", "start", "hashes", "counts", "width", "bits", "n_bits", "row")]
+            columns = [batch.column(c).to_pylist() for c in ("shard", "kind", "slice", "pairs", "start", "hashes", "counts", "width", "bits", "n_bits", "row")]
             out: list[tuple] = []
             for number, kind, piece, pairs, start, h, c, width, bits, n_bits, own in zip(*columns, strict=True):
                 if number != shard:
@@ -334,7 +339,7 @@ def _answer(shards: int, light: int):
                 out.append((piece, pairs, start, level.astype("u1").tobytes(), *((None, None) if pairs else (exact.tobytes(), exact.itemsize))))
             if out:
                 piece, pairs, start, levels, counts, width = zip(*out, strict=True)
-                yield _rows(names, id_type, len(out), slice=piece, kind=[PROBE] * len(out), pairs=pairs, start=start, levels=levels, counts=counts, width=width)
+                yield _rows(ANSWER, len(out), slice=piece, kind=[PROBE] * len(out), pairs=pairs, start=start, levels=levels, counts=counts, width=width)
     return run
 
 
@@ -391,33 +396,39 @@ def _combine(total: int, distinct: int, shards: int, light: int):
     return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``."""
+def score_documents(docs: DataFrame, steady: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``.
+
+    ``steady`` says that ``docs`` gives the same partitions, in the same order, each time it is read.
+    """
     spark = docs.sparkSession
     ship(spark)
     parts = shuffle_parts(spark)
     shards, light = 4 * parts, parts
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     texts = docs.select("doc_id", held.alias("held_out"), "text")
+    if not steady:
+        texts = cut(texts)
+    placed = texts.withColumn("part", F.spark_partition_id())
 
     schema = "shard int, pairs boolean, hashes binary, counts binary, width int"
     counted = texts.filter("not held_out").select("text").mapInArrow(_count(shards), schema)
     counted = counted.repartition(parts, "shard").sortWithinPartitions("shard", "pairs")
-    model = cut(counted.mapInArrow(_add_up, MODEL))
+    model = cut_clean(counted.mapInArrow(_add_up, MODEL))
     total, distinct = model.filter("not pairs").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     kind = dict(docs.dtypes)["doc_id"]
-    asked = texts.mapInArrow(_ask(shards, light), ROW.format(kind=kind))
+    asked = placed.mapInArrow(_ask(shards, light), ROW)
     tables = model.select((F.col("shard") % light).alias("shard"), F.lit(TABLES).alias("kind"), F.col("shard").cast("long").alias("row"),
                           "pairs", "hashes", "counts", "width", "bits", "n_bits")
     both = asked.unionByName(tables, allowMissingColumns=True)
-    spread = F.when(F.col("kind").isin(DOC, BODY), F.xxhash64("slice", "row")).otherwise(F.col("shard"))
-    both = both.repartition(parts, spread).sortWithinPartitions("shard", "kind")
-    known = both.mapInArrow(_answer(shards, light), ANSWER.format(kind=kind))
+    both = both.repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+    known = both.mapInArrow(_answer(shards, light), ANSWER)
+    known = known.unionByName(placed.mapInArrow(_place, PLACE.format(kind=kind)), allowMissingColumns=True)
     known = known.repartition(parts, "slice").sortWithinPartitions("slice", "kind")
     out = known.mapInArrow(_combine(total, distinct, shards, light), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm(spark, sf_dir):
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), steady=True)

@@ -272,6 +272,36 @@ def test_lm_beats_base_on_held_out_text(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_lm_moves_texts_once_and_keeps_slices_apart(make, spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    noise = np.random.default_rng(3).integers(33, 127, 40000, dtype=np.uint8).tobytes().decode()  # one word that does not compress
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "held_out": [False], "text": [noise], "part": pa.array([0], pa.int32())})
+    asked = list(lm._ask(8, 8)(iter([batch])))
+    assert sum(len(b) for b in asked) and sum(b.nbytes for b in asked) < 4000
+    make([(i, f"w{i % 7} w{i % 11} w{i}") for i in range(500)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    assert sorted(lm.score_documents(stored, steady=True).collect()) == sorted(lm.score_documents(stored).collect())
+
+
+def test_cut_clean_removes_its_shuffle_files(spark):
+    import glob
+    import time
+
+    from ledgerflow.llm.common import SHUFFLE_CLEANUP, cut_clean
+
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*.data"))
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    stored = cut_clean(spark.range(99999).repartition(3, "id"))
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.5)
+    assert files() <= before and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    assert stored.count() == 99999
+
+
 def test_log_bloom_counts():
     import numpy as np
 
