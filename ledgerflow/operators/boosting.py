@@ -25,6 +25,7 @@ CATEGORIES = ["customer_id", "product_id", "day_of_week", "weekday_name", "prefe
 ROUNDS, DEPTH, STEP = 500, 6, 0.05
 ORDER_SEED, SPLIT_SEED, SMOOTHING = 44, 43, 1.0
 HELD_OUT = 0.2
+ROWS_PER_TASK = 1 << 17   # training rows from which a partition is cut in two
 
 
 def _order(keys: Sequence[str]) -> Column:
@@ -111,11 +112,20 @@ def _weights(rows: DataFrame, classes) -> Column:
     return F.when(F.col("label") == 1, F.lit(float(classes[1]))).otherwise(F.lit(float(classes[0])))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Training rows dealt evenly by key to one partition per core, more if one would exceed
+    ``ROWS_PER_TASK``.  A tree takes a job per level, so partitions cost more than their rows;
+    as they come, training and held-out rows lie in partitions of their own."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(cores, -(-rows.count() // ROWS_PER_TASK))
+    return rows.repartition(-(-n // cores) * cores, *KEYS)
+
+
 def _fit(rows: DataFrame, features: list[str], rounds: int, classes, check: bool, tol: float, seed: int):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = rows.withColumn("weight", _weights(rows, classes)).withColumn("label_d", F.col("label").cast("double"))
+    rows = _spread(rows).withColumn("weight", _weights(rows, classes)).withColumn("label_d", F.col("label").cast("double"))
     rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
     gbt = GBTClassifier(labelCol="label_d", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=DEPTH, stepSize=STEP, seed=seed)
     if check:

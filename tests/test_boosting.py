@@ -84,3 +84,17 @@ def test_exclusive_sums(spark):
     got = sorted(map(tuple, exclusive_sums(df, ["g"], ["o"], {"s": "v"}).collect()))
     want = sorted((g, o, v, sum(w for h, p, w in rows if h == g and p < o)) for g, o, v in rows)
     assert got == want
+
+
+def test_training_rows_lie_evenly(spark, monkeypatch):
+    df, _ = samples(spark, 2000)
+    cores, seen = spark.sparkContext.defaultParallelism, []
+    apart = df.filter(~bo.held_out()).repartition(40).unionByName(df.filter(bo.held_out()).repartition(40)).withColumn("held_out", bo.held_out())
+    cut = bo.cut
+    monkeypatch.setattr(bo, "cut", lambda rows: seen.append(cut(rows)) or seen[-1])
+    bo._fit(apart, ["x"], 2, "balanced", True, 1e-4, 42)
+    ready = seen[-1]
+    kinds = ready.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("held_out").alias("n")).collect()
+    assert ready.rdd.getNumPartitions() == len(kinds) == cores and all(r.n == 2 for r in kinds) and ready.count() == 2000
+    monkeypatch.setattr(bo, "ROWS_PER_TASK", 50)
+    assert bo._spread(apart).rdd.getNumPartitions() == -(-40 // cores) * cores
