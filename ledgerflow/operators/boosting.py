@@ -25,7 +25,7 @@ CATEGORIES = ["customer_id", "product_id", "day_of_week", "weekday_name", "prefe
 ROUNDS, DEPTH, STEP = 500, 6, 0.05
 ORDER_SEED, SPLIT_SEED, SMOOTHING = 44, 43, 1.0
 HELD_OUT = 0.2
-ROWS_PER_TASK = 1 << 17   # training rows from which a partition is cut in two
+ROWS_PER_TASK = 1 << 17   # training rows that a partition holds
 
 
 def _order(keys: Sequence[str]) -> Column:
@@ -115,10 +115,10 @@ def _weights(rows: DataFrame, classes) -> Column:
 def _spread(rows: DataFrame) -> DataFrame:
     """Training rows dealt evenly by key to one partition per core, more if one would exceed
     ``ROWS_PER_TASK``.  A tree takes a job per level, so partitions cost more than their rows;
-    as they come, training and held-out rows lie in partitions of their own."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    n = max(cores, -(-rows.count() // ROWS_PER_TASK))
-    return rows.repartition(-(-n // cores) * cores, *KEYS)
+    as they come, training and held-out rows lie in partitions of their own.  So few rows that
+    one partition holds them stay as they are."""
+    cores, n = rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK)
+    return rows if n <= 1 else rows.repartition(-(-max(cores, n) // cores) * cores, *KEYS)
 
 
 def _fit(rows: DataFrame, features: list[str], rounds: int, classes, check: bool, tol: float, seed: int):

@@ -90,6 +90,8 @@ def test_training_rows_lie_evenly(spark, monkeypatch):
     df, _ = samples(spark, 2000)
     cores, seen = spark.sparkContext.defaultParallelism, []
     apart = df.filter(~bo.held_out()).repartition(40).unionByName(df.filter(bo.held_out()).repartition(40)).withColumn("held_out", bo.held_out())
+    assert bo._spread(apart) is apart
+    monkeypatch.setattr(bo, "ROWS_PER_TASK", 1000)
     cut = bo.cut
     monkeypatch.setattr(bo, "cut", lambda rows: seen.append(cut(rows)) or seen[-1])
     bo._fit(apart, ["x"], 2, "balanced", True, 1e-4, 42)
