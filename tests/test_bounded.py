@@ -134,3 +134,19 @@ def test_wide_shards(spark, monkeypatch):
     monkeypatch.setattr(bounded, "BINS", 3)
     monkeypatch.setattr(bounded, "CROWD", 4)
     assert sorted(map(tuple, rc.recommend_products(None, pm, sales=df).collect())) == want
+
+
+def test_customers_meet_categories_they_never_bought_not_every_shard(spark):
+    """Of categories nobody lacks no row is made, however many shards and shared attributes there are."""
+    products = [(p, 0, f"n{p}", f"C{p % 2}", f"S{p}", "sp", "pr", "active") for p in range(1, 41)]
+    sales = [(c, p, f"C{p % 2}", f"S{p}", "sp", "pr", 5.0 + p) for c in range(1, 31) for p in (2 * c % 40 + 1, 2 * c % 40 + 2)]
+    sales.append((99, 1, "C1", "S1", "sp", "pr", 6.0))
+    pm, df = spark.createDataFrame(products, PM), rc.cut(spark.createDataFrame(sales, SALES))
+    search = bounded.Scoring(df, rc.active_products(pm), rc.product_prices(df), rc.category_price_stats(df), rc.HOT, shard=2)
+    shards = search.stock.select("category", "slot", "piece").distinct().withColumn("least", F.lit(0.0))
+    assert shards.count() > 10
+    far = search.who.withColumn("bound", F.lit(1.0))
+    assert [tuple(r) for r in search._absent(far, shards).select("customer_id", "category").collect()] == [(99, "C0")]
+    assert search._absent(far.withColumn("bound", F.lit(-1.0)), shards).count() == 0
+    guests = search._strangers(search.stock, 50)
+    assert {r.customer_id for r in guests.collect()} == {99} and {r.category for r in guests.collect()} == {"C0"}
