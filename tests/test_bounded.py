@@ -150,3 +150,10 @@ def test_customers_meet_categories_they_never_bought_not_every_shard(spark):
     assert search._absent(far.withColumn("bound", F.lit(-1.0)), shards).count() == 0
     guests = search._strangers(search.stock, 50)
     assert {r.customer_id for r in guests.collect()} == {99} and {r.category for r in guests.collect()} == {"C0"}
+
+
+def test_first_round_asks_customers_of_every_price_level(spark):
+    rows = [(c, "C", 1.0 - c / 1000, 10.0, 4.0) for c in range(1, 41)] + [(50, "C", 0.1, 90.0, 4.0), (60, "C", 0.1, None, 4.0), (61, "C", 0.05, None, 4.0)]
+    parts = spark.createDataFrame(rows, "customer_id long, category string, bound double, avg_price double, cat_std double")
+    got = sorted(r.customer_id for r in bounded.Scoring._leaders(None, parts, 4).collect())
+    assert got == [1, 2, 3, 4, 50, 60]
