@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,92 @@ def test_first_round_asks_customers_of_every_price_level(spark):
     parts = spark.createDataFrame(rows, "customer_id long, category string, bound double, avg_price double, cat_std double")
     got = sorted(r.customer_id for r in bounded.Scoring._leaders(None, parts, 4).collect())
     assert got == [1, 2, 3, 4, 50, 60]
+
+
+def shelf(rng, n, sd, spread, unknown=0.0, priceless=0.0):
+    """A wide shard of ``n`` products."""
+    odd = rng.random(n) < unknown
+    return bounded.Rack({"product_id": rng.permutation(n) + 1000, "price": np.where(rng.random(n) < priceless, np.nan, rng.normal(30, spread, n).round(2)),
+                         "sub": np.where(odd, 5, rng.integers(10, 35, n)), "unknown": odd, "specification": rng.integers(0, 9, n), "process_type": rng.integers(0, 4, n)}, sd)
+
+
+def crowd(rng, rack, m, free=0.0):
+    """Customers of a wide shard as columns: lists as offsets and values."""
+    def lists(make):
+        rows = [make() for _ in range(m)]
+        return np.append(0, np.cumsum([len(r) for r in rows])), np.concatenate([np.array(r) for r in rows])
+
+    c = {"customer_id": np.arange(m), "n_bought": rng.integers(20, 60, m).astype(float), "n_unknown": rng.integers(0, 4, m).astype(float),
+         "need": np.zeros(m), "avg_price": np.where(rng.random(m) < free, np.nan, rng.normal(30, 5, m))}
+    for a, values in (("specification", 11), ("process_type", 5)):
+        at, codes = lists(lambda v=values: rng.permutation(v)[:rng.integers(1, v)])
+        c |= {f"{a}_codes": (at, codes), f"{a}_ns": (at, rng.integers(1, 6, len(codes)))}
+    c["subs"] = lists(lambda: rng.permutation(np.arange(8, 36))[:rng.integers(0, 12)].astype(np.int64))
+    c["odd"] = lists(lambda: rng.permutation(rack.id)[:rng.integers(0, 3)].astype(np.int64))
+    c["prices"] = lists(lambda: rng.normal(30, 5, rng.integers(0, 9)))
+    c["n_category"] = np.diff(c["prices"][0]).astype(float)
+    return c
+
+
+@pytest.mark.parametrize("sd, unknown, priceless, free", [(6.0, 0.1, 0.1, 0.3), (80.0, 0.0, 0.0, 0.0), (0.0, 0.2, 0.3, 0.2), (None, 0.0, 1.0, 0.5)])
+@pytest.mark.parametrize("grid", [1 << 20, 300])
+def test_search_of_a_wide_shard_finds_what_plain_scoring_finds(monkeypatch, sd, unknown, priceless, free, grid):
+    monkeypatch.setattr(bounded, "GRID", grid)
+    rng = np.random.default_rng(7)
+    rack = shelf(rng, 700, sd, 5, unknown, priceless)
+    c = crowd(rng, rack, 40, free)
+    got = {}
+    for who, what, base, match in zip(*rack.best(c, 7), strict=True):
+        got.setdefault(who, []).append((-round(base * match, 10), rack.id[what]))
+    cells = {a: rack.values[a][rack.cell_of[a]][rack.cell] for a in bounded.ATTRS}
+    for i in range(40):
+        def mine(name, i=i):
+            return c[name][1][c[name][0][i]:c[name][0][i + 1]]
+        counts = {a: dict(zip(mine(f"{a}_codes"), mine(f"{a}_ns"), strict=True)) for a in bounded.ATTRS}
+        best = {}
+        for p in range(len(rack.id)):
+            sub = rack.values["sub"][rack.sub[p]]
+            if sub in mine("subs") or rack.id[p] in mine("odd"):
+                continue
+            price = None if math.isnan(rack.price[p]) else rack.price[p]
+            total = c["n_category"][i] + sum(counts[a].get(cells[a][p], 0) for a in bounded.ATTRS) + c["n_unknown"][i] * rack.cell_unknown[rack.cell[p]]
+            total += sum(close(price, b, sd) for b in mine("prices"))
+            score = round(total / 5 / c["n_bought"][i] * close(price, None if math.isnan(c["avg_price"][i]) else c["avg_price"][i], sd), 10)
+            if score > 0:
+                best[sub] = min(best.get(sub, (0, 0)), (-score, rack.id[p]))
+        assert sorted(got.get(i, [])) == [pytest.approx(x, abs=1e-9) for x in sorted(best.values())[:7]], i
+
+
+def test_work_of_a_customer_does_not_grow_with_its_wide_shard(monkeypatch):
+    """Sixteen times the products of a shard, all near one price: not four times as many are scored for a customer."""
+    scored = []
+    plain_scores = bounded.Rack._scores
+    monkeypatch.setattr(bounded.Rack, "_scores", lambda self, *a: scored.append(len(a[-1])) or plain_scores(self, *a))
+    each = []
+    for n in (8000, 128000):
+        rng = np.random.default_rng(3)
+        rack = shelf(rng, n, 60.0, 5)
+        c = crowd(rng, rack, 100)
+        c["odd"] = (np.zeros(101, np.int64), np.empty(0, np.int64))
+        scored.clear()
+        rack.best(c, 7)
+        each.append(sum(scored) / 100)
+    assert each[1] < 4 * each[0] < 800, each
+
+
+def test_sales_are_written_once_before_the_price_cut(spark, monkeypatch):
+    """The sales are written before the price cut; nobody short of scoring subcategories means no second read for zeros."""
+    products, sales = market(3)
+    pm = spark.createDataFrame(products, PM)
+    tx = spark.createDataFrame([(c, p, 1.0, price) for c, p, *_, price in sales], "customer_id long, product_id long, quantity double, amount double")
+    written = []
+    plain_cut = rc.cut
+    monkeypatch.setattr(rc, "cut", lambda df: written.append(df.columns) or plain_cut(df))
+    got = rc.scoring_sales(tx, pm)
+    assert len(written) == 1 and "unit_price" in written[0]
+    want = rc.trim_prices(rc.priced_sales(tx, pm)).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() < len(sales)
+    empty = spark.createDataFrame([], tx.schema)
+    assert rc.scoring_sales(empty, pm).count() == 0
+    scoring = spark.createDataFrame([(1, 1, f"S{k}", 0.5, 0.5, 0.25) for k in range(7)], "customer_id long, product_id long, subcategory string, base_similarity double, price_match double, rank_score double")
+    assert rc._zero_scores(scoring, scoring.select("customer_id").distinct(), got.filter("1 / 0 = customer_id"), pm, 7).count() == 0
