@@ -247,3 +247,8 @@ def test_sales_are_written_once_before_the_price_cut(spark, monkeypatch):
     assert rc.scoring_sales(empty, pm).count() == 0
     scoring = spark.createDataFrame([(1, 1, f"S{k}", 0.5, 0.5, 0.25) for k in range(7)], "customer_id long, product_id long, subcategory string, base_similarity double, price_match double, rank_score double")
     assert rc._zero_scores(scoring, scoring.select("customer_id").distinct(), got.filter("1 / 0 = customer_id"), pm, 7).count() == 0
+
+
+def test_product_rows_of_wide_shards_hold_no_null_list(spark):
+    row = bounded._listless(spark.range(1)).first()
+    assert all(row[n] == [] for n in bounded.LISTS)
